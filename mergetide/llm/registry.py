@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from mergetide.llm import sql
+from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
 from mergetide.sources.tables import table
 
@@ -15,9 +16,13 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules}
+    return {"op1_quality_rules": op1_quality_rules, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1}
+    return {"op1_quality_rules": sql.OP1, "op6_mixing": sql.OP6}

@@ -4,26 +4,26 @@ from __future__ import annotations
 
 from mergetide.llm.quality import STOP_WORDS
 
-WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), w -> w <> '')"
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
 
 OP1 = rf"""
 WITH d AS (
   SELECT doc_id, text, {WORDS} AS ws,
-         list_filter(string_split(coalesce(text, ''), chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls
   FROM documents),
 g AS (
   SELECT row_number() OVER () AS rid, *, len(ws) AS n,
-         list_transform(range(1, len(ws) - 1), i -> ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS w3 FROM d),
+         list_transform(range(1, len(ws) - 1), lambda i: ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2]) AS w3 FROM d),
 p AS (SELECT rid, unnest(w3) AS w, unnest(range(1, len(w3) + 1)) AS i FROM g),
 c AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, w) AS k FROM p),
 r AS (SELECT rid, count(DISTINCT i + o) AS n_repeat FROM c, (VALUES (0), (1), (2)) AS t(o) WHERE k > 1 GROUP BY rid),
 f AS (
   SELECT doc_id, CAST(n AS BIGINT) AS n_words,
-         CAST(coalesce(list_sum(list_transform(ws, x -> length(x))), 0) AS BIGINT) AS word_chars,
+         CAST(coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
          CAST(length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines,
          CAST(coalesce(n_repeat, 0) AS BIGINT) AS n_repeat_words,
-         CAST(len(list_filter(ws, x -> x IN ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}))) AS BIGINT) AS n_stop_words,
+         CAST(len(list_filter(ws, lambda x: x IN ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}))) AS BIGINT) AS n_stop_words,
          len(ls) AS nl
   FROM g LEFT JOIN r USING (rid)),
 q AS (
@@ -38,3 +38,25 @@ SELECT *, NOT base_failed AND mean_word_chars >= 2 AND mean_word_chars <= 12 AND
        AND stop_word_ratio >= 0.06 AND dup_line_ratio <= 0.5 AND repeat_word_ratio <= 0.5 AS kept
 FROM q
 """
+
+OP6 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk, sum(source_size) OVER () AS everything FROM s0),
+s2 AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, source_size * 2.0::DOUBLE AS cap FROM s1),
+s3 AS (SELECT *, everything * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+              sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM s2),
+s4 AS (SELECT *, lft / wl AS lev, cap <= lft / wl * weight AS filled FROM s3),
+s5 AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE min(lev) FILTER (NOT filled) OVER () * weight END AS target FROM s4),
+s AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM s5),
+r AS (
+  SELECT d.rid, d.doc_id, d.size, s.source, s.source_size, s.target, floor(copies) AS whole, copies - floor(copies) AS p,
+         target - floor(copies) * source_size AS rest,
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM r),
+w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
+SELECT doc_id, size, source_size, target,
+       CAST(size * (whole + CASE WHEN p > 0 AND before < rest AND before + size - rest <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM w
+"""
