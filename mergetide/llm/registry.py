@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from mergetide.llm import sql
+from mergetide.llm.html_main import extract_main
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
 from mergetide.sources.tables import table
@@ -16,12 +18,17 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", extract_main(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op6_mixing": op6_mixing}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
