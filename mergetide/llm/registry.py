@@ -11,6 +11,8 @@ from mergetide.llm import sql
 from mergetide.llm.html_main import extract_main
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
+from mergetide.llm.warc import read_archives, write_archives
+from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
 
 
@@ -23,13 +25,18 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = cut(write_archives(table(spark, sf_dir, "pages")), "warc")
+    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op6_mixing": op6_mixing}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op6_mixing": sql.OP6}
+    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6}

@@ -60,3 +60,21 @@ SELECT doc_id, size, source_size, target,
        CAST(size * (whole + CASE WHEN p > 0 AND before < rest AND before + size - rest <= rest - before THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM w
 """
+
+OP4 = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (
+  SELECT page_id, octet_length(body) AS payload_bytes,
+         sha1(body) AS h FROM p),
+b AS (
+  SELECT page_id, payload_bytes, h,
+         array_to_string(list_transform(range(0, 32), lambda i:
+           substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(list_sum(list_transform(range(0, 5), lambda k:
+             ((CAST('0x' || substr(h, 1 + (5 * i + k) // 4, 1) AS INTEGER) >> (3 - (5 * i + k) % 4)) & 1) << (4 - k))) AS INTEGER), 1)), '') AS payload_digest
+  FROM d),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY h) AS first_id FROM b)
+SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
+       CASE WHEN page_id = first_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
+FROM f
+"""
