@@ -11,6 +11,7 @@ from mergetide.llm import sql
 from mergetide.llm.html_main import extract_main
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
+from mergetide.llm.recompress import dedup_substrings
 from mergetide.llm.warc import read_archives, write_archives
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
@@ -34,9 +35,14 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
 
+def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = dedup_substrings(table(spark, sf_dir, "documents"), width=20)
+    return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6}
+    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7}

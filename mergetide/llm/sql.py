@@ -78,3 +78,18 @@ SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, payload_digest,
        CASE WHEN page_id = first_id THEN NULL ELSE first_id END AS refers_to
 FROM f
 """
+
+OP7 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS ws FROM documents),
+w AS (
+  SELECT rid, doc_id, i, array_to_string(list_slice(ws, i, i + 19), ' ') AS win
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 18)) AS i FROM d)),
+f AS (SELECT rid, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k FROM w),
+g AS (SELECT rid, list_distinct(flatten(list(range(i, i + 20)))) AS gone FROM f WHERE k > 1 GROUP BY rid),
+k AS (SELECT doc_id, ws, coalesce(gone, []) AS gone, d.rid FROM d LEFT JOIN g ON d.rid = g.rid),
+u AS (SELECT rid, unnest(range(1, len(ws) + 1)) AS i, unnest(ws) AS word FROM d),
+v AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u
+      LEFT JOIN (SELECT rid, unnest(gone) AS i FROM g) x ON u.rid = x.rid AND u.i = x.i WHERE x.rid IS NULL GROUP BY u.rid)
+SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM k LEFT JOIN v ON k.rid = v.rid
+"""
