@@ -12,6 +12,7 @@ from mergetide.llm.html_main import extract_main
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
 from mergetide.llm.recompress import dedup_substrings
+from mergetide.llm.suffixes import repeated_passages
 from mergetide.llm.warc import read_archives, write_archives
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
@@ -40,9 +41,15 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_passages(table(spark, sf_dir, "documents"), width=50)
+    text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
+    return found.select("doc_id", "n_repeated", "n_removable", text("spans").alias("spans"), text("removable").alias("removable"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op10_suffix_array": op10_suffix_array}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7}
+    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7, "op10_suffix_array": sql.OP10}

@@ -93,3 +93,19 @@ v AS (SELECT u.rid, string_agg(word, ' ' ORDER BY u.i) AS kept FROM u
 SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(gone) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM k LEFT JOIN v ON k.rid = v.rid
 """
+
+OP10 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS ws FROM documents),
+w AS (
+  SELECT rid, doc_id, i, array_to_string(list_slice(ws, i, i + 49), ' ') AS win
+  FROM (SELECT rid, doc_id, ws, unnest(range(1, len(ws) - 48)) AS i FROM d)),
+f AS (SELECT rid, doc_id, i, row_number() OVER (PARTITION BY win ORDER BY doc_id, i) AS k, count(*) OVER (PARTITION BY win) AS n FROM w),
+c AS (SELECT rid, doc_id, i, k > 1 AS late FROM f WHERE n > 1),
+bo AS (SELECT rid, doc_id, i, false AS late FROM c UNION ALL SELECT rid, doc_id, i, true FROM c WHERE late),
+b AS (SELECT *, CASE WHEN i > lag(i) OVER (PARTITION BY rid, late ORDER BY i) + 50 OR lag(i) OVER (PARTITION BY rid, late ORDER BY i) IS NULL THEN 1 ELSE 0 END AS new FROM bo),
+s AS (SELECT *, sum(new) OVER (PARTITION BY rid, late ORDER BY i) AS g FROM b),
+t AS (SELECT rid, doc_id, late, min(i) - 1 AS a, max(i) + 49 AS z FROM s GROUP BY rid, doc_id, late, g),
+o AS (SELECT rid, doc_id, late, CAST(sum(z - a) AS BIGINT) AS n, string_agg(a || '-' || z, ',' ORDER BY a) AS spans FROM t GROUP BY rid, doc_id, late)
+SELECT x.doc_id, x.n AS n_repeated, coalesce(y.n, 0) AS n_removable, x.spans, coalesce(y.spans, '') AS removable
+FROM (SELECT * FROM o WHERE NOT late) x LEFT JOIN (SELECT * FROM o WHERE late) y ON x.rid = y.rid
+"""
