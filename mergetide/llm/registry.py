@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mergetide.llm import sql
 from mergetide.llm.html_main import extract_main
+from mergetide.llm.lsh_forest import near_duplicates
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.quality import quality_rules
 from mergetide.llm.recompress import dedup_substrings
@@ -41,6 +42,10 @@ def op7_recompression(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), width=50)
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
@@ -48,8 +53,8 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op10_suffix_array": op10_suffix_array}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op10_suffix_array": op10_suffix_array}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7, "op10_suffix_array": sql.OP10}
+    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7, "op8_minhash_forest": sql.OP8, "op10_suffix_array": sql.OP10}
