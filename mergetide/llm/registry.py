@@ -8,9 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergetide.llm import sql
+from mergetide.llm.decontaminate import benchmark_hits
 from mergetide.llm.html_main import extract_main
 from mergetide.llm.lsh_forest import near_duplicates
 from mergetide.llm.mixing import mix_sources
+from mergetide.llm.pseudonyms import pseudonymise
 from mergetide.llm.quality import quality_rules
 from mergetide.llm.recompress import dedup_substrings
 from mergetide.llm.suffixes import repeated_passages
@@ -18,6 +20,9 @@ from mergetide.llm.warc import read_archives, write_archives
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
 
+#: A deployment sets its own; the queries need one that stays.
+PSEUDONYM_KEY = "mergetide"
+
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"))
@@ -28,11 +33,19 @@ def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.withColumn("n_chars", F.length("text").cast("long"))
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = cut(write_archives(table(spark, sf_dir, "pages")), "warc")
     return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents"))
 
@@ -53,7 +66,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op4_warc": op4_warc, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op10_suffix_array": op10_suffix_array}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op10_suffix_array": op10_suffix_array}
 
 
 def oracle_sql() -> dict[str, str]:

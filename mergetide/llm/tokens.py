@@ -11,6 +11,8 @@ import pyarrow as pa
 SLICE_BYTES = 1 << 20
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: all of ASCII but letters and digits
+PUNCTUATION = np.array([i < 128 and not chr(i).isalnum() for i in range(256)])
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -21,7 +23,7 @@ def powers(n: int) -> np.ndarray:
     """BASE ** i modulo 2**64 for i below n at least."""
     global _powers
     while len(_powers) < n:
-        _powers = np.concatenate([_powers, _powers * (_powers[-1] * BASE)])
+        _powers = np.concatenate([_powers, _powers * (_powers[-1:] * BASE)])
     return _powers
 
 
@@ -46,8 +48,8 @@ class Words:
         return np.repeat(np.arange(len(self.row) - 1), np.diff(self.row))
 
 
-def words_of(texts: pa.Array, lower: bool = False) -> Words:
-    """Words are maximal runs of bytes other than 0x20 and 0x09 to 0x0D; null has none.  lower: A-Z only."""
+def words_of(texts: pa.Array, lower: bool = False, between: np.ndarray = SPACE) -> Words:
+    """Words are maximal runs of bytes that are not ``between`` (0x20 and 0x09 to 0x0D); null has none.  lower: A-Z only."""
     texts = texts.fill_null("").cast(pa.large_binary())
     offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1] if len(texts) else np.zeros(1, np.int64)
     raw = texts.buffers()[2]
@@ -55,7 +57,7 @@ def words_of(texts: pa.Array, lower: bool = False) -> Words:
     cut = (offsets - offsets[0]).astype(np.int64)
     if lower:
         data = LOWER[data]
-    inside = ~SPACE[data]
+    inside = ~between[data]
     first = np.ones(len(data), bool)
     first[1:] = ~inside[:-1]
     first[cut[:-1][cut[:-1] < len(data)]] = True
