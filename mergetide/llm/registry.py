@@ -16,6 +16,7 @@ from mergetide.llm.pseudonyms import pseudonymise
 from mergetide.llm.quality import quality_rules
 from mergetide.llm.recompress import dedup_substrings
 from mergetide.llm.suffixes import repeated_passages
+from mergetide.llm.toxicity import toxicity
 from mergetide.llm.warc import read_archives, write_archives
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
@@ -59,6 +60,10 @@ def op8_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), k=4, threshold=80)
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = repeated_passages(table(spark, sf_dir, "documents"), width=50)
     text = lambda c: F.array_join(F.transform(c, lambda s: F.concat_ws("-", s["start"], s["stop"])), ",")
@@ -66,7 +71,7 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op10_suffix_array": op10_suffix_array}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op9_toxicity": op9_toxicity, "op10_suffix_array": op10_suffix_array}
 
 
 def oracle_sql() -> dict[str, str]:
