@@ -47,7 +47,8 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], share: float, max
     after = order.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     s = s.withColumn("left", F.sum("source_size").over(everything) * F.lit(float(share)) - F.coalesce(F.sum("cap").over(before), F.lit(0.0)))
     s = s.withColumn("level", F.col("left") / F.sum("weight").over(after)).withColumn("full", F.col("cap") <= F.col("level") * F.col("weight"))
-    level = F.min(F.when(~F.col("full"), F.col("level"))).over(everything)
+    # levels fall from the first source that is not full on: that one holds
+    level = F.max(F.when(~F.col("full"), F.col("level"))).over(everything)
     return s.withColumn("target", F.when(F.col("full"), F.col("cap")).otherwise(level * F.col("weight"))).select("source", "source_size", "target")
 
 

@@ -47,7 +47,7 @@ s2 AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 EN
 s3 AS (SELECT *, everything * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
               sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM s2),
 s4 AS (SELECT *, lft / wl AS lev, cap <= lft / wl * weight AS filled FROM s3),
-s5 AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE min(lev) FILTER (NOT filled) OVER () * weight END AS target FROM s4),
+s5 AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE max(lev) FILTER (NOT filled) OVER () * weight END AS target FROM s4),
 s AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM s5),
 r AS (
   SELECT d.rid, d.doc_id, d.size, s.source, s.source_size, s.target, floor(copies) AS whole, copies - floor(copies) AS p,
