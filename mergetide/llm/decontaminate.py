@@ -203,14 +203,31 @@ def word_counts(rows: DataFrame, words: np.ndarray) -> dict[int, int]:
     return {r["word"]: r["n"] for r in found.toLocalIterator()}
 
 
+def blocks_of(rows: DataFrame, benchmark: DataFrame, edits: float, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str], dict[int, int]]]:
+    """The benchmark in blocks: ids, texts, and the counts of their words in all documents."""
+    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
+    ids: list[int] = []
+    texts: list[str] = []
+
+    def block() -> tuple[list[int], list[str], dict[int, int]]:
+        words = np.unique(normal_words(pa.array(texts, pa.string())).hashes)
+        return ids, texts, word_counts(rows, words) if len(words) else {}
+
+    for r in items.toLocalIterator():
+        ids.append(r["item_id"])
+        texts.append(r["text"])
+        if len(ids) == BLOCK:
+            yield block()
+            ids, texts = [], []
+    if ids:
+        yield block()
+
+
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document and item that it holds within ``edits`` times the item's words of edits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
-
-    def search(ids: list[int], texts: list[str]) -> DataFrame:
-        counts = word_counts(rows, np.unique(normal_words(pa.array(texts, pa.string())).hashes)) if any(texts) else {}
 
+    def search(ids: list[int], texts: list[str], counts: dict[int, int]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             block = Items(ids, texts, edits, counts)
             for b in slices(batches, "text"):
@@ -221,13 +238,24 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id
 
         return rows.mapInArrow(run, SCHEMA)
 
-    found, ids, texts = [], [], []
-    for r in items.toLocalIterator():
-        ids.append(r["item_id"])
-        texts.append(r["text"])
-        if len(ids) == BLOCK:
-            found.append(search(ids, texts))
-            ids, texts = [], []
-    if ids or not found:
-        found.append(search(ids, texts))
-    return reduce(DataFrame.unionByName, found)
+    found = [search(*block) for block in blocks_of(rows, benchmark, edits, item_id_col, item_text_col)]
+    return reduce(DataFrame.unionByName, found) if found else rows.limit(0).selectExpr("doc_id", *(f"cast(null as {t}) as {c}" for c, t in (x.split() for x in SCHEMA.split(", ")[1:])))
+
+
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``) that hold no item."""
+
+    def drop(left: DataFrame, ids: list[int], texts: list[str], counts: dict[int, int]) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            block = Items(ids, texts, edits, counts)
+            for b in slices(batches, "text"):
+                keep = np.ones(b.num_rows, bool)
+                keep[[h[0] for h in block.hits(normal_words(b["text"]))]] = False
+                yield b.filter(pa.array(keep))
+
+        return left.mapInArrow(run, docs.schema)
+
+    left = docs
+    for block in blocks_of(docs, benchmark, edits, item_id_col, item_text_col):
+        left = drop(left, *block)
+    return left

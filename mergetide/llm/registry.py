@@ -70,8 +70,14 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_repeated", "n_removable", text("spans").alias("spans"), text("removable").alias("removable"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # it imports from here
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op9_toxicity": op9_toxicity, "op10_suffix_array": op10_suffix_array}
+    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op9_toxicity": op9_toxicity, "op10_suffix_array": op10_suffix_array, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -313,9 +313,24 @@ def score_texts(docs: DataFrame, model: Model | float, text_col: str = "text", s
     return d.mapInArrow(run, schema)
 
 
+HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 1000) -> DataFrame:
+    """The rows of ``docs`` (with a column ``text``) that score below ``threshold``."""
+    model = train(docs, labels.where(f"not ({HELD_OUT})"), train_rows)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            s = model.scores(b["text"]) if isinstance(model, Model) else np.full(b.num_rows, model)
+            yield b.filter(pa.array(s < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 1000) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row; labels of held-out rows (crc32 of the id modulo 4 is 2) are not used."""
-    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    held_out = F.coalesce(F.expr(HELD_OUT), F.lit(False))
     model = train(docs, labels.where(~held_out), train_rows)
     scored = score_texts(docs.select("doc_id", "text"), model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
