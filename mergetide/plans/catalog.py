@@ -1,6 +1,469 @@
-"""Registered queries of the divergence engine and their DuckDB equivalents."""
+"""Registered queries of the divergence engine; their DuckDB equivalents are in :mod:`mergetide.plans.oracles`."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mergetide.functions import references as R
+from mergetide.functions.text import file_type, state_kind
+from mergetide.operators import analytics, diffing, edges, extracting, graph, matching, moving, resolving
+from mergetide.plans import adapters as A
+from mergetide.plans.oracles import ORACLES  # noqa: F401
+from mergetide.sources.shared import cut
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(f: Query) -> Query:
+    QUERIES[f.__name__] = f
+    return f
+
+
+# two snapshots of the documents
+
+
+def snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sql_for_spark(spark, sf_dir, A.SNAP, "documents").withColumnsRenamed({"l": "left", "r": "right", "b": "base"})
+
+
+def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = diffing.classify(snapshot(spark, sf_dir).where("left is not null or right is not null"))
+    return rows.withColumn("left_path", F.when(F.col("left").isNotNull(), F.col("path"))).withColumn("right_path", F.when(F.col("right").isNotNull(), F.col("path")))
+
+
+@query
+def divergence_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffing.classify(snapshot(spark, sf_dir)).select("path", "div_type")
+
+
+@query
+def divergence_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.stats(classified(spark, sf_dir))
+
+
+@query
+def divergence_quick_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.quick_stats(classified(spark, sf_dir))
+
+
+@query
+def trivial_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.trivial_merges(classified(spark, sf_dir)).select("path", "div_type")
+
+
+@query
+def conflict_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.conflicts(classified(spark, sf_dir)).select("path")
+
+
+def measured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return diffing.measure(diffing.classify(snapshot(spark, sf_dir)), ["path"])
+
+
+@query
+def line_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [F.col(c).cast("long").alias(c) for c in ("left_add", "left_del", "right_add", "right_del")]
+    return measured(spark, sf_dir).select("path", "div_type", *counts, "auto_mergeable")
+
+
+@query
+def conflict_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    regions = measured(spark, sf_dir).select("path", F.explode("conflict_regions").alias("r"))
+    return regions.select("path", F.col("r.start_line").cast("long").alias("start_line"), F.col("r.end_line").cast("long").alias("end_line"))
+
+
+@query
+def conflict_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report's order of conflicts: by lines added on both sides, most first."""
+    added = (F.col("left_add") + F.col("right_add")).cast("long")
+    return measured(spark, sf_dir).where("div_type = 'CONFLICT'").select("path", added.alias("added")).orderBy(F.desc("added"), "path")
+
+
+@query
+def patch_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines by class of the patches from ancestor to left copy of all changed files."""
+    rows = classified(spark, sf_dir).where("div_type <> 'CLEAN'")
+    patches = rows.select("path", diffing.shortened(diffing.unified_patch("path", "base", "left")).alias("patch")).where("patch <> ''")
+    return diffing.patch_lines(patches, ["path"]).groupBy("line_class").agg(F.count("*").alias("n"))
+
+
+@query
+def last_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest order of each customer, as commits of a path."""
+    from mergetide.sources.tables import table
+
+    o = table(spark, sf_dir, "orders")
+    commits = o.select(F.col("o_custkey").cast("string").alias("path"), F.struct("o_orderdate", "o_orderkey").alias("seq"), F.col("o_orderkey").cast("string").alias("hash"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"), F.col("o_orderpriority").alias("author"))
+    return diffing.last_commits(commits)
+
+
+# pairing
+
+
+def moved_sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    m = A.sql_for_spark(spark, sf_dir, A.MOVED, "documents")
+    side = lambda p, there: m.where(there).select(F.col(p).alias("path"), "ordinal", "class_name", "selector")
+    return side("left_path", "in_left"), side("right_path", "in_right")
+
+
+def matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.match_files(*moved_sides(spark, sf_dir))
+
+
+@query
+def match_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matches(spark, sf_dir)
+
+
+@query
+def match_with_overrides(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left, right = moved_sides(spark, sf_dir)
+    m = A.sql_for_spark(spark, sf_dir, A.MOVED, "documents")
+    x = m.where("ordinal % 97 in (1, 3)").select("left_path", (F.col("ordinal") + 1).alias("ordinal"))
+    overrides = x.join(m.select("ordinal", "right_path"), "ordinal").select("left_path", "right_path")
+    return matching.match_files(left, right, overrides)
+
+
+@query
+def left_only_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.left_only(matches(spark, sf_dir))
+
+
+@query
+def right_only_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.right_only(matches(spark, sf_dir))
+
+
+@query
+def match_method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.method_counts(matches(spark, sf_dir))
+
+
+@query
+def match_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.reconciliation(*moved_sides(spark, sf_dir), matches(spark, sf_dir))
+
+
+@query
+def suspicious_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.suspicious(matches(spark, sf_dir)).select("left_path", "right_path", "match_method")
+
+
+@query
+def extension_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshot(spark, sf_dir)
+    return analytics.extension_counts(s.where("left is not null").select("path"), s.where("right is not null").select("path"))
+
+
+@query
+def file_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return snapshot(spark, sf_dir).select("path", file_type(F.col("path")).alias("file_type")).groupBy("file_type").agg(F.count("*").alias("n"))
+
+
+@query
+def path_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return matching.ordinals(snapshot(spark, sf_dir).select("path")).select("path", "ordinal")
+
+
+# source text
+
+
+def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return A.sql_for_spark(spark, sf_dir, A.SOURCES, "part")
+
+
+def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracting.parse_files(sources(spark, sf_dir)).withColumn("node_id", F.col("path"))
+
+
+ALIASES = resolving.Aliases([("@app/*", ["left/*"])])
+
+
+def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolving.resolve(extracting.import_rows(parsed(spark, sf_dir)), sources(spark, sf_dir), ALIASES)
+
+
+@query
+def parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = parsed(spark, sf_dir)
+    lists = [F.array_join(c, ",").alias(c) for c in ("imports", "component_providers", "injections", "action_names", "action_ids", "action_refs", "selector_names", "selector_refs")]
+    return p.select("path", "file_type", "class_name", "selector", *lists)
+
+
+@query
+def template_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return parsed(spark, sf_dir).select("path", F.explode("template_refs").alias("r")).select("path", F.col("r.type").alias("ref_type"), F.col("r.name").alias("ref_name"))
+
+
+@query
+def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pipes that the text of pages seems to use, by name."""
+    from mergetide.sources.tables import table
+
+    return table(spark, sf_dir, "pages").select(F.explode(R.pipes(F.col("html"))).alias("ref_name")).groupBy("ref_name").agg(F.count("*").alias("n"))
+
+
+@query
+def state_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    paths = snapshot(spark, sf_dir).select(F.concat(F.element_at(F.array(*map(F.lit, ["Action", "reducer", "effects", "selector", "state", "x"])), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("/"), "path").alias("path"))
+    return paths.groupBy(state_kind(F.col("path")).alias("state_kind")).agg(F.count("*").alias("n"))
+
+
+@query
+def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resolved(spark, sf_dir).select("path", F.col("position").cast("long").alias("position"), "spec", "target")
+
+
+def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edges.build_edges(parsed(spark, sf_dir), resolved(spark, sf_dir).where("target is not null"))
+
+
+@query
+def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_edges(spark, sf_dir)
+
+
+@query
+def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return typed_edges(spark, sf_dir).groupBy("edge_type").agg(F.count("*").alias("n"))
+
+
+@query
+def unresolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of files that exist but are no nodes: here those of every eleventh part."""
+    p = parsed(spark, sf_dir)
+    nodes = p.where("ordinal % 11 <> 4")
+    return edges.resolved_imports(nodes, resolved(spark, sf_dir).where("target is not null"))[1]
+
+
+@query
+def unresolved_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.unresolved_summary(unresolved_imports(spark, sf_dir))
+
+
+# graphs
+
+
+def tree(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return A.sql_for_spark(spark, sf_dir, A.NODES, "part").withColumn("effort", analytics.effort()), A.sql_for_spark(spark, sf_dir, A.TREE_EDGES, "part")
+
+
+def cyclic(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    return A.sql_for_spark(spark, sf_dir, A.CYCLE_NODES, "part", "supplier").withColumn("effort", analytics.effort()), A.sql_for_spark(spark, sf_dir, A.CYCLE_EDGES, "part", "supplier")
+
+
+def tree_clean(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    nodes, e = tree(spark, sf_dir)
+    return nodes, e, cut(graph.clean_nodes(nodes, e), "clean")
+
+
+@query
+def node_degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.degrees(*cyclic(spark, sf_dir))
+
+
+@query
+def graph_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.roots(*cyclic(spark, sf_dir))
+
+
+@query
+def node_depths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.depths(*cyclic(spark, sf_dir)).select("id", F.col("depth").cast("long").alias("depth"))
+
+
+@query
+def clean_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e = cyclic(spark, sf_dir)
+    clean = graph.clean_nodes(nodes, e).withColumn("is_clean_subtree", F.lit(True))
+    return nodes.select("id").join(clean, "id", "left").na.fill(False, ["is_clean_subtree"])
+
+
+@query
+def clean_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e, clean = tree_clean(spark, sf_dir)
+    return graph.clean_roots(nodes, clean, e)
+
+
+@query
+def movable_roots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e, clean = tree_clean(spark, sf_dir)
+    return graph.movable_roots(nodes, clean, e)
+
+
+def movable_trees(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    nodes, e, clean = tree_clean(spark, sf_dir)
+    return graph.subtrees(graph.movable_roots(nodes, clean, e), clean, e), nodes
+
+
+@query
+def movable_tree_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.tree_sizes(*movable_trees(spark, sf_dir))
+
+
+@query
+def movable_tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.tree_summary(analytics.tree_sizes(*movable_trees(spark, sf_dir)))
+
+
+@query
+def top_movable_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trees, nodes = movable_trees(spark, sf_dir)
+    return analytics.top_trees(analytics.tree_sizes(trees, nodes), trees)
+
+
+@query
+def bottlenecks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.bottlenecks(*tree(spark, sf_dir)).select("id", "effort", "unlock_count", F.round("impact", 6).alias("impact"), analytics.impact_band(F.col("unlock_count")).alias("band"))
+
+
+@query
+def dirty_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.conflicts(tree(spark, sf_dir)[0]).select("id", "effort")
+
+
+@query
+def consolidation_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e, clean = tree_clean(spark, sf_dir)
+    flags = nodes.join(clean.withColumn("is_clean", F.lit(True)), "id", "left").na.fill(False, ["is_clean"]).join(graph.degrees(nodes, e), "id")
+    return analytics.priorities(flags)
+
+
+@query
+def expanded_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e = cyclic(spark, sf_dir)
+    return graph.expand(nodes.where("id like 'p:%9' or id like 's:%1'").select("id"), nodes, e)
+
+
+@query
+def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e = tree(spark, sf_dir)
+    return graph.levels(nodes.select("id"), e).select("id", F.col("level").cast("long").alias("level"))
+
+
+@query
+def connected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e = cyclic(spark, sf_dir)
+    return graph.connected(nodes.select("id"), e.where("src like '%5'"))
+
+
+@query
+def edges_of_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e = cyclic(spark, sf_dir)
+    return graph.edges_within(e, nodes.where("ok"))
+
+
+# validation, governance, reports
+
+
+@query
+def scan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshot(spark, sf_dir)
+    return analytics.validation(s.where("doc_id % 10 <> 1").select("path"), s.where("doc_id % 7 <> 2").select("path"))
+
+
+@query
+def missing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = snapshot(spark, sf_dir).where("doc_id % 7 = 2")
+    spots = F.when(F.col("doc_id") % 8 < 7, F.get(F.array(*map(F.lit, ["a.spec.", "a.test.", "__tests__/", "x/e2e/", "x/tests/", "y/", "z.d.ts."])), (F.col("doc_id") % 8).cast("int"))).otherwise(F.lit("w/"))
+    return s.select(analytics.file_pattern(F.concat(spots, F.col("path"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
+
+
+@query
+def next_report_number(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = snapshot(spark, sf_dir).select(F.concat(F.lit("report"), F.col("doc_id").cast("string"), F.when(F.col("doc_id") % 3 == 0, F.lit(".html")).otherwise(F.lit(".txt"))).alias("name"))
+    return analytics.next_report(names).select(F.col("next_number").cast("long").alias("next_number"))
+
+
+@query
+def shared_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = sources(spark, sf_dir).where("ordinal % 3 = 0")
+    files = files.select("ordinal", "path", F.replace("content", F.lit("'rxjs'"), F.when(F.col("ordinal") % 2 == 0, F.lit("'../../right/x'")).otherwise(F.lit("'/lib/left/y'"))).alias("content"))
+    found = resolving.resolve(extracting.import_rows(extracting.parse_files(files)), sources(spark, sf_dir), ALIASES).where("target is not null")
+    return extracting.shared_violations(files, found, "left", "right")
+
+
+@query
+def report_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = classified(spark, sf_dir)
+    return analytics.search(rows, "DE/doc1", ["CONFLICT", "LEFT_ONLY"]).select("path", "div_type")
+
+
+@query
+def report_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.page(classified(spark, sf_dir), 2).select("path", "div_type")
+
+
+@query
+def report_page_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return analytics.page_count(classified(spark, sf_dir))
+
+
+# moving files
+
+
+def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    """Moves every fortieth part and all that it depends on."""
+    p = parsed(spark, sf_dir)
+    nodes = p.select(F.col("path").alias("id"), F.col("path").alias("left_path"), F.lit(None).cast("string").alias("right_path"))
+    e = cut(typed_edges(spark, sf_dir), "edges")
+    seeds = p.where("ordinal % 40 = 39").select(F.col("path").alias("id"))
+    ids = cut(graph.expand(seeds, nodes, e), "selection")
+    moves = moving.file_moves(graph.ordered(graph.levels(ids, e)), nodes, "shared")
+    return nodes, e, ids, moves, moving.path_mapping(moves, nodes)
+
+
+@query
+def plan_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return plan(spark, sf_dir)[3].select("source", "target")
+
+
+@query
+def plan_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    *_, moves, mapping = plan(spark, sf_dir)
+    files = sources(spark, sf_dir)
+    return moving.deletions(mapping, moving.associated_files(moves, files))
+
+
+@query
+def plan_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, e, ids, *_ = plan(spark, sf_dir)
+    return moving.affected_importers(ids, nodes, e)
+
+
+@query
+def plan_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = plan(spark, sf_dir)[4]
+    found = moving.import_rewrites(sources(spark, sf_dir), mapping, ALIASES)
+    return found.select("path", F.col("line").cast("long").alias("line"), "old_import", "new_import")
+
+
+def with_barrels(files: DataFrame) -> DataFrame:
+    """The tree with a barrel in each folder of the modules, which exports the folder's first files."""
+    names = files.where("ordinal < 200").select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.regexp_extract("path", "/([^/]*)[.]ts$", 1).alias("name"))
+    lines = names.groupBy("dir").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("export * from './"), n, F.lit("';"))), "\n"), F.lit("\n")).alias("content"))
+    return files.select("path", "content").unionByName(lines.select(F.concat("dir", F.lit("/index.ts")).alias("path"), "content"))
+
+
+@query
+def plan_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return moving.barrel_updates(with_barrels(sources(spark, sf_dir)), plan(spark, sf_dir)[4])
+
+
+@query
+def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    *_, moves, mapping = plan(spark, sf_dir)
+    files = with_barrels(sources(spark, sf_dir))
+    along = moving.associated_files(moves, files)
+    return moving.plan_counters(moves, along, moving.import_rewrites(files, mapping, ALIASES), moving.barrel_updates(files, mapping), moving.deletions(mapping, along))
+
+
+@query
+def rewritten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mapping = plan(spark, sf_dir)[4]
+    files = with_barrels(sources(spark, sf_dir))
+    return moving.rewritten(files, mapping, moving.import_rewrites(files, mapping, ALIASES), moving.barrel_updates(files, mapping))
