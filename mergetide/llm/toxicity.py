@@ -224,23 +224,37 @@ def copies_of(texts: list[str]) -> list[int]:
 
 def landmarks_of(texts: list[str], toxic: np.ndarray) -> list[str]:
     """Word stems most tied to toxic texts; copies of a text count once, and no stem starts with another."""
-    seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
     groups: dict[tuple[int, bool], set[str]] = {}
     for text, y, g in zip(texts, toxic.tolist(), copies_of(texts), strict=True):
-        groups.setdefault((g, y), set()).update("".join(c for c in w if c.isalpha()) for w in text.lower().split())
-    for (_, y), words in groups.items():
-        seen[y].update({w[:n] for w in words for n in range(STEM[0], min(len(w), STEM[1]) + 1)})
+        groups.setdefault((g, y), set()).update(w for w in ("".join(c for c in w if c.isalpha()) for w in text.lower().split()) if len(w) >= STEM[0])
     n1, n0 = (max(1, sum(y == z for _, y in groups)) for z in (True, False))
     share = n1 / (n1 + n0)
 
     def sure(w: str) -> float:
         """Log odds against such a surplus of toxic texts among those with ``w`` by chance."""
-        k1, k0 = seen[1][w], seen[0][w]
+        k1, k0 = seen[1][w], seen[0].get(w, 0)
         q = k1 / (k1 + k0)
         return (k1 * np.log(q / share) + (k0 * np.log((1 - q) / (1 - share)) if k0 else 0.0)) if q > share else 0.0
 
+    least = max(3, SURE / np.log(1 / share))  # toxic texts that a stem needs; one that is longer has no more of them
+    seen: tuple[dict[str, int], dict[str, int]] = ({}, {})
+    longer: set[str] | None = None
+    for n in range(STEM[0], STEM[1] + 1):
+        now: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+        for want in (True, False):
+            for (_, y), words in groups.items():
+                if y == want:
+                    stems = {w[:n] for w in words if len(w) >= n and (longer is None or w[: n - 1] in longer)}
+                    now[y].update(stems if want else stems & now[1].keys())
+            if want:
+                for w in [w for w, k in now[1].items() if k < least]:
+                    del now[1][w]
+        longer = set(now[1])
+        seen[0].update(now[0])
+        seen[1].update(now[1])
+
     found: list[str] = []
-    for w in sorted((w for w, n in seen[1].items() if n > 2 and sure(w) >= SURE), key=lambda w: (-sure(w), -len(w), w)):
+    for w in sorted((w for w in seen[1] if sure(w) >= SURE), key=lambda w: (-sure(w), -len(w), w)):
         if not any(w.startswith(x) or x.startswith(w) for x in found):
             found.append(w)
     return found[:LANDMARKS]
@@ -259,14 +273,18 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     low, turn = np.linalg.eigh(gram)
     root = turn @ np.diag(np.where(low > 1e-3, 1 / np.sqrt(np.maximum(low, 1e-3)), 0)) @ turn.T
     model = Model(np.ascontiguousarray(vectors.T), vectors.max(0), np.zeros(len(words)), 0.0, 1.0, 0.0)
-    x = letters_of(pa.array(texts, pa.string()))
-    ids, values = model.responses(x)
-    mapped, owner = values @ root, x.text[ids]
+    found = []
+    for i in range(0, len(texts), 64):  # some texts at a time: the driver holds responding sentences only
+        x = letters_of(pa.array(texts[i : i + 64], pa.string()))
+        ids, values = model.responses(x)
+        found.append((values, x.text[ids] + i))
+    values, owner = (np.concatenate(c) for c in zip(*found, strict=True))
+    mapped = values @ root
     rank = values.sum(1)
     spoiled = [w[:i] + "x" + w[i:] for w in words for i in range(1, len(w)) if len(w) > 4]
     _, more = model.responses(letters_of(pa.array(spoiled, pa.string())))
     more = more @ root
-    extra = np.full(len(more), float(weight[toxic].sum()) / max(1, len(more)))
+    extra = np.full(len(more), 0.1 * float(weight[toxic].sum()) / max(1, len(more)))
     for _ in range(rounds):
         best = np.full(len(texts), -1)
         for i in np.argsort(rank, kind="stable"):
@@ -284,7 +302,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     return model
 
 
-def train(docs: DataFrame, labels: DataFrame, train_rows: int = 1000) -> Model | float:
+def train(docs: DataFrame, labels: DataFrame, train_rows: int = 600) -> Model | float:
     """Fit on ``labels(doc_id, toxic)`` and their texts."""
     known = labels.where("doc_id is not null and toxic in (0, 1)").select("doc_id", F.col("toxic").cast("int").alias("toxic")).distinct()
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -316,7 +334,7 @@ def score_texts(docs: DataFrame, model: Model | float, text_col: str = "text", s
 HELD_OUT = "crc32(cast(cast(doc_id as string) as binary)) % 4 = 2"
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 1000) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 600) -> DataFrame:
     """The rows of ``docs`` (with a column ``text``) that score below ``threshold``."""
     model = train(docs, labels.where(f"not ({HELD_OUT})"), train_rows)
 
@@ -328,7 +346,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, tr
     return docs.mapInArrow(run, docs.schema)
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 1000) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, train_rows: int = 600) -> DataFrame:
     """``doc_id, held_out, score, predicted`` of each row; labels of held-out rows (crc32 of the id modulo 4 is 2) are not used."""
     held_out = F.coalesce(F.expr(HELD_OUT), F.lit(False))
     model = train(docs, labels.where(~held_out), train_rows)
