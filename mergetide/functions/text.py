@@ -57,6 +57,12 @@ def folder(path: Column) -> Column:
     return F.regexp_extract(path, "^(.*)/[^/]*$", 1)
 
 
+def beside(path: Column, name: Column) -> Column:
+    """``name`` as seen from the folder of file ``path``."""
+    at = folder(path)
+    return tidy_path(F.concat(F.when(at != "", F.concat(at, F.lit("/"))).otherwise(F.lit("")), name))
+
+
 def import_between(source: Column, target: Column) -> Column:
     """The relative import of file ``target`` in file ``source``: no .ts or .tsx, a leading dot, forward slashes."""
     a = F.filter(F.split(folder(slashes(source)), "/"), lambda x: x != "")

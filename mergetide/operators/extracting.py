@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.functions import references as R
-from mergetide.functions.text import file_type, state_kind
+from mergetide.functions.text import beside, file_type, state_kind
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -30,10 +30,8 @@ def parse_files(files: DataFrame) -> DataFrame:
 
 def with_templates(parsed: DataFrame, files: DataFrame) -> DataFrame:
     """Template references of the file that ``template_url`` names, where there is one, in place of inline ones."""
-    from mergetide.functions.text import folder, tidy_path
-
     html = files.select(F.col("path").alias("_at"), R.template_refs(F.col("content")).alias("_refs"))
-    at = F.when(F.col("template_url").isNotNull(), tidy_path(F.concat(folder(F.col("path")), F.lit("/"), F.col("template_url"))))
+    at = F.when(F.col("template_url").isNotNull(), beside(F.col("path"), F.col("template_url")))
     joined = parsed.withColumn("_at", at).join(html, "_at", "left")
     return joined.withColumn("template_refs", F.coalesce("_refs", "template_refs")).drop("_at", "_refs")
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergetide.functions import references as R
-from mergetide.functions.text import folder, import_between, tidy_path
+from mergetide.functions.text import beside, import_between
 from mergetide.operators.resolving import Aliases, resolve
 
 STYLE_ENDS = [".html", ".scss", ".css", ".less"]
@@ -41,7 +41,7 @@ def associated_files(moves: DataFrame, files: DataFrame) -> DataFrame:
     """``id, source, target`` of templates and styles that go along: named ones, then those of the same base name."""
     code = moves.join(files.select(F.col("path").alias("source"), "content"), "source")
     urls = F.filter(F.concat(F.array(R.template_url(F.col("content"))), R.style_urls(F.col("content"))), lambda x: x.isNotNull())
-    named = code.select("id", "source", "target", F.explode(urls).alias("url")).select("id", tidy_path(F.concat(folder(F.col("source")), F.lit("/"), F.col("url"))).alias("source"), tidy_path(F.concat(folder(F.col("target")), F.lit("/"), F.col("url"))).alias("target"))
+    named = code.select("id", "source", "target", F.explode(urls).alias("url")).select("id", beside(F.col("source"), F.col("url")).alias("source"), beside(F.col("target"), F.col("url")).alias("target"))
     stem = lambda c: F.regexp_replace(c, r"\.tsx?$", "")
     alike = moves.select("id", F.explode(F.array(*[F.struct(F.concat(stem("source"), F.lit(e)).alias("source"), F.concat(stem("target"), F.lit(e)).alias("target")) for e in STYLE_ENDS])).alias("x")).select("id", "x.source", "x.target")
     return named.unionByName(alike).join(files.select(F.col("path").alias("source")), "source", "left_semi").distinct()

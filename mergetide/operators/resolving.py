@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergetide.functions.text import folder, tidy_path
+from mergetide.functions.text import beside, tidy_path
 
 #: Endings tried after a path, in order; "" is the path as it is.
 PARSER_ENDS = [".ts", ".tsx", "/index.ts"]
@@ -67,7 +67,7 @@ def alias_probes(spec: Column, aliases: Aliases, planner: bool) -> Column:
 def candidates(importer: Column, spec: Column, aliases: Aliases, planner: bool = False) -> Column:
     """Relative and absolute specifiers by path, others by alias, then from the base folder."""
     relative = F.startswith(spec, F.lit("."))
-    path = tidy_path(F.when(relative, F.concat(folder(importer), F.lit("/"), spec)).otherwise(spec))
+    path = F.when(relative, beside(importer, spec)).otherwise(tidy_path(spec))
     bare = alias_probes(spec, aliases, planner)
     if aliases.base_url is not None:
         bare = F.concat(bare, probes(tidy_path(F.concat(F.lit(aliases.base_url.rstrip("/") + "/"), spec)), planner))
