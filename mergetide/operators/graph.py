@@ -50,8 +50,8 @@ def spread(seeds: DataFrame, edges: DataFrame, keys: list[str], within: DataFram
         seen = seen.unionByName(frontier)
         if len(parts) % 8 == 0:  # few files and a short plan
             seen = cut(seen, "seen")
-            free(seen.sparkSession, *parts)
-            parts = [seen]
+            free(seen.sparkSession, *parts[:-1])
+            parts = [seen, frontier]  # the frontier is still to be read
     return seen
 
 
@@ -84,8 +84,8 @@ def clean_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         parts.append(new)
         if len(parts) % 8 == 0:
             done = cut(done, "clean")
-            free(nodes.sparkSession, *parts)
-            parts = [done]
+            free(nodes.sparkSession, *parts[:-1])
+            parts = [done, new]  # the last round's nodes are still to be read
     return done
 
 

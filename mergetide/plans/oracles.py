@@ -125,7 +125,7 @@ ORACLES: dict[str, str] = {
     "resolved_imports": f"WITH {PART} SELECT path, CAST(0 AS BIGINT) AS position, '../' || replace(substr(p2, 6), '.ts', '') AS spec, p2 AS target FROM p UNION ALL SELECT path, 1, '@app/' || replace(substr(p3, 6), '.ts', ''), p3 FROM p UNION ALL SELECT path, 2, 'rxjs', NULL FROM p",
     "dependency_edges": f"{EDGES} SELECT * FROM e",
     "edge_type_counts": f"{EDGES} SELECT edge_type, count(*) AS n FROM e GROUP BY 1",
-    "unresolved_imports": f"WITH {PART} SELECT path AS src, (CASE WHEN k2 % 11 = 4 THEN 1 ELSE 0 END) + (CASE WHEN k3 % 11 = 4 THEN 1 ELSE 0 END) AS n_unresolved FROM p WHERE k % 11 <> 4 AND (k2 % 11 = 4 OR k3 % 11 = 4)",
+    "unresolved_imports": f"WITH {PART} SELECT path AS src, CAST((CASE WHEN k2 % 11 = 4 THEN 1 ELSE 0 END) + (CASE WHEN k3 % 11 = 4 THEN 1 ELSE 0 END) AS BIGINT) AS n_unresolved FROM p WHERE k % 11 <> 4 AND (k2 % 11 = 4 OR k3 % 11 = 4)",
     "unresolved_summary": f"WITH {PART} SELECT count(*) AS n_nodes, CAST(sum((CASE WHEN k2 % 11 = 4 THEN 1 ELSE 0 END) + (CASE WHEN k3 % 11 = 4 THEN 1 ELSE 0 END)) AS BIGINT) AS n_imports FROM p WHERE k % 11 <> 4 AND (k2 % 11 = 4 OR k3 % 11 = 4)",
     "node_degrees": f"WITH e AS ({CYC}), n AS ({CYC_NODES}) SELECT n.id, (SELECT count(DISTINCT dst) FROM e WHERE src = n.id) AS n_dependencies, (SELECT count(DISTINCT src) FROM e WHERE dst = n.id) AS n_dependents FROM n",
     "graph_roots": f"WITH e AS ({CYC}), n AS ({CYC_NODES}) SELECT id FROM n WHERE id NOT IN (SELECT dst FROM e)",

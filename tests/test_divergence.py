@@ -116,6 +116,15 @@ def test_graph_against_search(spark):
     assert all(levels[a] > levels[b] for a, b in edges if a in acyclic)
 
 
+def test_long_chains(spark):
+    """More rounds than tables are kept for."""
+    n = 21
+    nodes = spark.createDataFrame([(i, True) for i in range(n)], "id int, ok boolean")
+    e = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "src int, dst int")
+    assert {r["id"]: r["depth"] for r in graph.depths(nodes, e).collect()} == {i: i for i in range(n)}
+    assert graph.clean_nodes(nodes, e).count() == n
+
+
 def test_paths(spark):
     d = spark.createDataFrame([("a/./b/../c.ts", "x/y/a.ts", "x/z/b.ts"), ("../q/r", "a.ts", "b.tsx")], "p string, s string, t string")
     got = d.select(tidy_path(F.col("p")).alias("p"), import_between(F.col("s"), F.col("t")).alias("i"), normalised(F.lit("  a\r\nb \n")).alias("n")).collect()
