@@ -6,13 +6,13 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Fixed value: white space that a trim strips at both ends, line ends included.
-BLANK = "[\\s\\u00A0\\u1680\\u2000-\\u200A\\u2028\\u2029\\u202F\\u205F\\u3000\\uFEFF]"
+BLANK = "\t\n\x0b\x0c\r \u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000\ufeff"
 
 
 def normalised(content: Column) -> Column:
     """Line ends as ``\\n``, white space trimmed at both ends, null as empty: what contents are compared by."""
     text = F.replace(F.coalesce(content, F.lit("")), F.lit("\r\n"), F.lit("\n"))
-    return F.regexp_replace(text, f"^{BLANK}+|{BLANK}+$", "")
+    return F.btrim(text, F.lit(BLANK))
 
 
 def content_hash(content: Column) -> Column:

@@ -49,6 +49,8 @@ def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
         end += 1
     x, y = a[low : len(a) - end], b[low : len(b) - end]
     n, m = len(x), len(y)
+    if not n or not m:
+        return [("-", low + i, low) for i in range(n)] + [("+", low, low + j) for j in range(m)]
     best, steps = {1: 0}, []
     for d in range(n + m + 1):
         steps.append(dict(best))
