@@ -413,13 +413,14 @@ def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     e = cut(typed_edges(spark, sf_dir), "edges")
     seeds = p.where("ordinal % 40 = 39").select(F.col("path").alias("id"))
     ids = cut(graph.expand(seeds, nodes, e), "selection")
-    moves = moving.file_moves(graph.ordered(graph.levels(ids, e)), nodes, "shared")
+    moves = moving.file_moves(ids.withColumn("position", F.lit(None).cast("long")), nodes, "shared")  # order only matters where it is shown
     return nodes, e, ids, moves, moving.path_mapping(moves, nodes)
 
 
 @query
 def plan_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plan(spark, sf_dir)[3].select("source", "target")
+    nodes, e, ids, *_ = plan(spark, sf_dir)
+    return moving.file_moves(graph.ordered(graph.levels(ids, e)), nodes, "shared").select("position", "source", "target")
 
 
 @query

@@ -159,7 +159,8 @@ ORACLES: dict[str, str] = {
     "report_search": f"WITH {CLASSED} SELECT path, div_type FROM n WHERE div_type IN ('CONFLICT', 'LEFT_ONLY') AND contains(lower(path), 'de/doc1')",
     "report_page": f"WITH {CLASSED} SELECT path, div_type FROM n ORDER BY path LIMIT 100 OFFSET 100",
     "report_page_count": f"WITH {CLASSED} SELECT CAST(ceil(count(*) / 100) AS BIGINT) AS n_pages FROM n",
-    "plan_moves": f"{PLAN} SELECT id AS source, target FROM mv",
+    "plan_moves": f"""{PLAN}, lv(id, d) AS (SELECT id, 0 FROM q UNION SELECT g.src, lv.d + 1 FROM lv JOIN g ON g.dst = lv.id JOIN q ON q.id = g.src), lm AS (SELECT id, max(d) AS level FROM lv GROUP BY id)
+        SELECT row_number() OVER (ORDER BY level, lm.id) - 1 AS position, lm.id AS source, target FROM lm JOIN mv ON mv.id = lm.id""",
     "plan_deletions": f"{PLAN} SELECT id AS path FROM mv",
     "plan_importers": f"{PLAN} SELECT id AS path FROM mv UNION SELECT src FROM g WHERE dst IN (SELECT id FROM mv)",
     "plan_rewrites": f"{REWRITES} SELECT * FROM w WHERE new_import <> old_import",
