@@ -173,7 +173,7 @@ def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: s
     """``docs`` with its text column rewritten; ``count_col`` (if not None): values replaced in each row."""
     kept = [c for c in docs.columns if c not in (text_col, count_col)]
     text = F.col(text_col)
-    some = text.rlike("[0-9]{3}|@|[0-9][.][0-9]|(?i:password|passwd|pwd|token|secret|key)")
+    some = text.rlike("[0-9]{3}|@|[0-9][.][0-9]|AKIA|(?i:password|passwd|pwd|token|secret|key)")  # every kind of value holds one of these
     d = docs.withColumn(text_col, text)
     found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
     d = d.select(*kept, text_col, found.alias("_found"))
