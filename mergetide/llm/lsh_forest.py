@@ -5,12 +5,16 @@ own.  Neighbours with a common prefix of at least ``DEPTH`` lanes are candidates
 ``LEAF`` signatures is cut by further lanes, so that depth grows where the signatures are dense.  A region that
 cannot be cut (its signatures agree on ten lanes) is read in blocks, and each block is compared with the one before
 and with the region's first.  Candidates whose signatures agree too little are passed over (chance for a pair at
-the threshold: 2e-5), and in the second round those whose sets, counted in ``BINS`` bins by hash, cannot have enough in
+the threshold: 2e-5), and after the first round those whose sets, counted in ``BINS`` bins by hash, cannot have enough in
 common; the others are confirmed on their sets.
 
-Two rounds: first every signature with its best candidates, then - with the components known - all candidate pairs
+Three rounds: first every signature with its best candidates, then - with the components known - all candidate pairs
 between different components that were not yet confirmed or refused.  Links inside a component change nothing.
-A pair at similarity 0.8 misses all ``TREES`` trees of depth 3 with chance 1e-5.
+The third makes up for what cuts and blocks left out: in each region over ``LEAF`` signatures at depth 3, all that are
+not of its largest component are compared with all of it, in salted pairs of blocks dealt over the tasks.  So every two
+signatures of different components that share a region at depth 3 are compared, however large it is; a pair at
+similarity 0.8 misses all ``TREES`` trees of depth 3 with chance 1e-5.  The work of the third round is the size of a
+region times the signatures outside its largest component.
 
 Edges: null, empty and wordless texts have an empty set and link with nothing; texts under ``k`` words are one
 shingle; rows that share an id are one document; rows without an id link with nothing; other columns are ignored.
@@ -29,7 +33,7 @@ from mergetide.llm.components import components
 from mergetide.llm.tokens import Words, mix, rolling, slices, spans_of, words_of
 from mergetide.sources.shared import cut, free
 
-LANES, TREES, DEPTH, LEAF, BINS = 128, 16, 3, 512, 256
+LANES, TREES, DEPTH, LEAF, BLOCK, BINS = 128, 16, 3, 512, 1024, 256
 ODD = mix(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
 PLUS = mix(np.arange(1001, 1001 + LANES, dtype=np.uint64))
 
@@ -79,6 +83,15 @@ def blobs(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
+def tree_keys(lanes: np.ndarray) -> np.ndarray:
+    """For each tree (rows) the prefix of each signature (columns)."""
+    keys = np.repeat(np.arange(TREES, dtype=np.uint64)[:, None], len(lanes), 1)
+    for t in range(TREES):
+        for j in range(DEPTH):
+            keys[t] = mix(keys[t] * ODD[j] + lanes[:, t * DEPTH + j])
+    return keys
+
+
 def tree_rows(reps: DataFrame) -> DataFrame:
     """``tree_key, rest, doc_id, n, comp, sketch, bins`` for each signature and tree: prefix of the order, its next lanes, a byte of each lane."""
 
@@ -88,10 +101,7 @@ def tree_rows(reps: DataFrame) -> DataFrame:
                 lanes = np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES)
                 low = np.ascontiguousarray((lanes & 255).astype(np.uint8))
                 blob = blobs(low)
-                for t in range(TREES):
-                    key = np.full(len(low), t, np.uint64)
-                    for j in range(DEPTH):
-                        key = mix(key * ODD[j] + lanes[:, t * DEPTH + j])
+                for t, key in enumerate(tree_keys(lanes)):
                     turn = [(TREES * DEPTH + 5 * t + i) % LANES for i in range(7)]
                     rest = np.zeros(len(low), np.int64)
                     for j in turn:
@@ -113,37 +123,54 @@ def leaves(rest: np.ndarray, low: int, high: int, depth: int = 0) -> Iterator[tu
             yield from leaves(rest, a, b, depth + 1)
 
 
+def bounds(threshold: int) -> tuple[int, int]:
+    """Lanes that candidates at the threshold agree on at least, and those of a clear candidate."""
+    share = threshold / 100
+    deviation = (share * (1 - share) / LANES) ** 0.5
+    return int(LANES * (share - 4.1 * deviation)), int(LANES * (share - 1.5 * deviation))
+
+
+def pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, threshold: int, low: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Candidates between two blocks (``same``: within one) with the lanes they agree on; every: those of different ``comp``."""
+    for i in range(len(x["doc"])):
+        o = slice(i + 1 if same else 0, None)
+        ok = (np.minimum(x["n"][i], y["n"][o]) * 100 >= threshold * np.maximum(x["n"][i], y["n"][o])) & (x["doc"][i] != y["doc"][o])
+        if every:
+            ok &= x["comp"][i] != y["comp"][o]
+        j = np.flatnonzero(ok)
+        if len(j):
+            j += i + 1 if same else 0
+            agree = (y["sketch"][j] == x["sketch"][i]).sum(1)
+            hit = agree >= low
+            if every and hit.any():
+                k = np.flatnonzero(hit)
+                common = np.minimum(y["bins"][j[k]], x["bins"][i]).sum(1, dtype=np.int64)
+                enough = common * (100 + threshold) >= threshold * (x["n"][i] + y["n"][j[k]])
+                hit[k] = enough | y["full"][j[k]] | x["full"][i]
+            if hit.any():
+                yield np.stack([np.full(hit.sum(), x["doc"][i]), y["doc"][j[hit]], agree[hit]])
+
+
+def read(b: pa.RecordBatch, every: bool) -> dict[str, np.ndarray]:
+    """Columns of a batch of tree rows."""
+    more = {}
+    if every:
+        more["bins"] = np.frombuffer(b["bins"].buffers()[2], np.uint8)[b["bins"].offset * BINS :][: b.num_rows * BINS].reshape(-1, BINS)
+        more["full"] = (more["bins"] == 255).any(1)  # a count that may be higher says nothing
+    sketch = np.frombuffer(b["sketch"].buffers()[2], np.uint8)[b["sketch"].offset * LANES :][: b.num_rows * LANES].reshape(-1, LANES)
+    return {"key": b["tree_key"].to_numpy(), "rest": b["rest"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
+
+
 def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
     """``a, b`` (a < b): candidate pairs.
 
     every: all between different ``comp``; else for each signature its smallest id among clear candidates, or the one
     that agrees best.
     """
-    share = threshold / 100
-    deviation = (share * (1 - share) / LANES) ** 0.5
-    low, clear = int(LANES * (share - 4.1 * deviation)), int(LANES * (share - 1.5 * deviation))
-
-    def pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        for i in range(len(x["doc"])):
-            o = slice(i + 1 if same else 0, None)
-            ok = (np.minimum(x["n"][i], y["n"][o]) * 100 >= threshold * np.maximum(x["n"][i], y["n"][o])) & (x["doc"][i] != y["doc"][o])
-            if every:
-                ok &= x["comp"][i] != y["comp"][o]
-            j = np.flatnonzero(ok)
-            if len(j):
-                j += i + 1 if same else 0
-                agree = (y["sketch"][j] == x["sketch"][i]).sum(1)
-                hit = agree >= low
-                if every and hit.any():
-                    k = np.flatnonzero(hit)
-                    common = np.minimum(y["bins"][j[k]], x["bins"][i]).sum(1, dtype=np.int64)
-                    enough = common * (100 + threshold) >= threshold * (x["n"][i] + y["n"][j[k]])
-                    hit[k] = enough | y["full"][j[k]] | x["full"][i]
-                if hit.any():
-                    yield np.stack([np.full(hit.sum(), x["doc"][i]), y["doc"][j[hit]], agree[hit]])
+    low, clear = bounds(threshold)
 
     def compare(x: dict[str, np.ndarray], y: dict[str, np.ndarray] | None = None) -> np.ndarray:
-        found = list(pairs(x, x if y is None else y, y is None))
+        found = list(pairs(x, x if y is None else y, y is None, threshold, low, every))
         if not found:
             return np.zeros((2, 0), np.int64)
         p = np.concatenate(found, axis=1)
@@ -158,14 +185,6 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
         p = p[:, first]
         return np.unique(np.stack([np.minimum(p[0], p[1]), np.maximum(p[0], p[1])]), axis=1)
 
-    def read(b: pa.RecordBatch) -> dict[str, np.ndarray]:
-        more = {}
-        if every:
-            more["bins"] = np.frombuffer(b["bins"].buffers()[2], np.uint8)[b["bins"].offset * BINS :][: b.num_rows * BINS].reshape(-1, BINS)
-            more["full"] = (more["bins"] == 255).any(1)  # a count that may be higher says nothing
-        sketch = np.frombuffer(b["sketch"].buffers()[2], np.uint8)[b["sketch"].offset * LANES :][: b.num_rows * LANES].reshape(-1, LANES)
-        return {"key": b["tree_key"].to_numpy(), "rest": b["rest"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, np.ndarray] | None = None
         anchor: dict[str, np.ndarray] | None = None  # first block of a region that cannot be cut
@@ -189,7 +208,7 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
                         out.append(compare(blocks[0], block))
 
         for b in batches:
-            x = read(b)
+            x = read(b, every)
             if held is not None:
                 x = {k: np.concatenate([held[k], v]) for k, v in x.items()}
             new = np.flatnonzero(x["key"][1:] != x["key"][:-1]) + 1
@@ -214,6 +233,59 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
     return tree_rows(reps).repartition("tree_key").sortWithinPartitions("tree_key", "rest", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
+def dense_regions(reps: DataFrame) -> DataFrame:
+    """``tree_key, major, size, others``: regions over LEAF signatures, their largest component, and the signatures outside it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 4096) for i in range(0, big.num_rows, 4096)):
+                keys = tree_keys(np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES))
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(b["comp"].to_numpy(), TREES))], ["tree_key", "comp"])
+
+    shares = reps.select("lanes", "comp").mapInArrow(run, "tree_key long, comp long").groupBy("tree_key", "comp").agg(F.count("*").alias("n"))
+    regions = shares.groupBy("tree_key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
+    return regions.where((F.col("size") > LEAF) & (F.col("others") > 0))
+
+
+def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int) -> DataFrame:
+    """``a, b`` (a < b): all candidate pairs between different ``comp`` in ``regions``, by salted pairs of blocks."""
+    low, _ = bounds(threshold)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, np.ndarray] | None = None  # the block of others being read
+        open_ = None
+        for big in batches:
+            for b in (big.slice(i, BLOCK) for i in range(0, big.num_rows, BLOCK)):
+                x = read(b, True) | {c: b[c].to_numpy() for c in ("i", "j", "whole")}
+                new = (x["key"][1:] != x["key"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
+                edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
+                out = []
+                for p, q in zip(edges[:-1], edges[1:], strict=True):
+                    part = {k: v[p:q] for k, v in x.items()}
+                    if open_ != (part["key"][0], part["i"][0], part["j"][0]):
+                        held, open_ = None, (part["key"][0], part["i"][0], part["j"][0])
+                    m = int(np.searchsorted(part["whole"], 1))
+                    if m:
+                        own = {k: v[:m] for k, v in part.items()}
+                        held = own if held is None else {k: np.concatenate([held[k], v]) for k, v in own.items()}
+                    if held is not None and m < q - p:
+                        out.extend(pairs(held, {k: v[m:] for k, v in part.items()}, False, threshold, low, True))
+                if out:
+                    f = np.concatenate(out, axis=1)
+                    f = np.unique(np.stack([np.minimum(f[0], f[1]), np.maximum(f[0], f[1])]), axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(f[0]), pa.array(f[1])], ["a", "b"])
+
+    rows = tree_rows(reps).join(regions, "tree_key")
+    across, down = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    salt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    columns = ["tree_key", "rest", "doc_id", "n", "comp", "sketch", "bins"]
+    others = rows.where("comp <> major").select(*columns, salt(down).alias("i"), every(across).alias("j"), F.lit(0).alias("whole"))
+    whole = rows.select(*columns, every(down).alias("i"), salt(across).alias("j"), F.lit(1).alias("whole"))
+    both = others.unionByName(whole).repartition("tree_key", "i", "j").sortWithinPartitions("tree_key", "i", "j", "whole")
+    return both.mapInArrow(run, "a long, b long").distinct()
+
+
 def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataFrame:
     """``a, b, linked`` of pairs, by their full sets."""
     left = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
@@ -250,10 +322,26 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     free(spark)
     tried = cut(confirm(first, texts, k, threshold), "tried")
     links = tried.where("linked").groupBy("a", "b").agg(F.count("*"))
-    comps = components(links.select("a", "b"))
-    moved = reps.join(ids, "doc_id", "left_semi").drop("comp").join(comps.withColumnRenamed("id", "doc_id"), "doc_id", "left").withColumn("comp", F.coalesce("component", "doc_id"))
-    second = candidates(moved.select("doc_id", "n", "lanes", "bins", "comp"), threshold, every=True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    more = cut(confirm(second, texts, k, threshold).where("linked"), "more")
+
+    def within(links: DataFrame) -> DataFrame:
+        comps = components(links.select("a", "b")).withColumnRenamed("id", "doc_id")
+        return reps.drop("comp").join(comps, "doc_id", "left").select("doc_id", "n", "lanes", "bins", F.coalesce("component", "doc_id").alias("comp"))
+
+    moved = within(links).join(ids, "doc_id", "left_semi")
+    second = candidates(moved, threshold, every=True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    checked = cut(confirm(second, texts, k, threshold), "tried")
+    more = checked.where("linked")
+    free(spark, texts)
+    moved = cut(within(links.select("a", "b").unionByName(more.select("a", "b"))), "moved")
+    regions = cut(dense_regions(moved), "regions")
+    if regions.head(1):
+        third = dense_candidates(moved, regions, threshold)
+        for old in (tried, checked):
+            third = third.join(old.select("a", "b"), ["a", "b"], "left_anti")
+        third = cut(third, "pairs")
+        ids = third.select(F.col("a").alias("doc_id")).unionByName(third.select("b").withColumnRenamed("b", "doc_id")).distinct()
+        texts = rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi")
+        more = more.unionByName(cut(confirm(third, texts, k, threshold).where("linked"), "more"))
     same = found.where("n > 0 and doc_id is not null").join(classes.select("n", "set_id", "rep"), ["n", "set_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(same))
     out = found.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")

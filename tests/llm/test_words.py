@@ -170,6 +170,24 @@ def test_large_regions_are_cut_and_read_in_blocks(spark, monkeypatch):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_partners_in_far_blocks(spark, monkeypatch):
+    """A family under the threshold that agrees on most lanes, and pairs over it whose ids lie many blocks apart."""
+    from mergetide.llm import lsh_forest
+
+    for name, value in (("LEAF", 4), ("BLOCK", 16)):
+        monkeypatch.setattr(lsh_forest, name, value, raising=False)
+    base = [f"t{i}" for i in range(1000)]
+    texts = []
+    for i in range(90):
+        at = 100 + 9 * i
+        texts.append(" ".join([*base[:at], f"own{i}", *base[at + 1 :]]))
+    texts += [f"more {t}" for t in texts[:45]]
+    _, tops = links_of(texts, 4, 99)
+    assert tops == [*range(90), *range(45)]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 4, 99).collect()}
+    assert [got[i] for i in range(len(texts))] == tops
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     text = "a b c d e f g"
     got = near_duplicates(table(spark, [text, text, text], ids=[None, 7, 7]), 4).collect()
