@@ -4,6 +4,10 @@ A map task gives each window of ``width`` words a key (a recompression symbol or
 one row for each stretch of consecutive windows of a document with one key: document, first word, and 48 bits of each
 window's fingerprint.  Equal windows have equal keys, so a task that reads the rows of a key in order of document and
 position finds each window's first occurrence; it keeps only distinct windows of the one key it is reading.
+
+A passage shorter than ``width`` that many documents hold gives all its windows one key, and most of these windows differ.
+So windows are counted first in ``BUCKETS`` buckets of keys, and in buckets with more than ``HOT`` (and more than 8 times
+the mean) each window gets a key of its own fingerprint: equal windows still meet, others fall on all tasks.
 """
 
 from __future__ import annotations
@@ -17,7 +21,7 @@ from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import Words, mix, rolling, slices, spans_of, words_of
 
-BYTES = 6
+BYTES, BUCKETS, HOT = 6, 1 << 16, 1 << 16
 LEAST = np.int64(-(2**63))
 #: (Words, starts of windows) -> a key for each window
 Keys = Callable[[Words, np.ndarray, np.ndarray], np.ndarray]
@@ -29,8 +33,32 @@ def identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(int(LEAST))).alias("doc_id"), F.hash(text).alias("tag"), text.alias("text"))
 
 
+def bucket_of(key: np.ndarray) -> np.ndarray:
+    return (mix(key) % np.uint64(BUCKETS)).astype(np.int64)
+
+
+def hot_buckets(docs: DataFrame, width: int, keys: Keys) -> np.ndarray:
+    """Numbers of the buckets of keys that hold too many windows for one task: 1 in 8 of all at most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for b in slices(batches, "text"):
+            w = words_of(b["text"])
+            starts, _ = spans_of(w.row, width)
+            if len(starts):
+                total += np.bincount(bucket_of(keys(w, starts, rolling(w.hashes, width)[starts])), minlength=BUCKETS)
+        some = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
+
+    found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = np.array([(r["bucket"], r["n"]) for r in found.toLocalIterator()], np.int64).reshape(-1, 2)
+    return counts[counts[:, 1] > max(HOT, 8 * counts[:, 1].sum() // BUCKETS), 0]
+
+
 def window_rows(docs: DataFrame, width: int, keys: Keys) -> DataFrame:
     """``key, doc_id, tag, start, prints``: stretches of windows of one document that share a key."""
+    hot = np.zeros(BUCKETS, bool)
+    hot[hot_buckets(docs, width, keys)] = True
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
@@ -40,6 +68,7 @@ def window_rows(docs: DataFrame, width: int, keys: Keys) -> DataFrame:
                 continue
             prints = rolling(w.hashes, width)[starts]
             key = keys(w, starts, prints)
+            key = np.where(hot[bucket_of(key)], mix(key + prints), key)
             new = np.ones(len(starts), bool)
             new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])
             at = np.flatnonzero(new)
@@ -60,7 +89,7 @@ def repeats(rows: DataFrame, width: int, firsts: bool) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # sorted: distinct windows so far of the key being read
-        place: list[np.ndarray] = [np.zeros(0, np.int64)] * 3  # where each of them was first: doc_id, tag, start
+        place: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 if firsts else []  # where each of them was first: doc_id, tag, start
         open_key = before = None
         for b in batches:
             key = b["key"].to_numpy()
@@ -108,7 +137,7 @@ def repeats(rows: DataFrame, width: int, firsts: bool) -> DataFrame:
             mine[lead[~known]] = True
             mine &= last
             fresh = np.argsort(one[mine], kind="stable")
-            kept = (one[mine][fresh], doc[r[mine]][fresh], tag[r[mine]][fresh], at[mine][fresh])
+            kept = (one[mine][fresh], *((doc[r[mine]][fresh], tag[r[mine]][fresh], at[mine][fresh]) if firsts else ()))
             if open_key == key[-1] and len(seen):
                 both = np.concatenate([seen, kept[0]])
                 o = np.argsort(both, kind="stable")

@@ -114,6 +114,32 @@ def test_suffix_arrays(spark):
     assert repeated_passages(table(spark, []), 50).count() == 0
 
 
+@pytest.mark.parametrize(("name", "width"), [("recompress", 20), ("suffixes", 50)])
+def test_hot_keys_are_split(spark, monkeypatch, name, width):
+    """A passage shorter than the window, in all documents with other words around it: no key holds many windows."""
+    import importlib
+
+    from mergetide.llm import windows
+
+    module = importlib.import_module(f"mergetide.llm.{name}")
+    monkeypatch.setattr(windows, "HOT", 100, raising=False)
+    seen = []
+    monkeypatch.setattr(module, "repeats", lambda rows, *a, **k: seen.append(rows) or windows.repeats(rows, *a, **k))
+    passage = [f"p{i}" for i in range(width * 4 // 5)]
+    texts = [" ".join([*(f"a{i}x{j}" for j in range(60)), *passage, *(f"b{i}x{j}" for j in range(60))]) for i in range(100)]
+    texts += texts[:10]
+    every, late = covered(texts, width)
+    d = table(spark, texts)
+    if name == "recompress":
+        got = {r["doc_id"]: r["n_removed"] for r in dedup_substrings(d, width).collect()}
+        assert got == {i: len(late[i]) for i in range(len(texts))}
+    else:
+        got = {r["doc_id"]: (r["n_repeated"], r["n_removable"]) for r in repeated_passages(d, width).collect()}
+        assert got == {i: (len(every[i]), len(late[i])) for i in every if every[i]}
+    most = seen[0].selectExpr("key", f"length(prints) div {windows.BYTES} as n").groupBy("key").sum("n").agg({"sum(n)": "max"}).first()[0]
+    assert most <= 100
+
+
 def links_of(texts, k, threshold=80):
     sets = []
     for t in texts:
