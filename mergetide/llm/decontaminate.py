@@ -7,6 +7,9 @@ item-sized windows of documents that agree with an item in the sampled places ar
 half a word a step, so places are sampled below twice the item's length.  Candidates are confirmed by the exact
 edit distance between the item and the best stretch of the document there.
 
+Walks drift apart with length, so items of twice ``PIECE`` words or more are walked from the start of each of their pieces
+of ``PIECE`` to 2 ``PIECE`` words; of an item at the limit, some piece holds no more edits than its share.
+
 A window within k edits of an item keeps ``MARKS`` at least of any k + ``MARKS`` of its words.  So only windows that reach
 over that many of the item's k + ``MARKS`` rarest words, counted over all documents, are walked; this loses nothing.
 
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import PUNCTUATION, Words, mix, slices, words_of
 
-BLOCK, REPEATS, BITS, MARKS = 5_000, 32, 2, 3
+BLOCK, REPEATS, BITS, MARKS, PIECE = 5_000, 32, 2, 3, 30
 MAP_BITS = 22
 SCHEMA = "doc_id long, item_id long, start long, n_words long, n_edits long, distance_limit long"
 
@@ -107,14 +110,19 @@ class Items:
         self.holders, self.first = items[order], np.append(first, len(words))  # items that a marked word stands for
         self.map = np.zeros(1 << MAP_BITS, bool)
         self.map[self.marks >> np.uint64(64 - MAP_BITS)] = True
-        self.cls = np.array([class_of(n) if n else 0 for n in self.size], np.int64)
+        self.pieces = np.maximum(1, self.size // PIECE)
+        self.cls = np.array([class_of(n) if n else 0 for n in self.size // self.pieces], np.int64)
         self.places = {c: places_of(c) for c in np.unique(self.cls).tolist() if c}
-        self.tables: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.tables: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}  # keys, their items, words of the item before
         for c, places in self.places.items():
             members = np.flatnonzero(self.cls == c)
-            keys = embed(w.hashes, w.row[members], w.row[members + 1], places).ravel()
+            n = self.pieces[members]
+            number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            members = np.repeat(members, n)
+            before = number * self.size[members] // self.pieces[members]
+            keys = embed(w.hashes, w.row[members] + before, w.row[members + 1], places).ravel()
             order = np.argsort(keys, kind="stable")
-            self.tables[c] = keys[order], np.tile(members, REPEATS)[order]
+            self.tables[c] = keys[order], np.tile(members, REPEATS)[order], np.tile(before, REPEATS)[order]
 
     def marked(self, w: Words) -> tuple[np.ndarray, np.ndarray]:
         """(item, word of the text) wherever enough of an item's marked words stand within its reach."""
@@ -146,19 +154,21 @@ class Items:
         reach = self.size + self.limit
         for c in np.unique(self.cls[item]).tolist():
             mine = self.cls[item] == c
-            low = np.maximum(at[mine] - reach[item[mine]], w.row[np.searchsorted(w.row, at[mine], "right") - 1])
+            home = np.searchsorted(w.row, at[mine], "right") - 1
+            low = np.maximum(at[mine] - reach[item[mine]], w.row[home])
+            high = np.where(self.pieces[item[mine]] > 1, np.minimum(at[mine] + reach[item[mine]], w.row[home + 1]), at[mine] + 1)
             edge = np.zeros(len(w.hashes) + 1, np.int64)
             np.add.at(edge, low, 1)
-            np.add.at(edge, at[mine] + 1, -1)
+            np.add.at(edge, high, -1)
             every = np.flatnonzero(np.cumsum(edge)[:-1] > 0)
-            keys, members = self.tables[c]
+            keys, members, before = self.tables[c]
             for starts in (every[i : i + 4096] for i in range(0, len(every), 4096)):
                 rows = np.searchsorted(w.row, starts, "right") - 1
                 own = embed(w.hashes, starts, w.row[rows + 1], self.places[c])
                 a, b = np.searchsorted(keys, own, "left"), np.searchsorted(keys, own, "right")
                 for r, s in zip(*np.nonzero(b > a), strict=True):
-                    for i in set(members[a[r, s] : b[r, s]].tolist()):
-                        found[int(rows[s]), i].add(int(starts[s]))
+                    for i, z in set(zip(members[a[r, s] : b[r, s]].tolist(), before[a[r, s] : b[r, s]].tolist(), strict=True)):
+                        found[int(rows[s]), i].add(max(int(w.row[rows[s]]), int(starts[s]) - z))
         for (i, item), where in sorted(found.items()):
             best = self.confirm(w, i, item, sorted(where))
             if best:

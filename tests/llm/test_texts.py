@@ -175,6 +175,21 @@ def test_decontamination(spark):
     assert benchmark_hits(docs, bench.limit(0)).count() == 0 and benchmark_hits(docs.limit(0), bench).count() == 0
 
 
+def test_long_items(spark):
+    """Items of 120 to 300 words, edited up to the limit by deletions or by insertions."""
+    rng = random.Random(9)
+    items = [[f"w{rng.randrange(3000)}" for _ in range(n)] for n in (120, 200, 300) for _ in range(20)]
+    texts = []
+    for i, item in enumerate(items):
+        hit = set(rng.sample(range(len(item)), len(item) // 5))
+        edited = [x for j, w in enumerate(item) for x in ([] if j in hit and i % 2 else [f"n{i}x{j}", w] if j in hit else [w])]
+        texts.append(" ".join([f"b{i}x{j}" for j in range(40)] + edited + [f"c{i}x{j}" for j in range(40)]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in benchmark_hits(docs, bench).collect()}
+    assert got <= {(i, i) for i in range(60)} and len(got) >= 59, len(got)
+
+
 def labelled(seed, n):
     rng = random.Random(seed)
     stems = ["grumpf", "zoknar", "vexil"]
