@@ -1,10 +1,9 @@
-"""Repeated passages by sparse suffix arrays.
+"""Repeated passages by fingerprints of windows, dealt by minimisers.
 
-Of all suffixes only those at minimiser positions are retained: in every window of ``width`` words, the place of the
-smallest fingerprint of ``gram`` consecutive words, which equal windows choose alike.  Retained suffixes are sorted by
-that prefix and compared with those next to them: a suffix is extended to the left by as many words as its windows
-allow and to the right until ``width`` words are reached, and each extension is compared by fingerprint
-(:mod:`mergetide.llm.windows`).  Every repeat of at least ``width`` words is found whole, its first occurrence too.
+The place of the smallest fingerprint of ``gram`` consecutive words in a window of ``width`` words is one that equal
+windows choose alike; it is the window's key.  Windows that share a key are compared by 48-bit fingerprints
+(:mod:`mergetide.llm.windows`).  No suffixes are kept, sorted or extended, and words are not compared.  Every repeat of
+at least ``width`` words is found whole, its first occurrence too.
 
 Edges: null and empty texts, and texts under ``width`` words, hold no repeats; null ids come before all others; rows
 with equal id and text count as one document; other columns are ignored; an empty table gives no rows.
