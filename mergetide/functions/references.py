@@ -20,6 +20,19 @@ PLAIN_BINDINGS = (
 ).split()
 PLAIN_PIPES = "async currency date decimal i18nPlural i18nSelect json keyvalue lowercase number percent slice titlecase uppercase".split()
 PRIMITIVES = ["string", "number", "boolean", "any", "void", "null", "undefined"]
+#: The text that counts as a reference in a template; group 1 is its name.
+COMPONENT_TAG = r"(?i)<([a-z][a-z0-9]*(?:-[a-z0-9]+)+)[\s>/]"
+BINDING = r"\[([a-z][a-zA-Z0-9]*)\]"
+STRUCTURAL = r"\*([a-z][a-zA-Z0-9]*)"
+PIPE = r"(?i)\|\s*([a-z][a-z0-9]*)"
+#: The text that counts as a definition or a use in a state store; group 1 is its name.
+ACTION_NAMES = [r"createAction\s*\(\s*['\"`]([^'\"`]+)['\"`]", r"type\s*=\s*['\"`](\[[^\]]+\][^'\"`]*)['\"`]"]
+ACTION_IDS = [r"export\s+const\s+(\w+)\s*=\s*createAction", r"export\s+class\s+(\w+)\s+implements\s+Action"]
+REDUCED = [r"on\s*\(\s*(\w+)", r"case\s+['\"`](\[[^\]]+\][^'\"`]*)['\"`]", r"case\s+\w+\.(\w+)\s*:"]
+EFFECT, EFFECTS = r"ofType\s*\(\s*(\w+|['\"`][^'\"`]+['\"`])", r"ofType\s*\(([^)]+)\)"
+DISPATCHED = r"dispatch\s*\(\s*(?:new\s+)?(\w+)"
+SELECTOR_NAME, SELECTED = r"export\s+const\s+(select\w+|\w+Selector)\s*=", r"select\s*\(\s*(\w+)"
+FEATURE = r"createFeatureSelector\s*(?:<[^>]+>)?\s*\(\s*['\"`](\w+)['\"`]\)"
 
 
 def every(text: Column, pattern: str, group: int = 1) -> Column:
@@ -39,17 +52,17 @@ def without(names: Column, plain: list[str]) -> Column:
 
 
 def component_tags(html: Column) -> Column:
-    return F.array_distinct(without(F.transform(every(html, "<([A-Za-z][A-Za-z0-9]*-[A-Za-z0-9-]*)"), F.lower), PLAIN_TAGS))
+    return F.array_distinct(without(F.transform(every(html, COMPONENT_TAG), F.lower), PLAIN_TAGS))
 
 
 def directives(html: Column) -> Column:
     """Bindings that are not standard, then all structural ones, each name once."""
-    return F.array_distinct(F.concat(without(every(html, r"\[([A-Za-z][A-Za-z0-9]*)\]"), PLAIN_BINDINGS), every(html, r"\*([A-Za-z][A-Za-z0-9]*)")))
+    return F.array_distinct(F.concat(without(every(html, BINDING), PLAIN_BINDINGS), every(html, STRUCTURAL)))
 
 
 def pipes(html: Column) -> Column:
     """Names after a bar that are not standard; the second bar of ``||`` counts as well."""
-    return F.array_distinct(without(every(html, r"\|\s*([A-Za-z][A-Za-z0-9]*)"), PLAIN_PIPES))
+    return F.array_distinct(without(every(html, PIPE), PLAIN_PIPES))
 
 
 def template_refs(html: Column) -> Column:
@@ -61,33 +74,36 @@ def template_refs(html: Column) -> Column:
 # state store
 
 
+def any_of(text: Column, patterns: list[str]) -> Column:
+    return F.concat(*[every(text, p) for p in patterns])
+
+
 def action_names(text: Column) -> Column:
-    return F.array_distinct(F.concat(every(text, r"createAction\s*\(\s*['\"`]([^'\"`]+)['\"`]"), every(text, r"type\s*=\s*['\"`](\[[^\]]+\][^'\"`]*)['\"`]")))
+    return F.array_distinct(any_of(text, ACTION_NAMES))
 
 
 def action_ids(text: Column) -> Column:
-    return F.array_distinct(F.concat(every(text, r"export\s+const\s+(\w+)\s*=\s*createAction"), every(text, r"export\s+class\s+(\w+)\s+implements\s+Action")))
+    return F.array_distinct(any_of(text, ACTION_IDS))
 
 
 def action_refs(text: Column) -> Column:
     """What reducers, switches, effects and dispatches name; ``on(`` at the end of any word counts as well."""
     plain = lambda x: F.regexp_replace(x, r"^\s+|\s+$|['\"`]", "")
-    single = [every(text, p) for p in (r"on\s*\(\s*(\w+)", r"case\s+['\"`](\[[^\]]+\][^'\"`]*)['\"`]", r"case\s+\w+\.(\w+)\s*:")]
-    of = F.transform(every(text, r"ofType\s*\(\s*(\w+|['\"`][^'\"`]+['\"`])"), plain)
-    many = F.flatten(F.transform(every(text, r"ofType\s*\(([^)]+)\)"), lambda x: F.transform(F.split(x, ","), plain)))
-    return F.array_distinct(F.concat(*single, of, many, every(text, r"dispatch\s*\(\s*(?:new\s+)?(\w+)")))
+    of = F.transform(every(text, EFFECT), plain)
+    many = F.flatten(F.transform(every(text, EFFECTS), lambda x: F.transform(F.split(x, ","), plain)))
+    return F.array_distinct(F.concat(any_of(text, REDUCED), of, many, every(text, DISPATCHED)))
 
 
 def selector_names(text: Column) -> Column:
-    return F.array_distinct(every(text, r"export\s+const\s+(select\w+|\w+Selector)\s*="))
+    return F.array_distinct(every(text, SELECTOR_NAME))
 
 
 def feature_name(text: Column) -> Column:
-    return first(text, r"createFeatureSelector\s*(?:<[^>]+>)?\s*\(\s*['\"`](\w+)['\"`]\)")
+    return first(text, FEATURE)
 
 
 def selector_refs(text: Column) -> Column:
-    return F.array_distinct(F.filter(every(text, r"select\s*\(\s*(\w+)"), lambda x: F.startswith(x, F.lit("select")) | F.endswith(x, F.lit("Selector"))))
+    return F.array_distinct(F.filter(every(text, SELECTED), lambda x: F.startswith(x, F.lit("select")) | F.endswith(x, F.lit("Selector"))))
 
 
 # decorated classes

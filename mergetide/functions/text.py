@@ -87,19 +87,16 @@ def file_type(path: Column) -> Column:
     return out.otherwise(F.lit("unknown"))
 
 
-def state_kind(path: Column) -> Column:
-    """Kind of a state-store file by its path."""
-    low = F.lower(path)
-    out = F.when(low.contains("action"), F.lit("action"))
-    for kind in ("reducer", "effect", "selector", "state"):
-        out = out.when(low.contains(kind), F.lit(kind))
-    return F.when(F.endswith(path, F.lit(".ts")), out)
+#: Parts of a lower-case path that name the kind of a state-store file, in order.
+STATE_PARTS = [(".actions.", "action"), (".reducer.", "reducer"), (".effects.", "effect"), (".selectors.", "selector"), (".selector.", "selector"), (".state.", "state")]
 
 
-def line_of(content: Column, offset: Column) -> Column:
-    """Line of a 1-based character offset, counted from 1."""
-    before = F.substring(content, F.lit(1), offset - 1)
-    return F.length(before) - F.length(F.replace(before, F.lit("\n"), F.lit(""))) + 1
+def state_kind(path: Column) -> Column:
+    """Kind of a state-store file by its path; null for others."""
+    out = F.when(F.lit(False), F.lit(""))
+    for part, kind in STATE_PARTS:
+        out = out.when(F.lower(path).contains(part), F.lit(kind))
+    return F.when(F.endswith(path, F.lit(".ts")), out)
 
 
 def escaped_json(text: Column) -> Column:
@@ -107,9 +104,3 @@ def escaped_json(text: Column) -> Column:
     for sign, code in (("&", "\\u0026"), ("<", "\\u003c"), (">", "\\u003e")):
         text = F.replace(text, F.lit(sign), F.lit(code))
     return text
-
-
-def escaped_html(text: Column) -> Column:
-    for sign, code in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
-        text = F.replace(text, F.lit(sign), F.lit(code))
-    return text

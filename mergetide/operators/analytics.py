@@ -80,6 +80,16 @@ def impact_band(unlocks: Column) -> Column:
     return F.when(unlocks > 10, "high").when(unlocks > 3, "medium").otherwise("low")
 
 
+def unlocking(bottlenecks: DataFrame) -> DataFrame:
+    """Bottlenecks that hold up at least one node, themselves counted."""
+    return bottlenecks.where("unlock_count > 0")
+
+
+def unresolved_samples(unresolved: DataFrame, nodes: int = 5, imports: int = 3) -> DataFrame:
+    """The first nodes with unresolved imports, and the first of these, of ``unresolved(src, n_unresolved, samples)``."""
+    return unresolved.orderBy("src").limit(nodes).select("src", "n_unresolved", F.slice("samples", 1, imports).alias("samples"))
+
+
 def unresolved_summary(unresolved: DataFrame) -> DataFrame:
     return unresolved.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("n_unresolved"), F.lit(0)).alias("n_imports"))
 
@@ -94,6 +104,19 @@ def validation(found: DataFrame, parsed: DataFrame) -> DataFrame:
     return out.select("*", (F.col("n_found") - F.col("n_parsed")).alias("difference"), share.alias("coverage"))
 
 
+def validation_samples(found: DataFrame, parsed: DataFrame, most: int = 10) -> DataFrame:
+    """``kind, path``: the first paths that only one of the two scans saw, ``most`` of each kind."""
+    a, b = found.select("path").distinct(), parsed.select("path").distinct()
+    few = lambda x, y, kind: x.join(y, "path", "left_anti").orderBy("path").limit(most).select(F.lit(kind).alias("kind"), "path")
+    return few(a, b, "missing").unionByName(few(b, a, "extra"))
+
+
+def first_members(trees: DataFrame, most: int = 10) -> DataFrame:
+    """``root, members``: the first members of each tree by id."""
+    place = F.row_number().over(Window.partitionBy("root").orderBy("id"))
+    return trees.withColumn("place", place).where(F.col("place") <= most).groupBy("root").agg(F.array_sort(F.collect_list("id")).alias("members"))
+
+
 def file_pattern(path: Column) -> Column:
     """The first of ten patterns that a path falls under, else its extension."""
     out = F.when(path.contains(".spec."), "*.spec.*").when(path.contains(".test."), "*.test.*").when(path.contains("__tests__"), "__tests__/*").when(path.contains(".d.ts"), "*.d.ts")

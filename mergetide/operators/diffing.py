@@ -6,9 +6,9 @@ their ends, along a shortest edit script with deletions first; empty lines do no
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,41 +39,77 @@ def base_of(explicit: Column, at_left: Column, at_right: Column) -> Column:
     return F.coalesce(F.nullif(explicit, F.lit("")), F.nullif(at_left, F.lit("")), F.nullif(at_right, F.lit("")))
 
 
+def middle(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
+    """A place ``(i, j)`` on a shortest edit script of two sequences that begin and end unlike, from both ends at once.
+
+    ``front[k]`` is how far ``a`` can be read on diagonal ``k = i - j`` with so many edits, ``back[k]`` the same from the
+    ends; only these two rows are kept.
+    """
+    n, m = len(a), len(b)
+    size = n + m + 3
+    front, back = np.full(size, -1), np.full(size, -1)
+    front[m + 2] = back[m + 2] = 0  # diagonal k lies at k + m + 1
+    turned = (a[::-1], b[::-1])
+    for d in range((n + m + 1) // 2 + 1):
+        k = np.arange(-d + 2 * max(0, d - m), d - 2 * max(0, d - n) + 1, 2)
+        at = k + m + 1
+        for x, y, row, other, odd in ((a, b, front, back, True), (*turned, back, front, False)):
+            down = (k == -d) | ((k != d) & (row[at - 1] < row[at + 1]))
+            i = np.where(down, row[at + 1], row[at - 1] + 1)
+            i = np.minimum(i, np.minimum(n, m + k))
+            live = np.flatnonzero((i < n) & (i - k < m))
+            while len(live):
+                live = live[x[i[live]] == y[i[live] - k[live]]]
+                i[live] += 1
+                live = live[(i[live] < n) & (i[live] - k[live] < m)]
+            row[at] = i
+            if ((n - m) % 2 == 1) == odd:
+                mirror = (n - m - k) + m + 1
+                met = np.flatnonzero((i >= 0) & (other[mirror] >= 0) & (i + other[mirror] >= n))
+                if len(met):
+                    z = int(met[0])
+                    i0, j0 = int(i[z]), int(i[z] - k[z])
+                    return (i0, j0) if odd else (n - i0, m - j0)
+    raise AssertionError("two sequences always meet")
+
+
 def edit_script(a: list[str], b: list[str]) -> list[tuple[str, int, int]]:
-    """Shortest edit script from ``a`` to ``b``: (``-``, line of a, place in b) and (``+``, place in a, line of b), in order."""
-    low = 0
-    while low < min(len(a), len(b)) and a[low] == b[low]:
-        low += 1
-    end = 0
-    while end < min(len(a), len(b)) - low and a[-1 - end] == b[-1 - end]:
-        end += 1
-    x, y = a[low : len(a) - end], b[low : len(b) - end]
-    n, m = len(x), len(y)
-    if not n or not m:
-        return [("-", low + i, low) for i in range(n)] + [("+", low, low + j) for j in range(m)]
-    best, steps = {1: 0}, []
-    for d in range(n + m + 1):
-        steps.append(dict(best))
-        for k in range(-d, d + 1, 2):
-            down = k == -d or (k != d and best[k - 1] < best[k + 1])
-            i = best[k + 1] if down else best[k - 1] + 1
-            while i < n and i - k < m and x[i] == y[i - k]:
-                i += 1
-            best[k] = i
-            if i >= n and i - k >= m:
-                break
+    """Shortest edit script from ``a`` to ``b``: (``-``, line of a, place in b) and (``+``, place in a, line of b), in order.
+
+    Lines that the other side lacks are edits in any script, and are set aside; the rest is halved at a place that a
+    shortest script passes, so that memory grows with the lines, not with their square.
+    """
+    number: dict[str, int] = {}
+    x = np.array([number.setdefault(line, len(number)) for line in a], np.int64)
+    y = np.array([number.setdefault(line, len(number)) for line in b], np.int64)
+    own, other = np.flatnonzero(np.isin(x, y)), np.flatnonzero(np.isin(y, x))
+    gone, new = np.ones(len(a), bool), np.ones(len(b), bool)
+    x, y = x[own], y[other]
+    todo = [(0, len(x), 0, len(y))]
+    while todo:
+        p, q, r, s = todo.pop()
+        near = min(q - p, s - r)
+        unlike = np.flatnonzero(x[q - near : q][::-1] != y[s - near : s][::-1])
+        tail = int(unlike[0]) if len(unlike) else near
+        unlike = np.flatnonzero(x[p : p + near - tail] != y[r : r + near - tail])
+        head = int(unlike[0]) if len(unlike) else near - tail
+        gone[own[p : p + head]] = gone[own[q - tail : q]] = False
+        new[other[r : r + head]] = new[other[s - tail : s]] = False
+        p, q, r, s = p + head, q - tail, r + head, s - tail
+        if p < q and r < s:
+            i, j = middle(x[p:q], y[r:s])
+            todo += [(p, p + i, r, r + j), (p + i, q, r + j, s)]
+    script, i, j = [], 0, 0
+    while i < len(a) or j < len(b):  # kept lines come in pairs
+        if i < len(a) and gone[i]:
+            script.append(("-", i, j))
+            i += 1
+        elif j < len(b) and new[j]:
+            script.append(("+", i, j))
+            j += 1
         else:
-            continue
-        break
-    script, i, j = [], n, m
-    for d in range(len(steps) - 1, 0, -1):
-        before, k = steps[d], i - j
-        down = k == -d or (k != d and before[k - 1] < before[k + 1])
-        k = k + 1 if down else k - 1
-        i = before[k]
-        j = i - k
-        script.append(("+", low + i, low + j) if down else ("-", low + i, low + j))
-    return script[::-1]
+            i, j = i + 1, j + 1
+    return script
 
 
 def lines_of(text: str) -> list[str]:
@@ -137,13 +173,38 @@ def measure(classified: DataFrame, keys: list[str]) -> DataFrame:
     return out.select(*keys, "div_type", "c.left_add", "c.left_del", "c.right_add", "c.right_del", F.col("c.regions").alias("conflict_regions"), "auto_mergeable")
 
 
+def patch_text(path: str, before: str, after: str, context: int = 3) -> str:
+    """Unified patch along a shortest edit script; empty where nothing changed."""
+    a, b = lines_of(before), lines_of(after)
+    hunks: list[list[tuple[str, int, int]]] = []
+    for edit in edit_script(a, b):  # edits with at most 2 * context kept lines between them share a hunk
+        if hunks and edit[1] - hunks[-1][-1][1] - (hunks[-1][-1][0] == "-") <= 2 * context:
+            hunks[-1].append(edit)
+        else:
+            hunks.append([edit])
+    out = [f"--- {path}", f"+++ {path}"] if hunks else []
+    span = lambda first, n: f"{first + (n > 0)}" + (f",{n}" if n != 1 else "")
+    for edits in hunks:
+        low = max(0, edits[0][1] - context)
+        high = min(len(a), edits[-1][1] + (edits[-1][0] == "-") + context)
+        lines, at = [], low
+        for sign, i, j in edits:
+            lines += [f" {x}" for x in a[at:i]]
+            lines.append(f"-{a[i]}" if sign == "-" else f"+{b[j]}")
+            at = i + (sign == "-")
+        lines += [f" {x}" for x in a[at:high]]
+        grown = sum(1 if sign == "+" else -1 for sign, _, _ in edits)
+        out += [f"@@ -{span(low, high - low)} +{span(edits[0][2] - (edits[0][1] - low), high - low + grown)} @@", *lines]
+    return "\n".join(out)
+
+
 def unified_patch(path: str, before: str, after: str) -> Column:
     """Unified patch between two columns, with three lines of context; contents as they are, null as empty."""
 
     @F.pandas_udf("string")
     def patch(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         for path, before, after in batches:
-            yield pd.Series(["\n".join(difflib.unified_diff(lines_of(a or ""), lines_of(b or ""), p, p, lineterm="")) for p, a, b in zip(path, before, after, strict=True)])
+            yield pd.Series([patch_text(p, a or "", b or "") for p, a, b in zip(path, before, after, strict=True)])
 
     return patch(path, before, after)
 
@@ -164,3 +225,11 @@ def patch_lines(patches: DataFrame, keys: list[str], patch: str = "patch") -> Da
 def last_commits(commits: DataFrame) -> DataFrame:
     """``commits(path, seq, hash, date, author)``: the latest of each path."""
     return commits.groupBy("path").agg(F.max_by(F.struct("hash", "date", "author"), "seq").alias("c")).select("path", "c.hash", "c.date", "c.author")
+
+
+def with_commits(divergence: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``divergence`` with the latest commit of each side, ``last_left`` and ``last_right`` structs; null where there is none."""
+    for side, commits in (("left", left), ("right", right)):
+        last = last_commits(commits).select(F.col("path").alias(f"{side}_path"), F.struct("hash", "date", "author").alias(f"last_{side}"))
+        divergence = divergence.join(last, f"{side}_path", "left")
+    return divergence

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLES = 5
 #: kind of edge, arrays of the parsed table that name its targets, key that finds them
 REFERENCES = [
     ("injection", ["injections"], "class_name"),
@@ -32,23 +33,34 @@ def link(parsed: DataFrame, names: Column, found: DataFrame, kind: str) -> DataF
     return refs.join(found, "key").select("src", "dst", F.lit(kind).alias("edge_type"))
 
 
-def resolved_imports(parsed: DataFrame, imports: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges, unresolved): ``imports(path, target)`` whose target is a node's file, and those whose is not."""
+def resolved_imports(parsed: DataFrame, imports: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(edges, unresolved): ``imports(path, target)`` whose target is a node's file, and those whose is not.
+
+    nodes: the files that are nodes, where they are not those of ``parsed``.  Unresolved rows are ``src, n_unresolved,
+    samples``, the samples at most five targets in order.
+    """
     of = parsed.select("path", "node_id")
-    named = imports.join(of, "path").select(F.col("node_id").alias("src"), "target")
-    found = index(parsed, F.col("path")).withColumnRenamed("key", "target")
+    named = imports.where("target is not null").join(of, "path").select(F.col("node_id").alias("src"), "target")
+    found = index(parsed if nodes is None else nodes, F.col("path")).withColumnRenamed("key", "target")
     edges = named.join(found, "target").select("src", "dst", F.lit("import").alias("edge_type"))
-    return edges, named.join(found, "target", "left_anti").groupBy("src").agg(F.count("*").alias("n_unresolved"))
+    place = F.row_number().over(Window.partitionBy("src").orderBy("target"))  # a file's imports
+    lost = named.join(found, "target", "left_anti").withColumn("place", place)
+    few = F.array_sort(F.collect_list(F.when(F.col("place") <= SAMPLES, F.col("target"))))
+    return edges, lost.groupBy("src").agg(F.count("*").alias("n_unresolved"), few.alias("samples"))
+
 
+def build_edges(parsed: DataFrame, imports: DataFrame | None = None, indexed: DataFrame | None = None) -> DataFrame:
+    """``src, dst, edge_type``, distinct and without loops.
 
-def build_edges(parsed: DataFrame, imports: DataFrame | None = None) -> DataFrame:
-    """``src, dst, edge_type``, distinct and without loops."""
+    indexed: the rows that indexes of classes, selectors and stores are made of, where these are not all of ``parsed``.
+    """
     parts = []
     if imports is not None:
         parts.append(resolved_imports(parsed, imports)[0])
-    classes, selectors = index(parsed, F.col("class_name")), index(parsed, F.col("selector"))
-    keyed = parsed.select("node_id", "ordinal", F.explode(F.concat("action_names", "action_ids")).alias("k"))
-    stored = parsed.select("node_id", "ordinal", F.explode("selector_names").alias("k"))
+    indexed = parsed if indexed is None else indexed
+    classes, selectors = index(indexed, F.col("class_name")), index(indexed, F.col("selector"))
+    keyed = indexed.select("node_id", "ordinal", F.explode(F.concat("action_names", "action_ids")).alias("k"))
+    stored = indexed.select("node_id", "ordinal", F.explode("selector_names").alias("k"))
     indexes = {"class_name": classes, "action": index(keyed, F.col("k")), "store_selector": index(stored, F.col("k"))}
     for kind, arrays, key in REFERENCES:
         parts.append(link(parsed, F.concat(*arrays), indexes[key], kind))

@@ -36,6 +36,37 @@ def with_templates(parsed: DataFrame, files: DataFrame) -> DataFrame:
     return joined.withColumn("template_refs", F.coalesce("_refs", "template_refs")).drop("_at", "_refs")
 
 
+def node_rows(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
+    """``pairs(id, left_path, right_path, ...)`` with ``file_type`` and ``metadata`` of their parsed files.
+
+    Type and metadata are those of the left file where there is one, else of the right one; a type that neither gives is
+    ``unknown``, and empty lists of the metadata are null.
+    """
+
+    def told(parsed: DataFrame, side: str) -> DataFrame:
+        lists = [F.when(F.size(c) > 0, F.col(c)).alias(c) for c in ("declarations", "module_imports", "exports", "providers")]
+        return parsed.select(F.col("path").alias(f"{side}_path"), F.col("file_type").alias(f"_{side}_type"), F.struct("selector", "class_name", "provided_in", *lists).alias(f"_{side}"))
+
+    both = pairs.join(told(left, "left"), "left_path", "left").join(told(right, "right"), "right_path", "left")
+    kind = F.coalesce("_left_type", "_right_type", F.lit("unknown"))
+    return both.select(*pairs.columns, kind.alias("file_type"), F.coalesce("_left", "_right").alias("metadata"))
+
+
+class SharedViolations(Exception):
+    """A shared tree imports from a branch; ``rows`` are the first violations, ``count`` how many there are."""
+
+    def __init__(self, count: int, rows: list) -> None:
+        super().__init__(f"{count} imports of shared files lead back into a branch: " + "; ".join(f"{r['path']} -> {r['points_to']}: {r['import_path']}" for r in rows))
+        self.count, self.rows = count, rows
+
+
+def require_clean(violations: DataFrame, shown: int = 20) -> None:
+    """Fails the job where ``violations(path, import_path, points_to)`` has rows; the message names the first ``shown``."""
+    n = violations.count()
+    if n:
+        raise SharedViolations(n, violations.orderBy("path", "import_path").limit(shown).collect())
+
+
 def import_rows(parsed: DataFrame) -> DataFrame:
     """``path, position, spec``."""
     return parsed.select("path", F.posexplode("imports").alias("position", "spec"))

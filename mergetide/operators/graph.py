@@ -6,6 +6,8 @@ to the shared folder, so that lost executors cost a round at most and lineage st
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -61,32 +63,51 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def clean_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id`` of nodes with ``ok`` (clean type, nothing unresolved) all of whose dependencies are clean.
+def peel(need: DataFrame, step: DataFrame) -> tuple[DataFrame, int]:
+    """``id, turn`` of the nodes of ``need(id, missing)`` whose dependencies all come in, and the number of turns.
 
-    The least such set, so that nodes on or above a cycle are not in it: each round adds the ok nodes whose
-    dependencies are all in, counting down how many are still missing.
+    Turn 0 has those that miss nothing; a node's turn is the first in which all its ``missing`` dependencies, told by
+    ``step(id, dependency)``, are in earlier ones; nodes that wait for ever get no row.  Each turn reads what its frontier
+    touches: counts of met dependencies are kept as one table a turn, added up only for the nodes of this turn, and
+    compacted every few turns.
     """
-    step = dependencies(edges)
-    left = step.groupBy("id").agg(F.count("*").alias("missing"))
-    ok = nodes.where("ok").select("id")
-    waiting = cut(ok.join(left, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing")), "waiting")
-    step = cut(step.join(ok, "id", "left_semi"), "edges")
-    done = new = cut(waiting.where("missing = 0").select("id"), "clean")
-    parts = [new]
+    spark = need.sparkSession
+    need, step = cut(need, "need"), cut(step, "edges")
+    new = cut(need.where("missing = 0").select("id", F.lit(0).alias("turn")), "turn")
+    parts, counts, turn = [new], [], 0
+    done = new
     while not new.isEmpty():
+        turn += 1
         met = step.join(new.select(F.col("id").alias("dependency")), "dependency").groupBy("id").agg(F.count("*").alias("met"))
-        before = waiting
-        waiting = cut(before.where("missing > 0").join(met, "id", "left").select("id", (F.col("missing") - F.coalesce("met", F.lit(0))).alias("missing")), "waiting")
-        free(nodes.sparkSession, before)
-        new = cut(waiting.where("missing = 0").select("id"), "clean")
+        counts.append(cut(met, "met"))
+        touched = reduce(DataFrame.unionByName, counts).join(counts[-1].select("id"), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
+        new = cut(touched.join(need, "id").where("met = missing").select("id", F.lit(turn).alias("turn")), "turn")
         done = done.unionByName(new)
         parts.append(new)
-        if len(parts) % 8 == 0:
-            done = cut(done, "clean")
-            free(nodes.sparkSession, *parts[:-1])
-            parts = [done, new]  # the last round's nodes are still to be read
-    return done
+        if turn % 8 == 0:  # few files and a short plan
+            done = cut(done, "done")
+            added = cut(reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("met").alias("met")).join(done, "id", "left_anti"), "met")
+            free(spark, *parts[:-1], *counts)
+            parts, counts = [done, new], [added]
+    return done, turn
+
+
+def clean_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id`` of nodes with ``ok`` (clean type, nothing unresolved) all of whose dependencies are clean.
+
+    The least such set, so that nodes on or above a cycle are not in it.  A dependency that is no node is never clean.
+    """
+    step = dependencies(edges)
+    ok = nodes.where("ok").select("id").distinct()
+    left = step.groupBy("id").agg(F.count("*").alias("missing"))
+    need = ok.join(left, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
+    return peel(need, step.join(ok, "id", "left_semi"))[0].select("id")
+
+
+def missing_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, dependency, warning``: edges to ids that are no nodes; what depends on them is not clean."""
+    lost = dependencies(edges).join(nodes.select(F.col("id").alias("dependency")), "dependency", "left_anti")
+    return lost.select("id", "dependency", F.lit("dependency is no node").alias("warning"))
 
 
 def clean_roots(nodes: DataFrame, clean: DataFrame, edges: DataFrame) -> DataFrame:
@@ -113,22 +134,12 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, level``: dependencies first; nodes that only wait for a cycle come last, at one level.
-
-    Each round takes the nodes without dependencies left.
-    """
-    inner = dependencies(edges).join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dependency")), "dependency", "left_semi").where("id <> dependency")
-    rest, inner = cut(ids.select("id").distinct(), "rest"), cut(inner, "inner")
-    done, level = None, 0
-    while True:
-        free_now = cut(rest.join(inner, "id", "left_anti").withColumn("level", F.lit(level)), "level")
-        if free_now.isEmpty():
-            tail = rest.withColumn("level", F.lit(level))
-            return tail if done is None else done.unionByName(tail)
-        done = free_now if done is None else done.unionByName(free_now)
-        rest = cut(rest.join(free_now, "id", "left_anti"), "rest")
-        inner = cut(inner.join(free_now.select(F.col("id").alias("dependency")), "dependency", "left_anti").select("id", "dependency"), "inner")
-        level += 1
+    """``id, level``: dependencies first; nodes that only wait for a cycle come last, at one level."""
+    ids = ids.select("id").distinct()
+    inner = dependencies(edges).join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dependency")), "dependency", "left_semi").where("id <> dependency").select("id", "dependency")
+    need = ids.join(inner.groupBy("id").agg(F.count("*").alias("missing")), "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
+    done, turns = peel(need, inner)
+    return done.select("id", F.col("turn").alias("level")).unionByName(ids.join(done, "id", "left_anti").select("id", F.lit(turns).alias("level")))
 
 
 def ordered(levelled: DataFrame) -> DataFrame:
@@ -150,24 +161,34 @@ def edges_within(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select(*edges.columns)
 
 
-def bottlenecks(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def bottlenecks(nodes: DataFrame, edges: DataFrame, samples: int = 0) -> DataFrame:
     """``id, unlock_count, effort, impact`` of every blocker (``dirty`` nodes): nodes that nothing else blocks.
 
     Only (node, blocker) pairs are spread, upwards from the blockers, and a node leaves with its second blocker: its
-    users then have two as well, so that at most two pairs a node are kept.
+    users then have two as well, so that at most two pairs a node are kept.  samples: how many of the unlocked nodes to name.
     """
     up = cut(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")).distinct(), "up")
     blockers = nodes.where("dirty").select("id", "effort")
-    seen = frontier = cut(blockers.select(F.col("id").alias("node"), F.col("id").alias("blocker")), "pairs")
+    frontier = cut(blockers.select(F.col("id").alias("node"), F.col("id").alias("blocker")), "pairs")
+    seen, parts = frontier, [frontier]
     while not frontier.isEmpty():
         near = frontier.withColumnRenamed("node", "src").join(up, "src").select(F.col("dst").alias("node"), "blocker").distinct()
-        near = near.join(seen, ["node", "blocker"], "left_anti")
-        known = seen.groupBy("node").agg(F.count("*").alias("k"))
-        near = near.groupBy("node").agg(F.min("blocker").alias("a"), F.max("blocker").alias("b")).join(known, "node", "left").where("coalesce(k, 0) < 2")
-        pairs = near.select("node", F.explode(F.array_distinct(F.array("a", "b"))).alias("blocker"))
+        near = near.join(seen, ["node", "blocker"], "left_anti").groupBy("node").agg(F.min("blocker").alias("a"), F.max("blocker").alias("b"))
+        known = seen.join(near.select("node"), "node", "left_semi").groupBy("node").agg(F.count("*").alias("k"))
+        pairs = near.join(known, "node", "left").where("coalesce(k, 0) < 2").select("node", F.explode(F.array_distinct(F.array("a", "b"))).alias("blocker"))
         frontier = cut(pairs, "pairs")
-        seen = cut(seen.unionByName(frontier), "pairs")
+        seen = seen.unionByName(frontier)
+        parts.append(frontier)
+        if len(parts) % 8 == 0:
+            seen = cut(seen, "pairs")
+            free(nodes.sparkSession, *parts[:-1])
+            parts = [seen, frontier]
     single = seen.groupBy("node").agg(F.count("*").alias("k"), F.min("blocker").alias("id")).where("k = 1")
     unlocks = single.groupBy("id").agg(F.count("*").alias("unlock_count"))
     out = blockers.join(unlocks, "id", "left").select("id", "effort", F.coalesce("unlock_count", F.lit(0)).alias("unlock_count"))
-    return out.withColumn("impact", F.when(F.col("effort") > 0, F.col("unlock_count") / F.col("effort")).otherwise(F.col("unlock_count").cast("double")))
+    out = out.withColumn("impact", F.when(F.col("effort") > 0, F.col("unlock_count") / F.col("effort")).otherwise(F.col("unlock_count").cast("double")))
+    if not samples:
+        return out
+    place = F.row_number().over(Window.partitionBy("id").orderBy("node"))
+    few = single.select("id", "node").withColumn("place", place).where(F.col("place") <= samples).groupBy("id").agg(F.array_sort(F.collect_list("node")).alias("samples"))
+    return out.join(few, "id", "left")

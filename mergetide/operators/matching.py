@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergetide.sources.shared import cut
+
 
 def by_path(left: DataFrame, right: DataFrame) -> DataFrame:
     """Files at one path on both sides."""
@@ -82,9 +84,14 @@ def suspicious(matches: DataFrame) -> DataFrame:
 
 
 def ordinals(files: DataFrame, by: str = "path") -> DataFrame:
-    """An ordinal by rank of the path, computed by ranges so that no task sorts all files: rank in range plus files of lower ranges."""
-    ranged = files.repartitionByRange(F.col(by)).withColumn("_p", F.spark_partition_id())
+    """``files`` with an ordinal by rank of the path; rows with equal paths get different ones.
+
+    Ranges of paths are sorted apart, so that no task sorts all files, and written once with their place: all that follows
+    reads the same ranges, whatever the engine merges or splits.
+    """
+    placed = cut(files.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    placed = placed.withColumn("_p", F.shiftright("_at", 33))  # number of the range; the lower 33 bits count its rows
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # one row a range
-    ranked = ranged.withColumn("_r", F.row_number().over(Window.partitionBy("_p").orderBy(by)))
-    return ranked.join(F.broadcast(sizes), "_p").withColumn("ordinal", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_p", "_n", "_before", "_r")
+    sizes = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # one row a range
+    joined = placed.join(F.broadcast(sizes), "_p")  # as many rows as shuffle partitions
+    return joined.withColumn("ordinal", (F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)).cast("long")).drop("_p", "_at", "_n", "_before")

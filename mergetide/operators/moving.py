@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from mergetide.functions import references as R
 from mergetide.functions.text import beside, import_between
 from mergetide.operators.resolving import Aliases, resolve
+from mergetide.sources.shared import cut
 
 STYLE_ENDS = [".html", ".scss", ".css", ".less"]
-IMPORT_LINE = r"(?m)^((?:import|export)[^\n]*?from\s+['\"])([^'\"\n]+)(['\"])"
+IMPORT_LINE = r"^(?:import|export).*?from\s+['\"]([^'\"\n]+)['\"]"
 
 
 def selection(text: str, all_clean: DataFrame) -> DataFrame:
@@ -32,19 +33,46 @@ def file_moves(order: DataFrame, nodes: DataFrame, shared: str) -> DataFrame:
 
 
 def plan_warnings(ids: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``id, warning`` of chosen ids that cannot move."""
     unknown = ids.join(nodes, "id", "left_anti").select("id", F.lit("unknown node").alias("warning"))
     nowhere = ids.join(nodes.where("left_path is null and right_path is null"), "id", "left_semi").select("id", F.lit("no path").alias("warning"))
     return unknown.unionByName(nowhere)
 
 
-def associated_files(moves: DataFrame, files: DataFrame) -> DataFrame:
-    """``id, source, target`` of templates and styles that go along: named ones, then those of the same base name."""
+def in_branch(path: Column, branches: tuple[str, str], to: int) -> Column:
+    """The same path in the left (0) or right (1) branch; paths of neither stay."""
+    own, other = branches[to].rstrip("/") + "/", branches[1 - to].rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(other)), F.concat(F.lit(own), F.substring(path, F.lit(len(other) + 1), F.length(path)))).otherwise(path)
+
+
+def named_files(moves: DataFrame, files: DataFrame, branches: tuple[str, str] | None) -> DataFrame:
+    """``id, url, source, target``: what moved files name as template or style; ``source`` is null where there is none.
+
+    A file is looked for beside the one that names it, then at that place in the left branch, then in the right one.
+    """
     code = moves.join(files.select(F.col("path").alias("source"), "content"), "source")
     urls = F.filter(F.concat(F.array(R.template_url(F.col("content"))), R.style_urls(F.col("content"))), lambda x: x.isNotNull())
-    named = code.select("id", "source", "target", F.explode(urls).alias("url")).select("id", beside(F.col("source"), F.col("url")).alias("source"), beside(F.col("target"), F.col("url")).alias("target"))
+    named = code.select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.explode(urls).alias("url"))
+    at = beside(F.col("_source"), F.col("url"))
+    tried = [at] if branches is None else [at, in_branch(at, branches, 0), in_branch(at, branches, 1)]
+    named = named.withColumn("_tried", F.array_distinct(F.array(*tried))).withColumn("target", beside(F.col("_target"), F.col("url")))
+    there = named.select("id", "url", F.posexplode("_tried").alias("rank", "source")).join(files.select(F.col("path").alias("source")), "source", "left_semi")
+    best = there.groupBy("id", "url").agg(F.min_by("source", "rank").alias("source"))
+    return named.select("id", "url", "target").join(best, ["id", "url"], "left").select("id", "url", "source", "target")
+
+
+def associated_files(moves: DataFrame, files: DataFrame, branches: tuple[str, str] | None = None) -> DataFrame:
+    """``id, source, target`` of templates and styles that go along: named ones, then those of the same base name."""
+    named = named_files(moves, files, branches).where("source is not null").select("id", "source", "target")
     stem = lambda c: F.regexp_replace(c, r"\.tsx?$", "")
-    alike = moves.select("id", F.explode(F.array(*[F.struct(F.concat(stem("source"), F.lit(e)).alias("source"), F.concat(stem("target"), F.lit(e)).alias("target")) for e in STYLE_ENDS])).alias("x")).select("id", "x.source", "x.target")
-    return named.unionByName(alike).join(files.select(F.col("path").alias("source")), "source", "left_semi").distinct()
+    alike = F.explode(F.array(*[F.struct(F.concat(stem("source"), F.lit(e)).alias("source"), F.concat(stem("target"), F.lit(e)).alias("target")) for e in STYLE_ENDS])).alias("x")
+    alike = moves.select("id", alike).select("id", "x.source", "x.target").join(files.select(F.col("path").alias("source")), "source", "left_semi")
+    return named.unionByName(alike.select("id", "source", "target")).dropDuplicates(["id", "source"])
+
+
+def association_warnings(moves: DataFrame, files: DataFrame, branches: tuple[str, str] | None = None) -> DataFrame:
+    """``id, warning``: templates and styles that are named and lie nowhere."""
+    return named_files(moves, files, branches).where("source is null").select("id", F.concat(F.lit("not found: "), "url").alias("warning"))
 
 
 def path_mapping(moves: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -53,38 +81,47 @@ def path_mapping(moves: DataFrame, nodes: DataFrame) -> DataFrame:
     return both.select(F.explode(F.array("left_path", "right_path")).alias("old_path"), F.col("target").alias("new_path")).where("old_path is not null").distinct()
 
 
-def deletions(mapping: DataFrame, along: DataFrame) -> DataFrame:
-    """Files whose content lives in the shared tree after the move."""
-    return mapping.select(F.col("old_path").alias("path")).unionByName(along.select(F.col("source").alias("path"))).distinct()
+def deleted_paths(moves: DataFrame, nodes: DataFrame, along: DataFrame, files: DataFrame, branches: tuple[str, str] | None = None) -> DataFrame:
+    """``path``: what a plan deletes, once for each reason: copies of moved nodes, files that go along and their copies."""
+    both = moves.join(nodes.select("id", "left_path", "right_path"), "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
+    out = both.unionByName(along.select(F.col("source").alias("path")))
+    if branches is not None:
+        left = F.startswith("source", F.lit(branches[0].rstrip("/") + "/"))
+        other = along.select("source", F.when(left, in_branch(F.col("source"), branches, 1)).otherwise(in_branch(F.col("source"), branches, 0)).alias("path")).where("path <> source")
+        out = out.unionByName(other.join(files.select("path"), "path", "left_semi").select("path"))
+    return out
 
 
-def affected_importers(ids: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """``path`` of both copies of nodes that depend on a moved one, and of the moved ones."""
-    users = edges.join(ids.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).unionByName(ids.select("id")).distinct()
-    return users.join(nodes, "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null").distinct()
+def affected_importers(moves: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``path`` of moved files at their source, and of both copies of nodes that depend on a moved one."""
+    users = edges.join(moves.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    paths = users.join(nodes, "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
+    return paths.unionByName(moves.select(F.col("source").alias("path"))).distinct()
 
 
 def import_rewrites(files: DataFrame, mapping: DataFrame, aliases: Aliases | None = None) -> DataFrame:
     """``path, new_path, position, line, old_import, new_import`` of every single-line import that must change.
 
-    Imports of moved files lead to their new place, and imports of moved files back to files that stay; spec and test
-    files are left as they are; specifiers that resolve to nothing stay.
+    Imports of moved files lead to their new place, and imports of moved files back to files that stay; paths with
+    ``.spec.`` or ``.test.`` in them are left as they are; specifiers that resolve to nothing stay.  Contents are parsed
+    once, and only their imports travel.
     """
-    code = files.where(F.col("path").rlike(r"\.tsx?$") & ~F.col("path").rlike(r"\.(spec|test)\.tsx?$"))
-    found = code.select("path", "content", F.posexplode(R.every(F.col("content"), IMPORT_LINE, 2)).alias("position", "spec"))
-    resolved = resolve(found.select("path", "position", "spec"), files, aliases, planner=True).where("target is not null")
-    own, to = mapping.select(F.col("old_path").alias("path"), F.col("new_path").alias("own_new")), mapping.select(F.col("old_path").alias("target"), F.col("new_path").alias("target_new"))
+    code = files.where(F.col("path").rlike(r"\.tsx?$") & ~F.col("path").contains(".spec.") & ~F.col("path").contains(".test."))
+    numbered = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, IMPORT_LINE, 1).alias("spec")))
+    found = cut(code.select("path", F.posexplode(F.filter(numbered, lambda x: x["spec"] != "")).alias("position", "x")).select("path", "position", "x.line", "x.spec"), "imports")
+    resolved = resolve(found, files, aliases, planner=True).where("target is not null")
+    own = mapping.select(F.col("old_path").alias("path"), F.col("new_path").alias("own_new"))
+    to = mapping.select(F.col("old_path").alias("target"), F.col("new_path").alias("target_new"))
     both = resolved.join(own, "path", "left").join(to, "target", "left").where("own_new is not null or target_new is not null")
     new = import_between(F.coalesce("own_new", "path"), F.coalesce("target_new", "target"))
     both = both.withColumn("new_import", new).where(F.col("new_import") != F.col("spec"))
-    at = found.select("path", "position", import_line("content", "position").alias("line"))
-    return both.join(at, ["path", "position"]).select("path", F.col("own_new").alias("new_path"), "position", "line", F.col("spec").alias("old_import"), "new_import")
+    return both.select("path", F.col("own_new").alias("new_path"), "position", "line", F.col("spec").alias("old_import"), "new_import")
 
 
-def import_line(content: str, position: str) -> Column:
-    """Line (from 1) of the import with this number: among lines, those that are imports, in order."""
-    lines = F.transform(F.split(F.col(content), "\n"), lambda x, i: F.when(x.rlike(r"^(?:import|export).*?from\s+['\"][^'\"\n]+['\"]"), i + 1))
-    return F.get(F.array_compact(lines), F.col(position))
+def rewrites_by_file(rewrites: DataFrame) -> DataFrame:
+    """``path, n_imports, changes``: the rewrites of each file in order."""
+    changes = F.array_sort(F.collect_list(F.struct("position", "line", "old_import", "new_import")))  # a file's imports
+    return rewrites.groupBy("path").agg(F.count("*").alias("n_imports"), changes.alias("changes"))
 
 
 def barrel_updates(files: DataFrame, mapping: DataFrame) -> DataFrame:
@@ -101,20 +138,20 @@ def barrel_updates(files: DataFrame, mapping: DataFrame) -> DataFrame:
     return first.where(F.col("x.content").contains(F.col("x.remove"))).select("path", "x.remove", "x.old_path")
 
 
-def plan_counters(moves: DataFrame, along: DataFrame, rewrites: DataFrame, barrels: DataFrame, gone: DataFrame) -> DataFrame:
-    """One row of totals."""
-    one = lambda df, name, what="*": df.agg((F.count("*") if what == "*" else F.count_distinct(what)).alias(name))
+def plan_counters(moves: DataFrame, along: DataFrame, importers: DataFrame, rewrites: DataFrame, barrels: DataFrame, gone: DataFrame) -> DataFrame:
+    """One row of totals: files that move or go along, files looked through for imports (tests too), and deletions by reason."""
+    one = lambda df, name: df.agg(F.count("*").alias(name))
     files = moves.select("source").unionByName(along.select("source"))
-    parts = [one(files, "n_files"), one(rewrites, "n_files_to_update", "path"), one(rewrites, "n_imports"), one(barrels, "n_barrels"), one(gone, "n_deletions")]
-    out = parts[0]
-    for p in parts[1:]:
+    parts = [one(importers, "n_files_to_update"), one(rewrites, "n_imports"), one(barrels, "n_barrels"), one(gone, "n_deletions")]
+    out = one(files, "n_files")
+    for p in parts:
         out = out.crossJoin(p)  # one row each
     return out
 
 
 def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels: DataFrame) -> DataFrame:
     """The tree after the plan, ``path, content``: moved files at their new place (the left copy's content), imports and barrels changed."""
-    changes = rewrites.groupBy("path").agg(F.array_sort(F.collect_list(F.struct("position", "old_import", "new_import"))).alias("changes"))  # a file's imports
+    changes = rewrites_by_file(rewrites).select("path", "changes")
     both = files.join(mapping.withColumnRenamed("old_path", "path"), "path", "left").join(changes, "path", "left").join(barrels.select("path", "remove"), "path", "left")
 
     def apply(text: Column, c: Column) -> Column:

@@ -75,8 +75,8 @@ def candidates(importer: Column, spec: Column, aliases: Aliases, planner: bool =
 
 
 def resolve(imports: DataFrame, files: DataFrame, aliases: Aliases | None = None, planner: bool = False) -> DataFrame:
-    """``imports(path, position, spec)`` with ``target``: the best candidate among ``files(path)``, null without one."""
-    tried = imports.select("path", "position", "spec", F.posexplode(candidates(F.col("path"), F.col("spec"), aliases or Aliases(), planner)).alias("rank", "target"))
+    """``imports(path, position, spec, ...)`` with ``target``: the best candidate among ``files(path)``, null without one."""
+    tried = imports.select("path", "position", F.posexplode(candidates(F.col("path"), F.col("spec"), aliases or Aliases(), planner)).alias("rank", "target"))
     there = tried.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
     best = there.groupBy("path", "position").agg(F.min_by("target", "rank").alias("target"))
     return imports.join(best, ["path", "position"], "left")

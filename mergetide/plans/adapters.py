@@ -27,11 +27,6 @@ SELECT doc_id AS ordinal, doc_id % 11 <> 3 AS in_left, doc_id % 13 <> 5 AS in_ri
   'app-' || CAST(CAST(floor(doc_id / 3) AS BIGINT) AS STRING) AS selector
 FROM {documents}"""
 
-#: Overrides: some left files belong to the right file of the next document, which may not be there.
-OVERRIDES = """
-SELECT x.left_path, y.right_path FROM ({moved}) x JOIN ({moved}) y ON y.ordinal = x.ordinal + 1 WHERE x.ordinal % 97 IN (1, 3)"""
-
-
 def half(n: int, key: str = "p_partkey") -> str:
     return f"CAST(floor({key} / {n}) AS BIGINT)"
 
@@ -57,9 +52,8 @@ UNION ALL SELECT 's:' || CAST(s_suppkey AS STRING), s_name, 'CLEAN', false, true
 
 
 def module(n: int) -> str:
-    """``m<k % 10>/f<k>`` for k the part's number over n."""
-    k = half(n)
-    return f"'m' || CAST({k} % 10 AS STRING) || '/f' || CAST({k} AS STRING)"
+    """``m<k / 100>/f<k>`` for k the part's number over n."""
+    return f"'m' || CAST({half(100 * n)} AS STRING) || '/f' || CAST({half(n)} AS STRING)"
 
 
 #: A source tree: every part is a file whose class uses those of lower parts.
@@ -76,6 +70,28 @@ SELECT p_partkey AS ordinal, 'left/' || {module(1)} || '.ts' AS path,
 FROM {{part}}"""
 
 
+#: Two branches of a tree of components with templates beside them, directives, pipes and modules; some files are missing on a
+#: side, some import another file on each side, some a file that is no node.  Sides: 0 left, 1 right.
+BRANCHES = f"""
+SELECT side, p_partkey * 2 AS ordinal, 'm' || CAST({half(100)} AS STRING) || '/f' || CAST(p_partkey AS STRING) || '.ts' AS path,
+  'import {{{{ A }}}} from ''../' || CASE WHEN side = 1 AND p_size % 3 = 0 THEN {module(3)} ELSE {module(2)} END || ''';' || chr(10) ||
+  CASE WHEN p_partkey % 7 = 2 THEN 'import x from ''../lib/old.js'';' || chr(10) ELSE '' END ||
+  CASE p_partkey % 4
+    WHEN 0 THEN '@Component({{{{ selector: ''app-f' || CAST(p_partkey AS STRING) || ''', templateUrl: ''./f' || CAST(p_partkey AS STRING) || '.html'' }}}})'
+    WHEN 1 THEN '@Directive({{{{ selector: ''dir' || CAST(p_partkey AS STRING) || ''' }}}})'
+    WHEN 2 THEN '@Pipe({{{{ name: ''pipe' || CAST(p_partkey AS STRING) || ''' }}}})'
+    ELSE '@NgModule({{{{ imports: [C' || CAST({half(3)} AS STRING) || '], declarations: [C' || CAST({half(2)} AS STRING) || ', C' || CAST({half(5)} AS STRING) || '] }}}})' END || chr(10) ||
+  'export class C' || CAST(p_partkey AS STRING) || ' {{{{ n = ' || CASE WHEN side = 1 AND p_size % 5 = 0 THEN '2' ELSE '1' END || '; }}}}' || chr(10) AS content
+FROM {{part}} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) AS s
+WHERE NOT (side = 0 AND p_partkey % 17 = 3) AND NOT (side = 1 AND p_partkey % 13 = 5)
+UNION ALL
+SELECT side, p_partkey * 2 + 1, 'm' || CAST({half(100)} AS STRING) || '/f' || CAST(p_partkey AS STRING) || '.html',
+  '<App-f' || CAST(4 * {half(8)} AS STRING) || ' [dir' || CAST(4 * {half(12)} + 1 AS STRING) || ']="v | pipe' || CAST(4 * {half(16)} + 2 AS STRING) || ' | async" [Hidden]="1" *ngIf="x">'
+FROM {{part}} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) AS s
+WHERE p_partkey % 4 = 0
+UNION ALL SELECT side, CAST(-1 AS BIGINT), 'lib/old.js', 'x' FROM (SELECT 0 AS side UNION ALL SELECT 1) AS s"""
+
+
 def sql_for_spark(spark: SparkSession, sf_dir: str, sql: str, *names: str) -> DataFrame:
     """An adapter over the given tables."""
     return spark.sql(sql, **{n: table(spark, sf_dir, n) for n in names})

@@ -12,6 +12,7 @@ from mergetide.functions.text import file_type, state_kind
 from mergetide.operators import analytics, diffing, edges, extracting, graph, matching, moving, resolving
 from mergetide.plans import adapters as A
 from mergetide.plans.oracles import ORACLES  # noqa: F401
+from mergetide.session import Divergence
 from mergetide.sources.shared import cut
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -87,7 +88,7 @@ def conflict_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 def patch_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines by class of the patches from ancestor to left copy of all changed files."""
     rows = classified(spark, sf_dir).where("div_type <> 'CLEAN'")
-    patches = rows.select("path", diffing.shortened(diffing.unified_patch("path", "base", "left")).alias("patch")).where("patch <> ''")
+    patches = rows.select("path", diffing.unified_patch("path", "base", "left").alias("patch")).where("patch <> ''")
     return diffing.patch_lines(patches, ["path"]).groupBy("line_class").agg(F.count("*").alias("n"))
 
 
@@ -177,14 +178,15 @@ def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extracting.parse_files(sources(spark, sf_dir)).withColumn("node_id", F.col("path"))
+    return cut(extracting.parse_files(sources(spark, sf_dir)).withColumn("node_id", F.col("path")), "parsed")  # each text is parsed once
 
 
 ALIASES = resolving.Aliases([("@app/*", ["left/*"])])
 
 
-def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolving.resolve(extracting.import_rows(parsed(spark, sf_dir)), sources(spark, sf_dir), ALIASES)
+def resolved(p: DataFrame) -> DataFrame:
+    """Imports of parsed files, by all their paths."""
+    return resolving.resolve(extracting.import_rows(p), p, ALIASES)
 
 
 @query
@@ -209,35 +211,35 @@ def page_references(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def state_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    paths = snapshot(spark, sf_dir).select(F.concat(F.element_at(F.array(*map(F.lit, ["Action", "reducer", "effects", "selector", "state", "x"])), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("/"), "path").alias("path"))
+    paths = snapshot(spark, sf_dir).select(F.concat(F.element_at(F.array(*map(F.lit, ["a.Actions.", "b.reducer.", "c.effects.", "d.selector.", "e.state.", "transaction"])), (F.col("doc_id") % 6 + 1).cast("int")), F.lit("/"), "path").alias("path"))
     return paths.groupBy(state_kind(F.col("path")).alias("state_kind")).agg(F.count("*").alias("n"))
 
 
 @query
 def resolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resolved(spark, sf_dir).select("path", F.col("position").cast("long").alias("position"), "spec", "target")
+    return resolved(parsed(spark, sf_dir)).select("path", F.col("position").cast("long").alias("position"), "spec", "target")
 
 
-def typed_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edges.build_edges(parsed(spark, sf_dir), resolved(spark, sf_dir).where("target is not null"))
+def typed_edges(p: DataFrame) -> DataFrame:
+    return edges.build_edges(p, resolved(p))
 
 
 @query
 def dependency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_edges(spark, sf_dir)
+    return typed_edges(parsed(spark, sf_dir))
 
 
 @query
 def edge_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return typed_edges(spark, sf_dir).groupBy("edge_type").agg(F.count("*").alias("n"))
+    return typed_edges(parsed(spark, sf_dir)).groupBy("edge_type").agg(F.count("*").alias("n"))
 
 
 @query
 def unresolved_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Imports of files that exist but are no nodes: here those of every eleventh part."""
+    """Imports of files that exist but are no nodes: here every eleventh part is none."""
     p = parsed(spark, sf_dir)
     nodes = p.where("ordinal % 11 <> 4")
-    return edges.resolved_imports(nodes, resolved(spark, sf_dir).where("target is not null"))[1]
+    return edges.resolved_imports(nodes, resolved(p))[1].select("src", "n_unresolved")
 
 
 @query
@@ -348,7 +350,7 @@ def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def connected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, e = cyclic(spark, sf_dir)
-    return graph.connected(nodes.select("id"), e.where("src like '%5'"))
+    return graph.connected(nodes.select("id"), graph.edges_within(e, nodes.where("ok")))
 
 
 @query
@@ -368,7 +370,7 @@ def scan_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def missing_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = snapshot(spark, sf_dir).where("doc_id % 7 = 2")
+    s = snapshot(spark, sf_dir)
     spots = F.when(F.col("doc_id") % 8 < 7, F.get(F.array(*map(F.lit, ["a.spec.", "a.test.", "__tests__/", "x/e2e/", "x/tests/", "y/", "z.d.ts."])), (F.col("doc_id") % 8).cast("int"))).otherwise(F.lit("w/"))
     return s.select(analytics.file_pattern(F.concat(spots, F.col("path"))).alias("pattern")).groupBy("pattern").agg(F.count("*").alias("n"))
 
@@ -381,10 +383,9 @@ def next_report_number(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def shared_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = sources(spark, sf_dir).where("ordinal % 3 = 0")
+    files = sources(spark, sf_dir)
     files = files.select("ordinal", "path", F.replace("content", F.lit("'rxjs'"), F.when(F.col("ordinal") % 2 == 0, F.lit("'../../right/x'")).otherwise(F.lit("'/lib/left/y'"))).alias("content"))
-    found = resolving.resolve(extracting.import_rows(extracting.parse_files(files)), sources(spark, sf_dir), ALIASES).where("target is not null")
-    return extracting.shared_violations(files, found, "left", "right")
+    return extracting.shared_violations(files, resolved(extracting.parse_files(files)).where("target is not null"), "left", "right")
 
 
 @query
@@ -410,7 +411,7 @@ def plan(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
     """Moves every fortieth part and all that it depends on."""
     p = parsed(spark, sf_dir)
     nodes = p.select(F.col("path").alias("id"), F.col("path").alias("left_path"), F.lit(None).cast("string").alias("right_path"))
-    e = cut(typed_edges(spark, sf_dir), "edges")
+    e = cut(typed_edges(p), "edges")
     seeds = p.where("ordinal % 40 = 39").select(F.col("path").alias("id"))
     ids = cut(graph.expand(seeds, nodes, e), "selection")
     moves = moving.file_moves(ids.withColumn("position", F.lit(None).cast("long")), nodes, "shared")  # order only matters where it is shown
@@ -425,15 +426,15 @@ def plan_moves(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plan_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, moves, mapping = plan(spark, sf_dir)
+    nodes, _, _, moves, _ = plan(spark, sf_dir)
     files = sources(spark, sf_dir)
-    return moving.deletions(mapping, moving.associated_files(moves, files))
+    return moving.deleted_paths(moves, nodes, moving.associated_files(moves, files), files).distinct()
 
 
 @query
 def plan_importers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nodes, e, ids, *_ = plan(spark, sf_dir)
-    return moving.affected_importers(ids, nodes, e)
+    nodes, e, _, moves, _ = plan(spark, sf_dir)
+    return moving.affected_importers(moves, nodes, e)
 
 
 @query
@@ -443,10 +444,18 @@ def plan_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("path", F.col("line").cast("long").alias("line"), "old_import", "new_import")
 
 
+@query
+def plan_rewrite_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rewrites grouped by file."""
+    mapping = plan(spark, sf_dir)[4]
+    return moving.rewrites_by_file(moving.import_rewrites(sources(spark, sf_dir), mapping, ALIASES)).select("path", "n_imports")
+
+
 def with_barrels(files: DataFrame) -> DataFrame:
-    """The tree with a barrel in each folder of the modules, which exports the folder's first files."""
-    names = files.where("ordinal < 200").select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.regexp_extract("path", "/([^/]*)[.]ts$", 1).alias("name"))
-    lines = names.groupBy("dir").agg(F.concat(F.array_join(F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("export * from './"), n, F.lit("';"))), "\n"), F.lit("\n")).alias("content"))
+    """The tree with a barrel in each folder of modules, which exports the folder's files: a hundred at most."""
+    names = files.select(F.regexp_extract("path", "^(.*)/", 1).alias("dir"), F.regexp_extract("path", "/([^/]*)[.]ts$", 1).alias("name"))
+    exports = F.transform(F.array_sort(F.collect_list("name")), lambda n: F.concat(F.lit("export * from './"), n, F.lit("';")))
+    lines = names.groupBy("dir").agg(F.concat(F.array_join(exports, "\n"), F.lit("\n")).alias("content"))
     return files.select("path", "content").unionByName(lines.select(F.concat("dir", F.lit("/index.ts")).alias("path"), "content"))
 
 
@@ -457,10 +466,11 @@ def plan_barrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    *_, moves, mapping = plan(spark, sf_dir)
+    nodes, e, _, moves, mapping = plan(spark, sf_dir)
     files = with_barrels(sources(spark, sf_dir))
     along = moving.associated_files(moves, files)
-    return moving.plan_counters(moves, along, moving.import_rewrites(files, mapping, ALIASES), moving.barrel_updates(files, mapping), moving.deletions(mapping, along))
+    gone = moving.deleted_paths(moves, nodes, along, files)
+    return moving.plan_counters(moves, along, moving.affected_importers(moves, nodes, e), moving.import_rewrites(files, mapping, ALIASES), moving.barrel_updates(files, mapping), gone)
 
 
 @query
@@ -468,3 +478,30 @@ def rewritten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     mapping = plan(spark, sf_dir)[4]
     files = with_barrels(sources(spark, sf_dir))
     return moving.rewritten(files, mapping, moving.import_rewrites(files, mapping, ALIASES), moving.barrel_updates(files, mapping))
+
+
+# the session, over two branches of a tree
+
+
+def session(spark: SparkSession, sf_dir: str) -> Divergence:
+    both = A.sql_for_spark(spark, sf_dir, A.BRANCHES, "part")
+    left, right = (cut(both.where(F.col("side") == i).select("ordinal", "path", "content"), "files") for i in (0, 1))
+    return Divergence(left, right, left).match().diff().graph()
+
+
+@query
+def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).edges
+
+
+@query
+def session_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session(spark, sf_dir).unresolved.select("src", "n_unresolved", F.array_join("samples", ",").alias("samples"))
+
+
+@query
+def session_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Type, names and clean subtrees of all nodes."""
+    d = session(spark, sf_dir).analyse()
+    nodes = d.nodes.join(d.clean.withColumn("is_clean", F.lit(True)), "id", "left").na.fill(False, ["is_clean"])
+    return nodes.select("id", "file_type", F.col("metadata.class_name").alias("class_name"), F.col("metadata.selector").alias("selector"), "div_type", "is_clean")

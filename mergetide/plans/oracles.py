@@ -90,10 +90,47 @@ REWRITES = f"""
 w AS (SELECT i.path, CAST(line AS BIGINT) AS line, old_import, replace({NEW}, '.ts', '') AS new_import FROM i LEFT JOIN mv o ON o.id = i.path LEFT JOIN mv t ON t.id = i.dst WHERE (o.id IS NOT NULL OR t.id IS NOT NULL))"""
 
 BARRELS = f"""
-{PLAN}, d AS (SELECT DISTINCT regexp_extract(path, '^(.*)/', 1) AS dir FROM p WHERE k < 200),
-h AS (SELECT dir, min(id) AS id FROM d JOIN mv ON starts_with(mv.id, dir || '/') GROUP BY dir),
-b AS (SELECT dir || '/index.ts' AS path, './' || replace(substr(id, length(dir) + 2), '.ts', '') AS remove, id AS old_path FROM h
-      WHERE EXISTS (SELECT 1 FROM p WHERE k < 200 AND starts_with(p.path, dir || '/') AND starts_with(p.path, replace(h.id, '.ts', ''))))"""
+{PLAN}, h AS (SELECT regexp_extract(id, '^(.*)/', 1) AS dir, min(id) AS id FROM mv GROUP BY 1),
+b AS (SELECT dir || '/index.ts' AS path, './' || replace(substr(id, length(dir) + 2), '.ts', '') AS remove, id AS old_path FROM h)"""
+
+#: lines of the barrels; a moved file's export leads to its new place, and so is not removed
+TREE_AFTER = f"""
+{REWRITES}, x AS (SELECT path, line, old_import, new_import FROM w WHERE new_import <> old_import),
+s AS ({SOURCES}), f AS (SELECT s.path, s.content, x1.old_import AS o1, x1.new_import AS n1, x2.old_import AS o2, x2.new_import AS n2
+  FROM s LEFT JOIN x x1 ON x1.path = s.path AND x1.line = 1 LEFT JOIN x x2 ON x2.path = s.path AND x2.line = 2),
+g1 AS (SELECT path, CASE WHEN o1 IS NULL THEN content ELSE replace(content, 'from ''' || o1 || '''', 'from ''' || n1 || '''') END AS content, o2, n2 FROM f),
+g2 AS (SELECT path, CASE WHEN o2 IS NULL THEN content ELSE replace(content, 'from ''' || o2 || '''', 'from ''' || n2 || '''') END AS content FROM g1),
+ex AS (SELECT regexp_extract(p.path, '^(.*)/', 1) AS dir, regexp_extract(p.path, '([^/]*)[.]ts$', 1) AS name, mv.id IS NOT NULL AS moved FROM p LEFT JOIN mv ON mv.id = p.path),
+br AS (SELECT dir || '/index.ts' AS path, string_agg('export * from ''' || CASE WHEN moved THEN '../../shared/' || dir || '/' ELSE './' END || name || ''';', chr(10) ORDER BY name) || chr(10) AS content FROM ex GROUP BY dir)"""
+
+#: lines of the patch from ancestor to left copy: an edit replaces the first line, adds one at the end, or changes every line
+PATCHES = f"""
+WITH {CLASSED}, q AS (SELECT *, coalesce(b, '') AS o, coalesce(l, '') AS a FROM n WHERE div_type <> 'CLEAN' AND coalesce(b, '') <> coalesce(l, '')),
+z AS (SELECT *, CASE WHEN o = '' THEN 0 ELSE len(string_split(o, chr(10))) END AS no, CASE WHEN a = '' THEN 0 ELSE len(string_split(a, chr(10))) END AS na,
+        o <> '' AND starts_with(a, o || chr(10)) AS tail, o <> '' AND starts_with(a, 'left head') AS head FROM q),
+y AS (SELECT CASE WHEN tail THEN 0 WHEN head THEN 1 ELSE no END AS gone, CASE WHEN tail THEN na - no WHEN head THEN 1 ELSE na END AS new,
+        CASE WHEN tail THEN least(3, no) WHEN head THEN least(3, no - 1) ELSE 0 END AS kept FROM z)"""
+
+#: files of both branches, and what their text says
+BRANCHES = f"""
+t AS ({D(A.BRANCHES)}), f AS (SELECT * FROM t WHERE path LIKE '%.ts'),
+c AS (SELECT side, path, regexp_extract(content, 'class (C[0-9]+)', 1) AS class_name, nullif(regexp_extract(content, '(?:selector|name): ''([^'']*)''', 1), '') AS selector,
+        regexp_extract(content, '@([A-Za-z]+)[(]', 1) AS kind, content FROM f),
+i AS (SELECT side, path, unnest(regexp_extract_all(content, 'from ''[.][.]/([^'']+)''', 1)) AS spec FROM f),
+r AS (SELECT i.side, i.path, t.path AS target FROM i JOIN t ON t.side = i.side AND t.path = CASE WHEN spec LIKE '%.js' THEN spec ELSE spec || '.ts' END),
+h AS (SELECT side, replace(path, '.html', '.ts') AS path, content FROM t WHERE path LIKE '%.html'),
+m AS (SELECT DISTINCT path AS dst, class_name, selector FROM c),
+u AS (SELECT side, path, 'class' AS way, 'ngmodule-import' AS edge_type, unnest(regexp_extract_all(regexp_extract(content, 'imports: .([^]]*)', 1), 'C[0-9]+')) AS key FROM c
+  UNION ALL SELECT side, path, 'class', 'ngmodule-declaration', unnest(regexp_extract_all(regexp_extract(content, 'declarations: .([^]]*)', 1), 'C[0-9]+')) FROM c
+  UNION ALL SELECT h.side, h.path, 'selector', 'template-selector', unnest(list_concat([lower(regexp_extract(h.content, '<([A-Za-z0-9]+-[A-Za-z0-9]+)', 1))], regexp_extract_all(h.content, '[[]([a-z][A-Za-z0-9]*)[]]', 1))) FROM h JOIN c ON c.side = h.side AND c.path = h.path
+  UNION ALL SELECT h.side, h.path, 'selector', 'template-pipe', unnest(regexp_extract_all(h.content, '[|] ([a-z0-9]+)', 1)) FROM h JOIN c ON c.side = h.side AND c.path = h.path),
+e AS (SELECT DISTINCT src, dst, edge_type FROM (
+  SELECT path AS src, target AS dst, 'import' AS edge_type FROM r WHERE target LIKE '%.ts'
+  UNION ALL SELECT u.path, m.dst, edge_type FROM u JOIN m ON key = CASE WHEN way = 'class' THEN class_name ELSE selector END) WHERE src <> dst),
+un AS (SELECT path AS src, count(*) AS n_unresolved, string_agg(target, ',') AS samples FROM r WHERE target NOT LIKE '%.ts' GROUP BY path),
+n AS (SELECT coalesce(x.path, y.path) AS id, coalesce(x.kind, y.kind) AS kind, coalesce(x.class_name, y.class_name) AS class_name, coalesce(x.selector, y.selector) AS selector,
+        CASE WHEN x.content IS NULL THEN 'RIGHT_ONLY' WHEN y.content IS NULL OR x.content <> y.content THEN 'RIGHT_ONLY' ELSE 'CLEAN' END AS div_type
+      FROM (SELECT * FROM c WHERE side = 0) x FULL JOIN (SELECT * FROM c WHERE side = 1) y ON x.path = y.path)"""
 
 ORACLES: dict[str, str] = {
     "divergence_types": f"WITH {CLASSED} SELECT path, div_type FROM t",
@@ -147,15 +184,15 @@ ORACLES: dict[str, str] = {
         SELECT * FROM q WHERE priority IS NOT NULL""",
     "expanded_selection": f"WITH RECURSIVE e AS ({CYC}), n AS ({CYC_NODES}), q(id) AS (SELECT id FROM n WHERE id LIKE 'p:%9' OR id LIKE 's:%1' UNION SELECT e.dst FROM q JOIN e ON e.src = q.id) SELECT id FROM q",
     "dependency_levels": f"""WITH RECURSIVE e AS ({TREE}), n AS ({NODES}), b(id, d) AS (SELECT id, 0 FROM n UNION SELECT e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id) SELECT id, CAST(max(d) AS BIGINT) AS level FROM b GROUP BY id""",
-    "connected_nodes": f"WITH e AS ({CYC}), n AS ({CYC_NODES}) SELECT id FROM n WHERE id IN (SELECT src FROM e WHERE src LIKE '%5' UNION SELECT dst FROM e WHERE src LIKE '%5')",
+    "connected_nodes": f"WITH e AS ({CYC}), n AS ({CYC_NODES}), o AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM n WHERE ok) AND dst IN (SELECT id FROM n WHERE ok)) SELECT id FROM n WHERE id IN (SELECT src FROM o UNION SELECT dst FROM o)",
     "edges_of_survivors": f"WITH e AS ({CYC}), n AS ({CYC_NODES}) SELECT src, dst FROM e WHERE src IN (SELECT id FROM n WHERE ok) AND dst IN (SELECT id FROM n WHERE ok)",
     "scan_validation": f"""WITH s AS ({SNAP}), z AS (SELECT count(*) FILTER (WHERE doc_id % 10 <> 1) AS n_found, count(*) FILTER (WHERE doc_id % 7 <> 2) AS n_parsed, count(*) FILTER (WHERE doc_id % 10 <> 1 AND doc_id % 7 = 2) AS n_missing,
         count(*) FILTER (WHERE doc_id % 10 = 1 AND doc_id % 7 <> 2) AS n_extra FROM s) SELECT *, n_found - n_parsed AS difference, round(100 * n_parsed / n_found, 1) AS coverage FROM z""",
     "missing_patterns": f"""SELECT CASE doc_id % 8 WHEN 0 THEN '*.spec.*' WHEN 1 THEN '*.test.*' WHEN 2 THEN '__tests__/*' WHEN 6 THEN '*.d.ts' ELSE CASE WHEN doc_id % 4 = 2 THEN '*.html' WHEN doc_id % 4 = 3 THEN '*.scss' WHEN doc_id % 8 = 3 THEN 'e2e/*' WHEN doc_id % 8 = 4 THEN 'test(s)/*' ELSE 'other .ts' END END AS pattern, count(*) AS n
-        FROM ({SNAP}) WHERE doc_id % 7 = 2 GROUP BY 1""",
+        FROM ({SNAP}) GROUP BY 1""",
     "next_report_number": f"SELECT CAST(max(doc_id) + 1 AS BIGINT) AS next_number FROM ({SNAP}) WHERE doc_id % 3 = 0",
-    "shared_violations": f"""WITH {PART} SELECT path, p2 AS import_path, 'left' AS points_to FROM p WHERE k % 3 = 0 UNION ALL SELECT path, p3, 'left' FROM p WHERE k % 3 = 0
-        UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN '../../right/x' ELSE '/lib/left/y' END, CASE WHEN k % 2 = 0 THEN 'right' ELSE 'left' END FROM p WHERE k % 3 = 0""",
+    "shared_violations": f"""WITH {PART} SELECT path, p2 AS import_path, 'left' AS points_to FROM p UNION ALL SELECT path, p3, 'left' FROM p
+        UNION ALL SELECT path, CASE WHEN k % 2 = 0 THEN '../../right/x' ELSE '/lib/left/y' END, CASE WHEN k % 2 = 0 THEN 'right' ELSE 'left' END FROM p""",
     "report_search": f"WITH {CLASSED} SELECT path, div_type FROM n WHERE div_type IN ('CONFLICT', 'LEFT_ONLY') AND contains(lower(path), 'de/doc1')",
     "report_page": f"WITH {CLASSED} SELECT path, div_type FROM n ORDER BY path LIMIT 100 OFFSET 100",
     "report_page_count": f"WITH {CLASSED} SELECT CAST(ceil(count(*) / 100) AS BIGINT) AS n_pages FROM n",
@@ -165,4 +202,17 @@ ORACLES: dict[str, str] = {
     "plan_importers": f"{PLAN} SELECT id AS path FROM mv UNION SELECT src FROM g WHERE dst IN (SELECT id FROM mv)",
     "plan_rewrites": f"{REWRITES} SELECT * FROM w WHERE new_import <> old_import",
     "plan_barrels": f"{BARRELS} SELECT * FROM b",
+    "plan_rewrite_counts": f"{REWRITES} SELECT path, count(*) AS n_imports FROM w WHERE new_import <> old_import GROUP BY path",
+    "plan_totals": f"""{REWRITES}, im AS (SELECT id FROM mv UNION SELECT src FROM g WHERE dst IN (SELECT id FROM mv)),
+        dr AS (SELECT DISTINCT regexp_extract(id, '^(.*)/', 1) FROM mv)
+        SELECT (SELECT count(*) FROM mv) AS n_files, (SELECT count(*) FROM im) AS n_files_to_update, (SELECT count(*) FROM w WHERE new_import <> old_import) + (SELECT count(*) FROM mv) AS n_imports,
+        (SELECT count(*) FROM dr) AS n_barrels, (SELECT count(*) FROM mv) AS n_deletions""",
+    "rewritten_tree": f"{TREE_AFTER} SELECT coalesce(mv.target, g2.path) AS path, content FROM g2 LEFT JOIN mv ON mv.id = g2.path UNION ALL SELECT path, content FROM br",
+    "patch_line_classes": f"{PATCHES}, x AS (SELECT 'hunk' AS line_class, count(*) AS n FROM y UNION ALL SELECT 'added', sum(new) + count(*) FROM y UNION ALL SELECT 'removed', sum(gone) + count(*) FROM y UNION ALL SELECT 'context', sum(kept) FROM y) SELECT line_class, CAST(n AS BIGINT) AS n FROM x WHERE n > 0",
+    "session_edges": f"WITH {BRANCHES} SELECT * FROM e",
+    "session_unresolved": f"WITH {BRANCHES} SELECT * FROM un",
+    "session_nodes": f"""WITH RECURSIVE {BRANCHES}, {REACH.replace("r(s, d)", "rr(s, d)").replace("SELECT r.s", "SELECT rr.s").replace("FROM r JOIN", "FROM rr JOIN").replace("= r.d", "= rr.d")},
+        bad AS (SELECT id FROM n WHERE div_type <> 'CLEAN' OR id IN (SELECT src FROM un) OR id IN (SELECT s FROM rr WHERE s = d))
+        SELECT id, CASE kind WHEN 'NgModule' THEN 'module' ELSE lower(kind) END AS file_type, class_name, selector, div_type,
+        NOT (id IN (SELECT id FROM bad) OR id IN (SELECT s FROM rr JOIN bad ON rr.d = bad.id)) AS is_clean FROM n""",
 }

@@ -2,7 +2,8 @@
 
     Divergence(left, right, base).match().diff().graph().analyse()
 
-Snapshots are tables ``ordinal, path, content``; each step keeps its tables as attributes and as temporary views.
+Snapshots are tables ``ordinal, path, content`` of all files of a tree; those that end with ``code`` become nodes, the
+others can be what templates name or imports lead to.  Each step keeps its tables as attributes and as temporary views.
 """
 
 from __future__ import annotations
@@ -13,10 +14,19 @@ from pyspark.sql import functions as F
 from mergetide.operators import analytics, diffing, edges, extracting, graph, matching, resolving
 from mergetide.sources.shared import cut
 
+#: order of nodes by the way they were matched: later nodes win where two hold one key
+PASSES = ["manual", "path", "classname", "selector"]
+
 
 class Divergence:
-    def __init__(self, left: DataFrame, right: DataFrame, base: DataFrame | None = None, overrides: DataFrame | None = None, aliases: resolving.Aliases | None = None) -> None:
-        self.left, self.right, self.base, self.overrides, self.aliases = left, right, base, overrides, aliases
+    """``aliases``: of both branches, or a pair of them; ``commits``: a pair of tables ``path, seq, hash, date, author``."""
+
+    def __init__(
+        self, left: DataFrame, right: DataFrame, base: DataFrame | None = None, overrides: DataFrame | None = None,
+        aliases: resolving.Aliases | tuple[resolving.Aliases, resolving.Aliases] | None = None, commits: tuple[DataFrame, DataFrame] | None = None, code: str = ".ts",
+    ) -> None:
+        self.left, self.right, self.base, self.overrides, self.commits, self.code = left, right, base, overrides, commits, code
+        self.aliases = aliases if isinstance(aliases, tuple) else (aliases, aliases)
 
     def _keep(self, name: str, table: DataFrame) -> DataFrame:
         table.createOrReplaceTempView(f"divergence_{name}")
@@ -24,7 +34,10 @@ class Divergence:
         return table
 
     def match(self) -> Divergence:
-        parse = lambda files: extracting.with_templates(extracting.parse_files(files.select("ordinal", "path", "content")), files)
+        def parse(files: DataFrame) -> DataFrame:
+            files = files.select("ordinal", "path", "content")
+            return extracting.with_templates(extracting.parse_files(files.where(F.endswith("path", F.lit(self.code)))), files)
+
         self._keep("parsed_left", cut(parse(self.left), "parsed"))
         self._keep("parsed_right", cut(parse(self.right), "parsed"))
         self._keep("matches", cut(matching.match_files(self.parsed_left, self.parsed_right, self.overrides), "matches"))
@@ -39,25 +52,37 @@ class Divergence:
             pairs = pairs.join(at(self.base, "left_path", "b1"), "left_path", "left").join(at(self.base, "right_path", "b2"), "right_path", "left")
             pairs = pairs.withColumn("base", diffing.base_of(F.lit(None).cast("string"), F.col("b1"), F.col("b2"))).drop("b1", "b2")
         pairs = pairs.withColumn("id", F.coalesce("left_path", "right_path"))
-        self._keep("divergence", cut(diffing.measure(diffing.classify(pairs), ["id", "left_path", "right_path"]), "divergence"))
+        found = diffing.measure(diffing.classify(pairs), ["id", "left_path", "right_path"])
+        if self.commits is not None:
+            found = diffing.with_commits(found, *self.commits)
+        self._keep("divergence", cut(found, "divergence"))
         return self
 
     def graph(self) -> Divergence:
-        ids = self.divergence.select("id", "left_path", "right_path")
-        sides = []
-        for parsed, column, side in ((self.parsed_left, "left_path", 0), (self.parsed_right, "right_path", 1)):
-            of = ids.where(F.col(column).isNotNull()).select(F.col(column).alias("path"), F.col("id").alias("node_id"))
-            sides.append(parsed.join(of, "path").withColumn("ordinal", F.col("ordinal") * 2 + side))
-        parsed = sides[0].unionByName(sides[1])
-        files = self.left.select("path").unionByName(self.right.select("path")).distinct()
-        imports = resolving.resolve(extracting.import_rows(parsed), files, self.aliases).where("target is not null")
-        self._keep("edges", cut(edges.build_edges(parsed, imports), "edges"))
-        self._keep("unresolved", edges.resolved_imports(parsed, imports)[1])
+        """Edges of both branches' files: paths mean a file of the branch that names them; indexes take the left file of a pair."""
+        pairs = self.divergence.select("id", "left_path", "right_path")
+        method = F.array_position(F.array(*[F.lit(p) for p in PASSES]), F.col("match_method")).cast("long")
+        order = self.matches.select(F.coalesce("left_path", "right_path").alias("id"), F.when(method > 0, method).when(F.col("right_path").isNull(), 8).otherwise(9).alias("turn"))
+        ids = pairs.join(order, "id")
+        sides, linked, lost = [], [], []
+        for parsed, files, column, aliases in ((self.parsed_left, self.left, "left_path", self.aliases[0]), (self.parsed_right, self.right, "right_path", self.aliases[1])):
+            own = ids.where(F.col(column).isNotNull()).select(F.col(column).alias("path"), F.col("id").alias("node_id"), "turn", F.col("left_path").isNotNull().alias("has_left"))
+            own = parsed.join(own, "path").withColumn("ordinal", F.col("turn") * F.lit(1 << 48) + F.col("ordinal"))
+            found, missed = edges.resolved_imports(own, resolving.resolve(extracting.import_rows(own), files, aliases))
+            sides.append(own)
+            linked.append(found)
+            lost.append(missed)
+        both = sides[0].unionByName(sides[1])
+        indexed = sides[0].unionByName(sides[1].where("not has_left"))
+        found = edges.build_edges(both, indexed=indexed).unionByName(linked[0]).unionByName(linked[1])
+        self._keep("edges", cut(found.where("src <> dst").distinct(), "edges"))
+        missed = lost[0].unionByName(lost[1]).groupBy("src").agg(F.sum("n_unresolved").alias("n_unresolved"), F.slice(F.flatten(F.collect_list("samples")), 1, edges.SAMPLES).alias("samples"))
+        self._keep("unresolved", cut(missed, "unresolved"))  # two rows a node at most
         return self
 
     def analyse(self) -> Divergence:
-        d = self.divergence.withColumn("effort", analytics.effort())
-        n = d.join(self.unresolved.withColumnRenamed("src", "id"), "id", "left")
+        d = extracting.node_rows(self.divergence, self.parsed_left, self.parsed_right).withColumn("effort", analytics.effort())
+        n = d.join(self.unresolved.withColumnsRenamed({"src": "id", "samples": "unresolved_imports"}), "id", "left")
         n = n.withColumn("dirty", ~F.col("div_type").isin(*analytics.CLEAN_TYPES)).withColumn("ok", ~F.col("dirty") & F.col("n_unresolved").isNull())
         self._keep("nodes", cut(n, "nodes"))
         clean = self._keep("clean", cut(graph.clean_nodes(self.nodes, self.edges), "clean"))

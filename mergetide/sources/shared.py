@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -39,10 +38,8 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
 
 
 def free(spark: SparkSession, *written: DataFrame) -> None:
-    """Delete tables made by :func:`cut` that nothing reads any more, and let Spark drop unreferenced shuffle files."""
+    """Delete tables made by :func:`cut` that nothing reads any more."""
     for df in written:
-        for file in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(file)
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-    gc.collect()
-    spark._jvm.System.gc()

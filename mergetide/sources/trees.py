@@ -21,34 +21,53 @@ PRUNED = r"(^|/)(node_modules|dist|\.[^/]*)/"
 FOUND_PRUNED = r"(^|/)(node_modules|\.git|dist)/"
 
 
-def scan_tree(spark: SparkSession, root: str, branch: str, ends: list[str] | None = None, pruned: str = PRUNED) -> DataFrame:
-    """``branch, ordinal, path, content`` of the files below ``root``; a missing folder is an empty tree.
-
-    Paths are relative, ordinals rank them; folders named node_modules or dist, and those that begin with a dot, are
-    left out.
-    """
+def listed(spark: SparkSession, root: str, ends: list[str], pruned: str) -> DataFrame | None:
+    """``path, content`` (bytes) of the files below ``root``, paths relative to it; None where there is no such folder."""
     uri = root if "://" in root else "file://" + os.path.abspath(root)
     hadoop = spark._jvm.org.apache.hadoop.fs.Path(uri)
     system = hadoop.getFileSystem(spark._jsc.hadoopConfiguration())
     if not system.exists(hadoop):
-        return spark.createDataFrame([], "branch string, ordinal long, path string, content string")
+        return None
     top = system.resolvePath(hadoop).toUri().getPath().rstrip("/") + "/"
-    glob = "*{" + ",".join(ends or CODE_ENDS) + "}"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(uri)
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(ends) + "}").load(uri)
     path = F.regexp_replace(F.expr("parse_url(path, 'PATH')"), "^" + re.escape(top), "")
-    files = files.select(path.alias("path"), F.decode("content", "UTF-8").alias("content")).where(~F.col("path").rlike(pruned))
-    return ordinals(files).select(F.lit(branch).alias("branch"), "ordinal", "path", "content")
+    return files.select(path.alias("path"), "content").where(~F.col("path").rlike(pruned))
+
+
+def scan_tree(spark: SparkSession, root: str, branch: str, ends: list[str] | None = None) -> DataFrame:
+    """``branch, ordinal, path, content`` of the files below ``root``; a missing folder is an empty tree.
+
+    Paths are relative, ordinals rank them; folders named node_modules or dist, and those that begin with a dot, are
+    left out.
+    """
+    files = listed(spark, root, ends or CODE_ENDS, PRUNED)
+    if files is None:
+        return spark.createDataFrame([], "branch string, ordinal long, path string, content string")
+    return ordinals(files.select("path", F.decode("content", "UTF-8").alias("content"))).select(F.lit(branch).alias("branch"), "ordinal", "path", "content")
 
 
 def found_files(spark: SparkSession, root: str, ends: list[str] | None = None) -> DataFrame:
-    """The independent scan of a validation: other rules of pruning, no contents."""
-    return scan_tree(spark, root, "found", ends or FOUND_ENDS, FOUND_PRUNED).select("path")
+    """``path``: the independent scan of a validation, by other rules of pruning; contents are not read."""
+    files = listed(spark, root, ends or FOUND_ENDS, FOUND_PRUNED)
+    return spark.createDataFrame([], "path string") if files is None else files.select("path")
+
+
+def commits_from_log(spark: SparkSession, path: str) -> DataFrame:
+    """``path, seq, hash, date, author``, a row for each file of each commit, from text files of a log.
+
+    The log is that of ``git log --name-only --format=%x02%H%x01%aI%x01%an%x01``, newest first; later commits have higher
+    ``seq``.  A commit without files gives no rows.
+    """
+    log = spark.read.option("lineSep", "\x02").text(path).withColumn("seq", -F.monotonically_increasing_id())
+    part = F.split("value", "\x01")
+    rows = log.where(F.size(part) >= 4).select("seq", part[0].alias("hash"), part[1].alias("date"), part[2].alias("author"), F.explode(F.split(part[3], "\n")).alias("path"))
+    return rows.where("path <> ''").select("path", "seq", "hash", "date", "author")
 
 
 def mapping_overrides(spark: SparkSession, path: str) -> DataFrame:
-    """``left_path, right_path`` of a mapping file's manual overrides; empty where the file is missing or not JSON."""
+    """``left_path, right_path`` of the manual overrides in a mapping file or a folder of them; none where it is missing or not JSON."""
     try:
-        rows = spark.read.schema("manualOverrides map<string,string>").option("multiLine", True).json(path)
+        rows = spark.read.schema("manualOverrides map<string,string>").option("multiLine", os.path.splitext(path)[1] != "").json(path)
         rows.take(1)
     except Exception as error:  # a path that does not exist
         if "PATH_NOT_FOUND" not in str(error):
@@ -58,10 +77,11 @@ def mapping_overrides(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_mapping(matches: DataFrame, overrides: DataFrame | None, path: str) -> None:
-    """Mapping as JSON lines: one object per pair or lonely file; overrides are kept in a file beside it."""
+    """``path/mappings``: JSON lines, an object for each pair or lonely file; ``path/overrides``: an object for each override."""
     matches.write.mode("overwrite").json(f"{path}/mappings")
     if overrides is not None:
-        overrides.groupBy().agg(F.map_from_entries(F.collect_list(F.struct("left_path", "right_path"))).alias("manualOverrides")).write.mode("overwrite").json(f"{path}/overrides")  # hand-written: few
+        one = F.create_map("left_path", "right_path").alias("manualOverrides")
+        overrides.select(one).write.mode("overwrite").json(f"{path}/overrides")  # reads back with mapping_overrides
 
 
 def relaxed_json(text: str) -> dict:
@@ -86,6 +106,16 @@ def other_branch(aliases: Aliases, left: str, right: str) -> Aliases:
     return Aliases([(a, [swap(p) for p in ps]) for a, ps in aliases.entries], None if aliases.base_url is None else swap(aliases.base_url))
 
 
+def branch_aliases(text: str, folder: str, left: str, right: str) -> tuple[Aliases, Aliases]:
+    """Aliases for both branches of a tsconfig; where its folder lies in neither, its base folder is taken below each."""
+    own = path_aliases(text, folder)
+    if any(f"/{b.strip('/')}/" in f"{own.base_url}/" or f"{own.base_url}/".startswith(f"{b.strip('/')}/") for b in (left, right)):
+        return own, other_branch(own, left, right)
+    below = lambda b, p: os.path.normpath(os.path.join(b, os.path.relpath(p, folder)))
+    both = [Aliases([(a, [below(b, p) for p in ps]) for a, ps in own.entries], below(b, own.base_url or folder)) for b in (left, right)]
+    return both[0], both[1]
+
+
 def git_root(start: str) -> str:
     at = os.path.abspath(start)
     while not os.path.exists(os.path.join(at, ".git")):

@@ -5,8 +5,9 @@ import subprocess
 import pytest
 from pyspark.sql import functions as F
 
-from mergetide.functions.text import import_between, normalised, tidy_path
-from mergetide.operators import diffing, extracting, graph, matching, moving, resolving
+from mergetide.functions import references
+from mergetide.functions.text import import_between, normalised, relative_to, state_kind, tidy_path
+from mergetide.operators import analytics, diffing, extracting, graph, matching, moving, resolving
 from mergetide.session import Divergence
 from mergetide.sources import reports, trees
 
@@ -210,3 +211,139 @@ def test_plan(spark):
     tree = {r["path"]: r["content"] for r in moving.rewritten(files, mapping, rewrites.where("path <> 'r/a/index.ts'"), barrels).collect()}
     assert tree["shared/a/x.ts"].startswith("import { Y } from '../../r/b/y';") and tree["r/a/index.ts"] == "export * from './w';" and "r/a/x.ts" not in tree
     assert {r["id"] for r in moving.selection(" a , b,", nodes).collect()} == {"a", "b"}
+
+
+def random_text(rng, n):
+    return "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789\n", k=n))
+
+
+def test_ordinals_keep_wide_rows(spark):
+    """Contents that do not compress, so that the engine merges ranges differently for rows and for counts."""
+    texts = spark.range(30_000).selectExpr("concat('p', lpad(id, 6, '0')) as path", "concat_ws('', transform(sequence(1, 80), i -> sha2(concat(id, ':', i), 256))) as content")
+    for plan in (matching.ordinals(texts), matching.ordinals(texts.repartition(7))):
+        got = plan.selectExpr("count(*)", "count(distinct ordinal)", "min(ordinal)", "max(ordinal)", "count_if(cast(substr(path, 2) as int) = ordinal)").first()
+        assert tuple(got) == (30_000, 30_000, 0, 29_999, 30_000)
+    twice = spark.createDataFrame([("a",), ("a",), ("b",)], "path string")
+    assert sorted(tuple(r) for r in matching.ordinals(twice).collect()) == [("a", 0), ("a", 1), ("b", 2)]
+    assert matching.ordinals(twice.limit(0)).count() == 0
+
+
+def test_scan_keeps_all_files(spark, tmp_path):
+    rng = random.Random(1)
+    for i in range(1500):
+        at = tmp_path / "t" / f"d{i % 9}"
+        at.mkdir(parents=True, exist_ok=True)
+        (at / f"f{i}.ts").write_text(random_text(rng, 12_000))
+    tree = trees.scan_tree(spark, str(tmp_path / "t"), "left")
+    got = tree.selectExpr("count(*)", "count(distinct ordinal)", "max(ordinal)", "min(length(content))").first()
+    assert tuple(got) == (1500, 1500, 1499, 12_000)
+    assert trees.found_files(spark, str(tmp_path / "t")).count() == 1500
+    assert trees.found_files(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_session_keeps_branches_apart(spark):
+    """One path imports different files on each side, and one imports a file that is no node."""
+    left = [(0, "a.ts", "import x from './x';\nexport class A {}"), (1, "x.ts", "export class X {}"), (2, "y.ts", "export class Y {}"), (3, "u.ts", "import z from './z.js';"), (4, "z.js", "1")]
+    right = [(0, "a.ts", "import y from './y';\nexport class A {}"), *left[1:3], (3, "w.ts", "export class X {}"), (4, "v.ts", "export class V { constructor(x: X) {} }")]
+    tables = [spark.createDataFrame(t, FILES) for t in (left, right)]
+    logs = [spark.createDataFrame([("a.ts", 1, f"{h}1", "d", "n"), ("a.ts", 2, f"{h}2", "d", "n")], "path string, seq long, hash string, date string, author string") for h in "lr"]
+    d = Divergence(*tables, tables[0], commits=tuple(logs)).match().diff().graph().analyse()
+    found = {(r["src"], r["dst"], r["edge_type"]) for r in d.edges.collect()}
+    assert found == {("a.ts", "x.ts", "import"), ("a.ts", "y.ts", "import"), ("v.ts", "w.ts", "injection")}  # the last holder of a class wins
+    assert [tuple(r) for r in d.unresolved.collect()] == [("u.ts", 1, ["z.js"])]
+    nodes = {r["id"]: r for r in d.nodes.collect()}
+    assert set(nodes) == {"a.ts", "x.ts", "y.ts", "u.ts", "w.ts", "v.ts"} and not nodes["u.ts"]["ok"]
+    assert (nodes["a.ts"]["last_left"]["hash"], nodes["a.ts"]["last_right"]["hash"], nodes["x.ts"]["last_left"]) == ("l2", "r2", None)
+    assert nodes["a.ts"]["file_type"] == "unknown" and nodes["v.ts"]["metadata"]["class_name"] == "V" and nodes["v.ts"]["metadata"]["exports"] is None
+
+
+def test_template_rules(spark):
+    html = "<app-x> <x-> <y-z <Kit-Box/> <a-b-9\n> [Index]=1 [appD] *Foo *ngIf {{ v | Size }} <c-d"
+    r = spark.range(1).select(references.template_refs(F.lit(html)).alias("r")).first()["r"]
+    assert [(x["type"], x["name"]) for x in r] == [("component", "app-x"), ("component", "y-z"), ("component", "kit-box"), ("component", "a-b-9"), ("directive", "appD"), ("directive", "ngIf"), ("pipe", "Size")]
+    paths = ["transaction.service.ts", "a/B.Actions.ts", "x.reducer.ts", "x.effects.ts", "x.selector.ts", "x.selectors.ts", "x.state.ts", "actions.ts", "x.actions.tsx"]
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select(state_kind(F.col("p")).alias("k")).collect()
+    assert [x["k"] for x in got] == [None, "action", "reducer", "effect", "selector", "selector", "state", None, None]
+    d = spark.createDataFrame([("/r/a/b.ts", "/r/"), ("C:\\r\\x.ts", "C:/r"), ("/q/x", "/r")], "p string, r string")
+    assert [x[0] for x in d.select(relative_to(F.col("p"), F.col("r"))).collect()] == ["a/b.ts", "x.ts", "/q/x"]
+    aliases = resolving.Aliases([("@l/*", ["lib/*"]), ("@one", ["one.ts"])])
+    specs = spark.createDataFrame([("@l/x",), ("@l",), ("@one",), ("@lx/y",), ("./@l/x",)], "s string")
+    assert [x[0] for x in specs.select(resolving.is_aliased(F.col("s"), aliases)).collect()] == [True, True, True, False, False]
+
+
+def test_patches_apply(spark):
+    rng = random.Random(8)
+    for _ in range(200):
+        a, b = ([rng.choice("abcde") for _ in range(rng.randrange(30))] for _ in range(2))
+        b = a[: rng.randrange(30)] + b[:3] + a[rng.randrange(1, 30) :]
+        patch = diffing.patch_text("p", "\n".join(a), "\n".join(b)).split("\n")
+        out, at = [], 0
+        for line in patch[2:]:
+            if line.startswith("@@"):
+                start, _, n = line.split(" ")[1][1:].partition(",")
+                start = int(start) - (n != "0")
+                out, at = out + a[at:start], start
+            elif line[0] == "+":
+                out.append(line[1:])
+            else:
+                assert a[at] == line[1:]
+                out, at = (out + [line[1:]] if line[0] == " " else out), at + 1
+        assert out + a[at:] == b or a == b
+    big = [f"l{rng.randrange(10**9)}" for _ in range(20_000)]
+    assert len(diffing.edit_script(big, [f"m{i}" for i in range(20_000)])) == 40_000
+
+
+def test_governance_and_samples(spark):
+    none = spark.createDataFrame([], "path string, import_path string, points_to string")
+    extracting.require_clean(none)
+    with pytest.raises(extracting.SharedViolations, match="1 imports"):
+        extracting.require_clean(none.union(spark.createDataFrame([("s.ts", "/left/x", "left")], none.schema)))
+    a, b = (spark.createDataFrame([(f"{x}{i:02d}",) for i in range(15)] + [("same",)], "path string") for x in "ab")
+    got = analytics.validation_samples(a, b).collect()
+    assert [tuple(r) for r in got] == [("missing", f"a{i:02d}") for i in range(10)] + [("extra", f"b{i:02d}") for i in range(10)]
+    lost = spark.createDataFrame([(f"n{i}", 4, list("abcd")) for i in range(7)], "src string, n_unresolved long, samples array<string>")
+    assert [tuple(r) for r in analytics.unresolved_samples(lost).collect()] == [(f"n{i}", 4, list("abc")) for i in range(5)]
+    trees_ = spark.createDataFrame([("r", f"m{i:02d}") for i in range(12)], "root string, id string")
+    assert analytics.first_members(trees_).first()["members"] == [f"m{i:02d}" for i in range(10)]
+    nodes = spark.createDataFrame([("d", True, 0), ("a", False, 0), ("b", False, 0)], "id string, dirty boolean, effort int")
+    e = spark.createDataFrame([("a", "d"), ("b", "d"), ("b", "gone")], "src string, dst string")
+    assert [tuple(r) for r in analytics.unlocking(graph.bottlenecks(nodes, e, samples=2)).select("id", "unlock_count", "samples").collect()] == [("d", 3, ["a", "b"])]
+    assert [tuple(r)[:2] for r in graph.missing_dependencies(nodes, e).collect()] == [("b", "gone")]
+
+
+def test_commits_mapping_and_branches(spark, tmp_path):
+    (tmp_path / "log.txt").write_text("\x02h2\x012024\x01An\x01\na.ts\nb.ts\n\n\x02h1\x012023\x01Bo\x01\na.ts\n\x02h0\x012022\x01Bo\x01\n")
+    commits = trees.commits_from_log(spark, str(tmp_path / "log.txt"))
+    assert sorted((r["path"], r["hash"]) for r in diffing.last_commits(commits).collect()) == [("a.ts", "h2"), ("b.ts", "h2")] and commits.count() == 3
+    (tmp_path / "bad.json").write_text("not json")
+    assert trees.mapping_overrides(spark, str(tmp_path / "bad.json")).count() == 0
+    pairs = spark.createDataFrame([("a", "b", "path")], "left_path string, right_path string, match_method string")
+    trees.write_mapping(pairs, pairs.select("left_path", "right_path"), str(tmp_path / "m"))
+    assert [tuple(r) for r in trees.mapping_overrides(spark, str(tmp_path / "m/overrides")).collect()] == [("a", "b")]
+    text = '{"compilerOptions": {"baseUrl": "src", "paths": {"@a/*": ["app/*"]}}}'
+    one, two = trees.branch_aliases(text, "/r/left", "/r/left", "/r/right")
+    assert (one.base_url, two.base_url) == ("/r/left/src", "/r/right/src")
+    one, two = trees.branch_aliases(text, "/cfg", "/r/left", "/r/right")
+    assert (one.base_url, two.entries) == ("/r/left/src", [("@a/*", ["/r/right/src/app/*"])])
+
+
+def test_plan_over_two_branches(spark):
+    code = "@Component({ templateUrl: './t.html', styleUrls: ['./no.css'] })\nexport class X {}"
+    files = spark.createDataFrame([(0, "left/x.ts", code), (1, "right/x.ts", code), (2, "right/t.html", ""), (3, "left/x.scss", ""), (4, "right/x.scss", ""), (5, "left/u.test.ts", "import './x';")], FILES)
+    nodes = spark.createDataFrame([("x.ts", "left/x.ts", "right/x.ts"), ("u.test.ts", "left/u.test.ts", None), ("n", None, None)], "id string, left_path string, right_path string")
+    moves = moving.file_moves(spark.createDataFrame([("x.ts", 0)], "id string, position long"), nodes, "shared")
+    both = ("left", "right")
+    along = moving.associated_files(moves, files, both)
+    assert {(r["source"], r["target"]) for r in along.collect()} == {("right/t.html", "shared/t.html"), ("left/x.scss", "shared/x.scss")}
+    assert [r["warning"] for r in moving.association_warnings(moves, files, both).collect()] == ["not found: ./no.css"]
+    gone = moving.deleted_paths(moves, nodes, along, files, both)
+    assert sorted(r["path"] for r in gone.collect()) == ["left/x.scss", "left/x.ts", "right/t.html", "right/x.scss", "right/x.ts"]
+    e = spark.createDataFrame([("u.test.ts", "x.ts")], "src string, dst string")
+    users = moving.affected_importers(moves, nodes, e)
+    assert sorted(r["path"] for r in users.collect()) == ["left/u.test.ts", "left/x.ts"]
+    mapping = moving.path_mapping(moves, nodes)
+    rewrites = moving.import_rewrites(files, mapping)
+    totals = moving.plan_counters(moves, along, users, rewrites, moving.barrel_updates(files, mapping), gone).first()
+    assert tuple(totals) == (3, 2, 0, 0, 5)
+    ids = spark.createDataFrame([("n",), ("zz",), ("x.ts",)], "id string")
+    assert sorted(tuple(r) for r in moving.plan_warnings(ids, nodes).collect()) == [("n", "no path"), ("zz", "unknown node")]
