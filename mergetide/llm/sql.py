@@ -40,20 +40,27 @@ FROM q
 """
 
 OP6 = rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
-s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, CAST(len({WORDS}) AS BIGINT) AS size FROM documents),
+s0 AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, count(*) AS n_docs FROM d GROUP BY source),
 s1 AS (SELECT *, row_number() OVER (ORDER BY source ASC NULLS LAST) - 1 AS rk, sum(source_size) OVER () AS everything FROM s0),
 s2 AS (SELECT *, CASE rk % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0 ELSE 2.0 END AS weight, source_size * 2.0::DOUBLE AS cap FROM s1),
 s3 AS (SELECT *, everything * 1.5::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, rk ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
               sum(weight) OVER (ORDER BY cap / weight, rk ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS wl FROM s2),
 s4 AS (SELECT *, lft / wl AS lev, cap <= lft / wl * weight AS filled FROM s3),
-s5 AS (SELECT source, source_size, CASE WHEN filled THEN cap ELSE max(lev) FILTER (NOT filled) OVER () * weight END AS target FROM s4),
-s AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS copies FROM s5),
+s AS (SELECT source, source_size, n_docs, CASE WHEN filled THEN cap ELSE max(lev) FILTER (NOT filled) OVER () * weight END AS target FROM s4),
+e AS (SELECT d.rid, d.doc_id, d.text, d.size, s.*, CASE WHEN 2 * d.size * n_docs < source_size THEN 0 WHEN d.size * n_docs > 2 * source_size THEN 2 ELSE 1 END AS stratum
+      FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+t0 AS (SELECT source, stratum, any_value(target) AS target, CAST(sum(size) AS BIGINT) AS words, stratum + 1.0::DOUBLE AS sw FROM e GROUP BY source, stratum),
+t1 AS (SELECT *, target - coalesce(sum(words * 2.0::DOUBLE) OVER (PARTITION BY source ORDER BY 2.0::DOUBLE / sw, stratum ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS lft,
+              nullif(sum(sw * words) OVER (PARTITION BY source ORDER BY 2.0::DOUBLE / sw, stratum ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0) AS wl FROM t0),
+t2 AS (SELECT *, coalesce(lft / wl, 0) AS lev, words * 2.0::DOUBLE <= coalesce(lft / wl, 0) * (sw * words) AS filled FROM t1),
+t3 AS (SELECT *, CASE WHEN filled THEN words * 2.0::DOUBLE ELSE max(lev) FILTER (NOT filled) OVER (PARTITION BY source) * (sw * words) END AS part FROM t2),
+t4 AS (SELECT *, least(2.0::DOUBLE, round(coalesce(part / nullif(words, 0), 0), 9)) AS copies FROM t3),
+t AS (SELECT source, stratum, floor(copies) AS whole, copies - floor(copies) AS p, target - sum(floor(copies) * words) OVER (PARTITION BY source) AS rest FROM t4),
 r AS (
-  SELECT d.rid, d.doc_id, d.size, s.source, s.source_size, s.target, floor(copies) AS whole, copies - floor(copies) AS p,
-         target - floor(copies) * source_size AS rest,
-         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
-  FROM d JOIN s ON d.source IS NOT DISTINCT FROM s.source),
+  SELECT e.rid, e.doc_id, e.size, e.source, e.source_size, e.target, t.whole, t.p, t.rest,
+         (CAST('0x' || substr(md5('mix:' || coalesce(CAST(doc_id AS VARCHAR), 'null') || ':' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE AS u
+  FROM e JOIN t ON e.source IS NOT DISTINCT FROM t.source AND e.stratum = t.stratum),
 q AS (SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS rank FROM r),
 w AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM q)
 SELECT doc_id, size, source_size, target,

@@ -268,6 +268,21 @@ def test_mixing(spark):
     assert mix_sources(table(spark, [])).count() == 0
 
 
+def test_mixing_weighs_sizes(spark):
+    """One source that is left at 1.2 copies: longer documents are drawn more often, and so are those of equal or null ids."""
+    rng = random.Random(5)
+    texts = [" ".join(["w"] * n) + f" {i}" for i, n in enumerate(rng.choices([10, 50, 200], [4, 4, 1], k=3000))]
+    ids = [None if i % 3 == 0 else i % 5 for i in range(3000)]
+    docs = table(spark, texts, ids=ids, sources=["s"] * 3000)
+    got = mix_sources(docs, share=1.2).collect()
+    total = sum(len(words(t)) for t in texts)
+    assert len(got) == 3000 and abs(sum(r["taken"] for r in got) - 1.2 * total) <= 201
+    copies = {n: np.mean([r["taken"] / r["size"] for r in got if r["size"] == n + 1]) for n in (10, 50, 200)}
+    assert copies[10] + 0.2 < copies[50] < copies[200] - 0.2 and all(r["taken"] <= 2 * r["size"] for r in got)
+    null = np.mean([r["taken"] / r["size"] for r in got if r["doc_id"] is None])
+    assert abs(null - np.mean([r["taken"] / r["size"] for r in got])) < 0.1
+
+
 def test_kept_text_hash(spark):
     """What op7 returns of the kept text."""
     from pyspark.sql import functions as F
