@@ -23,8 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import Words, mix, slices, words_of
-from mergetide.llm.windows import LEAST, identified, merged, repeats, window_rows
-from mergetide.sources.shared import cut, free
+from mergetide.llm.windows import HOT, LEAST, identified, later_windows, merged
+from mergetide.sources.shared import cut
 
 ROUNDS = 5
 
@@ -89,12 +89,14 @@ def symbol_keys(width: int, rounds: int = ROUNDS):
     return keys
 
 
-def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_words, n_removed, kept`` of each row: words of windows that also start earlier are removed."""
+def dedup_substrings(docs: DataFrame, width: int = 20, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
+    """``doc_id, n_words, n_removed, kept`` of each row: words of windows that also start earlier are removed.
+
+    hot: how many windows of a bucket of keys one task may get.
+    """
     rows = identified(docs, id_col, text_col)
-    found = repeats(window_rows(rows, width, symbol_keys(width)), width, firsts=False)
+    found = later_windows(rows, width, symbol_keys(width), hot)
     spans = cut(found.groupBy("doc_id", "tag").agg(F.collect_list(F.struct("start", "stop")).alias("spans")), "spans")
-    free(docs.sparkSession)  # the fingerprints' shuffle goes before the texts are joined
     joined = rows.join(spans, ["doc_id", "tag"], "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

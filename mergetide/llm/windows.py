@@ -1,13 +1,14 @@
 """Repeated word windows: one shuffle of window fingerprints, grouped by a key that a window's words alone decide.
 
-A map task gives each window of ``width`` words a key (a recompression symbol or a minimiser inside it) and writes
-one row for each stretch of consecutive windows of a document with one key: document, first word, and 48 bits of each
-window's fingerprint.  Equal windows have equal keys, so a task that reads the rows of a key in order of document and
-position finds each window's first occurrence; it keeps only distinct windows of the one key it is reading.
-
-A passage shorter than ``width`` that many documents hold gives all its windows one key, and most of these windows differ.
-So windows are counted first in ``BUCKETS`` buckets of keys, and in buckets with more than ``HOT`` (and more than 8 times
-the mean) each window gets a key of its own fingerprint: equal windows still meet, others fall on all tasks.
+A map task gives each window of ``width`` words a key (such as a recompression symbol inside it) and writes one row for
+each stretch of consecutive windows of a document with one key: document, first word, and 64 bits of each window's
+fingerprint.  Equal windows have equal keys, so a task that reads the rows of a key in order of document and position
+finds each window's first occurrence; it keeps only distinct windows of the one key it is reading.
+
+A passage shorter than ``width`` that many documents hold gives all its windows one key, and most of these windows differ;
+a passage that is longer gives many equal windows.  So windows are counted first in ``BUCKETS`` buckets of keys, and those in
+buckets with more than ``hot`` (and more than 8 times the mean) go another way: a row each, whose first occurrence is an
+aggregate that combines before the shuffle, and which come back to it by a join whose skewed keys the engine splits.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import Words, mix, rolling, slices, spans_of, words_of
+from mergetide.sources.shared import cut
 
-BYTES, BUCKETS, HOT = 6, 1 << 16, 1 << 16
+BYTES, BUCKETS, HOT = 8, 1 << 16, 1 << 16
 LEAST = np.int64(-(2**63))
 #: (Words, starts of windows) -> a key for each window
 Keys = Callable[[Words, np.ndarray, np.ndarray], np.ndarray]
@@ -37,8 +39,21 @@ def bucket_of(key: np.ndarray) -> np.ndarray:
     return (mix(key) % np.uint64(BUCKETS)).astype(np.int64)
 
 
-def hot_buckets(docs: DataFrame, width: int, keys: Keys) -> np.ndarray:
-    """Numbers of the buckets of keys that hold too many windows for one task: 1 in 8 of all at most."""
+def with_firsts(rows: DataFrame, content: list[str], place: list[str], kept: list[str] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(classes, members) of ``rows(*content, doc_id, tag, *place)``, a written table.
+
+    Classes are the distinct contents with their ``first`` place, a struct of ``doc_id, tag, *place``, and the columns of
+    ``kept``; members are the rows of contents that stand at two places at least, with ``later``: not the first one.
+    """
+    at = F.struct("doc_id", "tag", *place)
+    classes = rows.groupBy(*content, *(kept or [])).agg(F.min(at).alias("first"), F.max(at).alias("_last"))
+    classes = cut(classes.withColumn("twice", F.col("first") != F.col("_last")).drop("_last"), "classes")
+    members = rows.join(classes.where("twice").select(*content, "first"), content).withColumn("later", at > F.col("first"))
+    return classes.drop("twice"), members.drop("first")
+
+
+def hot_buckets(docs: DataFrame, width: int, keys: Keys, most: int = HOT) -> np.ndarray:
+    """Whether a bucket of keys holds too many windows for one task: more than ``most``, and more than 1 in 8192 of all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(BUCKETS, np.int64)
@@ -51,45 +66,72 @@ def hot_buckets(docs: DataFrame, width: int, keys: Keys) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["bucket", "n"])
 
     found = docs.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    counts = np.array([(r["bucket"], r["n"]) for r in found.toLocalIterator()], np.int64).reshape(-1, 2)
-    return counts[counts[:, 1] > max(HOT, 8 * counts[:, 1].sum() // BUCKETS), 0]
+    counts = np.zeros(BUCKETS, np.int64)
+    for r in found.toLocalIterator():  # as many rows as buckets
+        counts[r["bucket"]] = r["n"]
+    return counts > max(most, 8 * int(counts.sum()) // BUCKETS)
 
 
-def window_rows(docs: DataFrame, width: int, keys: Keys) -> DataFrame:
-    """``key, doc_id, tag, start, prints``: stretches of windows of one document that share a key."""
-    hot = np.zeros(BUCKETS, bool)
-    hot[hot_buckets(docs, width, keys)] = True
+def window_rows(docs: DataFrame, width: int, keys: Keys, hot: np.ndarray) -> DataFrame:
+    """``key, doc_id, tag, start, prints``: stretches of windows of one document that share a key, hot ones left out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             w = words_of(b["text"])
             starts, rows = spans_of(w.row, width)
+            prints = rolling(w.hashes, width)[starts]
+            key = keys(w, starts, prints) if len(starts) else prints
+            cold = ~hot[bucket_of(key)]
+            starts, rows, prints, key = starts[cold], rows[cold], prints[cold], key[cold]
             if not len(starts):
                 continue
-            prints = rolling(w.hashes, width)[starts]
-            key = keys(w, starts, prints)
-            key = np.where(hot[bucket_of(key)], mix(key + prints), key)
             new = np.ones(len(starts), bool)
-            new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1])
+            new[1:] = (key[1:] != key[:-1]) | (rows[1:] != rows[:-1]) | (starts[1:] != starts[:-1] + 1)
             at = np.flatnonzero(new)
-            low = prints.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :BYTES]
             offsets = np.append(at, len(starts)) * BYTES
-            blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(low))])
+            blob = pa.Array.from_buffers(pa.binary(), len(at), [None, pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(np.ascontiguousarray(prints.astype("<u8")))])
             r = rows[at]
             yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), b["doc_id"].take(pa.array(r)), b["tag"].take(pa.array(r)), pa.array((starts[at] - w.row[r]).astype(np.int32)), blob], ["key", "doc_id", "tag", "start", "prints"])
 
     return docs.mapInArrow(run, "key long, doc_id long, tag int, start int, prints binary")
 
 
-def repeats(rows: DataFrame, width: int, firsts: bool) -> DataFrame:
-    """``doc_id, tag, first, start, stop``: words covered by windows that occur before (``first`` false).
+def hot_windows(docs: DataFrame, width: int, keys: Keys, hot: np.ndarray) -> DataFrame:
+    """``key, print, doc_id, tag, start``: the windows with hot keys, a row each."""
 
-    firsts: also those covered by a window that occurs again later (``first`` true).
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            w = words_of(b["text"])
+            starts, rows = spans_of(w.row, width)
+            if not len(starts):
+                continue
+            prints = rolling(w.hashes, width)[starts]
+            key = keys(w, starts, prints)
+            i = np.flatnonzero(hot[bucket_of(key)])
+            r = rows[i]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key[i].view(np.int64)), pa.array(prints[i].view(np.int64)), b["doc_id"].take(pa.array(r)), b["tag"].take(pa.array(r)), pa.array((starts[i] - w.row[r]).astype(np.int32))],
+                ["key", "print", "doc_id", "tag", "start"],
+            )
+
+    return docs.mapInArrow(run, "key long, print long, doc_id long, tag int, start int")
+
+
+def later_windows(docs: DataFrame, width: int, keys: Keys, most: int = HOT) -> DataFrame:
+    """``doc_id, tag, start, stop``: words covered by windows that occur before."""
+    hot = hot_buckets(docs, width, keys, most)
+    found = repeats(window_rows(docs, width, keys, hot), width)
+    if not hot.any():
+        return found
+    members = with_firsts(cut(hot_windows(docs, width, keys, hot), "hot"), ["key", "print"], ["start"])[1]
+    return found.unionByName(members.where("later").select("doc_id", "tag", "start", (F.col("start") + width).alias("stop")))
+
+
+def repeats(rows: DataFrame, width: int) -> DataFrame:
+    """``doc_id, tag, start, stop``: words covered by windows that occur before."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, np.uint64)  # sorted: distinct windows so far of the key being read
-        place: list[np.ndarray] = [np.zeros(0, np.int64)] * 3 if firsts else []  # where each of them was first: doc_id, tag, start
         open_key = before = None
         for b in batches:
             key = b["key"].to_numpy()
@@ -102,55 +144,32 @@ def repeats(rows: DataFrame, width: int, firsts: bool) -> DataFrame:
             before = (key[-1], doc[-1], tag[-1], start[-1])
             r = np.repeat(np.arange(len(key)), sizes)
             at = start[r] + np.arange(len(r)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            low = np.zeros((len(r), 8), np.uint8)
-            low[:, :BYTES] = np.frombuffer(b["prints"].buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, BYTES)
-            one = mix(low.view("<u8").ravel().astype(np.uint64) + mix(key.view(np.uint64))[r])
+            raw = np.frombuffer(b["prints"].buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+            one = mix(np.frombuffer(raw.tobytes(), "<u8").astype(np.uint64) + mix(key.view(np.uint64))[r])
             live = ~twin[r]
             r, at, one = r[live], at[live], one[live]
             order = np.argsort(one, kind="stable")
             s = one[order]
             head = np.ones(len(s), bool)
             head[1:] = s[1:] != s[:-1]
-            group = np.cumsum(head) - 1
             lead = order[head]  # first in this batch
             known = np.zeros(len(lead), bool)
-            where = np.zeros(len(lead), np.int64)
             if len(seen) and len(key) and open_key == key[0]:
                 where = np.minimum(np.searchsorted(seen, one[lead]), len(seen) - 1)
                 known = seen[where] == one[lead]
-            later = ~head | known[group]
             again = np.zeros(len(one), bool)
-            again[order] = later
-            out = list(runs(doc[r[again]], tag[r[again]], at[again], width, False))
-            if firsts:
-                twice = np.zeros(len(lead), bool)
-                twice[group[~head]] = True
-                own = lead[twice & ~known]
-                own = np.sort(own)
-                out += runs(doc[r[own]], tag[r[own]], at[own], width, True)
-                if known.any():
-                    k = np.unique(where[known])
-                    out += runs(place[0][k], place[1][k], place[2][k], width, True)
-            yield from out
-            last = r == len(key) - 1 if not len(r) else key[r] == key[-1]
-            mine = np.zeros(len(one), bool)
-            mine[lead[~known]] = True
-            mine &= last
-            fresh = np.argsort(one[mine], kind="stable")
-            kept = (one[mine][fresh], *((doc[r[mine]][fresh], tag[r[mine]][fresh], at[mine][fresh]) if firsts else ()))
-            if open_key == key[-1] and len(seen):
-                both = np.concatenate([seen, kept[0]])
-                o = np.argsort(both, kind="stable")
-                seen, place = both[o], [np.concatenate([p, x])[o] for p, x in zip(place, kept[1:], strict=True)]
-            else:
-                seen, place = kept[0], list(kept[1:])
+            again[order] = ~head | known[np.cumsum(head) - 1]
+            yield from runs(doc[r[again]], tag[r[again]], at[again], width)
+            fresh = lead[~known]
+            fresh = np.sort(one[fresh[key[r[fresh]] == key[-1]]])
+            seen = np.sort(np.concatenate([seen, fresh])) if open_key == key[-1] and len(seen) else fresh
             open_key = key[-1]
 
     ordered = rows.repartition("key").sortWithinPartitions("key", "doc_id", "tag", "start")
-    return ordered.mapInArrow(run, "doc_id long, tag int, first boolean, start int, stop int")
+    return ordered.mapInArrow(run, "doc_id long, tag int, start int, stop int")
 
 
-def runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, width: int, first: bool) -> Iterator[pa.RecordBatch]:
+def runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, width: int) -> Iterator[pa.RecordBatch]:
     """Consecutive windows as one stretch of words."""
     if not len(doc):
         return
@@ -159,8 +178,8 @@ def runs(doc: np.ndarray, tag: np.ndarray, at: np.ndarray, width: int, first: bo
     i = np.flatnonzero(new)
     j = np.append(i[1:], len(doc)) - 1
     yield pa.RecordBatch.from_arrays(
-        [pa.array(doc[i]), pa.array(tag[i].astype(np.int32)), pa.array(np.full(len(i), first)), pa.array(at[i].astype(np.int32)), pa.array((at[j] + width).astype(np.int32))],
-        ["doc_id", "tag", "first", "start", "stop"],
+        [pa.array(doc[i]), pa.array(tag[i].astype(np.int32)), pa.array(at[i].astype(np.int32)), pa.array((at[j] + width).astype(np.int32))],
+        ["doc_id", "tag", "start", "stop"],
     )
 
 

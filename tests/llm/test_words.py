@@ -114,30 +114,41 @@ def test_suffix_arrays(spark):
     assert repeated_passages(table(spark, []), 50).count() == 0
 
 
-@pytest.mark.parametrize(("name", "width"), [("recompress", 20), ("suffixes", 50)])
-def test_hot_keys_are_split(spark, monkeypatch, name, width):
-    """A passage shorter than the window, in all documents with other words around it: no key holds many windows."""
-    import importlib
-
-    from mergetide.llm import windows
-
-    module = importlib.import_module(f"mergetide.llm.{name}")
-    monkeypatch.setattr(windows, "HOT", 100, raising=False)
-    seen = []
-    monkeypatch.setattr(module, "repeats", lambda rows, *a, **k: seen.append(rows) or windows.repeats(rows, *a, **k))
-    passage = [f"p{i}" for i in range(width * 4 // 5)]
-    texts = [" ".join([*(f"a{i}x{j}" for j in range(60)), *passage, *(f"b{i}x{j}" for j in range(60))]) for i in range(100)]
-    texts += texts[:10]
-    every, late = covered(texts, width)
-    d = table(spark, texts)
-    if name == "recompress":
-        got = {r["doc_id"]: r["n_removed"] for r in dedup_substrings(d, width).collect()}
-        assert got == {i: len(late[i]) for i in range(len(texts))}
-    else:
-        got = {r["doc_id"]: (r["n_repeated"], r["n_removable"]) for r in repeated_passages(d, width).collect()}
-        assert got == {i: (len(every[i]), len(late[i])) for i in every if every[i]}
-    most = seen[0].selectExpr("key", f"length(prints) div {windows.BYTES} as n").groupBy("key").sum("n").agg({"sum(n)": "max"}).first()[0]
-    assert most <= 100
+def hot_texts(width):
+    """A passage shorter than the window in all documents with other words around it, a longer one, and copies."""
+    short, long = ([f"{c}{i}" for i in range(n)] for c, n in (("p", width * 4 // 5), ("q", width + 5)))
+    texts = [" ".join([*(f"a{i}x{j}" for j in range(60)), *short, *(f"b{i}x{j}" for j in range(60)), *(long if i % 2 else [])]) for i in range(100)]
+    return texts + texts[:10] + [None, "", texts[3] + " x"]
+
+
+def test_hot_keys_are_split(spark):
+    texts = hot_texts(20)
+    _, late = covered(texts, 20)
+    for hot in (1, 100):
+        got = {r["doc_id"]: (r["n_removed"], r["kept"]) for r in dedup_substrings(table(spark, texts), 20, hot=hot).collect()}
+        assert got == {i: (len(late[i]), " ".join(w for j, w in enumerate(words(t)) if j not in late[i])) for i, t in enumerate(texts)}
+
+
+def test_hot_suffixes(spark):
+    texts = hot_texts(50)
+    every, late = covered(texts, 50)
+    got = {r["doc_id"]: (r["n_repeated"], r["n_removable"]) for r in repeated_passages(table(spark, texts), 50).collect()}
+    assert got == {i: (len(every[i]), len(late[i])) for i in every if every[i]}
+
+
+def test_suffixes_are_sparse(spark):
+    """Far fewer suffixes than windows are retained, and only the ends of passages are extended."""
+    from mergetide.llm import suffixes
+    from mergetide.llm.windows import identified
+
+    rng = random.Random(12)
+    base = [f"t{rng.randrange(10**6)}" for _ in range(2000)]
+    texts = [" ".join(base), " ".join([*(f"y{i}" for i in range(300)), *base[500:1500], *(f"z{i}" for i in range(300))])]
+    rows = suffixes.retained_suffixes(identified(table(spark, texts), "doc_id", "text"), 50, 16)
+    n_windows = sum(len(words(t)) - 49 for t in texts)
+    assert rows.count() < n_windows / 14
+    grams, starts = np.array([5, 3, 3, 9, 1, 1, 7], np.uint64), np.arange(4)
+    assert suffixes.minimisers(grams, starts, 4).tolist() == [1, 4, 4, 4] and suffixes.minimisers(grams, np.arange(5), 3).tolist() == [1, 1, 4, 4, 4]
 
 
 def links_of(texts, k, threshold=80):
