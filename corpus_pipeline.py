@@ -13,7 +13,7 @@ from mergetide.llm.decontaminate import without_benchmark
 from mergetide.llm.lsh_forest import near_duplicates
 from mergetide.llm.mixing import mix_sources
 from mergetide.llm.pseudonyms import pseudonymise
-from mergetide.llm.registry import PSEUDONYM_KEY
+from mergetide.llm.registry import pseudonym_key
 from mergetide.llm.toxicity import without_toxic
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
@@ -37,8 +37,11 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data becomes pseudonyms; ``n_chars`` follows the text where it changed."""
-    done = pseudonymise(docs, PSEUDONYM_KEY, count_col="n_replaced")
-    done = done.withColumn("n_chars", F.when(F.col("n_replaced") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
+    count = "n_replaced"
+    while count in docs.columns:
+        count += "_"
+    done = pseudonymise(docs, pseudonym_key(spark), count_col=count)
+    done = done.withColumn("n_chars", F.when(F.col(count) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars")))
     return done.select(*docs.columns)
 
 

@@ -1,14 +1,15 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
-One regular expression finds candidates; what validates (card numbers by check digit, addresses by octets, dates by
+One regular expression finds candidates; what validates (card numbers by issuer and check digit, addresses by octets, dates by
 calendar, phone and social security numbers by their number plans) is permuted by an eight-round Feistel network keyed
-by ``key``, inside its own format: a card stays a number with a right check digit, a date a date of 1900 to 2099, an
+by ``key``, inside its own format: a card stays a number of its issuer with a right check digit, a date a date of 1900 to 2099, an
 address an address, an e-mail keeps its domain and its pattern of letters and digits, a secret its alphabet.  The same
 value gets the same pseudonym in every document, so that documents stay linked, and the key undoes it.
 
 The network works on two numbers modulo two moduli whose product is the size of the format, and adds a keyed hash
 of one to the other in turn.  Edges: null text gives null; text without candidates is returned as it is, character by
 character; candidates that do not validate stay; repeated values are replaced alike; very long texts are read whole;
+dates outside 1900 to 2099 do not validate;
 other columns of the input are kept.
 """
 
@@ -31,6 +32,8 @@ PATTERNS = {
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])",
 }
+#: Fixed value: how the numbers of payment cards begin.
+ISSUERS = "^(?:4|5[0-9]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|30[0-5]|3[4-9]|6)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 319 * 229 days end with 2099-12-31
 LETTERS, DIGITS_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
@@ -108,10 +111,11 @@ def luhn(digits: Column) -> Column:
 
 
 def card(m: Column, key: str) -> Column:
+    """Numbers of a payment issuer with a right check digit; the first four digits, which name the issuer, stay."""
     digits = only(m, "[^0-9]")
-    body = F.concat(F.substring(digits, 1, 1), permuted(F.substring(digits, F.lit(2), F.length(digits) - 2), 10, key, "card"))
+    body = F.concat(F.substring(digits, 1, 4), permuted(F.substring(digits, F.lit(5), F.length(digits) - 5), 10, key, "card"))
     full = F.transform(F.array(body), lambda b: F.concat(b, F.pmod(10 - luhn(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-    return F.when(luhn(digits) % 10 == 0, respelled(m, F.get(full, F.lit(0)), F.lit(""))).otherwise(m)
+    return F.when(digits.rlike(ISSUERS) & (luhn(digits) % 10 == 0), respelled(m, F.get(full, F.lit(0)), F.lit(""))).otherwise(m)
 
 
 def phone(m: Column, key: str) -> Column:
@@ -122,8 +126,17 @@ def phone(m: Column, key: str) -> Column:
 
 
 def ssn(m: Column, key: str) -> Column:
-    valid = ~m.rlike("^(?:000|666|9)|-00-|-0000$")
-    return F.when(valid, respelled(m, permuted(only(m, "[^0-9]"), 10, key, "ssn"), F.lit(""))).otherwise(m)
+    """Valid numbers are numbered without gaps (898 areas, 99 groups, 9999 serials), so that a pseudonym is valid as well."""
+    area, group, serial = (only(m, "[^0-9]").substr(a, n).cast("long") for a, n in ((1, 3), (4, 2), (6, 4)))
+    valid = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
+    done = feistel(area - F.when(area > 666, 2).otherwise(1), (group - 1) * 9999 + serial - 1, F.lit(898), F.lit(99 * 9999), key, "ssn")
+    spell = lambda n, width: F.lpad(n.cast("string"), width, "0")
+
+    def text(d: Column) -> Column:
+        first = d["a"] + F.when(d["a"] >= 665, 2).otherwise(1)
+        return F.concat(spell(first, 3), F.lit("-"), spell(F.floor(d["b"] / 9999) + 1, 2), F.lit("-"), spell(d["b"] % 9999 + 1, 4))
+
+    return F.when(valid, F.concat_ws("", F.transform(F.array(done), text))).otherwise(m)
 
 
 def address(m: Column, key: str) -> Column:
@@ -171,15 +184,17 @@ def pseudonym(m: Column, key: str) -> Column:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = "n_replaced") -> DataFrame:
     """``docs`` with its text column rewritten; ``count_col`` (if not None): values replaced in each row."""
-    kept = [c for c in docs.columns if c not in (text_col, count_col)]
-    text = F.col(text_col)
+    found_col, new_col = "_found", "_new"
+    while {found_col, new_col} & {c.lower() for c in docs.columns}:
+        found_col, new_col = found_col + "_", new_col + "_"
+    kept = [F.col(f"`{c}`") for c in docs.columns if c not in (text_col, count_col)]
+    text, found, new = F.col(text_col), F.col(found_col), F.col(new_col)
     some = text.rlike("[0-9]{3}|@|[0-9][.][0-9]|AKIA|(?i:password|passwd|pwd|token|secret|key)")  # every kind of value holds one of these
-    d = docs.withColumn(text_col, text)
-    found = F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))
-    d = d.select(*kept, text_col, found.alias("_found"))
-    d = d.select(*kept, text_col, "_found", F.when(F.size("_found") > 0, F.transform("_found", lambda m: pseudonym(m, key))).alias("_new"))
+    d = docs.select(*kept, text, F.when(some, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias(found_col))
+    d = d.select(*kept, text, found, F.when(F.size(found) > 0, F.transform(found, lambda m: pseudonym(m, key))).alias(new_col))
     between = F.split(text, ANY, -1)
-    joined = F.array_join(F.transform(F.arrays_zip(between.alias("p"), F.col("_new").alias("r")), lambda x: F.concat(x["p"], F.coalesce(x["r"], F.lit("")))), "")
-    count = F.coalesce(F.size(F.filter(F.arrays_zip(F.col("_found").alias("p"), F.col("_new").alias("r")), lambda x: x["p"] != x["r"])), F.lit(0)).cast("long")
-    out = [*kept, F.when(F.col("_new").isNotNull(), joined).otherwise(text).alias(text_col)]
-    return d.select(*out, *([F.when(F.col("_new").isNotNull(), count).otherwise(F.lit(0).cast("long")).alias(count_col)] if count_col else [])).select(*[c for c in docs.columns if c != count_col], *([count_col] if count_col else []))
+    joined = F.array_join(F.transform(F.arrays_zip(between.alias("p"), new.alias("r")), lambda x: F.concat(x["p"], F.coalesce(x["r"], F.lit("")))), "")
+    changed = F.filter(F.arrays_zip(found.alias("p"), new.alias("r")), lambda x: x["p"] != x["r"])
+    count = F.when(new.isNotNull(), F.coalesce(F.size(changed), F.lit(0))).otherwise(F.lit(0)).cast("long")
+    done = d.select(*kept, F.when(new.isNotNull(), joined).otherwise(text).alias(text_col), *([count.alias(count_col)] if count_col else []))
+    return done.select(*[F.col(f"`{c}`") for c in docs.columns if c != count_col], *([F.col(count_col)] if count_col else []))

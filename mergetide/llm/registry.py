@@ -21,8 +21,13 @@ from mergetide.llm.warc import read_archives, write_archives
 from mergetide.sources.shared import cut
 from mergetide.sources.tables import table
 
-#: A deployment sets its own; the queries need one that stays.
-PSEUDONYM_KEY = "mergetide"
+#: Setting that holds the key of the pseudonyms.  The fallback is for tests and trial runs: it is public, so who knows it can
+#: undo what was made with it.
+KEY_SETTING, TRIAL_KEY = "spark.mergetide.pseudonymKey", "mergetide"
+
+
+def pseudonym_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, TRIAL_KEY)
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,7 +49,7 @@ def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=PSEUDONYM_KEY)
+    return pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"), key=pseudonym_key(spark))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

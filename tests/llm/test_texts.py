@@ -97,7 +97,7 @@ def test_pseudonyms(spark):
     out = [r["text"] for r in got]
     assert got[0].asDict().keys() == {"doc_id", "text", "p", "n_replaced"} and [r["n_replaced"] for r in got] == [3, 2, 3, 0, 0, 0, 2, 2, 1]
     assert (out[3], out[4], out[5]) == (None, "", texts[5])
-    body = "4" + digits("04189497460879", "k", "card")
+    body = "4041" + digits("89497460879", "k", "card")
     card = body + str((10 - luhn(body + "0")) % 10)
     assert luhn(card) == 0 and f"card {card} and 4041894974608796." in out[0]
     a, b = feistel(42 * 256 + 144, 35 * 256 + 254, 65536, 65536, "k", "ip")
@@ -119,11 +119,34 @@ def test_each_kind_of_value_alone(spark):
         "123-45-6789", "1984-02-29", "12/31/1999", "4041894974608795", "4041-8949-7460-8795",
     ]
     d = spark.createDataFrame([(i, f"use {v} here") for i, v in enumerate(values)], "doc_id long, text string")
+    other = spark.createDataFrame([("no issuer 7755680307517467",), ("2720990000000007 or 1800-01-01",)], "text string")
+    assert [r["n_replaced"] for r in pseudonyms.pseudonymise(other, "k").collect()] == [0, 1]
     got = {r["doc_id"]: r for r in pseudonyms.pseudonymise(d, "k").collect()}
     for i, v in enumerate(values):
         assert got[i]["n_replaced"] == 1 and v not in got[i]["text"], v
 
 
+def test_pseudonyms_stay_in_their_format(spark):
+    """Every kind is closed under its own validation, and different values keep different pseudonyms."""
+    rng = random.Random(11)
+    numbers = sorted({f"{a:03d}-{g:02d}-{s:04d}" for a in (1, 2, 664, 665, 667, 668, 898, 899, 100, 555) for g in (1, 50, 99) for s in (1, 2, 4000, 9998, 9999)})
+    body = lambda: "4" + "".join(rng.choices("0123456789", k=14))
+    cards = sorted({b + str((10 - luhn(b + "0")) % 10) for b in (body() for _ in range(300))})
+    days = sorted({str(datetime.date(1900, 1, 1) + datetime.timedelta(n)) for n in [0, 1, 73049, 73050, 73048, *rng.sample(range(73050), 300)] if n < 73050 - 0})
+    ips = sorted({".".join(str(rng.randrange(256)) for _ in range(4)) for _ in range(300)})
+    valid = {
+        "ssn": lambda s: re.fullmatch(r"\d{3}-\d\d-\d{4}", s) and not re.match(r"000|666|9", s) and s[4:6] != "00" and s[7:] != "0000",
+        "card": lambda s: re.fullmatch(r"4\d{15}", s) and luhn(s) == 0, "day": lambda s: "1900-01-01" <= str(datetime.date.fromisoformat(s)) <= "2099-12-31",
+        "ip": lambda s: re.fullmatch(r"(\d+\.){3}\d+", s) and all(int(x) < 256 for x in s.split(".")),
+    }
+    for kind, values in (("ssn", numbers), ("card", cards), ("day", days), ("ip", ips)):
+        d = spark.createDataFrame([(v, "x", "y", 1) for v in values], "text string, _found string, _new string, n_replaced int")
+        got = pseudonyms.pseudonymise(d, "k")
+        assert got.columns == ["text", "_found", "_new", "n_replaced"]
+        got = [r["text"] for r in got.collect()]
+        assert all(valid[kind](x) for x in got) and len(set(got)) == len(values), kind
+
+
 def nearest(item, text):
     """Plain edit distance of an item to its best stretch."""
     cost = [0] * (len(text) + 1)
