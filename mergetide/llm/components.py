@@ -24,14 +24,14 @@ def components(edges: DataFrame) -> DataFrame:
     mark = None
     while True:
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))
-        large = _directed(large)
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
+        # written, so that the join shuffles both sides anew and the engine can split the links of a hub
+        least = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = cut(_directed(both.where("v > u").join(least, "u").select(F.col("v").alias("a"), F.col("m").alias("b"))), "large")
+        smallest = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(smallest, "u").select("u", "v", "m")
         small = small.select(F.col("u").alias("a"), F.col("m").alias("b")).unionByName(small.select(F.col("v").alias("a"), F.col("m").alias("b")))
         after = cut(_directed(small), "links")
-        free(after.sparkSession, now)
+        free(after.sparkSession, now, least, large)
         # exact sums over the links: equal ones before and after a round mean that nothing moved
         found = after.agg(F.count("*"), F.sum(F.col("u").cast("decimal(38,0)")), F.sum(F.col("v").cast("decimal(38,0)")), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if found == mark:

@@ -111,16 +111,16 @@ def tree_rows(reps: DataFrame) -> DataFrame:
     return reps.mapInArrow(run, "tree_key long, rest long, doc_id long, n long, comp long, sketch binary, bins binary")
 
 
-def leaves(rest: np.ndarray, low: int, high: int, depth: int = 0) -> Iterator[tuple[int, int]]:
-    """Regions of at most LEAF signatures, or such that no lane is left to cut by."""
-    if high - low <= LEAF or depth == 7:
+def leaves(rest: np.ndarray, low: int, high: int, leaf: int, depth: int = 0) -> Iterator[tuple[int, int]]:
+    """Regions of at most ``leaf`` signatures, or such that no lane is left to cut by."""
+    if high - low <= leaf or depth == 7:
         yield low, high
         return
     lane = (rest[low:high] >> (8 * (6 - depth))) & 255
     edges = [low, *(low + 1 + np.flatnonzero(lane[1:] != lane[:-1])).tolist(), high]
     for a, b in zip(edges[:-1], edges[1:], strict=True):
         if b - a > 1:
-            yield from leaves(rest, a, b, depth + 1)
+            yield from leaves(rest, a, b, leaf, depth + 1)
 
 
 def bounds(threshold: int) -> tuple[int, int]:
@@ -161,7 +161,7 @@ def read(b: pa.RecordBatch, every: bool) -> dict[str, np.ndarray]:
     return {"key": b["tree_key"].to_numpy(), "rest": b["rest"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
 
 
-def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
+def candidates(reps: DataFrame, threshold: int, every: bool, leaf: int) -> DataFrame:
     """``a, b`` (a < b): candidate pairs.
 
     every: all between different ``comp``; else for each signature its smallest id among clear candidates, or the one
@@ -198,8 +198,8 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
 
         def region(x: dict[str, np.ndarray]) -> None:
             part = lambda a, b: {k: v[a:b] for k, v in x.items()}
-            for a, b in leaves(x["rest"], 0, len(x["doc"])):
-                blocks = [part(i, min(b, i + LEAF)) for i in range(a, b, LEAF)]
+            for a, b in leaves(x["rest"], 0, len(x["doc"]), leaf):
+                blocks = [part(i, min(b, i + leaf)) for i in range(a, b, leaf)]
                 for i, block in enumerate(blocks):
                     out.append(compare(block))
                     if i:
@@ -218,13 +218,13 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
                     region({k: v[i:j] for k, v in x.items()})
                     anchor = None
             held = {k: v[edges[-1] :] for k, v in x.items()}
-            if len(held["doc"]) > 64 * LEAF:  # a very large region: what is read so far goes, a block stays
+            if len(held["doc"]) > 64 * leaf:  # a very large region: what is read so far goes, a block stays
                 if anchor is not None:
-                    out.extend(compare(anchor, {k: v[i : i + LEAF] for k, v in held.items()}) for i in range(0, len(held["doc"]), LEAF))
+                    out.extend(compare(anchor, {k: v[i : i + leaf] for k, v in held.items()}) for i in range(0, len(held["doc"]), leaf))
                 else:
-                    anchor = {k: v[:LEAF] for k, v in held.items()}
+                    anchor = {k: v[:leaf] for k, v in held.items()}
                 region(held)
-                held = {k: v[-LEAF:] for k, v in held.items()}
+                held = {k: v[-leaf:] for k, v in held.items()}
             yield from emit()
         if held is not None and len(held["doc"]) > 1:
             region(held)
@@ -233,8 +233,8 @@ def candidates(reps: DataFrame, threshold: int, every: bool) -> DataFrame:
     return tree_rows(reps).repartition("tree_key").sortWithinPartitions("tree_key", "rest", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
-def dense_regions(reps: DataFrame) -> DataFrame:
-    """``tree_key, major, size, others``: regions over LEAF signatures, their largest component, and the signatures outside it."""
+def dense_regions(reps: DataFrame, leaf: int) -> DataFrame:
+    """``tree_key, major, size, others``: regions over ``leaf`` signatures, their largest component, and the signatures outside it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
@@ -244,10 +244,10 @@ def dense_regions(reps: DataFrame) -> DataFrame:
 
     shares = reps.select("lanes", "comp").mapInArrow(run, "tree_key long, comp long").groupBy("tree_key", "comp").agg(F.count("*").alias("n"))
     regions = shares.groupBy("tree_key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
-    return regions.where((F.col("size") > LEAF) & (F.col("others") > 0))
+    return regions.where((F.col("size") > leaf) & (F.col("others") > 0))
 
 
-def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int) -> DataFrame:
+def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """``a, b`` (a < b): all candidate pairs between different ``comp`` in ``regions``, by salted pairs of blocks."""
     low, _ = bounds(threshold)
 
@@ -255,7 +255,7 @@ def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int) -> Dat
         held: dict[str, np.ndarray] | None = None  # the block of others being read
         open_ = None
         for big in batches:
-            for b in (big.slice(i, BLOCK) for i in range(0, big.num_rows, BLOCK)):
+            for b in (big.slice(i, block) for i in range(0, big.num_rows, block)):
                 x = read(b, True) | {c: b[c].to_numpy() for c in ("i", "j", "whole")}
                 new = (x["key"][1:] != x["key"][:-1]) | (x["i"][1:] != x["i"][:-1]) | (x["j"][1:] != x["j"][:-1])
                 edges = [0, *(np.flatnonzero(new) + 1).tolist(), b.num_rows]
@@ -276,7 +276,7 @@ def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int) -> Dat
                     yield pa.RecordBatch.from_arrays([pa.array(f[0]), pa.array(f[1])], ["a", "b"])
 
     rows = tree_rows(reps).join(regions, "tree_key")
-    across, down = F.ceil(F.col("size") / BLOCK).cast("int"), F.ceil(F.col("others") / BLOCK).cast("int")
+    across, down = F.ceil(F.col("size") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
     salt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
     columns = ["tree_key", "rest", "doc_id", "n", "comp", "sketch", "bins"]
@@ -307,19 +307,21 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, n_shingles, component_id, kept`` of each row; threshold: similarity in hundredths."""
+def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
+    """``doc_id, n_shingles, component_id, kept`` of each row; threshold: similarity in hundredths.
+
+    leaf: signatures of a region that are compared at once; block: those of a side of a salted pair of blocks.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     found = cut(signatures(rows, k), "signatures")
     classes = found.where("n > 0 and doc_id is not null").groupBy("n", "set_id").agg(F.min("doc_id").alias("rep"), F.first("lanes").alias("lanes"), F.first("bins").alias("bins"))
     classes = cut(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "lanes", "bins", F.col("rep").alias("comp"))
-    first = cut(candidates(reps.withColumn("bins", F.lit(None).cast("binary")), threshold, every=False), "pairs")
+    first = cut(candidates(reps.withColumn("bins", F.lit(None).cast("binary")), threshold, False, leaf), "pairs")
     ids = first.select(F.col("a").alias("doc_id")).unionByName(first.select("b").withColumnRenamed("b", "doc_id")).distinct()
     # one text for each id that has a candidate: its class's set is the same whatever row it comes from
     texts = cut(rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi"), "texts")
-    free(spark)
     tried = cut(confirm(first, texts, k, threshold), "tried")
     links = tried.where("linked").groupBy("a", "b").agg(F.count("*"))
 
@@ -328,14 +330,14 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         return reps.drop("comp").join(comps, "doc_id", "left").select("doc_id", "n", "lanes", "bins", F.coalesce("component", "doc_id").alias("comp"))
 
     moved = within(links).join(ids, "doc_id", "left_semi")
-    second = candidates(moved, threshold, every=True).join(tried.select("a", "b"), ["a", "b"], "left_anti")
+    second = candidates(moved, threshold, True, leaf).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     checked = cut(confirm(second, texts, k, threshold), "tried")
     more = checked.where("linked")
     free(spark, texts)
     moved = cut(within(links.select("a", "b").unionByName(more.select("a", "b"))), "moved")
-    regions = cut(dense_regions(moved), "regions")
+    regions = cut(dense_regions(moved, leaf), "regions")
     if regions.head(1):
-        third = dense_candidates(moved, regions, threshold)
+        third = dense_candidates(moved, regions, threshold, block)
         for old in (tried, checked):
             third = third.join(old.select("a", "b"), ["a", "b"], "left_anti")
         third = cut(third, "pairs")

@@ -196,23 +196,18 @@ def test_near_duplicates(spark, k):
     assert len(set(tops)) < len(texts) - 20
 
 
-def test_large_regions_are_cut_and_read_in_blocks(spark, monkeypatch):
+def test_large_regions_are_cut_and_read_in_blocks(spark):
     from mergetide.llm import lsh_forest
 
-    monkeypatch.setattr(lsh_forest, "LEAF", 8)  # in the driver only: regions there stay exact
-    assert list(lsh_forest.leaves(np.sort(np.array([1 << 40] * 5 + [2 << 40] * 5 + [3 << 40] * 2)), 0, 12)) != [(0, 12)]
+    assert list(lsh_forest.leaves(np.sort(np.array([1 << 40] * 5 + [2 << 40] * 5 + [3 << 40] * 2)), 0, 12, 8)) != [(0, 12)]
     base = [f"t{i}" for i in range(200)]
     texts = [" ".join([*base[:i], "z", *base[i + 1 :]]) for i in range(120)]
-    got = near_duplicates(table(spark, texts), 4).collect()
+    got = near_duplicates(table(spark, texts), 4, leaf=8).collect()
     assert {r["component_id"] for r in got} == {0}
 
 
-def test_partners_in_far_blocks(spark, monkeypatch):
+def test_partners_in_far_blocks(spark):
     """A family under the threshold that agrees on most lanes, and pairs over it whose ids lie many blocks apart."""
-    from mergetide.llm import lsh_forest
-
-    for name, value in (("LEAF", 4), ("BLOCK", 16)):
-        monkeypatch.setattr(lsh_forest, name, value, raising=False)
     base = [f"t{i}" for i in range(1000)]
     texts = []
     for i in range(90):
@@ -221,7 +216,7 @@ def test_partners_in_far_blocks(spark, monkeypatch):
     texts += [f"more {t}" for t in texts[:45]]
     _, tops = links_of(texts, 4, 99)
     assert tops == [*range(90), *range(45)]
-    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 4, 99).collect()}
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 4, 99, leaf=4, block=16).collect()}
     assert [got[i] for i in range(len(texts))] == tops
 
 
