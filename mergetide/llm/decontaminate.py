@@ -13,7 +13,8 @@ of ``PIECE`` to 2 ``PIECE`` words; of an item at the limit, some piece holds no
 A window within k edits of an item keeps ``MARKS`` at least of any k + ``MARKS`` of its words.  So only windows that reach
 over that many of the item's k + ``MARKS`` rarest words, counted over all documents, are walked; this loses nothing.
 
-The benchmark is a query set: it is read in blocks of ``BLOCK`` items, each of which travels to the tasks.  Edges:
+The benchmark is a query set: it is read in blocks of ``BLOCK`` items, whose look-up tables (about 2 KB an item) are made once
+and broadcast; a block costs two passes over the documents, one to count its words and one to search.  Edges:
 items and texts that are null, empty or without words match nothing; repeated rows and items each give their own
 rows; very long texts are walked whole; other columns are ignored; an empty table on either side gives no rows.
 """
@@ -27,12 +28,13 @@ from functools import reduce
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import PUNCTUATION, Words, mix, slices, words_of
 
-BLOCK, REPEATS, BITS, MARKS, PIECE = 5_000, 32, 2, 3, 30
+BLOCK, REPEATS, BITS, MARKS, PIECE = 100_000, 32, 2, 3, 30
 MAP_BITS = 22
 SCHEMA = "doc_id long, item_id long, start long, n_words long, n_edits long, distance_limit long"
 
@@ -91,7 +93,7 @@ def best_match(item: np.ndarray, text: np.ndarray) -> tuple[int, int, int]:
 class Items:
     """A block of benchmark items and what tasks look up in it."""
 
-    def __init__(self, ids: list[int], texts: list[str], edits: float, counts: dict[int, int]) -> None:
+    def __init__(self, ids: list[int], texts: list[str], edits: float, known: np.ndarray, counts: np.ndarray) -> None:
         w = normal_words(pa.array(texts, pa.string()))
         self.words = [w.hashes[a:b] for a, b in zip(w.row[:-1], w.row[1:], strict=True)]
         self.ids = ids
@@ -100,7 +102,7 @@ class Items:
         self.least = np.minimum(MARKS, self.size - self.limit)
         words, items = [], []
         for i, x in enumerate(self.words):
-            often = np.array([counts.get(int(h), 0) for h in x.view(np.int64)])
+            often = counts[np.searchsorted(known, x)]
             rarest = np.unique(x[np.argsort(often, kind="stable")[: self.limit[i] + self.least[i]]])
             words.append(rarest)
             items.append(np.full(len(rarest), i))
@@ -194,10 +196,14 @@ class Items:
         return best
 
 
-def word_counts(rows: DataFrame, words: np.ndarray) -> dict[int, int]:
+def word_counts(rows: DataFrame, words: np.ndarray) -> np.ndarray:
     """How often each of ``words`` (sorted) occurs in all texts."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast(words)  # of BLOCK items
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = shared.value
         total = np.zeros(len(words), np.int64)
         seen = np.zeros(1 << MAP_BITS, bool)
         seen[words >> np.uint64(64 - MAP_BITS)] = True
@@ -207,65 +213,69 @@ def word_counts(rows: DataFrame, words: np.ndarray) -> dict[int, int]:
             j = np.minimum(np.searchsorted(words, h), len(words) - 1)
             total += np.bincount(j[words[j] == h], minlength=len(words))
         some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(words[some].view(np.int64)), pa.array(total[some])], ["word", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["word", "n"])
 
-    found = rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    return {r["word"]: r["n"] for r in found.toLocalIterator()}
+    out = np.zeros(len(words), np.int64)
+    for r in rows.select("text").mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).toLocalIterator():
+        out[r["word"]] = r["n"]
+    return out
 
 
-def blocks_of(rows: DataFrame, benchmark: DataFrame, edits: float, item_id_col: str, item_text_col: str) -> Iterator[tuple[list[int], list[str], dict[int, int]]]:
-    """The benchmark in blocks: ids, texts, and the counts of their words in all documents."""
+def blocks_of(rows: DataFrame, benchmark: DataFrame, edits: float, item_id_col: str, item_text_col: str, block: int) -> Iterator[Broadcast[Items]]:
+    """The benchmark in blocks, with the counts of their words in all documents."""
     items = benchmark.select(F.col(item_id_col).cast("long").alias("item_id"), F.coalesce(F.col(item_text_col), F.lit("")).alias("text"))
     ids: list[int] = []
     texts: list[str] = []
 
-    def block() -> tuple[list[int], list[str], dict[int, int]]:
+    def made() -> Broadcast[Items]:
         words = np.unique(normal_words(pa.array(texts, pa.string())).hashes)
-        return ids, texts, word_counts(rows, words) if len(words) else {}
+        return rows.sparkSession.sparkContext.broadcast(Items(ids, texts, edits, words, word_counts(rows, words)))
 
     for r in items.toLocalIterator():
         ids.append(r["item_id"])
         texts.append(r["text"])
-        if len(ids) == BLOCK:
-            yield block()
+        if len(ids) == block:
+            yield made()
             ids, texts = [], []
     if ids:
-        yield block()
+        yield made()
 
 
-def benchmark_hits(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def benchmark_hits(
+    docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK
+) -> DataFrame:
     """One row per document and item that it holds within ``edits`` times the item's words of edits."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
 
-    def search(ids: list[int], texts: list[str], counts: dict[int, int]) -> DataFrame:
+    def search(items: Broadcast[Items]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(ids, texts, edits, counts)
+            known = items.value
             for b in slices(batches, "text"):
-                hits = list(block.hits(normal_words(b["text"])))
+                hits = list(known.hits(normal_words(b["text"])))
                 if hits:
                     i, item, *rest = map(list, zip(*hits, strict=True))
-                    yield pa.RecordBatch.from_arrays([b["doc_id"].take(pa.array(i)), pa.array([ids[x] for x in item], pa.int64()), *(pa.array(c, pa.int64()) for c in rest)], ["doc_id", "item_id", "start", "n_words", "n_edits", "distance_limit"])
+                    found = [b["doc_id"].take(pa.array(i)), pa.array([known.ids[x] for x in item], pa.int64()), *(pa.array(c, pa.int64()) for c in rest)]
+                    yield pa.RecordBatch.from_arrays(found, ["doc_id", "item_id", "start", "n_words", "n_edits", "distance_limit"])
 
         return rows.mapInArrow(run, SCHEMA)
 
-    found = [search(*block) for block in blocks_of(rows, benchmark, edits, item_id_col, item_text_col)]
+    found = [search(items) for items in blocks_of(rows, benchmark, edits, item_id_col, item_text_col, block)]
     return reduce(DataFrame.unionByName, found) if found else rows.limit(0).selectExpr("doc_id", *(f"cast(null as {t}) as {c}" for c, t in (x.split() for x in SCHEMA.split(", ")[1:])))
 
 
-def without_benchmark(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def without_benchmark(docs: DataFrame, benchmark: DataFrame, edits: float = 0.2, item_id_col: str = "item_id", item_text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """The rows of ``docs`` (with a column ``text``) that hold no item."""
 
-    def drop(left: DataFrame, ids: list[int], texts: list[str], counts: dict[int, int]) -> DataFrame:
+    def drop(left: DataFrame, items: Broadcast[Items]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            block = Items(ids, texts, edits, counts)
             for b in slices(batches, "text"):
                 keep = np.ones(b.num_rows, bool)
-                keep[[h[0] for h in block.hits(normal_words(b["text"]))]] = False
+                keep[[h[0] for h in items.value.hits(normal_words(b["text"]))]] = False
                 yield b.filter(pa.array(keep))
 
         return left.mapInArrow(run, docs.schema)
 
     left = docs
-    for block in blocks_of(docs, benchmark, edits, item_id_col, item_text_col):
-        left = drop(left, *block)
+    for items in blocks_of(docs, benchmark, edits, item_id_col, item_text_col, block):
+        left = drop(left, items)
     return left
