@@ -5,14 +5,16 @@ skipped in between (two at most), so that inserted characters cost little, and c
 tightest; a word's start counts as a letter,
 punctuation inside words is passed over, look-alike digits and signs count as letters, and single letters in a row are
 read as one word.  Landmarks are the word stems most tied to toxic texts.  A sentence is described by its nearest word
-to each landmark (the kernel over the landmark's own, so that endings and compounds cost nothing; values below
-``FLOOR`` count as 0), mapped by the inverse root of the landmarks' kernel matrix.  The machine (squared hinge) is
+to each landmark (the kernel over the landmark's own, so that endings and compounds cost nothing), scaled between two values
+of the landmark's own (:func:`ranges`): 0 up to what the nearest word of clean training texts reaches, 1 from what the
+landmark reaches with any one character inserted, so that short words tolerate an insertion as long ones do.  The
+responses are mapped by the inverse root of the landmarks' kernel matrix.  The machine (squared hinge) is
 trained on labelled sentences: all responding ones of clean texts, and of each toxic text its most toxic one by the
 machine of the round before, and the landmarks with a character inserted as toxic ones.  A text scores as its highest sentence, through a logistic curve fitted on the training
 texts.
 
-Scoring folds all landmarks into one table of upper bounds by letter triple; only words whose bound reaches ``FLOOR``
-get their kernel values, the others contribute 0 exactly.
+Scoring folds all landmarks into one table of upper bounds by letter triple; only words whose bound reaches the
+least value that counts get their kernel values, the others contribute 0 exactly.
 
 Training takes a bounded sample: at most ``train_rows`` toxic and ``3 * train_rows`` other labelled texts, of at most
 ``TRAIN_CHARS`` characters each, lowest hash of the id first.  Edges: null and empty texts score as a text without
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 
 from mergetide.llm.tokens import SPACE, slices
 
-DECAY, FLOOR = 0.8, 0.5
+DECAY, FLOOR, GAP = 0.8, 0.45, 0.1
 LANDMARKS, STEM, SURE = 96, (4, 10), 12.0
 TRAIN_CHARS = 20_000
 PATTERNS = ((1, 2), (1, 3), (2, 3), (1, 4), (2, 4), (3, 4))  # second and third letter after the first
@@ -126,7 +128,8 @@ def word_vectors(words: list[str]) -> np.ndarray:
 
 @dataclass
 class Model:
-    vectors: np.ndarray  # letter triple x landmark
+    vectors: np.ndarray  # letter triple x landmark, over the value below which nothing counts
+    top: np.ndarray  # where a response is full, in the same measure
     bound: np.ndarray
     weights: np.ndarray
     bias: float
@@ -138,7 +141,7 @@ class Model:
         t, w, weight = triples(x)
         n = len(x.starts)
         upper = np.bincount(w, weight * self.bound[t], n)
-        keep = (upper >= FLOOR)[w]
+        keep = (upper >= 0.999)[w]
         t, w, weight = t[keep], w[keep], weight[keep]
         order = np.lexsort((t, w))
         t, w, weight = t[order], w[order], weight[order]
@@ -156,7 +159,7 @@ class Model:
         for i in range(0, len(words), 2048):
             a, b = head[i], head[i + 2048] if i + 2048 < len(words) else len(w)
             values[i : i + 2048] = np.add.reduceat(self.vectors[t[a:b]] * weight[a:b, None], head[i : i + 2048] - a)
-        values = np.maximum(0, np.minimum(values, 1) - FLOOR) / (1 - FLOOR)
+        values = np.clip((values - 1) / (self.top - 1), 0, 1)
         some = values.any(1)
         words, values = words[some], values[some]
         sentence = x.sentence[words]
@@ -260,6 +263,27 @@ def landmarks_of(texts: list[str], toxic: np.ndarray) -> list[str]:
     return found[:LANDMARKS]
 
 
+def spoiled_forms(word: str) -> list[str]:
+    """The word with one character inserted anywhere inside."""
+    return [word[:i] + c + word[i:] for i in range(1, len(word)) for c in "xe"]
+
+
+def ranges(words: list[str], vectors: np.ndarray, clean: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each landmark the kernel value (over its own) up to which nothing counts, and that from which a response is full.
+
+    ``clean`` are words of clean texts; those that hold a landmark say nothing about it.
+    """
+    least = np.array([float((word_vectors(spoiled_forms(w)) @ v).min()) for w, v in zip(words, vectors, strict=True)])
+    near = np.zeros(len(words))
+    for i in range(0, len(clean), 512):  # some words at a time: each is a row over all letter triples
+        part = clean[i : i + 512]
+        values = word_vectors(part) @ vectors.T
+        own = np.array([[w in x for w in words] for x in part])
+        near = np.maximum(near, np.where(own, 0, values).max(0))
+    low = np.clip(near + 0.01, FLOOR, 0.9)
+    return low, np.minimum(1.0, np.maximum(least, low + GAP))
+
+
 def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3) -> Model | float:
     """The model, or the share of toxic texts where there is nothing to tell apart."""
     share = float(np.average(toxic, weights=weight)) if len(texts) else 0.0
@@ -272,7 +296,11 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     vectors = vectors / own[:, None]
     low, turn = np.linalg.eigh(gram)
     root = turn @ np.diag(np.where(low > 1e-3, 1 / np.sqrt(np.maximum(low, 1e-3)), 0)) @ turn.T
-    model = Model(np.ascontiguousarray(vectors.T), vectors.max(0), np.zeros(len(words)), 0.0, 1.0, 0.0)
+    letters = lambda w: "".join(c for c in w if c.isalpha())
+    clean = sorted({letters(w) for t, y in zip(texts, toxic.tolist(), strict=True) if not y for w in t.lower().split()} - {""})
+    low, top = ranges(words, vectors, clean)
+    vectors = vectors / low[:, None]
+    model = Model(np.ascontiguousarray(vectors.T), (top / low).astype(np.float32), vectors.max(0), np.zeros(len(words)), 0.0, 1.0, 0.0)
     found = []
     for i in range(0, len(texts), 64):  # some texts at a time: the driver holds responding sentences only
         x = letters_of(pa.array(texts[i : i + 64], pa.string()))
@@ -281,7 +309,7 @@ def fit(texts: list[str], toxic: np.ndarray, weight: np.ndarray, rounds: int = 3
     values, owner = (np.concatenate(c) for c in zip(*found, strict=True))
     mapped = values @ root
     rank = values.sum(1)
-    spoiled = [w[:i] + "x" + w[i:] for w in words for i in range(1, len(w)) if len(w) > 4]
+    spoiled = [x for w in words for x in spoiled_forms(w)]
     _, more = model.responses(letters_of(pa.array(spoiled, pa.string())))
     more = more @ root
     extra = np.full(len(more), 0.1 * float(weight[toxic].sum()) / max(1, len(more)))
@@ -308,8 +336,9 @@ def train(docs: DataFrame, labels: DataFrame, train_rows: int = 600) -> Model |
     total = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     pick = lambda y, n: known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     sample = pick(1, train_rows).unionByName(pick(0, 3 * train_rows))
-    # at most 4 * train_rows ids and labels
-    rows = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic").collect()
+    # at most 4 * train_rows ids and labels; of an id with several texts the least one
+    texts = docs.select("doc_id", "text").where(F.length("text") <= TRAIN_CHARS).join(F.broadcast(sample), "doc_id")
+    rows = texts.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).limit(4 * train_rows).collect()
     rows.sort(key=lambda r: (r["doc_id"], r["text"]))
     toxic = np.array([r["toxic"] == 1 for r in rows], bool)
     share = {y: total.get(y, 0) / max(1, int((toxic == bool(y)).sum())) for y in (0, 1)}
