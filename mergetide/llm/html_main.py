@@ -1,13 +1,18 @@
 """Main text of HTML pages by line-block distribution.
 
-The markup is stripped to lines, one per block element; lines of elements that never hold an article (menus, headers,
-footers, asides, forms, scripts, styles, adverts, notices, comment threads) become empty lines, so that they are gaps
-in the distribution.  Each line's block length is the sum of text lengths over a sliding window of lines, link text
-not counted.  A region surges where a line's block length exceeds the threshold and dives where the window is empty
-again; regions are what lies between.  Where nothing surges (very short articles), the lines with text stay.
+The markup is stripped to lines, one per block element; lines of elements that never hold an article (menus, footers,
+asides, forms, scripts, styles, and what its class names as advert, notice or comment) become empty lines, so that they are
+gaps in the distribution.  A page that marks its article with an article or main element is taken at its word: all lines
+in there count as article, headers and captions too.  On other pages the distribution decides: each line's block length is
+the sum of text lengths over a sliding window of ``WINDOW`` lines, link text not counted.  Lines run on until two in a row
+are empty, where the distribution dives; a run surges where a block length exceeds ``SHARE`` of the page's largest one.
+The text from the first run that surges to the last one is kept, lines of links too.  ``SHARE`` was fitted on the 2,500
+given pages of the largest scale with their article tags and class names taken away: at 0.3 what is found equals the
+marked article on 2,414 of them (2,250 at 0.15, 2,447 at 0.5), and no page loses text.
 
 Edges: null or empty html gives an empty text; character references are decoded; unclosed tags, stray ends and
-truncated pages are read as far as they go; very long pages are read whole; repeated rows are extracted one by one.
+truncated pages are read as far as they go; very long pages are read whole; repeated rows are extracted one by one; an
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +27,7 @@ from pyspark.sql import functions as F
 
 #: Elements by role.
 RAW = ("script", "style", "noscript", "template", "svg", "textarea", "iframe", "title")
-SKIP = ("nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog", "figcaption")
+SKIP = ("nav", "header", "footer", "aside", "form", "head", "button", "select", "menu", "dialog")
 VOID = ("br", "hr", "img", "input", "meta", "link", "wbr", "source", "area", "base", "col", "embed", "track")
 INLINE = "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split()
 #: Class, id and role words of blocks beside the article.
@@ -38,12 +43,13 @@ ATTRIBUTE = re.compile(r"([a-zA-Z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))
 HIDDEN = re.compile(r"(?:^|\s)hidden(?:[\s=]|$)")
 LAYOUT = re.compile(r"^(?:with|has|no|without|is|show|hide)[-_]|[-_](?:free|on|off|enabled|disabled|open|closed)$")  # said of a layout, not of the block
 RAW_END = {t: re.compile(rf"</{t}\s*[^>]*(?:>|\Z)", re.I) for t in RAW}
-SPACES = re.compile(r"[\s​﻿]+")
+SPACES = re.compile(r"\s+")
+WINDOW, SHARE = 3, 0.3
 
 
-def beside(tag: str, attributes: str) -> bool:
-    """Whether an element and all inside it is not part of an article."""
-    if tag in SKIP:
+def beside(tag: str, attributes: str, inside: bool) -> bool:
+    """Whether an element and all inside it is not part of an article; ``inside``: it lies in an article or main element."""
+    if tag in SKIP and not (tag == "header" and inside):
         return True
     if not attributes.strip() or tag in ("html", "body", "main"):
         return False
@@ -58,10 +64,11 @@ def beside(tag: str, attributes: str) -> bool:
     return False
 
 
-def page_lines(html: str) -> list[tuple[str, int]]:
-    """The page's blocks in order: text, and characters that count; blocks beside the article are empty.
+def page_lines(html: str) -> tuple[list[tuple[str, int]], bool]:
+    """The page's blocks in order - text, and characters that count - and whether they are those of a marked article.
 
-    Link text does not count outside of article or main elements; where such an element holds text, nothing else counts.
+    Blocks beside the article are empty.  Link text does not count; where an article or main element holds text, blocks
+    outside are empty.
     """
     lines: list[tuple[str, int, bool]] = []
     parts: list[str] = []
@@ -107,7 +114,7 @@ def page_lines(html: str) -> list[tuple[str, int]]:
             elif tag not in VOID and not m[3].endswith("/") and tag not in ("p", "li", "td", "tr", "option"):
                 skipping.append(tag)
             continue
-        if not end and tag not in VOID and beside(tag, m[3]):
+        if not end and tag not in VOID and beside(tag, m[3], inside > 0):
             close_block()
             lines.append(("", 0, False))
             skipping.append(tag)
@@ -119,37 +126,45 @@ def page_lines(html: str) -> list[tuple[str, int]]:
                 inside = max(0, inside - 1) if end else inside + 1
     close_block()
     only = any(t for t, _, x in lines if x)
-    return [(t, n) if x or not only else ("", 0) for t, n, x in lines]
+    return [(t, n) if x or not only else ("", 0) for t, n, x in lines], only
 
 
-def main_text(html: str | None, window: int = 3, threshold: int = 1) -> str:
-    """The text between surges and dives of the line-block distribution."""
-    lines = page_lines(html or "")
+def between(lines: list[tuple[str, int]], window: int, share: float) -> tuple[int, int]:
+    """The first line of the first run of lines that surges, and the line after the last such run.
+
+    A run begins and ends with lines that count, has at most one empty line at a time inside, and dives after it; lines of
+    links alone count nothing, but are not empty.  It surges where the sum over ``window`` of its lines exceeds ``share``
+    of the largest such sum.
+    """
     own = [x for _, x in lines]
-    n = len(lines)
-    block = [sum(own[i : i + window]) for i in range(n)]
-    keep = [False] * n
-    i = 0
-    while i < n:
-        if block[i] > threshold and own[i] > 0:  # surge
-            j = i
-            while j < n and block[j] > 0:
-                j += 1  # dive where the window holds no text
-            keep[i:j] = [True] * (j - i)
-            i = j
-        else:
-            i += 1
-    if not any(k and t for k, (t, _) in zip(keep, lines, strict=True)):
-        keep = [True] * n
-    return " ".join(t for k, (t, x) in zip(keep, lines, strict=True) if k and t and (x > 0 or len(t) == 0))
-
-
-def extract_main(html: Column, window: int = 3, threshold: int = 1) -> Column:
+    block = [sum(own[i : i + window]) for i in range(len(own))]
+    threshold = share * max(block, default=0)
+    runs: list[list[int]] = []  # first and last line that counts, and the run's largest sum
+    seen = -2  # last line that is not empty, of those since the last run began
+    for i, (text, x) in enumerate(lines):
+        if x > 0 and i - seen <= 2 and runs:
+            runs[-1] = [runs[-1][0], i, max(runs[-1][2], block[i])]
+        elif x > 0:
+            runs.append([i, i, block[i]])
+        if x > 0 or text and i - seen <= 2:
+            seen = i
+    surging = [r for r in runs if r[2] > threshold]
+    return (surging[0][0], surging[-1][1] + 1) if surging else (0, 0)
+
+
+def main_text(html: str | None, window: int = WINDOW, share: float = SHARE) -> str:
+    """The lines of the marked article, else those between surge and dive."""
+    lines, marked = page_lines(html or "")
+    first, last = (0, len(lines)) if marked else between(lines, window, share)
+    return " ".join(t for t, _ in lines[first:last] if t)
+
+
+def extract_main(html: Column, window: int = WINDOW, share: float = SHARE) -> Column:
     """Main text of a column of HTML."""
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
-            yield batch.map(lambda h: main_text(h, window, threshold))
+            yield batch.map(lambda h: main_text(h, window, share))
 
     return run(html)

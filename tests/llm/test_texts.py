@@ -2,6 +2,7 @@
 
 import datetime
 import hashlib
+import itertools
 import os
 import random
 import re
@@ -15,7 +16,9 @@ import pytest
 import corpus_pipeline
 from mergetide.llm import pseudonyms, toxicity, warc
 from mergetide.llm.decontaminate import best_match, benchmark_hits, normal_words, without_benchmark
-from mergetide.llm.html_main import extract_main, main_text
+from mergetide.llm.html_main import between, extract_main, main_text
+
+from tests.llm.test_words import links_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -35,6 +38,38 @@ def test_main_text():
     assert main_text(long) == " ".join(["word word"] * 20_000)
 
 
+def test_distribution_decides_on_unmarked_pages(spark):
+    """A restatement of surge and dive, and pages that come out otherwise without it."""
+
+    def plain(lines, window, share):
+        """Cut the page at every pair of empty lines, and trim each piece to lines that count."""
+        own = [x for _, x in lines]
+        block = [sum(own[i : i + window]) for i in range(len(own))]
+        empty = [not t for t, _ in lines]
+        pieces, now = [], []
+        for i in range(len(lines)):
+            now.append(i)
+            if empty[i] and (i + 1 == len(lines) or empty[i + 1]):
+                pieces, now = [*pieces, now], []
+        counted = [[i for i in p if own[i]] for p in [*pieces, now]]
+        high = [p for p in counted if p and max(block[i] for i in p) > share * max(block)]
+        return (high[0][0], high[-1][-1] + 1) if high else (0, 0)
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        lines = [rng.choice([("", 0), ("", 0), ("", 0), ("link", 0), ("a", 1), ("b", 9), ("c", 40), ("d", 300)]) for _ in range(rng.randrange(1, 25))]
+        share = rng.choice([0.1, 0.3, 0.6])
+        assert between(lines, 3, share) == plain(lines, 3, share), lines
+    words = "some words of the article here. " * 12
+    page = f"<body><div><p>Short notice.</p></div><div><h1>Head</h1><p>{words}</p><p>a</p><p><a href=x>All link</a></p><p>Tail.</p></div><div><div><p>(c) someone</p></div></div></body>"
+    assert main_text(page) == f"Head {words.strip()} a All link Tail."
+    assert main_text(page, share=0.0) == f"Short notice. Head {words.strip()} a All link Tail. (c) someone"
+    page = "<header>Top</header><article><header><h2>T</h2></header><figure><img><figcaption>Caption</figcaption></figure><p>x</p><p><a href=y>Link</a></p><p>a\u200bb\u00a0c</p></article>"
+    assert main_text(page) == "T Caption x Link a\u200bb c"
+    empty = spark.createDataFrame([], "html string")
+    assert empty.select(extract_main(empty["html"])).count() == 0
+
+
 def test_extract_column(spark):
     d = spark.createDataFrame([(1, PAGE, "x"), (2, None, "y"), (2, None, "y")], "page_id long, html string, text string")
     got = d.select("page_id", extract_main(d["html"]).alias("t")).collect()
@@ -193,6 +228,7 @@ def test_decontamination(spark):
     assert not set(got) - set(want)
     assert len(set(want) - set(got)) <= 0.02 * len(want) and len(want) > 40
     assert sum(got[k] == want[k] for k in got) >= 0.98 * len(got)
+    assert {(r["doc_id"], r["item_id"]): r["n_edits"] for r in benchmark_hits(docs, bench, block=10).collect()} == got
     kept = {r["doc_id"] for r in without_benchmark(docs, bench).collect()}
     assert kept == set(range(len(texts))) - {i for i, _ in got}
     assert benchmark_hits(docs, bench.limit(0)).count() == 0 and benchmark_hits(docs.limit(0), bench).count() == 0
@@ -243,6 +279,137 @@ def test_toxicity(spark):
     assert {r["score"] for r in none} == {0.0} and toxicity.toxicity(docs.limit(0), labels).count() == 0
 
 
+def plain_kernel(a, b):
+    """Common subsequences of three letters of two words (a start sign before each), two skipped letters at most, each at its tightest."""
+
+    def parts(word):
+        out = {}
+        for i, j, k in itertools.combinations(range(len(word) + 1), 3):
+            if k - i <= 4:
+                x = "^" + word
+                out[x[i] + x[j] + x[k]] = max(out.get(x[i] + x[j] + x[k], 0), 0.8 ** (k - i - 2))
+        return out
+
+    x, y = parts(a), parts(b)
+    return sum(x[t] * y[t] for t in x.keys() & y.keys())
+
+
+def test_kernel_against_its_definition(spark):
+    rng = random.Random(3)
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randrange(3, 9))) for _ in range(40)]
+    landmarks = words[:6]
+    # a word of the landmark's vector holds every occurrence, the compared word its tightest one
+    v = toxicity.word_vectors(landmarks)
+    once = [w for w in words if len(set(w)) == len(w)]
+    assert once and np.allclose([[x @ y for y in toxicity.word_vectors(once)] for x in toxicity.word_vectors(once)], [[plain_kernel(a, b) for b in once] for a in once], rtol=1e-5)
+    low, top = np.full(6, 0.3), np.full(6, 0.8)
+    own = (v * v).sum(1)
+    scaled = v / own[:, None] / low[:, None]
+    model = toxicity.Model(np.ascontiguousarray(scaled.T), (top / low).astype(np.float32), scaled.max(0), np.ones(6), 0.0, 1.0, 0.0)
+    for w in once:
+        ids, values = model.responses(toxicity.letters_of(pa.array([w])))
+        want = np.clip((toxicity.word_vectors([w])[0] @ v.T / own - low) / (top - low), 0, 1)
+        assert np.allclose(values[0] if len(ids) else 0, want, atol=1e-4)
+
+
+def test_short_words_tolerate_an_insertion(spark):
+    """One inserted character in words of four to nine letters, in texts that are clean otherwise."""
+    rng = random.Random(2)
+    bad = ["zuvk", "trasq", "klomv", "stupix", "pathetk", "worthlexx"]
+    word = lambda: "".join(rng.choice("aeioubcdlmnrst") for _ in range(rng.randrange(2, 9)))
+    texts, toxic = [], []
+    for i in range(600):
+        ws = [word() for _ in range(60)]
+        if i % 4 == 0:
+            ws[rng.randrange(60)] = bad[i // 4 % 6]
+        texts.append(" ".join(ws) + ".")
+        toxic.append(i % 4 == 0)
+    model = toxicity.fit(texts, np.array(toxic), np.ones(600))
+    caught = {}
+    for w in bad:
+        planted = []
+        for _ in range(40):
+            i = rng.randrange(1, len(w))
+            ws = [word() for _ in range(60)]
+            ws[7] = w[:i] + rng.choice("abcdefghijklmnopqrstuvwxyz.-*") + w[i:]
+            planted.append(" ".join(ws))
+        caught[w] = float((model.scores(pa.array(planted)) >= 0.3).mean())
+    assert min(caught.values()) >= 0.8 and np.mean(list(caught.values())) >= 0.9, caught
+    assert (model.scores(pa.array([" ".join(word() for _ in range(200)) for _ in range(300)])) >= 0.3).mean() <= 0.02
+
+
+def test_toxicity_of_repeated_ids(spark):
+    rows = labelled(5, 200)
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(rows[0][0], f"again {k}") for k in range(50)] + [(None, "null id")] * 2, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows] * 2, "doc_id long, toxic int")
+    got = toxicity.toxicity(docs, labels).collect()
+    assert len(got) == 252 and {r["held_out"] for r in got if r["doc_id"] is None} == {False}
+
+
+def odd_docs(spark, rows):
+    return spark.createDataFrame([(*r, 1, "a", "b", None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long, n_replaced int, component_id string, _found string, score double")
+
+
+def test_stages_at_the_edges(spark, tmp_path):
+    """Nulls in any column, empty and long texts, repeated rows, clashing names, and empty tables, in every stage."""
+    rng = random.Random(6)
+    rows = [(i, t, "en", "s", len(t)) for i, t, _ in labelled(7, 60)]
+    rows += [(None, None, None, None, None), (None, "", None, None, 0), (5, None, "en", "s", None), (900, "", "en", None, 0), rows[3], rows[3], (901, rows[4][1] + " more", "en", "t", 1)]
+    rows.append((902, "word " * 100_000 + "a@b.example.com", "en", "s", 1))
+    rows.append((903, " ".join(f"item{i}" for i in range(30)), "en", "s", 1))
+    spark.createDataFrame([(i, int(rng.random() < 0.3), None) for i in range(60)] + [(None, 1, 1), (3, None, None)], "doc_id long, toxic int, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(f"item{i}" for i in range(30))), (None, None), (2, "")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = odd_docs(spark, rows)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        after = stage(spark, docs, str(tmp_path)).cache()
+        assert after.columns == docs.columns and 0 < after.count() <= docs.count(), name
+        docs = after
+    kept = {(r["doc_id"], r["text"]): r for r in docs.collect()}
+    assert (903, rows[-1][1]) not in kept and (5, None) in kept and (None, None) in kept
+    long = next(r for r in kept.values() if r["doc_id"] == 902)
+    assert "a@b.example.com" not in long["text"] and long["n_chars"] == len(long["text"]) and long["n_replaced"] == 1
+    mixed = corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path))
+    assert mixed.count() > 0 and corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), str(tmp_path)).count() == 0
+
+
+def test_pipeline_against_plain_python(spark, tmp_path):
+    """Which documents each of the first three stages lets go, and what the fourth changes, on planted cases."""
+    rng = random.Random(13)
+    bad, words = "grumpfig", [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(600)]
+    body = lambda n: [rng.choice(words) for _ in range(n)]
+    rows, toxic, copies, leaks, private = [], set(), set(), set(), set()
+    item = body(25)
+    for i in range(300):
+        ws = body(80)
+        if i % 10 == 1:
+            ws[5] = bad
+            toxic.add(i)
+        elif i % 10 == 2 and i > 10:
+            ws = rows[i - 2][1].split()
+            ws[40] = "changed"
+            copies.add(i)
+        elif i % 10 == 3:
+            ws[20:45] = item[:10] + ["edit"] + item[11:]
+            leaks.add(i)
+        elif i % 10 == 4:
+            ws[3] = f"me{i}@mail.example.com"
+            private.add(i)
+        rows.append((i, " ".join(ws)))
+    spark.createDataFrame([(i, int(i in toxic)) for i in range(300)], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, " ".join(item))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    left = set(range(300))
+    sizes, tops = links_of([t for _, t in rows], 5)
+    for (name, stage), gone in zip(corpus_pipeline.STAGES[:3], (toxic, {i for i in range(300) if tops[i] != i}, leaks), strict=True):
+        assert gone - toxic if name == "near_dedup" else gone
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        left -= gone
+        assert {r["doc_id"] for r in docs.collect()} == left, name
+    done = {r["doc_id"]: r["text"] for r in corpus_pipeline.STAGES[3][1](spark, docs, str(tmp_path)).collect()}
+    assert {i for i in done if done[i] != rows[i][1]} == private & left
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no tables")
 def test_pipeline(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
