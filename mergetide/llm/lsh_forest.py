@@ -153,12 +153,12 @@ def pairs(x: dict[str, np.ndarray], y: dict[str, np.ndarray], same: bool, thresh
 
 def read(b: pa.RecordBatch, every: bool) -> dict[str, np.ndarray]:
     """Columns of a batch of tree rows."""
-    more = {}
+    more = {"rest": b["rest"].to_numpy()} if "rest" in b.schema.names else {}
     if every:
         more["bins"] = np.frombuffer(b["bins"].buffers()[2], np.uint8)[b["bins"].offset * BINS :][: b.num_rows * BINS].reshape(-1, BINS)
         more["full"] = (more["bins"] == 255).any(1)  # a count that may be higher says nothing
     sketch = np.frombuffer(b["sketch"].buffers()[2], np.uint8)[b["sketch"].offset * LANES :][: b.num_rows * LANES].reshape(-1, LANES)
-    return {"key": b["tree_key"].to_numpy(), "rest": b["rest"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
+    return {"key": b["tree_key"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
 
 
 def candidates(reps: DataFrame, threshold: int, every: bool, leaf: int) -> DataFrame:
@@ -233,21 +233,39 @@ def candidates(reps: DataFrame, threshold: int, every: bool, leaf: int) -> DataF
     return tree_rows(reps).repartition("tree_key").sortWithinPartitions("tree_key", "rest", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
-def dense_regions(reps: DataFrame, leaf: int) -> DataFrame:
-    """``tree_key, major, size, others``: regions over ``leaf`` signatures, their largest component, and the signatures outside it."""
+def keyed(reps: DataFrame) -> DataFrame:
+    """``tree_key, doc_id, comp`` for each signature and tree."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 4096) for i in range(0, big.num_rows, 4096)):
                 keys = tree_keys(np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES))
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), pa.array(np.tile(b["comp"].to_numpy(), TREES))], ["tree_key", "comp"])
+                every = [np.tile(b[c].to_numpy(), TREES) for c in ("doc_id", "comp")]
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel().view(np.int64)), *map(pa.array, every)], ["tree_key", "doc_id", "comp"])
+
+    return reps.select("lanes", "doc_id", "comp").mapInArrow(run, "tree_key long, doc_id long, comp long")
+
 
-    shares = reps.select("lanes", "comp").mapInArrow(run, "tree_key long, comp long").groupBy("tree_key", "comp").agg(F.count("*").alias("n"))
+def dense_regions(keys: DataFrame, leaf: int) -> DataFrame:
+    """``tree_key, major, size, others``: regions over ``leaf`` signatures, their largest component, and the signatures outside it."""
+    shares = keys.groupBy("tree_key", "comp").agg(F.count("*").alias("n"))
     regions = shares.groupBy("tree_key").agg(F.max_by("comp", F.struct("n", "comp")).alias("major"), F.sum("n").alias("size"), (F.sum("n") - F.max("n")).alias("others"))
     return regions.where((F.col("size") > leaf) & (F.col("others") > 0))
 
 
-def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
+def sketched(reps: DataFrame) -> DataFrame:
+    """``doc_id, n, sketch, bins`` of each signature: its set's size, a byte of each lane, its bins."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for big in batches:
+            for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
+                lanes = np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES)
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n"], blobs((lanes & 255).astype(np.uint8)), b["bins"]], ["doc_id", "n", "sketch", "bins"])
+
+    return reps.select("doc_id", "n", "lanes", "bins").mapInArrow(run, "doc_id long, n long, sketch binary, bins binary")
+
+
+def dense_candidates(reps: DataFrame, keys: DataFrame, regions: DataFrame, threshold: int, block: int = BLOCK) -> DataFrame:
     """``a, b`` (a < b): all candidate pairs between different ``comp`` in ``regions``, by salted pairs of blocks."""
     low, _ = bounds(threshold)
 
@@ -275,11 +293,12 @@ def dense_candidates(reps: DataFrame, regions: DataFrame, threshold: int, block:
                     f = np.unique(np.stack([np.minimum(f[0], f[1]), np.maximum(f[0], f[1])]), axis=1)
                     yield pa.RecordBatch.from_arrays([pa.array(f[0]), pa.array(f[1])], ["a", "b"])
 
-    rows = tree_rows(reps).join(regions, "tree_key")
+    inside = cut(keys.join(regions, "tree_key"), "inside")  # only these rows get their sketches
+    rows = inside.join(sketched(reps.join(inside.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
     across, down = F.ceil(F.col("size") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
     salt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-    columns = ["tree_key", "rest", "doc_id", "n", "comp", "sketch", "bins"]
+    columns = ["tree_key", "doc_id", "n", "comp", "sketch", "bins"]
     others = rows.where("comp <> major").select(*columns, salt(down).alias("i"), every(across).alias("j"), F.lit(0).alias("whole"))
     whole = rows.select(*columns, every(down).alias("i"), salt(across).alias("j"), F.lit(1).alias("whole"))
     both = others.unionByName(whole).repartition("tree_key", "i", "j").sortWithinPartitions("tree_key", "i", "j", "whole")
@@ -335,9 +354,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     more = checked.where("linked")
     free(spark, texts)
     moved = cut(within(links.select("a", "b").unionByName(more.select("a", "b"))), "moved")
-    regions = cut(dense_regions(moved, leaf), "regions")
+    keys = cut(keyed(moved), "keys")
+    regions = cut(dense_regions(keys, leaf), "regions")
     if regions.head(1):
-        third = dense_candidates(moved, regions, threshold, block)
+        third = dense_candidates(moved, keys, regions, threshold, block)
         for old in (tried, checked):
             third = third.join(old.select("a", "b"), ["a", "b"], "left_anti")
         third = cut(third, "pairs")
