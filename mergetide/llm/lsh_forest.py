@@ -34,6 +34,7 @@ from mergetide.llm.tokens import Words, mix, rolling, slices, spans_of, words_of
 from mergetide.sources.shared import cut, free
 
 LANES, TREES, DEPTH, LEAF, BLOCK, BINS = 128, 16, 3, 512, 1024, 256
+FEW = 1_000_000  # ids that may be broadcast: 8 MB
 ODD = mix(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
 PLUS = mix(np.arange(1001, 1001 + LANES, dtype=np.uint64))
 
@@ -326,6 +327,14 @@ def confirm(pairs: DataFrame, texts: DataFrame, k: int, threshold: int) -> DataF
     return both.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def texts_of(rows: DataFrame, pairs: DataFrame, reps: DataFrame) -> DataFrame:
+    """``doc_id, text``: one text for each id in ``pairs``; its class's set is the same whatever row it comes from."""
+    ids = cut(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), "ids")
+    if ids.count() <= FEW:  # sent to the tasks, so that the texts are not shuffled
+        ids = F.broadcast(ids)
+    return cut(rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi"), "texts")
+
+
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: str = "doc_id", text_col: str = "text", leaf: int = LEAF, block: int = BLOCK) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of each row; threshold: similarity in hundredths.
 
@@ -338,9 +347,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     classes = cut(classes, "classes")
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "lanes", "bins", F.col("rep").alias("comp"))
     first = cut(candidates(reps.withColumn("bins", F.lit(None).cast("binary")), threshold, False, leaf), "pairs")
-    ids = first.select(F.col("a").alias("doc_id")).unionByName(first.select("b").withColumnRenamed("b", "doc_id")).distinct()
-    # one text for each id that has a candidate: its class's set is the same whatever row it comes from
-    texts = cut(rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi"), "texts")
+    texts = texts_of(rows, first, reps)
     tried = cut(confirm(first, texts, k, threshold), "tried")
     links = tried.where("linked").groupBy("a", "b").agg(F.count("*"))
 
@@ -348,7 +355,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         comps = components(links.select("a", "b")).withColumnRenamed("id", "doc_id")
         return reps.drop("comp").join(comps, "doc_id", "left").select("doc_id", "n", "lanes", "bins", F.coalesce("component", "doc_id").alias("comp"))
 
-    moved = within(links).join(ids, "doc_id", "left_semi")
+    moved = within(links).join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     second = candidates(moved, threshold, True, leaf).join(tried.select("a", "b"), ["a", "b"], "left_anti")
     checked = cut(confirm(second, texts, k, threshold), "tried")
     more = checked.where("linked")
@@ -361,8 +368,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         for old in (tried, checked):
             third = third.join(old.select("a", "b"), ["a", "b"], "left_anti")
         third = cut(third, "pairs")
-        ids = third.select(F.col("a").alias("doc_id")).unionByName(third.select("b").withColumnRenamed("b", "doc_id")).distinct()
-        texts = rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi")
+        texts = texts_of(rows, third, reps)
         more = more.unionByName(cut(confirm(third, texts, k, threshold).where("linked"), "more"))
     same = found.where("n > 0 and doc_id is not null").join(classes.select("n", "set_id", "rep"), ["n", "set_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(same))
