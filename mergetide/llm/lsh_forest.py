@@ -34,6 +34,7 @@ from mergetide.llm.tokens import Words, mix, rolling, slices, spans_of, words_of
 from mergetide.sources.shared import cut, free
 
 LANES, TREES, DEPTH, LEAF, BLOCK, BINS = 128, 16, 3, 512, 1024, 256
+BITS = 4  # of each lane in a sketch; lanes that differ agree in them by chance, which the bounds count in
 ODD = mix(np.arange(1, LANES + 1, dtype=np.uint64)) | np.uint64(1)
 PLUS = mix(np.arange(1001, 1001 + LANES, dtype=np.uint64))
 
@@ -83,6 +84,19 @@ def blobs(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer((np.arange(len(x) + 1) * x.shape[1]).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(x))])
 
 
+def packed(lanes: np.ndarray) -> np.ndarray:
+    """Sketch of each signature: the low ``BITS`` bits of each lane, two lanes a byte."""
+    low = (lanes & ((1 << BITS) - 1)).astype(np.uint8)
+    return low[:, ::2] | (low[:, 1::2] << BITS)
+
+
+def unpacked(sketch: np.ndarray) -> np.ndarray:
+    """A byte for each lane of a sketch."""
+    out = np.empty((len(sketch), LANES), np.uint8)
+    out[:, ::2], out[:, 1::2] = sketch & ((1 << BITS) - 1), sketch >> BITS
+    return out
+
+
 def tree_keys(lanes: np.ndarray) -> np.ndarray:
     """For each tree (rows) the prefix of each signature (columns)."""
     keys = np.repeat(np.arange(TREES, dtype=np.uint64)[:, None], len(lanes), 1)
@@ -93,14 +107,14 @@ def tree_keys(lanes: np.ndarray) -> np.ndarray:
 
 
 def tree_rows(reps: DataFrame) -> DataFrame:
-    """``tree_key, rest, doc_id, n, comp, sketch, bins`` for each signature and tree: prefix of the order, its next lanes, a byte of each lane."""
+    """``tree_key, rest, doc_id, n, comp, sketch, bins`` for each signature and tree: prefix of the order, its next lanes, its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
                 lanes = np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES)
                 low = np.ascontiguousarray((lanes & 255).astype(np.uint8))
-                blob = blobs(low)
+                blob = blobs(packed(lanes))
                 for t, key in enumerate(tree_keys(lanes)):
                     turn = [(TREES * DEPTH + 5 * t + i) % LANES for i in range(7)]
                     rest = np.zeros(len(low), np.int64)
@@ -124,8 +138,9 @@ def leaves(rest: np.ndarray, low: int, high: int, leaf: int, depth: int = 0) ->
 
 
 def bounds(threshold: int) -> tuple[int, int]:
-    """Lanes that candidates at the threshold agree on at least, and those of a clear candidate."""
+    """Lanes whose sketches agree at least in candidates at the threshold, and in a clear candidate."""
     share = threshold / 100
+    share += (1 - share) / (1 << BITS)
     deviation = (share * (1 - share) / LANES) ** 0.5
     return int(LANES * (share - 4.1 * deviation)), int(LANES * (share - 1.5 * deviation))
 
@@ -157,7 +172,8 @@ def read(b: pa.RecordBatch, every: bool) -> dict[str, np.ndarray]:
     if every:
         more["bins"] = np.frombuffer(b["bins"].buffers()[2], np.uint8)[b["bins"].offset * BINS :][: b.num_rows * BINS].reshape(-1, BINS)
         more["full"] = (more["bins"] == 255).any(1)  # a count that may be higher says nothing
-    sketch = np.frombuffer(b["sketch"].buffers()[2], np.uint8)[b["sketch"].offset * LANES :][: b.num_rows * LANES].reshape(-1, LANES)
+    size = LANES * BITS // 8
+    sketch = unpacked(np.frombuffer(b["sketch"].buffers()[2], np.uint8)[b["sketch"].offset * size :][: b.num_rows * size].reshape(-1, size))
     return {"key": b["tree_key"].to_numpy(), "doc": b["doc_id"].to_numpy(), "n": b["n"].to_numpy(), "comp": b["comp"].to_numpy(), "sketch": sketch} | more
 
 
@@ -254,13 +270,13 @@ def dense_regions(keys: DataFrame, leaf: int) -> DataFrame:
 
 
 def sketched(reps: DataFrame) -> DataFrame:
-    """``doc_id, n, sketch, bins`` of each signature: its set's size, a byte of each lane, its bins."""
+    """``doc_id, n, sketch, bins`` of each signature: its set's size, its sketch, its bins."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for big in batches:
             for b in (big.slice(i, 1024) for i in range(0, big.num_rows, 1024)):
                 lanes = np.frombuffer(b"".join(b["lanes"].to_pylist()), np.uint32).reshape(-1, LANES)
-                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n"], blobs((lanes & 255).astype(np.uint8)), b["bins"]], ["doc_id", "n", "sketch", "bins"])
+                yield pa.RecordBatch.from_arrays([b["doc_id"], b["n"], blobs(packed(lanes)), b["bins"]], ["doc_id", "n", "sketch", "bins"])
 
     return reps.select("doc_id", "n", "lanes", "bins").mapInArrow(run, "doc_id long, n long, sketch binary, bins binary")
 
