@@ -310,7 +310,7 @@ def dense_candidates(reps: DataFrame, keys: DataFrame, regions: DataFrame, thres
                     yield pa.RecordBatch.from_arrays([pa.array(f[0]), pa.array(f[1])], ["a", "b"])
 
     inside = cut(keys.join(regions, "tree_key"), "inside")  # only these rows get their sketches
-    rows = inside.join(sketched(reps.join(inside.select("doc_id").distinct(), "doc_id", "left_semi")), "doc_id")
+    rows = inside.join(sketched(reps).join(inside.select("doc_id").distinct(), "doc_id", "left_semi"), "doc_id")
     across, down = F.ceil(F.col("size") / block).cast("int"), F.ceil(F.col("others") / block).cast("int")
     salt = lambda n: F.pmod(F.xxhash64("doc_id"), n).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
