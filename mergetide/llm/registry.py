@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from mergetide.llm import sql
 from mergetide.llm.decontaminate import benchmark_hits
 from mergetide.llm.html_main import extract_main
+from mergetide.llm.lexical import ranked_search
 from mergetide.llm.lsh_forest import near_duplicates
 from mergetide.llm.mixing import mix_sources
+from mergetide.llm.phrases import phrase_fingerprints
 from mergetide.llm.pseudonyms import pseudonymise
 from mergetide.llm.quality import quality_rules
 from mergetide.llm.recompress import dedup_substrings
+from mergetide.llm.spelling import spelling_variants, word_counts
 from mergetide.llm.suffixes import repeated_passages
 from mergetide.llm.toxicity import toxicity
 from mergetide.llm.warc import read_archives, write_archives
@@ -75,6 +78,18 @@ def op10_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_repeated", "n_removable", text("spans").alias("spans"), text("removable").alias("removable"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(word_counts(table(spark, sf_dir, "documents")))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=50)
+
+
+def op13_phrase_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrase_fingerprints(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline  # it imports from here
 
@@ -82,8 +97,15 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_quality_rules": op1_quality_rules, "op2_html_extraction": op2_html_extraction, "op3_decontamination": op3_decontamination, "op4_warc": op4_warc, "op5_pii": op5_pii, "op6_mixing": op6_mixing, "op7_recompression": op7_recompression, "op8_minhash_forest": op8_minhash_forest, "op9_toxicity": op9_toxicity, "op10_suffix_array": op10_suffix_array, "pipeline": pipeline}
+    found = [
+        op1_quality_rules, op2_html_extraction, op3_decontamination, op4_warc, op5_pii, op6_mixing, op7_recompression, op8_minhash_forest, op9_toxicity,
+        op10_suffix_array, op11_spelling_variants, op12_lexical_search, op13_phrase_fingerprints, pipeline,
+    ]
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7, "op8_minhash_forest": sql.OP8, "op10_suffix_array": sql.OP10}
+    return {
+        "op1_quality_rules": sql.OP1, "op4_warc": sql.OP4, "op6_mixing": sql.OP6, "op7_recompression": sql.OP7, "op8_minhash_forest": sql.OP8,
+        "op10_suffix_array": sql.OP10, "op11_spelling_variants": sql.OP11, "op12_lexical_search": sql.OP12,
+    }

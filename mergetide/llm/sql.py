@@ -132,3 +132,45 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, least(d.doc_id,
        d.doc_id = least(d.doc_id, coalesce(m.b, d.doc_id)) AS kept
 FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN m ON m.a = d.doc_id
 """
+
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: the crc32 of a byte, by eight shifts
+CRC_STEPS = ", ".join(f"c{k} AS (SELECT i, CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END AS x FROM c{k - 1})" for k in range(1, 9))
+
+OP11 = rf"""
+WITH RECURSIVE c0 AS (SELECT range AS i, range AS x FROM range(256)), {CRC_STEPS},
+tab AS (SELECT list(x ORDER BY i) AS t FROM c8),
+r AS (SELECT doc_id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')), '{UPPER}', '{LOWER}') AS run FROM documents),
+k AS (SELECT doc_id, run, count(*) AS m FROM r WHERE length(run) >= 7 GROUP BY ALL),
+b AS (SELECT *, flatten(list_transform(string_split(CAST(doc_id AS VARCHAR) || ':' || run, ''),
+        lambda c: CASE WHEN unicode(c) < 128 THEN [CAST(unicode(c) AS BIGINT)] ELSE [192 + CAST(unicode(c) AS BIGINT) // 64, 128 + CAST(unicode(c) AS BIGINT) % 64] END)) AS bytes FROM k),
+h AS (SELECT run, m, xor(list_reduce(list_prepend(4294967295, bytes), lambda acc, x: xor(acc >> 8, t[CAST((xor(acc, x) & 255) + 1 AS INTEGER)])), 4294967295) AS crc FROM b, tab),
+w0 AS (SELECT CASE WHEN crc % 31 = 0 THEN left(run, CAST(crc % length(run) AS INTEGER)) || substr(run, CAST(crc % length(run) AS INTEGER) + 2) ELSE run END AS word, m FROM h),
+w AS (SELECT word, CAST(sum(m) AS BIGINT) AS n FROM w0 WHERE length(word) >= 7 GROUP BY word HAVING sum(m) >= 2),
+g AS (SELECT word, unnest(range(0, length(word))) AS p FROM w),
+v AS (SELECT word, p, left(word, CAST(p AS INTEGER)) || substr(word, CAST(p AS INTEGER) + 2) AS less FROM g),
+e AS (SELECT a.word, b.word AS near FROM v a JOIN v b ON a.less = b.less AND a.p = b.p AND a.word <> b.word
+      UNION SELECT v.word, w.word FROM v JOIN w ON v.less = w.word UNION SELECT w.word, v.word FROM v JOIN w ON v.less = w.word),
+s AS (SELECT e.word, e.near, w.n AS near_n, count(*) OVER (PARTITION BY e.word) AS n_near,
+             row_number() OVER (PARTITION BY e.word ORDER BY w.n DESC, e.near) AS place FROM e JOIN w ON w.word = e.near),
+f AS (SELECT w.word, w.n, coalesce(s.n_near, 0) AS n_near, CASE WHEN s.near_n >= 10 * w.n THEN s.near END AS form, CASE WHEN s.near_n >= 10 * w.n THEN s.near_n END AS form_n
+      FROM w LEFT JOIN s ON s.word = w.word AND s.place = 1),
+q(word, goal) AS (SELECT word, word FROM f UNION ALL SELECT q.word, f.form FROM q JOIN f ON f.word = q.goal WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, q.goal AS root, f.n, CAST(f.n_near AS BIGINT) AS n_near, f.form_n
+FROM f JOIN q ON q.word = f.word JOIN f z ON z.word = q.goal AND z.form IS NULL
+"""
+
+TERMS = rf"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {TERMS} AS ts FROM documents WHERE text IS NOT NULL),
+c AS (SELECT count(*) AS nn, CAST(sum(len(ts)) AS BIGINT) AS ll FROM d WHERE len(ts) > 0),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(ts) AS term FROM d) GROUP BY ALL),
+i AS (SELECT DISTINCT item_id, unnest({TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0::DOUBLE * nn + 2) / (2.0::DOUBLE * count(*) + 1))) AS BIGINT) AS w FROM p, c WHERE term IN (SELECT term FROM i) GROUP BY term, nn),
+m AS (SELECT rid, doc_id, 50 + (50 * len(ts) * nn) // ll AS m FROM d, c),
+s AS (SELECT item_id, doc_id, rid, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * m))) AS BIGINT) AS score
+      FROM i JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY ALL),
+o AS (SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM o WHERE rank <= 50
+"""
