@@ -4,9 +4,11 @@ The trie is a table of edges: a node is a prefix of words, a row has the letters
 that follow next and whether a word ends there.  A state is (word, position, node, edits); a level joins the states with the
 nodes of one depth.  States without an edit are the words themselves at their own prefix; they insert a letter or replace
 theirs by a later one wherever the next letter of the word goes on from there.  States with an edit follow their word.  A state
-whose word ends where a word of the trie ends is a pair of neighbours; deletions are insertions seen from the other word, so
-each pair is met once and mirrored.  An insertion of the letter that follows would give the same word as one behind it, and is
-left to that.
+whose word ends where a word of the trie ends is a pair of neighbours; deletions are insertions seen from the other word, and
+pairs are mirrored.  An insertion of the letter that follows would give the same word as one behind it, and is left to that.
+
+Near the root every letter follows every prefix.  So words are in the trie as they are and turned round, and each way only the
+half that is read last is edited: there few letters follow, and every edit lies in the last half of one of the two.
 
 Words of more than ``LONG`` letters would make as many levels; they are compared by what all but one of their pieces hold.
 """
@@ -22,8 +24,8 @@ from mergetide.sources.shared import cut, free
 
 RUN = "A-Za-zÀ-ÿ"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: letters a trie node can be followed by: 26 and 64
-ALPHABET = 90
+#: what a word begins with in the trie, as it is and turned round
+ONWARD, TURNED = ">", "<"
 LONG = 48
 PIECE = 12
 #: levels that go down in one job; the states are written after them
@@ -48,62 +50,68 @@ def word_counts(docs: DataFrame, least_chars: int = 7, least_n: int = 2, spoil:
     return counted.where((F.length("word") >= least_chars) & (F.col("n") >= least_n))
 
 
-def trie_of(words: DataFrame) -> DataFrame:
-    """``depth, node, edges``: the letters that follow each prefix, each with those that follow it and whether a word ends there.
+def both_ways(words: DataFrame) -> DataFrame:
+    """``word, since``: each word as it is and turned round, behind a sign for that, and the position where edits begin."""
+    half = F.floor(F.length("word") / 2).cast("int")
+    ways = F.array(F.struct(F.concat(F.lit(ONWARD), "word").alias("word"), (half + 1).alias("since")), F.struct(F.concat(F.lit(TURNED), F.reverse("word")).alias("word"), (F.length("word") - half + 1).alias("since")))
+    return words.select(F.explode(ways).alias("w")).select("w.word", "w.since")
 
-    A node has at most ``ALPHABET`` edges, each with at most as many letters.
-    """
-    cuts = words.select("word", F.explode(F.sequence(F.lit(0), F.length("word") - 1)).alias("at"))
+
+def trie_of(words: DataFrame, since: int) -> DataFrame:
+    """``depth, node, edges``: the letters that follow each prefix of ``since`` letters or more, each with those that follow it
+    and whether a word ends there.  A node has at most 90 edges, as there are letters, and each at most as many letters."""
+    cuts = words.select("word", F.explode(F.sequence(F.lit(since), F.length("word") - 1)).alias("at"))
     steps = cuts.select(F.substring("word", F.lit(1), F.col("at")).alias("node"), F.substring("word", F.col("at") + 1, F.lit(1)).alias("letter")).distinct()
     both = steps.withColumn("ends", F.lit(False)).unionByName(words.select(F.col("word").alias("node"), F.lit("").alias("letter"), F.lit(True).alias("ends")))
-    nodes = both.groupBy("node").agg(F.array_join(F.collect_list("letter"), "").alias("next"), F.max("ends").alias("ends")).where("node <> ''")
+    nodes = both.groupBy("node").agg(F.array_join(F.collect_list("letter"), "").alias("next"), F.max("ends").alias("ends")).where(F.length("node") > since)
     edge = F.struct(F.substring("node", -1, 1).alias("letter"), "next", "ends")
     parent = F.substring("node", F.lit(1), F.length("node") - 1)
+    # the last node of a path has no letters behind it, and its parent may have only it
     grouped = nodes.select(parent.alias("node"), edge.alias("edge")).groupBy("node").agg(F.collect_list("edge").alias("edges"))
     return grouped.select(F.length("node").alias("depth"), "node", "edges").sortWithinPartitions("depth")  # a level reads its own rows
 
 
 def stepped(states: DataFrame, nodes: DataFrame) -> DataFrame:
     """States ``word, position, node, edits`` one node deeper; those at the end of their word end at a word of the trie, and stay."""
-    size, position = F.length("word"), F.col("position")
-    ended = (F.col("edits") > 0) & (position == size)
-    letter = F.substring("word", position + 1, F.lit(1))
-    to = lambda chosen, at: F.transform(chosen, lambda e: F.struct(at.alias("position"), e["letter"].alias("letter"), e["next"].alias("next"), e["ends"].alias("ends")))
-    inserted = to(F.filter("edges", lambda e: e["letter"] != letter), position)
-    replaced = to(F.filter("edges", lambda e: (e["letter"] > letter) & (position < size)), position + 1)
-    followed = to(F.filter("edges", lambda e: e["letter"] == letter), position + 1)
-    moves = F.when(F.col("edits") == 0, F.concat(inserted, replaced)).otherwise(followed)
-
-    def alive(m: Column) -> Column:
-        on = F.substring("word", m["position"] + 1, F.lit(1))
-        return F.when(m["position"] == size, m["ends"]).otherwise(F.contains(m["next"], on))
-
-    stay = F.array(F.struct(position.alias("position"), F.lit("").alias("letter"), F.lit("").alias("next"), F.lit(True).alias("ends")))
-    met = states.withColumn("_ended", ended).join(nodes.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & ~F.col("_ended"), "left")
-    deeper = met.select("word", "node", F.explode(F.when(F.col("_ended"), stay).otherwise(F.filter(moves, alive))).alias("m"))
-    return deeper.select("word", F.col("m.position").alias("position"), F.concat("node", "m.letter").alias("node"), F.lit(1).alias("edits"))
+    size, position, first = F.length("word"), F.col("position"), F.col("edits") == 0
+    met = states.withColumn("ended", ~first & (position == size)).join(nodes.withColumnRenamed("node", "_node"), (F.col("node") == F.col("_node")) & ~F.col("ended"), "left")
+    met = met.select("word", "position", "node", "edits", "ended", F.explode_outer("edges").alias("e")).where("ended or e is not null")
+    tried = met.select("*", F.substring("word", position + 1, F.lit(1)).alias("letter"), F.explode(F.array(F.lit(0), F.lit(1))).alias("read"))  # letters of the word
+    inserted = first & (F.col("read") == 0) & (F.col("e.letter") != F.col("letter"))
+    replaced = first & (F.col("read") == 1) & (F.col("e.letter") > F.col("letter")) & (position < size)
+    followed = ~first & (F.col("read") == 1) & (F.col("e.letter") == F.col("letter"))
+    to = position + F.col("read")
+    alive = F.when(to == size, F.col("e.ends")).otherwise(F.contains(F.col("e.next"), F.substring("word", to + 1, F.lit(1))))
+    stay = F.col("ended") & (F.col("read") == 0)
+    deeper = tried.where(stay | (~F.col("ended") & (inserted | replaced | followed) & alive))
+    return deeper.select("word", to.alias("position"), F.when(F.col("ended"), F.col("node")).otherwise(F.concat("node", "e.letter")).alias("node"), F.lit(1).alias("edits"))
 
 
 def trie_pairs(words: DataFrame) -> DataFrame:
-    """``word, near``: pairs of ``words(word)`` of at most ``LONG`` letters that are one edit apart, each once."""
+    """``word, near``: pairs of ``words(word)`` of at most ``LONG`` letters that are one edit apart, each once, one way."""
     spark = words.sparkSession
-    words = words.where(F.length("word") <= LONG)
-    trie = cut(trie_of(words), "trie")
-    deepest = words.agg(F.max(F.length("word")).alias("n")).first()["n"] or 0
+    ways = cut(both_ways(words.where(F.length("word") <= LONG)), "ways")
+    span = ways.agg(F.min("since").alias("first"), F.max(F.length("word")).alias("last")).first()
+    if span["first"] is None:
+        return spark.createDataFrame([], "word string, near string")
+    trie = cut(trie_of(ways, span["first"]), "trie")
     ended = F.col("position") == F.length("word")
     pairs, written = [], []
     before = spark.createDataFrame([], "word string, position int, node string, edits int")
-    for depth in range(deepest + 1):
-        states = words.where(F.length("word") >= depth).select("word", F.lit(depth).alias("position"), F.substring("word", 1, depth).alias("node"), F.lit(0).alias("edits"))
-        nodes = trie.where(F.col("depth") == depth).select("node", "edges")
-        before = stepped(before.unionByName(states), F.broadcast(nodes) if depth <= 1 else nodes)  # at most ALPHABET nodes at depth 1
-        if depth % LEVELS == LEVELS - 1 or depth == deepest:
+    for depth in range(span["first"], span["last"] + 1):
+        own = ways.where((F.length("word") >= depth) & (F.col("since") <= depth))
+        states = own.select("word", F.lit(depth).alias("position"), F.substring("word", 1, depth).alias("node"), F.lit(0).alias("edits"))
+        before = stepped(before.unionByName(states), trie.where(F.col("depth") == depth).select("node", "edges"))
+        if (depth - span["first"]) % LEVELS == LEVELS - 1 or depth == span["last"]:
             level = cut(before, "states")
             pairs.append(level.where(ended).select("word", F.col("node").alias("near")))
             before = level.where(~ended)
             written.append(level)
-    found = cut(reduce(DataFrame.unionByName, pairs), "pairs") if pairs else spark.createDataFrame([], "word string, near string")
-    free(spark, trie, *written)
+    plain = lambda c: F.when(F.startswith(c, F.lit(ONWARD)), F.substring(c, 2, LONG + 1)).otherwise(F.reverse(F.substring(c, 2, LONG + 1)))
+    found = reduce(DataFrame.unionByName, pairs).select(plain(F.col("word")).alias("word"), plain(F.col("near")).alias("near"))
+    swap = (F.length("near") == F.length("word")) & (F.col("near") < F.col("word"))  # turned round, the later letter may be in the smaller word
+    found = cut(found.select(F.when(swap, F.col("near")).otherwise(F.col("word")).alias("word"), F.when(swap, F.col("word")).otherwise(F.col("near")).alias("near")).distinct(), "pairs")
+    free(spark, ways, trie, *written)
     return found
 
 
