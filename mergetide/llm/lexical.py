@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,7 +31,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: bytes to lower-case letters, digits and what is not ASCII; others become spaces
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i if i >= 128 or chr(i).isalnum() else 32 for i in range(256))
 BLOCK_DOCS = 4096
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 BATCH_BYTES = 8 << 20
 #: ranges that go down at once
 WIDTH = 256
@@ -89,7 +90,8 @@ def tree_of(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, depth: int)
     levels.reverse()
     quarters.reverse()
     drops = [levels[0]] + [np.repeat(above, POP[q]) - own for above, q, own in zip(levels, quarters, levels[1:], strict=False)]
-    return [len(x) for x in levels], b"".join(q.tobytes() for q in quarters), b"".join(d.astype(np.int32).tobytes() for d in drops)
+    pack = zstandard.ZstdCompressor().compress
+    return [len(x) for x in levels], pack(b"".join(q.tobytes() for q in quarters)), pack(b"".join(d.astype(np.int32).tobytes() for d in drops))
 
 
 def block_of(docs: list[tuple[int | None, bytes]], n_docs: int, n_terms: int) -> dict:
@@ -148,7 +150,8 @@ class Treap:
     def __init__(self, depth: int, sizes: list[int], quarters: bytes, drops: bytes) -> None:
         self.depth = depth
         ends = np.cumsum(sizes)
-        flat, mask = np.frombuffer(drops, np.int32), np.frombuffer(quarters, np.uint8)
+        unpack = zstandard.ZstdDecompressor().decompress  # a block at a time
+        flat, mask = np.frombuffer(unpack(drops), np.int32), np.frombuffer(unpack(quarters), np.uint8)
         self.best, self.mask, self.start = [flat[: sizes[0]].astype(np.int64)], [], []
         for level in range(depth):
             m = mask[ends[level] - sizes[level] : ends[level]]
