@@ -1,7 +1,6 @@
-"""References that a source file makes, taken from its text with regular expressions.
+"""References that templates and state stores make, taken from their text with regular expressions.
 
-Supported forms are those written as literals: string and template literals without substitution, array literals of
-names, calls on names and member accesses.  Spread and conditional elements are passed over.
+What source files declare is told by :mod:`mergetide.functions.scanner`.
 """
 
 from __future__ import annotations
@@ -9,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-NAME = "[A-Za-z_$][A-Za-z0-9_$]*"
 #: Names that are part of the framework.
 PLAIN_TAGS = ["font-face", "missing-glyph", "ng-container", "ng-template", "ng-content"]
 PLAIN_BINDINGS = (
@@ -19,7 +17,6 @@ PLAIN_BINDINGS = (
     "queryParams fragment preserveFragment skipLocationChange replaceUrl cdkScrollable cdkDrag cdkDrop cdkDropList"
 ).split()
 PLAIN_PIPES = "async currency date decimal i18nPlural i18nSelect json keyvalue lowercase number percent slice titlecase uppercase".split()
-PRIMITIVES = ["string", "number", "boolean", "any", "void", "null", "undefined"]
 #: The text that counts as a reference in a template; group 1 is its name.
 COMPONENT_TAG = r"(?i)<([a-z][a-z0-9]*(?:-[a-z0-9]+)+)[\s>/]"
 BINDING = r"\[([a-z][a-zA-Z0-9]*)\]"
@@ -106,33 +103,7 @@ def selector_refs(text: Column) -> Column:
     return F.array_distinct(F.filter(every(text, SELECTED), lambda x: F.startswith(x, F.lit("select")) | F.endswith(x, F.lit("Selector"))))
 
 
-# decorated classes
-
-#: parentheses up to three deep; possessive, so that long templates need no backtracking
-ARGUMENTS = r"\((?:[^()]++|\((?:[^()]++|\([^()]*+\))*+\))*+\)"
-DECORATED = rf"@(Component|NgModule|Injectable|Directive|Pipe)\s*{ARGUMENTS}\s*(?:export\s+)?(?:default\s+)?(?:abstract\s+)?class\s+({NAME})"
-KINDS = {"Component": "component", "NgModule": "module", "Injectable": "service", "Directive": "directive", "Pipe": "pipe"}
-
-
-def decorated(text: Column) -> tuple[Column, Column]:
-    """(type, class name) by the last decorated class; null without one."""
-    kinds, names = every(text, DECORATED, 1), every(text, DECORATED, 2)
-    kind = F.element_at(F.create_map(*[F.lit(x) for kv in KINDS.items() for x in kv]), F.try_element_at(kinds, F.lit(-1)))
-    return kind, F.try_element_at(names, F.lit(-1))
-
-
-def first_class(text: Column) -> Column:
-    return first(text, rf"\bclass\s+({NAME})")
-
-
-def decorator_selector(text: Column) -> Column:
-    """Selector of a component or directive as written; a pipe's name stands in its place."""
-    literal = r"['\"`]([^'\"`$]*)['\"`]"
-    return F.coalesce(first(text, rf"@(?:Component|Directive)\s*\(\s*\{{[^@]*?\bselector\s*:\s*{literal}"), first(text, rf"@Pipe\s*\(\s*\{{[^@]*?\bname\s*:\s*{literal}"))
-
-
-def provided_in(text: Column) -> Column:
-    return first(text, r"@Injectable\s*\(\s*\{[^@]*?\bprovidedIn\s*:\s*['\"]([^'\"]*)['\"]")
+# what else files name
 
 
 def template_url(text: Column) -> Column:
@@ -143,30 +114,6 @@ def style_urls(text: Column) -> Column:
     return F.flatten(F.transform(every(text, r"\bstyleUrls\s*:\s*\[([^\]]*)\]"), lambda x: F.regexp_extract_all(x, F.lit(r"['\"`]([^'\"`]*)['\"`]"), F.lit(1))))
 
 
-def inline_template(text: Column) -> Column:
-    return F.coalesce(first(text, r"\btemplate\s*:\s*`([^`$]*)`"), first(text, r"\btemplate\s*:\s*'([^']*)'"), first(text, r"\btemplate\s*:\s*\"([^\"]*)\""))
-
-
-def listed(text: Column, decorator: str, field: str) -> Column:
-    """Names of an array literal in a decorator: ``X``, ``X.forRoot(...)`` and ``X.y`` give ``X``."""
-    body = F.coalesce(first(text, rf"@{decorator}\s*\(\s*\{{[^@]*?\b{field}\s*:\s*\[((?:[^\[\]]++|\[[^\[\]]*+\])*+)\]"), F.lit(""))
-    flat = F.regexp_replace(F.regexp_replace(body, r"\([^()]*\)", ""), r"\{[^{}]*\}", "")
-    names = F.transform(F.split(flat, ","), lambda x: F.regexp_extract(x, rf"^\s*({NAME})(?:\.{NAME})*\s*$", 1))
-    return F.filter(names, lambda x: x != "")
-
-
-def injections(text: Column) -> Column:
-    """Types of the first constructor's parameters, primitives left out, repeats kept."""
-    body = F.coalesce(first(text, r"\bconstructor\s*\(([^)]*)\)"), F.lit(""))
-    types = F.regexp_extract_all(body, F.lit(r":\s*([A-Za-z_$][A-Za-z0-9_$.]*(?:<[^>]*>)?)"), F.lit(1))
-    return without(types, PRIMITIVES)
-
-
-def import_specs(text: Column) -> Column:
-    """Specifiers of imports and re-exports, in order."""
-    return every(text, r"(?m)^\s*(?:import|export)\s(?:[^'\";]*?\sfrom\s*)?['\"]([^'\"\n]+)['\"]")
-
-
 def raw_imports(text: Column) -> Column:
     """Specifiers of single-line ``import ... from`` and ``export ... from``; side-effect imports are not seen."""
     return every(text, r"(?:import|export)\s+.*?from\s+['\"]([^'\"]+)['\"]")

@@ -6,22 +6,23 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.functions import references as R
+from mergetide.functions.scanner import scanned
 from mergetide.functions.text import beside, file_type, state_kind
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """``parsed``: type, class, selector and all references of each file; templates by URL are added by :func:`with_templates`."""
+    """``parsed``: type, class, selector and all references of each file; templates by URL are added by :func:`with_templates`.
+
+    Source files are scanned once, in Arrow batches; what templates and stores name is found by native expressions.  Imports
+    come before re-exports, each in order.
+    """
     text = F.when(F.col("path").rlike(r"\.tsx?$"), F.col("content")).otherwise(F.lit(""))
-    kind, name = R.decorated(text)
-    store = F.when(F.endswith(F.col("path"), F.lit(".ts")), text).otherwise(F.lit(""))
+    store = F.when(F.endswith(F.col("path"), F.lit(".ts")), F.col("content")).otherwise(F.lit(""))
+    said = scanned(text)
+    plain = ["class_name", "selector", "provided_in", "imports", "module_imports", "declarations", "exports", "providers", "component_providers", "injections", "template_url", "style_urls"]
     return files.select(
         *[c for c in files.columns if c != "content"],
-        F.coalesce(kind, file_type(F.col("path"))).alias("file_type"), F.coalesce(name, R.first_class(text)).alias("class_name"),
-        R.decorator_selector(text).alias("selector"), R.provided_in(text).alias("provided_in"), R.import_specs(text).alias("imports"),
-        R.listed(text, "NgModule", "imports").alias("module_imports"), R.listed(text, "NgModule", "declarations").alias("declarations"),
-        R.listed(text, "NgModule", "exports").alias("exports"), R.listed(text, "NgModule", "providers").alias("providers"),
-        R.listed(text, "Component", "providers").alias("component_providers"), R.injections(text).alias("injections"),
-        R.template_refs(R.inline_template(text)).alias("template_refs"), R.template_url(text).alias("template_url"), R.style_urls(text).alias("style_urls"),
+        F.coalesce(said["kind"], file_type(F.col("path"))).alias("file_type"), *[said[c].alias(c) for c in plain], R.template_refs(said["template"]).alias("template_refs"),
         R.action_names(store).alias("action_names"), R.action_ids(store).alias("action_ids"), R.action_refs(store).alias("action_refs"),
         R.selector_names(store).alias("selector_names"), R.selector_refs(store).alias("selector_refs"), R.feature_name(store).alias("feature_name"),
         state_kind(F.col("path")).alias("state_kind"),

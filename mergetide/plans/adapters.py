@@ -61,9 +61,10 @@ SOURCES = f"""
 SELECT p_partkey AS ordinal, 'left/' || {module(1)} || '.ts' AS path,
   'import {{{{ A }}}} from ''../' || {module(2)} || ''';' || chr(10) ||
   'import {{{{ B }}}} from ''@app/' || {module(3)} || ''';' || chr(10) || 'export * from ''rxjs'';' || chr(10) ||
-  '@Component({{{{ selector: ''app-f' || CAST(p_partkey AS STRING) || ''', providers: [C' || CAST({half(5)} AS STRING) || ', Z.forRoot(1)], template: `<app-f' ||
-  CAST({half(3)} AS STRING) || ' [appD]="v | async" [hidden]="a || b" *ngIf="v | size" (click)="go(f())"></app-f' || CAST({half(3)} AS STRING) || '>` }}}})' || chr(10) ||
-  'export class C' || CAST(p_partkey AS STRING) || ' {{{{ constructor(private s: C' || CAST({half(2)} AS STRING) || ', n: number) {{{{}}}} }}}}' || chr(10) ||
+  '// class Old {{{{ constructor(x: Y) {{{{}}}} }}}}' || chr(10) || '@Component({{{{ selector: ''app-f' || CAST(p_partkey AS STRING) || ''', providers: [C' || CAST({half(5)} AS STRING) || ', Z.forRoot(env(a, [1]), b), provideW(2), ...more], template: `:) <app-f' ||
+  CAST({half(3)} AS STRING) || ' [appD]="v | async" [hidden]="a || b" *ngIf="v | size" (click)="go(f())"></app-f' || CAST({half(3)} AS STRING) || '>` }}}})' || chr(10) || '@UntilDestroy()' || chr(10) ||
+  'export class C' || CAST(p_partkey AS STRING) || ' {{{{ constructor(@Inject(tok(f(1))) private s: C' || CAST({half(2)} AS STRING) ||
+  ', n: number, m = make(1, 2), private t: Map<string, C' || CAST({half(3)} AS STRING) || '> = new Map()) {{{{}}}} }}}}' || chr(10) ||
   'export const load' || CAST(p_partkey AS STRING) || ' = createAction(''[Part] Load ' || CAST(p_partkey AS STRING) || ''');' || chr(10) ||
   'export const selectP' || CAST(p_partkey AS STRING) || ' = createSelector(x);' || chr(10) ||
   'ofType(load' || CAST({half(7)} AS STRING) || ', other); store.dispatch(new Go()); store.select(selectP' || CAST({half(4)} AS STRING) || ');' || chr(10) AS content
@@ -71,17 +72,19 @@ FROM {{part}}"""
 
 
 #: Two branches of a tree of components with templates beside them, directives, pipes and modules; some files are missing on a
-#: side, some import another file on each side, some a file that is no node.  Sides: 0 left, 1 right.
+#: side, some import another file on each side, some a file that is no node; decorators, arguments and defaults nest, and
+#: comments hold what looks like code.  Sides: 0 left, 1 right.
 BRANCHES = f"""
 SELECT side, p_partkey * 2 AS ordinal, 'm' || CAST({half(100)} AS STRING) || '/f' || CAST(p_partkey AS STRING) || '.ts' AS path,
   'import {{{{ A }}}} from ''../' || CASE WHEN side = 1 AND p_size % 3 = 0 THEN {module(3)} ELSE {module(2)} END || ''';' || chr(10) ||
   CASE WHEN p_partkey % 7 = 2 THEN 'import x from ''../lib/old.js'';' || chr(10) ELSE '' END ||
-  CASE p_partkey % 4
+  '/* class C0 */ // @Pipe({{{{ name: ''none'' }}}})' || chr(10) || CASE p_partkey % 4
     WHEN 0 THEN '@Component({{{{ selector: ''app-f' || CAST(p_partkey AS STRING) || ''', templateUrl: ''./f' || CAST(p_partkey AS STRING) || '.html'' }}}})'
     WHEN 1 THEN '@Directive({{{{ selector: ''dir' || CAST(p_partkey AS STRING) || ''' }}}})'
     WHEN 2 THEN '@Pipe({{{{ name: ''pipe' || CAST(p_partkey AS STRING) || ''' }}}})'
-    ELSE '@NgModule({{{{ imports: [C' || CAST({half(3)} AS STRING) || '], declarations: [C' || CAST({half(2)} AS STRING) || ', C' || CAST({half(5)} AS STRING) || '] }}}})' END || chr(10) ||
-  'export class C' || CAST(p_partkey AS STRING) || ' {{{{ n = ' || CASE WHEN side = 1 AND p_size % 5 = 0 THEN '2' ELSE '1' END || '; }}}}' || chr(10) AS content
+    ELSE '@NgModule({{{{ imports: [C' || CAST({half(3)} AS STRING) || '.forChild([r(1), s({{{{ a: f(g(2)) }}}})]), provideX(), ...rest], declarations: [C' || CAST({half(2)} AS STRING) || ', C' || CAST({half(5)} AS STRING) || '] }}}})' END || chr(10) || CASE WHEN p_partkey % 3 = 0 THEN '@UntilDestroy()' || chr(10) ELSE '' END ||
+  'export class C' || CAST(p_partkey AS STRING) || ' {{{{ n = ' || CASE WHEN side = 1 AND p_size % 5 = 0 THEN '2' ELSE '1' END || '; constructor(@Inject(T(f(1))) private a: C' ||
+  CAST({half(2)} AS STRING) || ', b = make([1, 2]), private readonly c: C' || CAST({half(7)} AS STRING) || ') {{{{}}}} }}}}' || chr(10) AS content
 FROM {{part}} CROSS JOIN (SELECT 0 AS side UNION ALL SELECT 1) AS s
 WHERE NOT (side = 0 AND p_partkey % 17 = 3) AND NOT (side = 1 AND p_partkey % 13 = 5)
 UNION ALL

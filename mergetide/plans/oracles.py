@@ -114,13 +114,14 @@ y AS (SELECT CASE WHEN tail THEN 0 WHEN head THEN 1 ELSE no END AS gone, CASE WH
 #: files of both branches, and what their text says
 BRANCHES = f"""
 t AS ({D(A.BRANCHES)}), f AS (SELECT * FROM t WHERE path LIKE '%.ts'),
-c AS (SELECT side, path, regexp_extract(content, 'class (C[0-9]+)', 1) AS class_name, nullif(regexp_extract(content, '(?:selector|name): ''([^'']*)''', 1), '') AS selector,
-        regexp_extract(content, '@([A-Za-z]+)[(]', 1) AS kind, content FROM f),
+c AS (SELECT side, path, regexp_extract(content, '\nexport class (C[0-9]+)', 1) AS class_name, nullif(regexp_extract(content, '\n@[A-Za-z]+[(][^\n]*(?:selector|name): ''([^'']*)''', 1), '') AS selector,
+        regexp_extract(content, '\n@([A-Za-z]+)[(]', 1) AS kind, content FROM f),
 i AS (SELECT side, path, unnest(regexp_extract_all(content, 'from ''[.][.]/([^'']+)''', 1)) AS spec FROM f),
 r AS (SELECT i.side, i.path, t.path AS target FROM i JOIN t ON t.side = i.side AND t.path = CASE WHEN spec LIKE '%.js' THEN spec ELSE spec || '.ts' END),
 h AS (SELECT side, replace(path, '.html', '.ts') AS path, content FROM t WHERE path LIKE '%.html'),
 m AS (SELECT DISTINCT path AS dst, class_name, selector FROM c),
 u AS (SELECT side, path, 'class' AS way, 'ngmodule-import' AS edge_type, unnest(regexp_extract_all(regexp_extract(content, 'imports: .([^]]*)', 1), 'C[0-9]+')) AS key FROM c
+  UNION ALL SELECT side, path, 'class', 'injection', unnest(regexp_extract_all(regexp_extract(content, 'constructor[^\n]*'), ': (C[0-9]+)', 1)) FROM c WHERE kind IN ('Component', 'Directive')
   UNION ALL SELECT side, path, 'class', 'ngmodule-declaration', unnest(regexp_extract_all(regexp_extract(content, 'declarations: .([^]]*)', 1), 'C[0-9]+')) FROM c
   UNION ALL SELECT h.side, h.path, 'selector', 'template-selector', unnest(list_concat([lower(regexp_extract(h.content, '<([A-Za-z0-9]+-[A-Za-z0-9]+)', 1))], regexp_extract_all(h.content, '[[]([a-z][A-Za-z0-9]*)[]]', 1))) FROM h JOIN c ON c.side = h.side AND c.path = h.path
   UNION ALL SELECT h.side, h.path, 'selector', 'template-pipe', unnest(regexp_extract_all(h.content, '[|] ([a-z0-9]+)', 1)) FROM h JOIN c ON c.side = h.side AND c.path = h.path),
@@ -155,7 +156,7 @@ ORACLES: dict[str, str] = {
     "file_types": f"SELECT CASE WHEN path LIKE '%.component.ts' THEN 'component' WHEN path LIKE '%.service.ts' THEN 'service' WHEN path LIKE '%.scss' THEN 'util' ELSE 'unknown' END AS file_type, count(*) AS n FROM ({SNAP}) GROUP BY 1",
     "path_ordinals": f"SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal FROM ({SNAP})",
     "parsed_classes": f"""WITH {PART} SELECT path, 'component' AS file_type, 'C' || k AS class_name, 'app-f' || k AS selector, '../' || replace(substr(p2, 6), '.ts', '') || ',@app/' || replace(substr(p3, 6), '.ts', '') || ',rxjs' AS imports,
-        'C' || k5 || ',Z' AS component_providers, 'C' || k2 AS injections, '[Part] Load ' || k AS action_names, 'load' || k AS action_ids, 'load' || k7 || ',other,Go' AS action_refs, 'selectP' || k AS selector_names, 'selectP' || k4 AS selector_refs FROM p""",
+        'C' || k5 || ',Z' AS component_providers, 'C' || k2 || ',Map<string, C' || k3 || '>' AS injections, '[Part] Load ' || k AS action_names, 'load' || k AS action_ids, 'load' || k7 || ',other,Go' AS action_refs, 'selectP' || k AS selector_names, 'selectP' || k4 AS selector_refs FROM p""",
     "template_references": f"WITH {PART} SELECT path, v.a AS ref_type, CASE WHEN v.b = 'app' THEN 'app-f' || k3 ELSE v.b END AS ref_name FROM p, (VALUES ('component', 'app'), ('directive', 'appD'), ('directive', 'ngIf'), ('pipe', 'b'), ('pipe', 'size')) AS v(a, b)",
     "page_references": r"SELECT ref_name, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(html, '\|\s*([A-Za-z][A-Za-z0-9]*)', 1), lambda x: x NOT IN ('async', 'currency', 'date', 'decimal', 'i18nPlural', 'i18nSelect', 'json', 'keyvalue', 'lowercase', 'number', 'percent', 'slice', 'titlecase', 'uppercase')))) AS ref_name FROM pages) GROUP BY 1",
     "state_kinds": f"SELECT CASE WHEN path NOT LIKE '%.ts' THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'action' WHEN 1 THEN 'reducer' WHEN 2 THEN 'effect' WHEN 3 THEN 'selector' WHEN 4 THEN 'state' END END AS state_kind, count(*) AS n FROM ({SNAP}) GROUP BY 1",
