@@ -163,14 +163,83 @@ def line_changes(kind: pd.Series, base: pd.Series, left: pd.Series, right: pd.Se
 def measure(classified: DataFrame, keys: list[str]) -> DataFrame:
     """``keys, div_type``, line counts, conflict regions and ``auto_mergeable``; clean files never reach Python."""
     clean = F.col("div_type") == "CLEAN"
-    none = F.expr(f"from_json('{{\"left_add\":0,\"left_del\":0,\"right_add\":0,\"right_del\":0,\"regions\":[]}}', '{CHANGES}')")
+    return unchanged(classified.where(clean), keys).unionByName(counted(classified.where(~clean), keys))
+
+
+NO_CHANGES = '{"left_add":0,"left_del":0,"right_add":0,"right_del":0,"regions":[]}'
+
+
+def measured_columns(rows: DataFrame, keys: list[str]) -> DataFrame:
+    return rows.select(*keys, "div_type", "c.left_add", "c.left_del", "c.right_add", "c.right_del", F.col("c.regions").alias("conflict_regions"), "auto_mergeable")
+
+
+def unchanged(clean: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of clean files: nothing is added or removed."""
+    none = F.from_json(F.lit(NO_CHANGES), CHANGES)
+    return measured_columns(clean.select(*keys, "div_type", none.alias("c"), F.lit(True).alias("auto_mergeable")), keys)
+
+
+def counted(dirty: DataFrame, keys: list[str]) -> DataFrame:
+    """The rows of files that are not clean, from their ``base, left, right`` contents."""
     texts = [normalised(F.col(c)).alias(c) for c in ("base", "left", "right")]
-    dirty = classified.where(~clean).select(*keys, "div_type", *texts).withColumn("c", F.pandas_udf(line_changes, CHANGES)("div_type", "base", "left", "right"))
+    rows = dirty.select(*keys, "div_type", *texts).withColumn("c", F.pandas_udf(line_changes, CHANGES)("div_type", "base", "left", "right"))
     two_way = (F.col("div_type") == "CONFLICT") & (F.col("base") == "")
-    dirty = dirty.withColumn("auto_mergeable", F.when(F.col("div_type") == "CONFLICT", ~two_way & (F.size("c.regions") == 0)).otherwise(True))
-    rest = classified.where(clean).select(*keys, "div_type").withColumn("c", none).withColumn("auto_mergeable", F.lit(True))
-    out = rest.unionByName(dirty.select(*keys, "div_type", "c", "auto_mergeable"))
-    return out.select(*keys, "div_type", "c.left_add", "c.left_del", "c.right_add", "c.right_del", F.col("c.regions").alias("conflict_regions"), "auto_mergeable")
+    return measured_columns(rows.withColumn("auto_mergeable", F.when(F.col("div_type") == "CONFLICT", ~two_way & (F.size("c.regions") == 0)).otherwise(True)), keys)
+
+
+# whole trees, by the hashes of their files
+
+
+def hashed(files: DataFrame) -> DataFrame:
+    """``path, hash, filled`` of ``files(path, content)``: what trees are compared by; ``filled`` is false for an empty blob."""
+    return files.select("path", content_hash(F.col("content")).alias("hash"), (F.coalesce("content", F.lit("")) != "").alias("filled"))
+
+
+def typed_pairs(matches: DataFrame, left: DataFrame, right: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``id, left_path, right_path, base_path, div_type`` of ``matches(left_path, right_path)``; trees come as :func:`hashed`.
+
+    Only paths and hashes are joined.  The ancestor is the blob at the left path, else the one at the right path; an empty
+    blob falls through.
+    """
+    at = lambda side, column, name: side.select(F.col("path").alias(column), F.col("hash").alias(f"_{name}"), F.col("filled").alias(f"_{name}_filled"))
+    pairs = matches.select("left_path", "right_path").join(at(left, "left_path", "left"), "left_path", "left").join(at(right, "right_path", "right"), "right_path", "left")
+    none = F.lit(None).cast("string")
+    if base is None:
+        pairs = pairs.withColumns({"base_path": none, "_base": none})
+    else:
+        pairs = pairs.join(at(base, "left_path", "b1"), "left_path", "left").join(at(base, "right_path", "b2"), "right_path", "left")
+        chosen = lambda one, two: F.when(F.col("_b1_filled"), F.col(one)).when(F.col("_b2_filled"), F.col(two))
+        pairs = pairs.withColumns({"base_path": chosen("left_path", "right_path"), "_base": chosen("_b1", "_b2")})
+    return pairs.select(F.coalesce("left_path", "right_path").alias("id"), "left_path", "right_path", "base_path", divergence_type(F.col("_base"), F.col("_left"), F.col("_right")).alias("div_type"))
+
+
+def changed_contents(typed: DataFrame, left: DataFrame, right: DataFrame, base: DataFrame | None = None) -> DataFrame:
+    """``id, left_path, right_path, div_type, base, left, right``: the contents of the typed pairs that are not clean.
+
+    ``left``, ``right`` and ``base`` are trees ``path, content``.  They are cut down to the files that changed pairs name before
+    anything is put together by id, so that a content moves once, and only where it is read.
+    """
+    dirty = typed.where("div_type <> 'CLEAN'")
+    trees = {"left": left, "right": right} | ({} if base is None else {"base": base})
+    rows = None
+    for side, files in trees.items():
+        wanted = dirty.where(F.col(f"{side}_path").isNotNull()).select("id", F.col(f"{side}_path").alias("path"))
+        own = files.select("path", "content").join(wanted, "path").select("id", F.lit(side).alias("side"), "content")
+        rows = own if rows is None else rows.unionByName(own)
+    of = lambda side: F.any_value(F.when(F.col("side") == side, F.col("content")), F.lit(True)).alias(side)
+    texts = rows.groupBy("id").agg(of("base"), of("left"), of("right"))
+    return dirty.select("id", "left_path", "right_path", "div_type").join(texts, "id", "left")
+
+
+def patches(changed: DataFrame, most: int = 200) -> DataFrame:
+    """``id, side, path, patch``: from the ancestor to each side that differs from it, or from left to right where there is none;
+    patches of more than ``most`` lines are shortened."""
+    texts = changed.select("id", "left_path", "right_path", *[F.coalesce(c, F.lit("")).alias(c) for c in ("base", "left", "right")])
+    based, alone = texts.where("base <> ''"), texts.where("base = ''")
+    of = lambda side: based.select("id", F.lit(side).alias("side"), F.coalesce(f"{side}_path", "id").alias("path"), F.col("base").alias("before"), F.col(side).alias("after"))
+    both = alone.select("id", F.lit("both").alias("side"), F.col("id").alias("path"), F.col("left").alias("before"), F.col("right").alias("after"))
+    rows = of("left").unionByName(of("right")).unionByName(both).where("before <> after")
+    return rows.select("id", "side", "path", shortened(unified_patch("path", "before", "after"), most).alias("patch")).where("patch <> ''")
 
 
 def patch_text(path: str, before: str, after: str, context: int = 3) -> str:

@@ -11,6 +11,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from mergetide.operators.matching import ordinals
 from mergetide.sources.shared import cut, free
 
 
@@ -133,22 +134,74 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(seeds.join(nodes.select("id"), "id", "left_semi"), edges, []).select("id")
 
 
+def waiting(ids: DataFrame, step: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """(``id, turn`` of the nodes that come in by :func:`peel` over all of ``step(id, dependency)``, the others, turns)."""
+    need = ids.join(step.groupBy("id").agg(F.count("*").alias("missing")), "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
+    done, turns = peel(need, step)
+    return done, ids.join(done, "id", "left_anti"), turns
+
+
+def among(step: DataFrame, ids: DataFrame) -> DataFrame:
+    """The edges ``id, dependency`` between two of ``ids``."""
+    return step.join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dependency")), "dependency", "left_semi").select("id", "dependency")
+
+
+def strong_components(ids: DataFrame, step: DataFrame) -> DataFrame:
+    """``id, component`` of the nodes of ``ids`` that lie on a cycle of ``step(id, dependency)``: the smallest id of those that lead to each other.
+
+    Nodes above and below all cycles are peeled off.  In each round every node left takes the smallest id that it depends on by
+    any path as its colour; the node of that id and all that it leads to in its own colour are one component.  The rest of a
+    colour waits for the next round, and every colour loses a component a round.
+    """
+    spark = ids.sparkSession
+    parts = []
+    left = waiting(ids, step)[1]
+    left = cut(left, "left")
+    while not left.isEmpty():
+        turned = among(step, left).select(F.col("dependency").alias("id"), F.col("id").alias("dependency"))
+        left = cut(waiting(left, turned)[1], "left")  # what nothing left depends on is on no cycle
+        if left.isEmpty():
+            break
+        own = cut(among(step, left), "step")
+        colour = cut(left.withColumn("colour", F.col("id")), "colour")
+        fresh = colour
+        while not fresh.isEmpty():  # smaller ids travel from dependencies to those that need them
+            sent = own.join(fresh.select(F.col("id").alias("dependency"), "colour"), "dependency").groupBy("id").agg(F.min("colour").alias("sent"))
+            both = cut(colour.join(sent, "id", "left").select("id", F.least("colour", "sent").alias("colour"), F.coalesce(F.col("sent") < F.col("colour"), F.lit(False)).alias("new")), "colour")
+            colour, fresh = both.select("id", "colour"), both.where("new").select("id", "colour")
+        dyed = own.join(colour, "id").join(colour.select(F.col("id").alias("dependency"), F.col("colour").alias("other")), "dependency")
+        same = dyed.where(F.col("colour") == F.col("other")).select(F.col("id").alias("src"), F.col("dependency").alias("dst"))
+        found = spread(colour.where(F.col("id") == F.col("colour")).select(F.col("colour").alias("component"), "id"), same, ["component"]).select("id", "component")
+        parts.append(cut(found, "component"))
+        left = cut(left.join(parts[-1], "id", "left_anti"), "left")
+        left = cut(waiting(left, among(step, left))[1], "left")
+    kind = ids.schema["id"].dataType.simpleString()
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"id {kind}, component {kind}")
+
+
 def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
-    """``id, level``: dependencies first; nodes that only wait for a cycle come last, at one level."""
+    """``id, level``: dependencies first, nodes that depend on each other at one level.
+
+    Only where nodes wait for a cycle are cycles drawn together, and levels told over what they become.
+    """
     ids = ids.select("id").distinct()
-    inner = dependencies(edges).join(ids, "id", "left_semi").join(ids.select(F.col("id").alias("dependency")), "dependency", "left_semi").where("id <> dependency").select("id", "dependency")
-    need = ids.join(inner.groupBy("id").agg(F.count("*").alias("missing")), "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
-    done, turns = peel(need, inner)
-    return done.select("id", F.col("turn").alias("level")).unionByName(ids.join(done, "id", "left_anti").select("id", F.lit(turns).alias("level")))
+    inner = cut(among(dependencies(edges), ids).where("id <> dependency"), "inner")
+    done, rest, _ = waiting(ids, inner)
+    done, rest = cut(done, "done"), cut(rest, "rest")
+    if rest.isEmpty():
+        return done.select("id", F.col("turn").alias("level"))
+    found = strong_components(rest, among(inner, rest))
+    name = cut(ids.join(found, "id", "left").select("id", F.coalesce("component", "id").alias("component")), "names")
+    drawn = inner.join(name, "id").join(name.select(F.col("id").alias("dependency"), F.col("component").alias("to")), "dependency")
+    drawn = drawn.where(F.col("component") != F.col("to")).select(F.col("component").alias("id"), F.col("to").alias("dependency")).distinct()
+    turns = waiting(name.select(F.col("component").alias("id")).distinct(), drawn)[0]
+    return name.join(turns.select(F.col("id").alias("component"), F.col("turn").alias("level")), "component").select("id", "level")
 
 
 def ordered(levelled: DataFrame) -> DataFrame:
-    """``id, level, position``: a total order of a plan's nodes; positions count within a level, levels add up."""
-    sizes = levelled.groupBy("level").agg(F.count("*").alias("n"))
-    before = Window.partitionBy(F.lit(0)).orderBy("level").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.withColumn("before", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")  # one row a level
-    place = F.row_number().over(Window.partitionBy("level").orderBy("id"))
-    return levelled.withColumn("_r", place).join(sizes, "level").select("id", "level", (F.col("before") + F.col("_r") - 1).cast("long").alias("position"))
+    """``id, level, position``: a total order of a plan's nodes by level and id, ranked in sorted ranges."""
+    ranked = ordinals(levelled.select("id", "level"), "level", "id")
+    return ranked.select("id", "level", F.col("ordinal").alias("position"))
 
 
 def connected(nodes: DataFrame, edges: DataFrame) -> DataFrame:

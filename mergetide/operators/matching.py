@@ -83,13 +83,14 @@ def suspicious(matches: DataFrame) -> DataFrame:
     return matches.where((F.col("match_method") != "path") & F.col("left_path").isNotNull() & F.col("right_path").isNotNull() & (a[0] != b[0]) & (F.size(a) > 2))
 
 
-def ordinals(files: DataFrame, by: str = "path") -> DataFrame:
-    """``files`` with an ordinal by rank of the path; rows with equal paths get different ones.
+def ordinals(files: DataFrame, *by: str) -> DataFrame:
+    """``files`` with an ordinal by rank of the path, or of the columns ``by``; equal rows get different ones.
 
     Ranges of paths are sorted apart, so that no task sorts all files, and written once with their place: all that follows
     reads the same ranges, whatever the engine merges or splits.
     """
-    placed = cut(files.repartitionByRange(F.col(by)).sortWithinPartitions(by).withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    by = by or ("path",)
+    placed = cut(files.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_at", F.monotonically_increasing_id()), "ranges")
     placed = placed.withColumn("_p", F.shiftright("_at", 33))  # number of the range; the lower 33 bits count its rows
     before = Window.partitionBy(F.lit(0)).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
     sizes = placed.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))  # one row a range

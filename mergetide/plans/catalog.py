@@ -347,6 +347,20 @@ def dependency_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(nodes.select("id"), e).select("id", F.col("level").cast("long").alias("level"))
 
 
+@query
+def cyclic_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Levels where nodes depend on each other in circles."""
+    nodes, e = cyclic(spark, sf_dir)
+    return graph.levels(nodes.select("id"), e).select("id", F.col("level").cast("long").alias("level"))
+
+
+@query
+def dependency_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes that depend on each other, by the smallest of them."""
+    nodes, e = cyclic(spark, sf_dir)
+    return graph.strong_components(nodes.select("id"), graph.dependencies(e))
+
+
 @query
 def connected_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, e = cyclic(spark, sf_dir)
@@ -494,6 +508,20 @@ def session_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).edges
 
 
+@query
+def session_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = [F.col(c).cast("long").alias(c) for c in ("left_add", "left_del", "right_add", "right_del")]
+    return session(spark, sf_dir).divergence.select("id", "div_type", *counts, "auto_mergeable")
+
+
+@query
+def session_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Added and removed lines of the patches of changed pairs, empty ones left out."""
+    lines = diffing.patch_lines(session(spark, sf_dir).patches, ["id", "side"])
+    lines = lines.where(F.col("line_class").isin("added", "removed") & ~F.col("line").rlike(r"^(--- |[+]{3} |[-+]$)"))  # no heads and no empty lines
+    return lines.select("id", "side", "line_class", "line")
+
+
 @query
 def session_unresolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session(spark, sf_dir).unresolved.select("src", "n_unresolved", F.array_join("samples", ",").alias("samples"))

@@ -133,6 +133,10 @@ n AS (SELECT coalesce(x.path, y.path) AS id, coalesce(x.kind, y.kind) AS kind, c
         CASE WHEN x.content IS NULL THEN 'RIGHT_ONLY' WHEN y.content IS NULL OR x.content <> y.content THEN 'RIGHT_ONLY' ELSE 'CLEAN' END AS div_type
       FROM (SELECT * FROM c WHERE side = 0) x FULL JOIN (SELECT * FROM c WHERE side = 1) y ON x.path = y.path)"""
 
+#: lines of both sides, which have as many; none repeats within a file
+SESSION_LINES = """sl AS (SELECT n.id, n.div_type, string_split(rtrim(x.content, chr(10)), chr(10)) AS xs, string_split(rtrim(y.content, chr(10)), chr(10)) AS ys FROM n
+    LEFT JOIN c x ON x.path = n.id AND x.side = 0 LEFT JOIN c y ON y.path = n.id AND y.side = 1)"""
+
 ORACLES: dict[str, str] = {
     "divergence_types": f"WITH {CLASSED} SELECT path, div_type FROM t",
     "divergence_stats": f"WITH {CLASSED} SELECT count(*) AS n_total, {TYPE_COUNTS.format(p='')}, count(*) FILTER (WHERE r IS NULL) AS n_unmatched_left, count(*) FILTER (WHERE l IS NULL) AS n_unmatched_right FROM n",
@@ -185,6 +189,10 @@ ORACLES: dict[str, str] = {
         SELECT * FROM q WHERE priority IS NOT NULL""",
     "expanded_selection": f"WITH RECURSIVE e AS ({CYC}), n AS ({CYC_NODES}), q(id) AS (SELECT id FROM n WHERE id LIKE 'p:%9' OR id LIKE 's:%1' UNION SELECT e.dst FROM q JOIN e ON e.src = q.id) SELECT id FROM q",
     "dependency_levels": f"""WITH RECURSIVE e AS ({TREE}), n AS ({NODES}), b(id, d) AS (SELECT id, 0 FROM n UNION SELECT e.src, b.d + 1 FROM b JOIN e ON e.dst = b.id) SELECT id, CAST(max(d) AS BIGINT) AS level FROM b GROUP BY id""",
+    "dependency_cycles": f"WITH RECURSIVE e AS ({CYC}), n AS ({CYC_NODES}), {REACH} SELECT a.s AS id, min(b.s) AS component FROM r a JOIN r b ON a.d = b.s AND a.s = b.d GROUP BY a.s",
+    "cyclic_levels": f"""WITH RECURSIVE e AS ({CYC}), n AS ({CYC_NODES}), {REACH}, k AS (SELECT a.s AS id, min(b.s) AS component FROM r a JOIN r b ON a.d = b.s AND a.s = b.d GROUP BY a.s),
+        m AS (SELECT n.id, coalesce(component, n.id) AS c FROM n LEFT JOIN k ON k.id = n.id), o AS (SELECT DISTINCT x.c AS src, y.c AS dst FROM e JOIN m x ON x.id = e.src JOIN m y ON y.id = e.dst WHERE x.c <> y.c),
+        b(c, d) AS (SELECT DISTINCT c, 0 FROM m UNION SELECT o.src, b.d + 1 FROM b JOIN o ON o.dst = b.c) SELECT m.id, CAST(max(d) AS BIGINT) AS level FROM m JOIN b ON b.c = m.c GROUP BY m.id""",
     "connected_nodes": f"WITH e AS ({CYC}), n AS ({CYC_NODES}), o AS (SELECT src, dst FROM e WHERE src IN (SELECT id FROM n WHERE ok) AND dst IN (SELECT id FROM n WHERE ok)) SELECT id FROM n WHERE id IN (SELECT src FROM o UNION SELECT dst FROM o)",
     "edges_of_survivors": f"WITH e AS ({CYC}), n AS ({CYC_NODES}) SELECT src, dst FROM e WHERE src IN (SELECT id FROM n WHERE ok) AND dst IN (SELECT id FROM n WHERE ok)",
     "scan_validation": f"""WITH s AS ({SNAP}), z AS (SELECT count(*) FILTER (WHERE doc_id % 10 <> 1) AS n_found, count(*) FILTER (WHERE doc_id % 7 <> 2) AS n_parsed, count(*) FILTER (WHERE doc_id % 10 <> 1 AND doc_id % 7 = 2) AS n_missing,
@@ -211,6 +219,12 @@ ORACLES: dict[str, str] = {
     "rewritten_tree": f"{TREE_AFTER} SELECT coalesce(mv.target, g2.path) AS path, content FROM g2 LEFT JOIN mv ON mv.id = g2.path UNION ALL SELECT path, content FROM br",
     "patch_line_classes": f"{PATCHES}, x AS (SELECT 'hunk' AS line_class, count(*) AS n FROM y UNION ALL SELECT 'added', sum(new) + count(*) FROM y UNION ALL SELECT 'removed', sum(gone) + count(*) FROM y UNION ALL SELECT 'context', sum(kept) FROM y) SELECT line_class, CAST(n AS BIGINT) AS n FROM x WHERE n > 0",
     "session_edges": f"WITH {BRANCHES} SELECT * FROM e",
+    "session_divergence": f"""WITH {BRANCHES}, {SESSION_LINES} SELECT id, div_type, CAST(0 AS BIGINT) AS left_add, CAST(0 AS BIGINT) AS left_del,
+        CAST(CASE WHEN xs IS NULL THEN len(ys) WHEN ys IS NULL THEN 0 ELSE len(list_filter(range(1, len(xs) + 1), lambda i: xs[i] <> ys[i])) END AS BIGINT) AS right_add,
+        CAST(CASE WHEN xs IS NULL THEN 0 WHEN ys IS NULL THEN len(xs) ELSE len(list_filter(range(1, len(xs) + 1), lambda i: xs[i] <> ys[i])) END AS BIGINT) AS right_del, true AS auto_mergeable FROM sl""",
+    "session_patches": f"""WITH {BRANCHES}, {SESSION_LINES}, pl AS (SELECT *, unnest(range(1, greatest(coalesce(len(xs), 0), coalesce(len(ys), 0)) + 1)) AS i FROM sl)
+        SELECT id, 'right' AS side, 'removed' AS line_class, '-' || xs[i] AS line FROM pl WHERE xs IS NOT NULL AND (ys IS NULL OR xs[i] <> ys[i])
+        UNION ALL SELECT id, CASE WHEN xs IS NULL THEN 'both' ELSE 'right' END, 'added', '+' || ys[i] FROM pl WHERE ys IS NOT NULL AND (xs IS NULL OR xs[i] <> ys[i])""",
     "session_unresolved": f"WITH {BRANCHES} SELECT * FROM un",
     "session_nodes": f"""WITH RECURSIVE {BRANCHES}, {REACH.replace("r(s, d)", "rr(s, d)").replace("SELECT r.s", "SELECT rr.s").replace("FROM r JOIN", "FROM rr JOIN").replace("= r.d", "= rr.d")},
         bad AS (SELECT id FROM n WHERE div_type <> 'CLEAN' OR id IN (SELECT src FROM un) OR id IN (SELECT s FROM rr WHERE s = d))

@@ -36,7 +36,9 @@ class Divergence:
     def match(self) -> Divergence:
         def parse(files: DataFrame) -> DataFrame:
             files = files.select("ordinal", "path", "content")
-            return extracting.with_templates(extracting.parse_files(files.where(F.endswith("path", F.lit(self.code)))), files)
+            code = files.where(F.endswith("path", F.lit(self.code)))
+            told = code.select("*", diffing.content_hash(F.col("content")).alias("hash"), (F.coalesce("content", F.lit("")) != "").alias("filled"))
+            return extracting.with_templates(extracting.parse_files(told), files)
 
         self._keep("parsed_left", cut(parse(self.left), "parsed"))
         self._keep("parsed_right", cut(parse(self.right), "parsed"))
@@ -44,18 +46,16 @@ class Divergence:
         return self
 
     def diff(self) -> Divergence:
-        at = lambda files, column, name: files.select(F.col("path").alias(column), F.col("content").alias(name))
-        pairs = self.matches.join(at(self.left, "left_path", "left"), "left_path", "left").join(at(self.right, "right_path", "right"), "right_path", "left")
-        if self.base is None:
-            pairs = pairs.withColumn("base", F.lit(None).cast("string"))
-        else:
-            pairs = pairs.join(at(self.base, "left_path", "b1"), "left_path", "left").join(at(self.base, "right_path", "b2"), "right_path", "left")
-            pairs = pairs.withColumn("base", diffing.base_of(F.lit(None).cast("string"), F.col("b1"), F.col("b2"))).drop("b1", "b2")
-        pairs = pairs.withColumn("id", F.coalesce("left_path", "right_path"))
-        found = diffing.measure(diffing.classify(pairs), ["id", "left_path", "right_path"])
+        """Types by hash; only contents of changed pairs are read again, for line counts and patches."""
+        base = None if self.base is None else cut(diffing.hashed(self.base), "hashes")
+        typed = cut(diffing.typed_pairs(self.matches, self.parsed_left, self.parsed_right, base), "typed")
+        self._keep("changed", cut(diffing.changed_contents(typed, self.left, self.right, self.base), "changed"))
+        keys = ["id", "left_path", "right_path"]
+        found = diffing.unchanged(typed.where("div_type = 'CLEAN'"), keys).unionByName(diffing.counted(self.changed, keys))
         if self.commits is not None:
             found = diffing.with_commits(found, *self.commits)
         self._keep("divergence", cut(found, "divergence"))
+        self._keep("patches", diffing.patches(self.changed))
         return self
 
     def graph(self) -> Divergence:
@@ -76,7 +76,7 @@ class Divergence:
         indexed = sides[0].unionByName(sides[1].where("not has_left"))
         found = edges.build_edges(both, indexed=indexed).unionByName(linked[0]).unionByName(linked[1])
         self._keep("edges", cut(found.where("src <> dst").distinct(), "edges"))
-        missed = lost[0].unionByName(lost[1]).groupBy("src").agg(F.sum("n_unresolved").alias("n_unresolved"), F.slice(F.flatten(F.collect_list("samples")), 1, edges.SAMPLES).alias("samples"))
+        missed = lost[0].unionByName(lost[1]).groupBy("src").agg(F.sum("n_unresolved").alias("n_unresolved"), F.slice(F.array_sort(F.flatten(F.collect_list("samples"))), 1, edges.SAMPLES).alias("samples"))
         self._keep("unresolved", cut(missed, "unresolved"))  # two rows a node at most
         return self
 
