@@ -93,6 +93,7 @@ def likeness(a: str, b: str) -> float:
 
 def likeness_of(a: Column, b: Column) -> Column:
     """The same between two columns."""
+    a, b = (F.col(c) if isinstance(c, str) else c for c in (a, b))
     lane = lambda c, i: F.substring(c, 2 * i + 1, F.lit(2))
     same = F.aggregate(F.sequence(F.lit(0), F.lit(LANES - 1)), F.lit(0), lambda n, i: n + (lane(a, i) == lane(b, i)).cast("int")) / LANES
     return F.when((a == "") | (b == ""), (a == b).cast("double")).otherwise(F.greatest(F.lit(0.0), (same - CLASH) / (1 - CLASH)))
