@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergetide.functions.text import extension
+from mergetide.operators.matching import ordinals
 
 TYPES = ["CLEAN", "LEFT_ONLY", "RIGHT_ONLY", "SAME_CHANGE", "CONFLICT"]
 CLEAN_TYPES = ["CLEAN", "SAME_CHANGE"]
@@ -139,8 +140,9 @@ def search(nodes: DataFrame, text: str = "", types: list[str] | None = None) ->
 
 
 def page(nodes: DataFrame, number: int, size: int = 100) -> DataFrame:
-    """A page (from 1) in order of path."""
-    return nodes.orderBy("path").offset((number - 1) * size).limit(size)
+    """A page (from 1) in order of path: paths are ranked in sorted ranges, and a late page keeps no more rows than an early one."""
+    wanted = ordinals(nodes.select("path"), "path").where(F.col("ordinal").between((number - 1) * size, number * size - 1)).select("path").distinct()
+    return nodes.join(F.broadcast(wanted), "path", "left_semi").orderBy("path")  # at most ``size`` paths
 
 
 def page_count(nodes: DataFrame, size: int = 100) -> DataFrame:

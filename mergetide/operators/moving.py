@@ -6,7 +6,7 @@ A plan is tables; applying it makes the rewritten tree as a table, and writes no
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.functions import references as R
@@ -50,9 +50,9 @@ def named_files(moves: DataFrame, files: DataFrame, branches: tuple[str, str] |
 
     A file is looked for beside the one that names it, then at that place in the left branch, then in the right one.
     """
-    code = moves.join(files.select(F.col("path").alias("source"), "content"), "source")
     urls = F.filter(F.concat(F.array(R.template_url(F.col("content"))), R.style_urls(F.col("content"))), lambda x: x.isNotNull())
-    named = code.select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.explode(urls).alias("url"))
+    naming = files.select(F.col("path").alias("source"), urls.alias("urls")).where(F.size("urls") > 0)  # contents stay where they are read
+    named = moves.join(naming, "source").select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.explode("urls").alias("url"))
     at = beside(F.col("_source"), F.col("url"))
     tried = [at] if branches is None else [at, in_branch(at, branches, 0), in_branch(at, branches, 1)]
     named = named.withColumn("_tried", F.array_distinct(F.array(*tried))).withColumn("target", beside(F.col("_target"), F.col("url")))
@@ -133,9 +133,9 @@ def barrel_updates(files: DataFrame, mapping: DataFrame) -> DataFrame:
     steps = F.split("old_path", "/")
     above = code.select("old_path", F.explode(F.sequence(F.lit(1), F.size(steps) - 1)).alias("n")).withColumn("dir", F.array_join(F.slice(F.split("old_path", "/"), F.lit(1), F.col("n")), "/"))
     tried = above.select("old_path", F.concat("dir", F.lit("/index.ts")).alias("path"), F.concat(F.lit("./"), F.regexp_replace(F.expr("substring(old_path, length(dir) + 2)"), r"\.tsx?$", "")).alias("remove"))
-    tried = tried.where("path <> old_path").join(files.select("path", "content"), "path")
-    first = tried.groupBy("path").agg(F.min_by(F.struct("old_path", "remove", "content"), "old_path").alias("x"))
-    return first.where(F.col("x.content").contains(F.col("x.remove"))).select("path", "x.remove", "x.old_path")
+    first = tried.where("path <> old_path").groupBy("path").agg(F.min_by(F.struct("old_path", "remove"), "old_path").alias("x"))
+    barrels = files.where(F.col("path").endswith("/index.ts")).select("path", "content")  # no other contents travel
+    return first.join(barrels, "path").where(F.contains("content", F.col("x.remove"))).select("path", "x.remove", "x.old_path")
 
 
 def plan_counters(moves: DataFrame, along: DataFrame, importers: DataFrame, rewrites: DataFrame, barrels: DataFrame, gone: DataFrame) -> DataFrame:
@@ -152,7 +152,10 @@ def plan_counters(moves: DataFrame, along: DataFrame, importers: DataFrame, rewr
 def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels: DataFrame) -> DataFrame:
     """The tree after the plan, ``path, content``: moved files at their new place (the left copy's content), imports and barrels changed."""
     changes = rewrites_by_file(rewrites).select("path", "changes")
-    both = files.join(mapping.withColumnRenamed("old_path", "path"), "path", "left").join(changes, "path", "left").join(barrels.select("path", "remove"), "path", "left")
+    moved = mapping.select(F.col("old_path").alias("path"), "new_path")
+    names = files.select("path").join(moved, "path", "left").select("path", F.coalesce("new_path", "path").alias("_to"))
+    first = names.groupBy("_to").agg(F.min("path").alias("path"))  # the left copy of a moved file; contents of others are not read
+    both = files.join(first, "path").join(changes, "path", "left").join(barrels.select("path", "remove"), "path", "left")
 
     def apply(text: Column, c: Column) -> Column:
         for q in ("'", '"'):
@@ -162,6 +165,4 @@ def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels
     text = F.when(F.col("changes").isNull(), F.col("content")).otherwise(F.aggregate("changes", F.col("content"), apply))
     kept = F.filter(F.split(text, "\n"), lambda x: ~F.regexp_replace(x, "\"", "'").contains(F.concat(F.lit("'"), F.col("remove"), F.lit("'"))))
     text = F.when(F.col("remove").isNotNull(), F.array_join(kept, "\n")).otherwise(text)
-    out = both.select(F.coalesce("new_path", "path").alias("path"), F.col("path").alias("_from"), text.alias("content"))
-    first = F.row_number().over(Window.partitionBy("path").orderBy("_from"))  # the copies of a moved file: two at most
-    return out.withColumn("_n", first).where("_n = 1").drop("_n", "_from")
+    return both.select(F.col("_to").alias("path"), text.alias("content"))

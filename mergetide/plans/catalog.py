@@ -92,6 +92,15 @@ def patch_line_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffing.patch_lines(patches, ["path"]).groupBy("line_class").agg(F.count("*").alias("n"))
 
 
+@query
+def shortened_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of the report's patches from ancestor to left copy, cut after twenty."""
+    rows = classified(spark, sf_dir).where("div_type <> 'CLEAN'")
+    patch = diffing.unified_patch("path", "base", "left").alias("patch")
+    cut_off = rows.select("path", patch).where("patch <> ''").select("path", diffing.shortened(F.col("patch"), 20).alias("patch"))
+    return cut_off.select("path", F.size(F.split("patch", "\n")).cast("long").alias("n_lines"), F.regexp_extract("patch", r"\.\.\. truncated \((\d+) more lines\)$", 1).alias("n_more"))
+
+
 @query
 def last_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The latest order of each customer, as commits of a path."""
@@ -196,6 +205,15 @@ def parsed_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select("path", "file_type", "class_name", "selector", *lists)
 
 
+@query
+def services(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where services are provided: every part as one, in the root, in a module, in several ways of writing or nowhere."""
+    files = sources(spark, sf_dir)
+    ways = ["@Injectable({ providedIn: 'root' })", '@Injectable({ deps: [f(g(1))], "providedIn": "any" })', "@Injectable({ providedIn: Mod })", "@Injectable()", "/* @Injectable({ providedIn: 'x' }) */ @Injectable({ useFactory: () => ({ providedIn: 'y' }) })"]
+    content = F.concat(F.element_at(F.array(*map(F.lit, ways)), (F.col("ordinal") % len(ways) + 1).cast("int")), F.lit("\nexport class S"), F.col("ordinal").cast("string"), F.lit(" { constructor(private h: Http) {} }"))
+    return extracting.parse_files(files.select("path", content.alias("content"))).select("path", "file_type", "class_name", "provided_in", F.array_join("injections", ",").alias("injections"))
+
+
 @query
 def template_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parsed(spark, sf_dir).select("path", F.explode("template_refs").alias("r")).select("path", F.col("r.type").alias("ref_type"), F.col("r.name").alias("ref_name"))

@@ -108,7 +108,7 @@ PATCHES = f"""
 WITH {CLASSED}, q AS (SELECT *, coalesce(b, '') AS o, coalesce(l, '') AS a FROM n WHERE div_type <> 'CLEAN' AND coalesce(b, '') <> coalesce(l, '')),
 z AS (SELECT *, CASE WHEN o = '' THEN 0 ELSE len(string_split(o, chr(10))) END AS no, CASE WHEN a = '' THEN 0 ELSE len(string_split(a, chr(10))) END AS na,
         o <> '' AND starts_with(a, o || chr(10)) AS tail, o <> '' AND starts_with(a, 'left head') AS head FROM q),
-y AS (SELECT CASE WHEN tail THEN 0 WHEN head THEN 1 ELSE no END AS gone, CASE WHEN tail THEN na - no WHEN head THEN 1 ELSE na END AS new,
+y AS (SELECT path, CASE WHEN tail THEN 0 WHEN head THEN 1 ELSE no END AS gone, CASE WHEN tail THEN na - no WHEN head THEN 1 ELSE na END AS new,
         CASE WHEN tail THEN least(3, no) WHEN head THEN least(3, no - 1) ELSE 0 END AS kept FROM z)"""
 
 #: files of both branches, and what their text says
@@ -161,6 +161,7 @@ ORACLES: dict[str, str] = {
     "path_ordinals": f"SELECT path, row_number() OVER (ORDER BY path) - 1 AS ordinal FROM ({SNAP})",
     "parsed_classes": f"""WITH {PART} SELECT path, 'component' AS file_type, 'C' || k AS class_name, 'app-f' || k AS selector, '../' || replace(substr(p2, 6), '.ts', '') || ',@app/' || replace(substr(p3, 6), '.ts', '') || ',rxjs' AS imports,
         'C' || k5 || ',Z' AS component_providers, 'C' || k2 || ',Map<string, C' || k3 || '>' AS injections, '[Part] Load ' || k AS action_names, 'load' || k AS action_ids, 'load' || k7 || ',other,Go' AS action_refs, 'selectP' || k AS selector_names, 'selectP' || k4 AS selector_refs FROM p""",
+    "services": f"WITH {PART} SELECT path, 'service' AS file_type, 'S' || k AS class_name, CASE k % 5 WHEN 0 THEN 'root' WHEN 1 THEN 'any' END AS provided_in, 'Http' AS injections FROM p",
     "template_references": f"WITH {PART} SELECT path, v.a AS ref_type, CASE WHEN v.b = 'app' THEN 'app-f' || k3 ELSE v.b END AS ref_name FROM p, (VALUES ('component', 'app'), ('directive', 'appD'), ('directive', 'ngIf'), ('pipe', 'b'), ('pipe', 'size')) AS v(a, b)",
     "page_references": r"SELECT ref_name, count(*) AS n FROM (SELECT unnest(list_distinct(list_filter(regexp_extract_all(html, '\|\s*([A-Za-z][A-Za-z0-9]*)', 1), lambda x: x NOT IN ('async', 'currency', 'date', 'decimal', 'i18nPlural', 'i18nSelect', 'json', 'keyvalue', 'lowercase', 'number', 'percent', 'slice', 'titlecase', 'uppercase')))) AS ref_name FROM pages) GROUP BY 1",
     "state_kinds": f"SELECT CASE WHEN path NOT LIKE '%.ts' THEN NULL ELSE CASE doc_id % 6 WHEN 0 THEN 'action' WHEN 1 THEN 'reducer' WHEN 2 THEN 'effect' WHEN 3 THEN 'selector' WHEN 4 THEN 'state' END END AS state_kind, count(*) AS n FROM ({SNAP}) GROUP BY 1",
@@ -218,6 +219,7 @@ ORACLES: dict[str, str] = {
         (SELECT count(*) FROM dr) AS n_barrels, (SELECT count(*) FROM mv) AS n_deletions""",
     "rewritten_tree": f"{TREE_AFTER} SELECT coalesce(mv.target, g2.path) AS path, content FROM g2 LEFT JOIN mv ON mv.id = g2.path UNION ALL SELECT path, content FROM br",
     "patch_line_classes": f"{PATCHES}, x AS (SELECT 'hunk' AS line_class, count(*) AS n FROM y UNION ALL SELECT 'added', sum(new) + count(*) FROM y UNION ALL SELECT 'removed', sum(gone) + count(*) FROM y UNION ALL SELECT 'context', sum(kept) FROM y) SELECT line_class, CAST(n AS BIGINT) AS n FROM x WHERE n > 0",
+    "shortened_patches": f"{PATCHES}, x AS (SELECT path, 3 + gone + new + kept AS t FROM y) SELECT path, CAST(least(t, 21) AS BIGINT) AS n_lines, CASE WHEN t > 20 THEN CAST(CAST(t - 20 AS BIGINT) AS VARCHAR) ELSE '' END AS n_more FROM x",
     "session_edges": f"WITH {BRANCHES} SELECT * FROM e",
     "session_divergence": f"""WITH {BRANCHES}, {SESSION_LINES} SELECT id, div_type, CAST(0 AS BIGINT) AS left_add, CAST(0 AS BIGINT) AS left_del,
         CAST(CASE WHEN xs IS NULL THEN len(ys) WHEN ys IS NULL THEN 0 ELSE len(list_filter(range(1, len(xs) + 1), lambda i: xs[i] <> ys[i])) END AS BIGINT) AS right_add,

@@ -1,16 +1,19 @@
-"""Report of an analysis: JSON lines by Spark, and a page that shows them."""
+"""Report of an analysis: rows and pages in order of id, written by Spark, of any number."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergetide.functions.text import escaped_json
+from mergetide.operators.matching import ordinals
 
-PAGE = """<!DOCTYPE html><html><head><meta charset="utf-8"><title>Divergence</title></head><body><input id="q"><table id="t"></table>
-<script>const rows=[%s];const show=q=>{t.innerHTML=rows.filter(r=>r.id.toLowerCase().includes(q)).slice(0,100)
-.map(r=>`<tr><td>${r.div_type}</td><td></td></tr>`).join("");[...t.rows].forEach((x,i)=>x.cells[1].textContent=rows.filter(r=>r.id.toLowerCase().includes(q))[i].id)};
-q.oninput=()=>show(q.value.toLowerCase());show("")</script></body></html>"""
+PAGE_ROWS = 100
+HEAD = "<!DOCTYPE html><html><head><meta charset='utf-8'><title>Divergence</title></head><body><p>page %d of %d</p><table id='t'></table><pre id='p'></pre><script>const rows=["
+TAIL = (
+    "];for(const r of rows){const x=t.insertRow();x.insertCell().textContent=r.div_type;x.insertCell().textContent=r.id;"
+    "x.onclick=()=>p.textContent=(r.patches||[]).map(q=>q.patch).join('\\n')}</script></body></html>"
+)
 
 
 def report_rows(nodes: DataFrame) -> DataFrame:
@@ -18,10 +21,41 @@ def report_rows(nodes: DataFrame) -> DataFrame:
     return nodes.select(escaped_json(F.to_json(F.struct(*nodes.columns))).alias("json"))
 
 
-def write_report(nodes: DataFrame, folder: str, most: int = 100_000) -> None:
-    """``folder/nodes`` holds all nodes as JSON lines; ``folder/page`` a page over the first ``most`` by id."""
-    rows = report_rows(nodes)
-    rows.write.mode("overwrite").text(f"{folder}/nodes")
+def numbered(page: Column, pages: int) -> Column:
+    first, second = HEAD.split("%d", 1)
+    return F.concat(F.lit(first), page.cast("string"), F.lit(second % pages))
+
+
+def write_report(nodes: DataFrame, folder: str, patches: DataFrame | None = None, page_rows: int = PAGE_ROWS) -> int:
+    """Writes all of ``nodes(id, ...)`` and returns the number of pages.
+
+    ``folder/nodes`` has ``page, place, id, json`` in order of id, sorted by range, so that a page lies in one file or, at the
+    edge of two ranges, in two; ``folder/pages`` has ``page, html``, sorted likewise.  patches: ``id, side, path, patch``, which become a
+    list in their node's object.
+    """
     spark = nodes.sparkSession
-    first = [r["json"] for r in report_rows(nodes.orderBy("id").limit(most)).collect()]  # a page of bounded size
-    spark.createDataFrame([(PAGE % ",".join(first),)], "page string").coalesce(1).write.mode("overwrite").text(f"{folder}/page")
+    if patches is not None:
+        own = patches.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("side", "path", "patch"))).alias("patches"))  # two a node
+        nodes = nodes.join(own, "id", "left")
+    rows = nodes.select("id", escaped_json(F.to_json(F.struct(*nodes.columns))).alias("json"))
+    ranked = ordinals(rows, "id")
+    page = (F.floor(F.col("ordinal") / page_rows) + 1).cast("long")
+    placed = ranked.select(page.alias("page"), F.col("ordinal").alias("place"), "id", "json")
+    placed.write.mode("overwrite").parquet(f"{folder}/nodes")
+    written = spark.read.schema(placed.schema).parquet(f"{folder}/nodes")
+    pages = written.agg(F.coalesce(F.max("page"), F.lit(0)).alias("n")).first()["n"]
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("place", "json"))), lambda r: r["json"])  # a page's rows
+    html = F.concat(numbered(F.col("page"), pages), F.array_join(texts, ","), F.lit(TAIL))
+    written.groupBy("page").agg(html.alias("html")).repartitionByRange("page").sortWithinPartitions("page").write.mode("overwrite").parquet(f"{folder}/pages")
+    return pages
+
+
+def report_page(spark: SparkSession, folder: str, number: int) -> DataFrame:
+    """``place, id, json`` of one page (from 1) of a written report; the files' statistics lead to those that hold it."""
+    return spark.read.parquet(f"{folder}/nodes").where(F.col("page") == number).select("place", "id", "json")
+
+
+def report_html(spark: SparkSession, folder: str, number: int) -> str | None:
+    """The page as HTML; None where there is no such page."""
+    found = spark.read.parquet(f"{folder}/pages").where(F.col("page") == number).first()
+    return None if found is None else found["html"]

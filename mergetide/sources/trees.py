@@ -56,12 +56,17 @@ def commits_from_log(spark: SparkSession, path: str) -> DataFrame:
     """``path, seq, hash, date, author``, a row for each file of each commit, from text files of a log.
 
     The log is that of ``git log --name-only --format=%x02%H%x01%aI%x01%an%x01``, newest first; later commits have higher
-    ``seq``.  A commit without files gives no rows.
+    ``seq``: within a file by their place in it, however Spark cuts the files; of several files, parts of one log, those with
+    the newest commit come last.  A commit without files gives no rows.
     """
-    log = spark.read.option("lineSep", "\x02").text(path).withColumn("seq", -F.monotonically_increasing_id())
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")]
+    log = spark.read.option("lineSep", "\x02").text(path).select("value", *place)
     part = F.split("value", "\x01")
-    rows = log.where(F.size(part) >= 4).select("seq", part[0].alias("hash"), part[1].alias("date"), part[2].alias("author"), F.explode(F.split(part[3], "\n")).alias("path"))
-    return rows.where("path <> ''").select("path", "seq", "hash", "date", "author")
+    rows = log.where(F.size(part) >= 4).select("file", "block", "row", part[0].alias("hash"), part[1].alias("date"), part[2].alias("author"), F.explode(F.split(part[3], "\n")).alias("path"))
+    rows = rows.where("path <> ''")
+    newest = rows.groupBy("file").agg(F.max(F.expr("try_cast(date AS timestamp)")).alias("newest"))  # one row a file of the log
+    seq = F.struct("newest", "file", (-F.col("block")).alias("block"), (-F.col("row")).alias("row"))
+    return rows.join(newest, "file").select("path", seq.alias("seq"), "hash", "date", "author")
 
 
 def mapping_overrides(spark: SparkSession, path: str) -> DataFrame:

@@ -151,7 +151,9 @@ const r = on(go, () => 1); function (x) {} ofType('[P] q', b)
 
 def test_extraction(spark):
     r = extracting.parse_files(spark.createDataFrame([(0, "a/m.ts", CODE), (1, "a/t.html", "<app-x [appD]='1'> <NG-CONTAINER> {{ a || b | async }}")], FILES)).orderBy("ordinal").first()
-    assert (r["file_type"], r["class_name"], r["module_imports"], r["declarations"], r["injections"]) == ("module", "M", ["A", "B", "C"], ["D"], ["S", "Store<X>"])
+    assert (r["file_type"], r["class_name"], r["module_imports"], r["declarations"], r["injections"]) == ("module", "M", ["A", "B", "C"], ["D"], [])
+    same = extracting.parse_files(spark.createDataFrame([(0, "a/m.ts", CODE.replace("@NgModule", "@Directive"))], FILES)).first()
+    assert (same["file_type"], same["module_imports"], same["injections"]) == ("directive", [], ["S", "Store<X>"])  # a module's constructor does not count
     assert r["action_refs"] == ["go", "x", "[P] q", "b"]
 
 
@@ -164,7 +166,7 @@ def tree_of(tmp_path, name, files):
 
 
 def test_session_over_trees(spark, tmp_path):
-    a = {"m.ts": "import { S } from './s';\nexport class M { constructor(s: S) {} }", "s.ts": "export class S {}", "node_modules/z.ts": "x", "only.ts": "export class O {}"}
+    a = {"m.ts": "import { S } from './s';\n@Injectable()\nexport class M { constructor(s: S) {} }", "s.ts": "export class S {}", "node_modules/z.ts": "x", "only.ts": "export class O {}"}
     b = dict(a, **{"s.ts": "export class S { x = 1 }"})
     b.pop("only.ts")
     left, right = (trees.scan_tree(spark, tree_of(tmp_path, n, f), n) for n, f in (("left", a), ("right", b)))
@@ -244,7 +246,7 @@ def test_scan_keeps_all_files(spark, tmp_path):
 def test_session_keeps_branches_apart(spark):
     """One path imports different files on each side, and one imports a file that is no node."""
     left = [(0, "a.ts", "import x from './x';\nexport class A {}"), (1, "x.ts", "export class X {}"), (2, "y.ts", "export class Y {}"), (3, "u.ts", "import z from './z.js';"), (4, "z.js", "1")]
-    right = [(0, "a.ts", "import y from './y';\nexport class A {}"), *left[1:3], (3, "w.ts", "export class X {}"), (4, "v.ts", "export class V { constructor(x: X) {} }")]
+    right = [(0, "a.ts", "import y from './y';\nexport class A {}"), *left[1:3], (3, "w.ts", "export class X {}"), (4, "v.ts", "@Directive() export class V { constructor(x: X) {} }"), (5, "q.ts", "export class Q { constructor(x: X) {} }")]
     tables = [spark.createDataFrame(t, FILES) for t in (left, right)]
     logs = [spark.createDataFrame([("a.ts", 1, f"{h}1", "d", "n"), ("a.ts", 2, f"{h}2", "d", "n")], "path string, seq long, hash string, date string, author string") for h in "lr"]
     d = Divergence(*tables, tables[0], commits=tuple(logs)).match().diff().graph().analyse()
@@ -347,3 +349,79 @@ def test_plan_over_two_branches(spark):
     assert tuple(totals) == (3, 2, 0, 0, 5)
     ids = spark.createDataFrame([("n",), ("zz",), ("x.ts",)], "id string")
     assert sorted(tuple(r) for r in moving.plan_warnings(ids, nodes).collect()) == [("n", "no path"), ("zz", "unknown node")]
+
+
+def test_log_in_several_files(spark, tmp_path):
+    """The newest part of a log may be the smaller file, and Spark packs files by size."""
+    log = tmp_path / "log"
+    log.mkdir()
+    old = "".join(f"\x02old{i}\x012019-01-{28 - i:02d}T00:00:00+00:00\x01Bo\x01\n{'a.ts' if i < 3 else f'x{i}.ts'}\n{'b.ts' if i == 5 else ''}\n" for i in range(20))
+    (log / "2-old.txt").write_text(old + "\x02older\x012018\x01Bo\x01\n" + "\n".join(f"y{i}.ts" for i in range(2000)))
+    (log / "1-new.txt").write_text("\x02new2\x012023-12-31T00:00:00+00:00\x01An\x01\na.ts\n\x02new1\x012024-01-01T00:00:00+00:00\x01An\x01\na.ts\n")
+    got = {r["path"]: r["hash"] for r in diffing.last_commits(trees.commits_from_log(spark, str(log))).collect()}
+    assert (got["a.ts"], got["b.ts"], got["x7.ts"], got["y3.ts"]) == ("new2", "old5", "old7", "older")  # within a file the place decides
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")  # a file in several blocks
+    try:
+        assert {r["path"]: r["hash"] for r in diffing.last_commits(trees.commits_from_log(spark, str(log))).collect()} == got
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_report_has_no_end(spark, tmp_path):
+    nodes = spark.range(1, 2501).select(F.format_string("n%05d", "id").alias("id"), F.lit("</script>").alias("div_type"))
+    patches = spark.createDataFrame([("n02450", "left", "p", "-<b>\n+c"), ("n02450", "right", "p", "+d")], "id string, side string, path string, patch string")
+    assert reports.write_report(nodes.repartition(7), str(tmp_path / "r"), patches, page_rows=100) == 25
+    rows = reports.report_page(spark, str(tmp_path / "r"), 25).orderBy("place").collect()
+    assert [r["id"] for r in rows] == [f"n{i:05d}" for i in range(2401, 2501)]
+    assert [p["patch"] for p in json.loads(rows[49]["json"])["patches"]] == ["-<b>\n+c", "+d"]
+    html = reports.report_html(spark, str(tmp_path / "r"), 25)
+    assert html.startswith("<!DOCTYPE html>") and "page 25 of 25" in html and html.count("</script>") == 1 and html.index("n02401") < html.index("n02500")
+    assert reports.report_html(spark, str(tmp_path / "r"), 26) is None
+    assert reports.write_report(nodes.limit(0), str(tmp_path / "e")) == 0
+
+
+def test_contents_stay_behind(spark):
+    """Types are told by hashes alone, and contents of clean files are not put together."""
+    files = lambda rows: spark.createDataFrame(rows, "path string, content string")
+    left, right = files([("a", "1"), ("b", "1\n2"), ("c", " "), ("d", "x"), ("f", "q")]), files([("a", "1\r\n"), ("b", "1\n3"), ("c", None), ("e", "x"), ("f", "w")])
+    base = files([("a", "1"), ("b", "1\n2"), ("d", ""), ("e", "y"), ("f", "  ")])
+    matches = spark.createDataFrame([("a", "a"), ("b", "b"), ("c", "c"), ("d", "e"), ("f", "f"), ("g", None)], "left_path string, right_path string")
+    typed = diffing.typed_pairs(matches, *[diffing.hashed(t) for t in (left, right, base)])
+    plan = typed._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" in plan and not any("content#" in x for x in plan.split("\n") if "Exchange" in x and "Output" in x)
+    got = {r["id"]: (r["div_type"], r["base_path"]) for r in typed.collect()}
+    assert got == {"a": ("CLEAN", "a"), "b": ("RIGHT_ONLY", "b"), "c": ("CLEAN", None), "d": ("SAME_CHANGE", "e"), "f": ("CONFLICT", "f"), "g": ("CLEAN", None)}
+    changed = diffing.changed_contents(typed, left, right, base)
+    texts = {r["id"]: (r["base"], r["left"], r["right"]) for r in changed.collect()}
+    assert texts == {"b": ("1\n2", "1\n2", "1\n3"), "d": ("y", "x", "x"), "f": ("  ", "q", "w")}
+    whole = diffing.measure(diffing.classify(changed.drop("div_type")), ["id"]).select("id", "div_type", "left_add", "right_add", "right_del")
+    parts = diffing.counted(changed, ["id"]).select(*whole.columns)
+    assert sorted(map(tuple, whole.collect())) == sorted(map(tuple, parts.collect()))
+    said = {(r["id"], r["side"]): r["patch"] for r in diffing.patches(changed).collect()}
+    assert set(said) == {("b", "right"), ("d", "left"), ("d", "right"), ("f", "left"), ("f", "right")} and said["b", "right"].endswith("\n-2\n+3")
+
+
+def test_cycles_are_drawn_together(spark):
+    rng = random.Random(8)
+    for n, m in ((14, 20), (16, 40), (12, 8)):
+        pairs = sorted({(rng.randrange(n), rng.randrange(n)) for _ in range(m)})
+        out = {i: {b for a, b in pairs if a == i} for i in range(n)}
+        reach = {}
+        for i in range(n):
+            seen, todo = set(), list(out[i])
+            while todo:
+                if (x := todo.pop()) not in seen:
+                    seen.add(x)
+                    todo += out[x]
+            reach[i] = seen
+        want = {i: min(j for j in reach[i] if i in reach[j]) for i in range(n) if i in reach[i]}
+        ids = spark.range(n).select(F.col("id").cast("int").alias("id"))
+        e = spark.createDataFrame(pairs, "src int, dst int")
+        loops = graph.strong_components(ids, graph.dependencies(e.where("src <> dst")))
+        assert {r["id"]: r["component"] for r in loops.collect()} == {i: c for i, c in want.items() if any(want.get(j) == c for j in range(n) if j != i)}
+        place = {r["id"]: (r["level"], r["position"]) for r in graph.ordered(graph.levels(ids, e)).collect()}
+        assert sorted(p for _, p in place.values()) == list(range(n))
+        for a, b in pairs:
+            if a != b:
+                together = a in want and want.get(b) == want[a]
+                assert (place[a][0] == place[b][0]) if together else (place[a][1] > place[b][1] and place[a][0] > place[b][0])
