@@ -34,28 +34,69 @@ def roots(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(edges.select(F.col("dst").alias("id")), "id", "left_anti")
 
 
+def chains(step: DataFrame, fixed: DataFrame) -> tuple[DataFrame | None, DataFrame]:
+    """(``id, head, offset`` of the inner nodes of chains, ``src, dst, length`` of the edges between all other nodes).
+
+    Inner nodes have one edge of ``step(src, dst)`` in and one out and are not among ``fixed(id)``; the head is the node that
+    a chain leaves, the offset how many steps lie between.  Pointers double their reach each round, so that a chain of any
+    length takes as many rounds as its length has binary digits.  Circles of inner nodes have no head; nothing leads to them,
+    and they are left out.  None in place of inner nodes where there are none.
+    """
+    sole = step.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("n"), F.min("src").alias("head")).where("n = 1").select("id", "head")
+    out = step.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("n")).where("n = 1").select("id")
+    links = cut(sole.join(out, "id", "left_semi").join(fixed.select("id"), "id", "left_anti").withColumn("offset", F.lit(1)), "chains")
+    size = links.count()
+    if not size:
+        return None, step.withColumn("length", F.lit(1))
+    inner = links.select("id")
+    for _ in range(size.bit_length() + 1):
+        up = links.select(F.col("id").alias("head"), F.col("head").alias("on"), F.col("offset").alias("more"))
+        longer = links.join(up, "head", "left")
+        links = cut(longer.select("id", F.coalesce("on", "head").alias("head"), (F.col("offset") + F.coalesce("more", F.lit(0))).alias("offset"), F.col("on").isNotNull().alias("moved")), "chains")
+        if links.where("moved").isEmpty():
+            break
+    links = links.join(inner.select(F.col("id").alias("head")), "head", "left_anti").select("id", "head", "offset")
+    kept = step.join(inner.select(F.col("id").alias("dst")), "dst", "left_anti")
+    drawn = kept.join(links.select(F.col("id").alias("src"), "head", "offset"), "src", "left")
+    return links, drawn.select(F.coalesce("head", "src").alias("src"), "dst", (F.coalesce("offset", F.lit(0)) + 1).alias("length"))
+
+
 def spread(seeds: DataFrame, edges: DataFrame, keys: list[str], within: DataFrame | None = None) -> DataFrame:
     """``keys, id, depth``: what each seed ``(keys, id)`` reaches, itself included, and in how many steps at least.
 
-    within: only through and to these ids.
+    within: only through and to these ids.  Chains are drawn together first; then a round sends on the nodes that were found,
+    or found nearer, in the round before.
     """
     step = edges.select("src", "dst").distinct()
     if within is not None:
         step = step.join(within.select(F.col("id").alias("dst")), "dst", "left_semi")
     step = cut(step, "edges")
+    inner, drawn = chains(step, seeds.select("id").distinct())
+    if inner is not None:
+        drawn = cut(drawn.groupBy("src", "dst").agg(F.min("length").alias("length")), "edges")
     seen = frontier = cut(seeds.select(*keys, "id").distinct().withColumn("depth", F.lit(0)), "frontier")
-    parts, depth = [frontier], 0
+    parts = [frontier]
     while not frontier.isEmpty():
-        depth += 1
-        near = frontier.select(*keys, F.col("id").alias("src")).join(step, "src").select(*keys, F.col("dst").alias("id")).distinct()
-        frontier = cut(near.join(seen.select(*keys, "id"), [*keys, "id"], "left_anti").withColumn("depth", F.lit(depth)), "frontier")
+        near = frontier.select(*keys, F.col("id").alias("src"), "depth").join(drawn, "src")
+        near = near.groupBy(*keys, F.col("dst").alias("id")).agg(F.min(F.col("depth") + F.col("length")).alias("depth"))
+        known = seen.select(*keys, "id", F.col("depth").alias("_known"))
+        if inner is None:  # first found is nearest
+            frontier = near.join(known, [*keys, "id"], "left_anti")
+        else:
+            known = known.groupBy(*keys, "id").agg(F.min("_known").alias("_known"))
+            frontier = near.join(known, [*keys, "id"], "left").where("_known is null or depth < _known").select(*keys, "id", "depth")
+        frontier = cut(frontier, "frontier")
         parts.append(frontier)
         seen = seen.unionByName(frontier)
         if len(parts) % 8 == 0:  # few files and a short plan
             seen = cut(seen, "seen")
             free(seen.sparkSession, *parts[:-1])
             parts = [seen, frontier]  # the frontier is still to be read
-    return seen
+    if inner is None:
+        return seen
+    seen = seen.groupBy(*keys, "id").agg(F.min("depth").alias("depth"))
+    on = inner.join(seen.withColumnRenamed("id", "head"), "head").select(*keys, "id", (F.col("depth") + F.col("offset")).alias("depth"))
+    return seen.unionByName(on)
 
 
 def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -64,33 +105,41 @@ def depths(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.select("id").join(found, "id", "left").select("id", F.coalesce("depth", F.lit(0)).alias("depth"))
 
 
-def peel(need: DataFrame, step: DataFrame) -> tuple[DataFrame, int]:
-    """``id, turn`` of the nodes of ``need(id, missing)`` whose dependencies all come in, and the number of turns.
+def peel(need: DataFrame, step: DataFrame) -> DataFrame:
+    """``id, turn`` of the nodes of ``need(id, missing)`` whose dependencies all come in.
 
-    Turn 0 has those that miss nothing; a node's turn is the first in which all its ``missing`` dependencies, told by
-    ``step(id, dependency)``, are in earlier ones; nodes that wait for ever get no row.  Each turn reads what its frontier
-    touches: counts of met dependencies are kept as one table a turn, added up only for the nodes of this turn, and
-    compacted every few turns.
+    Turn 0 has those that miss nothing; a node's turn is one above that of its last dependency, of the ``missing`` ones told by
+    ``step(id, dependency)``; nodes that wait for ever get no row.  Chains of single dependencies are drawn together first.
+    Each round reads what its frontier touches: counts of met dependencies are kept as one table a round, added up only for
+    the nodes of this round, and compacted every few rounds.
     """
     spark = need.sparkSession
     need, step = cut(need, "need"), cut(step, "edges")
+    inner, drawn = chains(step.select(F.col("dependency").alias("src"), F.col("id").alias("dst")), need.where("missing <> 1").select("id"))
+    step = drawn.select(F.col("dst").alias("id"), F.col("src").alias("dependency"), "length")
+    if inner is not None:
+        step = cut(step, "edges")
     new = cut(need.where("missing = 0").select("id", F.lit(0).alias("turn")), "turn")
-    parts, counts, turn = [new], [], 0
-    done = new
+    parts, counts, done, n = [new], [], new, 0
     while not new.isEmpty():
-        turn += 1
-        met = step.join(new.select(F.col("id").alias("dependency")), "dependency").groupBy("id").agg(F.count("*").alias("met"))
+        n += 1
+        told = step.join(new.select(F.col("id").alias("dependency"), "turn"), "dependency")
+        met = told.groupBy("id").agg(F.count("*").alias("met"), F.max(F.col("turn") + F.col("length")).alias("turn"))
         counts.append(cut(met, "met"))
-        touched = reduce(DataFrame.unionByName, counts).join(counts[-1].select("id"), "id", "left_semi").groupBy("id").agg(F.sum("met").alias("met"))
-        new = cut(touched.join(need, "id").where("met = missing").select("id", F.lit(turn).alias("turn")), "turn")
+        total = [F.sum("met").alias("met"), F.max("turn").alias("turn")]
+        touched = reduce(DataFrame.unionByName, counts).join(counts[-1].select("id"), "id", "left_semi").groupBy("id").agg(*total)
+        new = cut(touched.join(need, "id").where("met = missing").select("id", "turn"), "turn")
         done = done.unionByName(new)
         parts.append(new)
-        if turn % 8 == 0:  # few files and a short plan
+        if n % 8 == 0:  # few files and a short plan
             done = cut(done, "done")
-            added = cut(reduce(DataFrame.unionByName, counts).groupBy("id").agg(F.sum("met").alias("met")).join(done, "id", "left_anti"), "met")
+            added = cut(reduce(DataFrame.unionByName, counts).groupBy("id").agg(*total).join(done, "id", "left_anti"), "met")
             free(spark, *parts[:-1], *counts)
             parts, counts = [done, new], [added]
-    return done, turn
+    if inner is None:
+        return done
+    on = inner.join(need, "id", "left_semi").join(done.withColumnRenamed("id", "head"), "head").select("id", (F.col("turn") + F.col("offset")).cast("int").alias("turn"))
+    return done.unionByName(on)
 
 
 def clean_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -102,7 +151,7 @@ def clean_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     ok = nodes.where("ok").select("id").distinct()
     left = step.groupBy("id").agg(F.count("*").alias("missing"))
     need = ok.join(left, "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
-    return peel(need, step.join(ok, "id", "left_semi"))[0].select("id")
+    return peel(need, step.join(ok, "id", "left_semi")).select("id")
 
 
 def missing_dependencies(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -134,11 +183,11 @@ def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(seeds.join(nodes.select("id"), "id", "left_semi"), edges, []).select("id")
 
 
-def waiting(ids: DataFrame, step: DataFrame) -> tuple[DataFrame, DataFrame, int]:
-    """(``id, turn`` of the nodes that come in by :func:`peel` over all of ``step(id, dependency)``, the others, turns)."""
+def waiting(ids: DataFrame, step: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(``id, turn`` of the nodes that come in by :func:`peel` over all of ``step(id, dependency)``, the others)."""
     need = ids.join(step.groupBy("id").agg(F.count("*").alias("missing")), "id", "left").select("id", F.coalesce("missing", F.lit(0)).alias("missing"))
-    done, turns = peel(need, step)
-    return done, ids.join(done, "id", "left_anti"), turns
+    done = peel(need, step)
+    return done, ids.join(done, "id", "left_anti")
 
 
 def among(step: DataFrame, ids: DataFrame) -> DataFrame:
@@ -186,7 +235,7 @@ def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:
     """
     ids = ids.select("id").distinct()
     inner = cut(among(dependencies(edges), ids).where("id <> dependency"), "inner")
-    done, rest, _ = waiting(ids, inner)
+    done, rest = waiting(ids, inner)
     done, rest = cut(done, "done"), cut(rest, "rest")
     if rest.isEmpty():
         return done.select("id", F.col("turn").alias("level"))
