@@ -198,34 +198,30 @@ def among(step: DataFrame, ids: DataFrame) -> DataFrame:
 def strong_components(ids: DataFrame, step: DataFrame) -> DataFrame:
     """``id, component`` of the nodes of ``ids`` that lie on a cycle of ``step(id, dependency)``: the smallest id of those that lead to each other.
 
-    Nodes above and below all cycles are peeled off.  In each round every node left takes the smallest id that it depends on by
-    any path as its colour; the node of that id and all that it leads to in its own colour are one component.  The rest of a
-    colour waits for the next round, and every colour loses a component a round.
+    In each round every node takes the smallest id that it depends on by any path as its colour; the node of that id and all
+    that it leads to in its own colour are one component.  Nodes that lead to each other have one colour, so the next round
+    keeps the edges inside a colour only, and of the nodes left those that such edges enter and leave.
     """
-    spark = ids.sparkSession
-    parts = []
-    left = waiting(ids, step)[1]
-    left = cut(left, "left")
-    while not left.isEmpty():
-        turned = among(step, left).select(F.col("dependency").alias("id"), F.col("id").alias("dependency"))
-        left = cut(waiting(left, turned)[1], "left")  # what nothing left depends on is on no cycle
+    parts, own = [], cut(among(step, ids).where("id <> dependency"), "step")
+    while True:
+        left = cut(own.select("id").distinct().join(own.select(F.col("dependency").alias("id")), "id", "left_semi"), "left")
         if left.isEmpty():
             break
-        own = cut(among(step, left), "step")
-        colour = cut(left.withColumn("colour", F.col("id")), "colour")
-        fresh = colour
-        while not fresh.isEmpty():  # smaller ids travel from dependencies to those that need them
-            sent = own.join(fresh.select(F.col("id").alias("dependency"), "colour"), "dependency").groupBy("id").agg(F.min("colour").alias("sent"))
-            both = cut(colour.join(sent, "id", "left").select("id", F.least("colour", "sent").alias("colour"), F.coalesce(F.col("sent") < F.col("colour"), F.lit(False)).alias("new")), "colour")
-            colour, fresh = both.select("id", "colour"), both.where("new").select("id", "colour")
-        dyed = own.join(colour, "id").join(colour.select(F.col("id").alias("dependency"), F.col("colour").alias("other")), "dependency")
-        same = dyed.where(F.col("colour") == F.col("other")).select(F.col("id").alias("src"), F.col("dependency").alias("dst"))
-        found = spread(colour.where(F.col("id") == F.col("colour")).select(F.col("colour").alias("component"), "id"), same, ["component"]).select("id", "component")
-        parts.append(cut(found, "component"))
-        left = cut(left.join(parts[-1], "id", "left_anti"), "left")
-        left = cut(waiting(left, among(step, left))[1], "left")
+        own = cut(among(own, left), "step")
+        colour = cut(left.withColumn("colour", F.col("id")).withColumn("new", F.lit(True)), "colour")
+        while not colour.where("new").isEmpty():  # smaller ids travel from dependencies to those that need them
+            fresh = colour.where("new").select(F.col("id").alias("dependency"), "colour")
+            sent = own.join(fresh, "dependency").groupBy("id").agg(F.min("colour").alias("sent"))
+            smaller = F.coalesce(F.col("sent") < F.col("colour"), F.lit(False))
+            colour = cut(colour.join(sent, "id", "left").select("id", F.least("colour", "sent").alias("colour"), smaller.alias("new")), "colour")
+        dyed = own.join(colour.select("id", "colour"), "id").join(colour.select(F.col("id").alias("dependency"), F.col("colour").alias("other")), "dependency")
+        same = cut(dyed.where(F.col("colour") == F.col("other")).select("id", "dependency"), "step")
+        tops = colour.where(F.col("id") == F.col("colour")).select(F.col("colour").alias("component"), "id")
+        found = cut(spread(tops, same.select(F.col("id").alias("src"), F.col("dependency").alias("dst")), ["component"]).select("id", "component"), "component")
+        parts.append(found.join(found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component"), "component", "left_semi").select("id", "component"))
+        own = cut(among(same, left.join(found, "id", "left_anti")), "step")
     kind = ids.schema["id"].dataType.simpleString()
-    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"id {kind}, component {kind}")
+    return reduce(DataFrame.unionByName, parts) if parts else ids.sparkSession.createDataFrame([], f"id {kind}, component {kind}")
 
 
 def levels(ids: DataFrame, edges: DataFrame) -> DataFrame:

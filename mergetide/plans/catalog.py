@@ -183,7 +183,7 @@ def path_ordinals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.sql_for_spark(spark, sf_dir, A.SOURCES, "part")
+    return A.sql_for_spark(spark, sf_dir, A.SOURCES, "part").repartition(spark.sparkContext.defaultParallelism)  # the texts are far larger than their table
 
 
 def parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -516,7 +516,7 @@ def rewritten_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def session(spark: SparkSession, sf_dir: str) -> Divergence:
-    both = A.sql_for_spark(spark, sf_dir, A.BRANCHES, "part")
+    both = A.sql_for_spark(spark, sf_dir, A.BRANCHES, "part").repartition(spark.sparkContext.defaultParallelism)
     left, right = (cut(both.where(F.col("side") == i).select("ordinal", "path", "content"), "files") for i in (0, 1))
     return Divergence(left, right, left).match().diff().graph()
 
