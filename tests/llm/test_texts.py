@@ -70,6 +70,30 @@ def test_distribution_decides_on_unmarked_pages(spark):
     assert empty.select(extract_main(empty["html"])).count() == 0
 
 
+def test_marks_and_elements_beside_the_article():
+    """Elements inside elements: what lies in a block beside the article stays out, and nothing else does."""
+    cases = {
+        "<main><div class='related'><article>Teaser</article></div><p>Main text</p></main>": "Main text",
+        "<main><p>Body</p><section id='comments'><article><p>Nice</p></article></section><p>After</p></main>": "Body After",
+        "<article><h2 id='related-work'>Related</h2><h2 id='search'>Search</h2><p class='ad-hoc'>Hoc</p><p class='ad'>no</p><div class='related-posts'>no</div>End</article>": "Related Search Hoc End",
+        "<article><p><a title='it's'>Link</a> and <a title=\"a > b\">more</a></p></article>": "Link and more",
+        "<div class='related'><article>Only <a href=x>this</a></article></div><nav><article>no</article></nav>": "Only this",
+        "<article>One<p class=ad>no<p>Two<ul><li class=ad>no<li>Three</ul><span class=ad>no <span>no</span> no</span> Four</article>": "One Two Three Four",
+        "<div class=sidebar><p>never closed<main><p>Main</main>": "Main",
+        "<article>One</div></span>Two<div><section></article>Out": "One Two",
+        "<article></article>": "",
+    }
+    for page, want in cases.items():
+        assert main_text(page) == want, page
+    body = "Long text of the page. " * 50
+    assert main_text(f"<article>Teaser</article><div><p>{body}</p></div>") == body.strip()
+    assert main_text(f"<article><p>{body}</p></article><div><p>{body}</p></div><article>Short</article>") == body.strip()
+    gaps = f"<article><p>{body}</p><div></div><div></div><div></div><p>End.</p></article>"
+    assert main_text(gaps) == f"{body}End." and main_text(gaps.replace("article", "div")) == body.strip()
+    deep = "<div>" * 100_000 + "</b>" * 50_000 + "</section>" * 50_000 + "text" + "</div>" * 100_000
+    assert main_text(deep) == "text"
+
+
 def test_extract_column(spark):
     d = spark.createDataFrame([(1, PAGE, "x"), (2, None, "y"), (2, None, "y")], "page_id long, html string, text string")
     got = d.select("page_id", extract_main(d["html"]).alias("t")).collect()
