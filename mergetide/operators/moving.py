@@ -149,12 +149,22 @@ def plan_counters(moves: DataFrame, along: DataFrame, importers: DataFrame, rewr
     return out
 
 
-def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels: DataFrame) -> DataFrame:
-    """The tree after the plan, ``path, content``: moved files at their new place (the left copy's content), imports and barrels changed."""
+def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels: DataFrame, along: DataFrame | None = None, gone: DataFrame | None = None) -> DataFrame:
+    """The tree after the plan, ``path, content``: moved files at their new place (the left copy's content), imports and barrels changed.
+
+    along: templates and styles (``source, target``) that go with them, each to all its targets.  gone: ``path`` of files that
+    the plan deletes; what moves is read before.  Where two files go to one place the first by path is taken, and what moves
+    there stands before what lay there.
+    """
     changes = rewrites_by_file(rewrites).select("path", "changes")
     moved = mapping.select(F.col("old_path").alias("path"), "new_path")
-    names = files.select("path").join(moved, "path", "left").select("path", F.coalesce("new_path", "path").alias("_to"))
-    first = names.groupBy("_to").agg(F.min("path").alias("path"))  # the left copy of a moved file; contents of others are not read
+    if along is not None:
+        moved = moved.unionByName(along.select(F.col("source").alias("path"), F.col("target").alias("new_path"))).distinct()
+    names = files.select("path").join(moved, "path", "left").select("path", F.coalesce("new_path", "path").alias("_to"), F.col("new_path").isNull().alias("_stays"))
+    if gone is not None:
+        lost = names.where("_stays").join(gone.select("path"), "path", "left_anti")
+        names = lost.unionByName(names.where("not _stays"))
+    first = names.groupBy("_to").agg(F.min(F.struct("_stays", "path")).alias("x")).select("_to", "x.path")  # contents of others are not read
     both = files.join(first, "path").join(changes, "path", "left").join(barrels.select("path", "remove"), "path", "left")
 
     def apply(text: Column, c: Column) -> Column:

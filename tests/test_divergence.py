@@ -10,6 +10,7 @@ from mergetide.functions.text import import_between, normalised, relative_to, st
 from mergetide.operators import analytics, diffing, extracting, graph, matching, moving, resolving
 from mergetide.session import Divergence
 from mergetide.sources import reports, trees
+from mergetide.sources.writers import write_tree
 
 FILES = "ordinal long, path string, content string"
 
@@ -445,3 +446,48 @@ def test_cycles_are_drawn_together(spark):
             if a != b:
                 together = a in want and want.get(b) == want[a]
                 assert (place[a][0] == place[b][0]) if together else (place[a][1] > place[b][1] and place[a][0] > place[b][0])
+
+
+def test_plan_becomes_files(spark, tmp_path):
+    """Associated files go along, deleted copies go, and the files are those of the table."""
+    code = "@Component({ templateUrl: './t.html' })\nexport class X {}"
+    files = spark.createDataFrame([(0, "left/x.ts", code), (1, "right/x.ts", "old"), (2, "right/t.html", "<p>"), (3, "left/x.scss", "a {}"), (4, "right/x.scss", "b {}"), (5, "left/u.ts", "import { X } from './x';"), (6, "shared/x.scss", "older")], FILES)
+    nodes = spark.createDataFrame([("x.ts", "left/x.ts", "right/x.ts")], "id string, left_path string, right_path string")
+    moves = moving.file_moves(spark.createDataFrame([("x.ts", 0)], "id string, position long"), nodes, "shared")
+    along = moving.associated_files(moves, files, ("left", "right"))
+    gone = moving.deleted_paths(moves, nodes, along, files, ("left", "right"))
+    mapping = moving.path_mapping(moves, nodes)
+    tree = moving.rewritten(files, mapping, moving.import_rewrites(files, mapping), moving.barrel_updates(files, mapping), along, gone)
+    want = {"shared/x.ts": code, "shared/t.html": "<p>", "shared/x.scss": "a {}", "left/u.ts": "import { X } from '../shared/x';"}
+    assert {r["path"]: r["content"] for r in tree.collect()} == want
+    root = str(tmp_path / "new")
+    planned = write_tree(tree, root, dry_run=True)
+    assert {tuple(r) for r in planned.collect()} == {(p, len(c), None) for p, c in want.items()} and not list(tmp_path.iterdir())
+    assert sorted(map(tuple, write_tree(tree, root).collect())) == sorted(map(tuple, planned.collect()))
+    back = trees.scan_tree(spark, root, "new", [".ts", ".html", ".scss"])
+    assert {r["path"]: r["content"] for r in back.collect()} == want
+    assert sorted(x.name for x in tmp_path.iterdir()) == ["new", "new.outcomes"]
+    with pytest.raises(Exception, match="never overwritten"):
+        write_tree(tree, root)
+
+
+def test_rows_that_are_no_files(spark, tmp_path):
+    """Each wrong row is told, and the others are written."""
+    rows = [("a/b.ts", "ü"), ("a", "x"), ("c.ts", "1"), ("c.ts", "1"), ("../d.ts", "x"), ("/e.ts", "x"), ("f/", "x"), ("g//h", "x"), (None, "x"), ("", "x"), ("i.ts", None), ("n" * 300, "x"), ("j.ts", "")]
+    tree = spark.createDataFrame([(*r, 1) for r in rows], "path string, content string, error int")
+    got = {(r["path"], r["n_bytes"], r["error"]) for r in write_tree(tree, str(tmp_path / "t")).collect()}
+    outside, twice = "path outside the folder or of a folder", "path twice"
+    assert got == {
+        ("a/b.ts", 2, None), ("a", 1, "a folder for other files"), ("c.ts", 1, twice), ("../d.ts", 1, outside), ("/e.ts", 1, outside), ("f/", 1, outside), ("g//h", 1, outside),
+        (None, 1, "no path"), ("", 1, "no path"), ("i.ts", None, "no content"), ("n" * 300, 1, "File name too long"), ("j.ts", 0, None),
+    }
+    assert sorted(str(p.relative_to(tmp_path / "t")) for p in (tmp_path / "t").rglob("*") if p.is_file()) == ["a/b.ts", "j.ts"]
+    assert write_tree(tree.limit(0), str(tmp_path / "empty")).count() == 0 and (tmp_path / "empty").is_dir()
+
+
+def test_failed_write_leaves_nothing(spark, tmp_path):
+    """A task that dies takes the whole tree with it."""
+    tree = spark.range(0, 400, 1, 4).selectExpr("concat('f', id) AS path", "if(id = 399, raise_error('dies'), cast(id AS string)) AS content")
+    with pytest.raises(Exception, match="dies"):
+        write_tree(tree, str(tmp_path / "t")).collect()
+    assert not list(tmp_path.iterdir())
