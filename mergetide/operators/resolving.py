@@ -1,4 +1,8 @@
-"""Specifiers to files: candidate paths in order of preference, joined to the paths that exist."""
+"""Specifiers to files: places that a specifier can mean, in order of preference, joined to the files that are there.
+
+A place is a stem and the endings tried after it.  Files are indexed by stem once, with the endings that they have there, so
+that an import travels once for each of its stems - one, but for aliases - however many endings are tried.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +18,8 @@ PARSER_ENDS = [".ts", ".tsx", "/index.ts"]
 PLANNER_ENDS = ["", ".ts", ".tsx", "/index.ts", ".js", "/index.js"]
 ALIAS_ENDS = [".ts", ".tsx", "/index.ts", ""]
 EXACT_ALIAS_ENDS = [".ts", "/index.ts", ""]
+AS_IT_IS = [""]
+ALL_ENDS = sorted({*PARSER_ENDS, *PLANNER_ENDS, *ALIAS_ENDS, *EXACT_ALIAS_ENDS, *AS_IT_IS})
 CODE_FILE = r"\.(ts|tsx|js|jsx|mjs|cjs|json|html|scss|css|less)$"
 
 
@@ -25,18 +31,18 @@ class Aliases:
     base_url: str | None = None
 
 
-def with_ends(path: Column, ends: list[str]) -> Column:
-    return F.array(*[F.concat(path, F.lit(e)) for e in ends])
+def place(stem: Column, ends: list[str]) -> Column:
+    return F.struct(stem.alias("stem"), F.array(*map(F.lit, ends)).alias("ends"))
 
 
 def probes(path: Column, planner: bool) -> Column:
-    """Files that a path without alias can mean, best first.
+    """The place that a path without alias can mean.
 
     The parser takes a path with a code ending only as it is, the planner tries it first.
     """
     if planner:
-        return with_ends(path, PLANNER_ENDS)
-    return F.when(path.rlike(CODE_FILE), F.array(path)).otherwise(with_ends(path, PARSER_ENDS))
+        return place(path, PLANNER_ENDS)
+    return F.when(path.rlike(CODE_FILE), place(path, AS_IT_IS)).otherwise(place(path, PARSER_ENDS))
 
 
 def is_aliased(spec: Column, aliases: Aliases) -> Column:
@@ -48,8 +54,8 @@ def is_aliased(spec: Column, aliases: Aliases) -> Column:
 
 
 def alias_probes(spec: Column, aliases: Aliases, planner: bool) -> Column:
-    """Candidates of all aliases that fit, in the order in which they are declared."""
-    none = F.array().cast("array<string>")
+    """Places of all aliases that fit, in the order in which they are declared."""
+    none = F.array().cast("array<struct<stem:string,ends:array<string>>>")
     parts = [none]
     for alias, paths in aliases.entries:
         if alias.endswith("/*"):
@@ -58,25 +64,38 @@ def alias_probes(spec: Column, aliases: Aliases, planner: bool) -> Column:
             ends = ALIAS_ENDS
         else:
             fits, full, ends = spec == alias, [F.lit(p) for p in paths], EXACT_ALIAS_ENDS
-        found = [with_ends(p, ends) if planner else probes(p, planner) for p in full]
+        found = [place(p, ends) if planner else probes(p, planner) for p in full]
         if found:
-            parts.append(F.when(fits, F.concat(*found)).otherwise(none))
+            parts.append(F.when(fits, F.array(*found)).otherwise(none))
     return F.concat(*parts)
 
 
-def candidates(importer: Column, spec: Column, aliases: Aliases, planner: bool = False) -> Column:
+def places(importer: Column, spec: Column, aliases: Aliases, planner: bool = False) -> Column:
     """Relative and absolute specifiers by path, others by alias, then from the base folder."""
     relative = F.startswith(spec, F.lit("."))
     path = F.when(relative, beside(importer, spec)).otherwise(tidy_path(spec))
     bare = alias_probes(spec, aliases, planner)
     if aliases.base_url is not None:
-        bare = F.concat(bare, probes(tidy_path(F.concat(F.lit(aliases.base_url.rstrip("/") + "/"), spec)), planner))
-    return F.when(relative | F.startswith(spec, F.lit("/")), probes(path, planner)).otherwise(bare)
+        bare = F.concat(bare, F.array(probes(tidy_path(F.concat(F.lit(aliases.base_url.rstrip("/") + "/"), spec)), planner)))
+    return F.when(relative | F.startswith(spec, F.lit("/")), F.array(probes(path, planner))).otherwise(bare)
+
+
+def candidates(importer: Column, spec: Column, aliases: Aliases, planner: bool = False) -> Column:
+    """The paths tried, best first."""
+    return F.flatten(F.transform(places(importer, spec, aliases, planner), lambda p: F.transform(p["ends"], lambda e: F.concat(p["stem"], e))))
+
+
+def stem_index(files: DataFrame) -> DataFrame:
+    """``stem, have``: the endings after which files lie at each stem; a path has a stem for each ending that it ends with."""
+    fits = F.filter(F.array(*map(F.lit, ALL_ENDS)), lambda e: F.endswith("path", e))
+    stems = files.select("path", F.explode(fits).alias("end")).select(F.left("path", F.length("path") - F.length("end")).alias("stem"), "end")
+    return stems.groupBy("stem").agg(F.collect_set("end").alias("have"))
 
 
 def resolve(imports: DataFrame, files: DataFrame, aliases: Aliases | None = None, planner: bool = False) -> DataFrame:
     """``imports(path, position, spec, ...)`` with ``target``: the best candidate among ``files(path)``, null without one."""
-    tried = imports.select("path", "position", F.posexplode(candidates(F.col("path"), F.col("spec"), aliases or Aliases(), planner)).alias("rank", "target"))
-    there = tried.join(files.select(F.col("path").alias("target")).distinct(), "target", "left_semi")
-    best = there.groupBy("path", "position").agg(F.min_by("target", "rank").alias("target"))
+    tried = imports.select("path", "position", F.posexplode(places(F.col("path"), F.col("spec"), aliases or Aliases(), planner)).alias("rank", "x"))
+    first = F.get(F.filter("x.ends", lambda e: F.array_contains("have", e)), 0)
+    there = tried.withColumn("stem", F.col("x.stem")).join(stem_index(files), "stem").withColumn("end", first).where("end is not null")
+    best = there.groupBy("path", "position").agg(F.min_by(F.concat("stem", "end"), "rank").alias("target"))
     return imports.join(best, ["path", "position"], "left")

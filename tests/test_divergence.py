@@ -491,3 +491,20 @@ def test_failed_write_leaves_nothing(spark, tmp_path):
     with pytest.raises(Exception, match="dies"):
         write_tree(tree, str(tmp_path / "t")).collect()
     assert not list(tmp_path.iterdir())
+
+
+def test_imports_travel_once(spark):
+    """An import is one row however many endings are tried, and finds what a search through all candidates finds."""
+    rng = random.Random(9)
+    ends = ["", ".ts", ".tsx", "/index.ts", ".js", "/index.js", ".spec.ts", "/index", ".html"]
+    paths = sorted({"r/" + "/".join(rng.choices("abc", k=rng.randrange(1, 3))) + rng.choice(ends) for _ in range(40)})
+    specs = [rng.choice(["./", "../", "@/", "one", "r/", "/r/"]) + "/".join(rng.choices("abc", k=rng.randrange(1, 3))) + rng.choice(["", "", ".ts", ".js", "/index", ".html"]) for _ in range(300)]
+    imports = spark.createDataFrame([("r/a/b.ts", i, s) for i, s in enumerate(specs)], "path string, position int, spec string")
+    files = spark.createDataFrame([(p,) for p in [*paths, *paths[:5]]], "path string")
+    aliases = resolving.Aliases([("@/*", ["r/*", "r/a/*"]), ("onea", ["r/a", "r/b"])], "r")
+    for planner in (False, True):
+        tried = imports.select("spec", resolving.candidates(F.col("path"), F.col("spec"), aliases, planner).alias("c"), F.size(resolving.places(F.col("path"), F.col("spec"), aliases, planner)).alias("n")).collect()
+        assert all(r["n"] == 1 for r in tried if r["spec"][0] in "./")
+        want = [next((p for p in r["c"] if p in paths), None) for r in tried]
+        got = {r["position"]: r["target"] for r in resolving.resolve(imports, files, aliases, planner).collect()}
+        assert [got[i] for i in range(len(specs))] == want and 20 < sum(w is not None for w in want) < 290
