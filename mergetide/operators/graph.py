@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 from mergetide.operators.matching import ordinals
 from mergetide.sources.shared import cut, free
 
+#: Distinct-count sketches of 2^12 registers: a standard error of 1.04 / 2^6, of which six are allowed for.
+SKETCH_BITS, SKETCH_ERROR = 12, 0.1
+
 
 def dependencies(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("src").alias("id"), F.col("dst").alias("dependency")).distinct()
@@ -178,6 +181,45 @@ def subtrees(tops: DataFrame, clean: DataFrame, edges: DataFrame) -> DataFrame:
     return spread(tops.select(F.col("id").alias("root"), "id"), edges, ["root"], clean)
 
 
+def tree_estimates(tops: DataFrame, clean: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id, size`` of each root's tree by its distinct-count sketch, within :data:`SKETCH_ERROR` of the truth but for odds of 1e-9.
+
+    A node's sketch is the union of its dependencies' and itself: one of 4 KB at most a node, in place of a row for each node
+    of each tree.  Chains are drawn into the node that they leave; then a round makes the sketches of one level.
+    """
+    step = edges.select("src", "dst").where("src <> dst").distinct().join(clean.select(F.col("id").alias("dst")), "dst", "left_semi")
+    step = cut(step.join(clean.select(F.col("id").alias("src")), "src", "left_semi"), "edges")
+    inner, drawn = chains(step, tops.select("id"))
+    own = clean.select("id", F.col("id").alias("member")).distinct()
+    if inner is not None:
+        own = own.join(inner, "id", "left_anti").unionByName(inner.select(F.col("head").alias("id"), F.col("id").alias("member")))
+    drawn = cut(drawn.select(F.col("src").alias("id"), F.col("dst").alias("dependency")).distinct(), "edges")
+    turns = cut(waiting(own.select("id").distinct(), drawn)[0], "turns")
+    own = cut(own.groupBy("id").agg(F.hll_sketch_agg("member", SKETCH_BITS).alias("sketch")).join(turns, "id"), "own")
+    drawn = cut(drawn.join(turns, "id"), "edges")
+    last = turns.agg(F.max("turn")).first()[0]  # one number
+    done = cut(own.where("turn = 0").select("id", "sketch"), "sketches")
+    parts = [done]
+    for turn in range(1, (last or 0) + 1):
+        told = drawn.where(F.col("turn") == turn).join(done.withColumnRenamed("id", "dependency"), "dependency").select("id", "sketch")
+        both = told.unionByName(own.where(F.col("turn") == turn).select("id", "sketch"))
+        parts.append(cut(both.groupBy("id").agg(F.hll_union_agg("sketch").alias("sketch")), "sketches"))
+        done = done.unionByName(parts[-1])
+        if len(parts) % 8 == 0:  # few files and a short plan
+            done = cut(done, "sketches")
+            free(done.sparkSession, *parts)
+            parts = [done]
+    return done.join(tops.select("id"), "id", "left_semi").select("id", F.hll_sketch_estimate("sketch").alias("size"))
+
+
+def largest_roots(tops: DataFrame, clean: DataFrame, edges: DataFrame, most: int) -> DataFrame:
+    """``id`` of the roots whose trees can be among the ``most`` largest, by the bounds of their estimates."""
+    sizes = cut(tree_estimates(tops, clean, edges), "sizes")
+    least = sizes.orderBy(F.desc("size")).limit(most).agg(F.min("size").alias("least"))  # one row
+    at_most, at_least = F.col("size") * (1 + SKETCH_ERROR), F.col("least") * (1 - SKETCH_ERROR)
+    return sizes.crossJoin(F.broadcast(least)).where(at_most >= at_least).select("id")
+
+
 def expand(seeds: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``id``: known seeds and all that they depend on."""
     return spread(seeds.join(nodes.select("id"), "id", "left_semi"), edges, []).select("id")

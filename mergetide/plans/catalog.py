@@ -332,8 +332,10 @@ def movable_tree_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def top_movable_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trees, nodes = movable_trees(spark, sf_dir)
-    return analytics.top_trees(analytics.tree_sizes(trees, nodes), trees)
+    """Only the trees that can be among the largest are made."""
+    _, e, clean = tree_clean(spark, sf_dir)
+    trees = cut(graph.subtrees(graph.largest_roots(graph.movable_roots(clean, clean, e), clean, e, 20), clean, e), "trees")
+    return analytics.top_trees(trees.groupBy("root").agg(F.count("*").alias("size")), trees)
 
 
 @query

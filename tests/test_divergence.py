@@ -508,3 +508,35 @@ def test_imports_travel_once(spark):
         want = [next((p for p in r["c"] if p in paths), None) for r in tried]
         got = {r["position"]: r["target"] for r in resolving.resolve(imports, files, aliases, planner).collect()}
         assert [got[i] for i in range(len(specs))] == want and 20 < sum(w is not None for w in want) < 290
+
+
+def test_largest_trees_are_found_without_all_trees(spark):
+    """Estimates lie within their error, and the roots kept hold the largest trees and few others."""
+    rng = random.Random(12)
+    size = {f"r{i}": rng.choice([1, 3, 40, 700, 2000]) + rng.randrange(3) for i in range(30)}
+    edges, want = set(), {}
+    for r, n in size.items():  # chains, fans and shared members; every member of a tree hangs below its root
+        own = [r, *(f"{r}.{i}" for i in range(n))]
+        edges |= {(own[0] if i % 50 == 1 else own[rng.randrange(i)] if i % 3 else own[i - 1], own[i]) for i in range(1, len(own))}
+        edges |= {(rng.choice(own), f"s{rng.randrange(200)}")}
+    edges |= {(f"s{i}", f"s{i + 1}") for i in range(200)}
+    out = {}
+    for a, b in edges:
+        out.setdefault(a, set()).add(b)
+    for r in size:
+        seen, todo = {r}, [r]
+        while todo:
+            new = out.get(todo.pop(), set()) - seen
+            seen |= new
+            todo += new
+        want[r] = len(seen)
+    e = spark.createDataFrame(sorted(edges), "src string, dst string")
+    clean = spark.createDataFrame([(x,) for x in sorted({x for pair in edges for x in pair})], "id string")
+    tops = graph.movable_roots(clean, clean, e)
+    got = {r["id"]: r["size"] for r in graph.tree_estimates(tops, clean, e).collect()}
+    assert {r for r in got if r.startswith("r")} == set(want) and all(abs(got[r] - n) <= graph.SKETCH_ERROR * n for r, n in want.items())
+    kept = {r["id"] for r in graph.largest_roots(tops, clean, e, 5).collect()}
+    fifth = sorted(want.values())[-5]
+    assert {r for r, n in want.items() if n >= fifth} <= kept and all(want[r] > 0.7 * fifth for r in kept)
+    none = clean.limit(0)
+    assert graph.largest_roots(none, none, e, 5).count() == 0
