@@ -1,7 +1,7 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
 One regular expression finds candidates; what validates (card numbers by issuer and check digit, addresses by octets, dates by
-calendar, phone and social security numbers by their number plans) is permuted by an eight-round Feistel network keyed
+calendar, social security numbers by their number plan, phone numbers by their form and length) is permuted by an eight-round Feistel network keyed
 by ``key``, inside its own format: a card stays a number of its issuer with a right check digit, a date a date of 1900 to 2099, an
 address an address, an e-mail keeps its domain and its pattern of letters and digits, a secret its alphabet.  The same
 value gets the same pseudonym in every document, so that documents stay linked, and the key undoes it.

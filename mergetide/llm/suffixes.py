@@ -5,14 +5,14 @@ Of each document the suffixes are retained that begin at minimisers: the leftmos
 choose alike, and consecutive windows mostly share a place: a retained suffix stands for its reach, the words from the
 first window that chose it to the end of the last one.  About one suffix in ``(width - gram + 2) / 2`` words is retained.
 
-1. Suffixes are sorted by content, first by their leading ``gram`` words; those whose neighbours begin otherwise are done.
+1. Suffixes with the same leading ``gram`` words are brought together (in classes, not in order); those alone in theirs are done.
 2. Neighbours are compared over their whole reach, as far to the left and to the right as any window goes.  Suffixes that
    agree form a class; of a class all windows are repeated, and all but its first suffix can go.
 3. The first suffixes of classes that share the leading words but not the whole reach (the two ends of a repeated passage,
    mostly) are extended from the shared words to the left and to the right: each window of their reach, built from its words
    again, is compared with those of the other classes.
 
-Sorting and comparing is Spark's: classes are aggregates that combine before the shuffle, so a passage that many documents
+Comparing is Spark's: classes are aggregates that combine before the shuffle, so a passage that many documents
 share costs one row a map task, and their members come back by a join whose skewed keys the engine splits.  No task
 holds the suffixes of one passage.  Contents are compared as two 64-bit fingerprints together, of the leading words and of
 the reach or window; words themselves are not compared.
