@@ -12,10 +12,15 @@ TYPES = ["CLEAN", "LEFT_ONLY", "RIGHT_ONLY", "SAME_CHANGE", "CONFLICT"]
 CLEAN_TYPES = ["CLEAN", "SAME_CHANGE"]
 
 
+def stat_counters() -> dict[str, Column]:
+    """The counters of :func:`stats` by name, for a write that counts in passing."""
+    types = {f"n_{t.lower()}": F.count_if(F.col("div_type") == t) for t in TYPES}
+    return {"n_total": F.count("*")} | types | {"n_unmatched_left": F.count_if(F.col("right_path").isNull()), "n_unmatched_right": F.count_if(F.col("left_path").isNull())}
+
+
 def stats(nodes: DataFrame) -> DataFrame:
     """One row of counters over ``nodes(left_path, right_path, div_type)``."""
-    types = [F.count_if(F.col("div_type") == t).alias(f"n_{t.lower()}") for t in TYPES]
-    return nodes.agg(F.count("*").alias("n_total"), *types, F.count_if(F.col("right_path").isNull()).alias("n_unmatched_left"), F.count_if(F.col("left_path").isNull()).alias("n_unmatched_right"))
+    return nodes.agg(*[c.alias(n) for n, c in stat_counters().items()])
 
 
 def quick_stats(nodes: DataFrame) -> DataFrame:
@@ -95,21 +100,26 @@ def unresolved_summary(unresolved: DataFrame) -> DataFrame:
     return unresolved.agg(F.count("*").alias("n_nodes"), F.coalesce(F.sum("n_unresolved"), F.lit(0)).alias("n_imports"))
 
 
+def seen_by(found: DataFrame, parsed: DataFrame) -> DataFrame:
+    """``path, n_found, n_parsed``: how often each of two scans saw a path; each is read once."""
+    both = found.select("path", F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(parsed.select("path", F.lit(0).alias("a"), F.lit(1).alias("b")))
+    return both.groupBy("path").agg(F.sum("a").alias("n_found"), F.sum("b").alias("n_parsed"))
+
+
 def validation(found: DataFrame, parsed: DataFrame) -> DataFrame:
     """One row: file counts by an independent scan and by the parser, paths each lacks, coverage in percent."""
-    a, b = found.select("path"), parsed.select("path")
-    missing, extra = a.distinct().join(b, "path", "left_anti"), b.distinct().join(a, "path", "left_anti")
-    one = lambda df, name: df.agg(F.count("*").alias(name))
-    out = one(a, "n_found").crossJoin(one(b, "n_parsed")).crossJoin(one(missing, "n_missing")).crossJoin(one(extra, "n_extra"))  # one row each
+    sums = [F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in ("n_found", "n_parsed")]
+    lacks = [F.count_if(F.col("n_parsed") == 0).alias("n_missing"), F.count_if(F.col("n_found") == 0).alias("n_extra")]
+    out = seen_by(found, parsed).agg(*sums, *lacks)
     share = F.when(F.col("n_found") > 0, F.round(100 * F.col("n_parsed") / F.col("n_found"), 1))
     return out.select("*", (F.col("n_found") - F.col("n_parsed")).alias("difference"), share.alias("coverage"))
 
 
 def validation_samples(found: DataFrame, parsed: DataFrame, most: int = 10) -> DataFrame:
     """``kind, path``: the first paths that only one of the two scans saw, ``most`` of each kind."""
-    a, b = found.select("path").distinct(), parsed.select("path").distinct()
-    few = lambda x, y, kind: x.join(y, "path", "left_anti").orderBy("path").limit(most).select(F.lit(kind).alias("kind"), "path")
-    return few(a, b, "missing").unionByName(few(b, a, "extra"))
+    seen = seen_by(found, parsed)
+    few = lambda lacks, kind: seen.where(F.col(lacks) == 0).orderBy("path").limit(most).select(F.lit(kind).alias("kind"), "path")
+    return few("n_parsed", "missing").unionByName(few("n_found", "extra"))
 
 
 def first_members(trees: DataFrame, most: int = 10) -> DataFrame:

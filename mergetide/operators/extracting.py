@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from mergetide.functions import references as R
 from mergetide.functions.scanner import scanned
 from mergetide.functions.text import beside, file_type, state_kind
+from mergetide.sources.shared import cut_counting
 
 
 def parse_files(files: DataFrame) -> DataFrame:
@@ -62,9 +63,12 @@ class SharedViolations(Exception):
 
 
 def require_clean(violations: DataFrame, shown: int = 20) -> None:
-    """Fails the job where ``violations(path, import_path, points_to)`` has rows; the message names the first ``shown``."""
-    n = violations.count()
-    if n:
+    """Fails the job where ``violations(path, import_path, points_to)`` has rows; the message names the first ``shown``.
+
+    Violations are found once: written, and counted meanwhile.
+    """
+    violations, seen = cut_counting(violations, "violations", n=F.count("*"))
+    if n := seen["n"]:
         raise SharedViolations(n, violations.orderBy("path", "import_path").limit(shown).collect())
 
 

@@ -7,10 +7,10 @@ took it; of several left files that find one right file the first gets it.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from mergetide.sources.shared import cut
+from mergetide.sources.shared import cut, cut_counting
 
 
 def by_path(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -67,13 +67,24 @@ def method_counts(matches: DataFrame) -> DataFrame:
     return matches.where("left_path is not null and right_path is not null").groupBy("match_method").agg(F.count("*").alias("n"))
 
 
-def reconciliation(left: DataFrame, right: DataFrame, matches: DataFrame) -> DataFrame:
-    """One row: files of each side, and files accounted for by pairs and lonely ones."""
+def match_counters() -> dict[str, Column]:
+    """What :func:`reconciliation` needs of the matches."""
     pair = F.col("left_path").isNotNull() & F.col("right_path").isNotNull()
-    got = matches.agg(
-        F.count_if(pair).alias("pairs"), F.count_if(F.col("right_path").isNull()).alias("left_only"), F.count_if(F.col("left_path").isNull()).alias("right_only")
-    )
-    got = got.crossJoin(left.agg(F.count("*").alias("left_files"))).crossJoin(right.agg(F.count("*").alias("right_files")))  # one row each
+    return {"pairs": F.count_if(pair), "left_only": F.count_if(F.col("right_path").isNull()), "right_only": F.count_if(F.col("left_path").isNull())}
+
+
+def match_counting(left: DataFrame, right: DataFrame, overrides: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """The matches of :func:`match_files`, and their reconciliation, which is counted in passing while files and matches are written."""
+    left, a = cut_counting(left, "left", left_files=F.count("*"))
+    right, b = cut_counting(right, "right", right_files=F.count("*"))
+    matches, c = cut_counting(match_files(left, right, overrides), "matches", **match_counters())
+    return matches, reconciliation(matches, a | b | c)
+
+
+def reconciliation(like: DataFrame, seen: dict[str, int]) -> DataFrame:
+    """One row: files of each side, and files accounted for by pairs and lonely ones, as they were ``seen`` by name."""
+    names = ["pairs", "left_only", "right_only", "left_files", "right_files"]
+    got = like.sparkSession.range(1).select(*[F.lit(seen[n]).cast("long").alias(n) for n in names])
     return got.withColumn("left_ok", F.col("pairs") + F.col("left_only") == F.col("left_files")).withColumn("right_ok", F.col("pairs") + F.col("right_only") == F.col("right_files"))
 
 

@@ -155,7 +155,7 @@ def match_method_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def match_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matching.reconciliation(*moved_sides(spark, sf_dir), matches(spark, sf_dir))
+    return matching.match_counting(*moved_sides(spark, sf_dir))[1]
 
 
 @query

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mergetide.operators import analytics, diffing, edges, extracting, graph, matching, resolving
-from mergetide.sources.shared import cut
+from mergetide.sources.shared import cut, cut_counting
 
 #: order of nodes by the way they were matched: later nodes win where two hold one key
 PASSES = ["manual", "path", "classname", "selector"]
@@ -40,9 +40,15 @@ class Divergence:
             told = code.select("*", diffing.content_hash(F.col("content")).alias("hash"), (F.coalesce("content", F.lit("")) != "").alias("filled"))
             return extracting.with_templates(extracting.parse_files(told), files)
 
-        self._keep("parsed_left", cut(parse(self.left), "parsed"))
-        self._keep("parsed_right", cut(parse(self.right), "parsed"))
-        self._keep("matches", cut(matching.match_files(self.parsed_left, self.parsed_right, self.overrides), "matches"))
+        seen = {}
+        for side, files in (("left", self.left), ("right", self.right)):
+            parsed, n = cut_counting(parse(files), "parsed", **{f"{side}_files": F.count("*")})
+            self._keep(f"parsed_{side}", parsed)
+            seen |= n
+        found = matching.match_files(self.parsed_left, self.parsed_right, self.overrides)
+        matches, n = cut_counting(found, "matches", **matching.match_counters())
+        self._keep("matches", matches)
+        self._keep("reconciliation", matching.reconciliation(matches, seen | n))
         return self
 
     def diff(self) -> Divergence:
@@ -84,12 +90,13 @@ class Divergence:
         d = extracting.node_rows(self.divergence, self.parsed_left, self.parsed_right).withColumn("effort", analytics.effort())
         n = d.join(self.unresolved.withColumnsRenamed({"src": "id", "samples": "unresolved_imports"}), "id", "left")
         n = n.withColumn("dirty", ~F.col("div_type").isin(*analytics.CLEAN_TYPES)).withColumn("ok", ~F.col("dirty") & F.col("n_unresolved").isNull())
-        self._keep("nodes", cut(n, "nodes"))
+        nodes, seen = cut_counting(n, "nodes", **analytics.stat_counters())
+        self._keep("nodes", nodes)
+        self._keep("stats", nodes.sparkSession.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in seen.items()]))
         clean = self._keep("clean", cut(graph.clean_nodes(self.nodes, self.edges), "clean"))
         self._keep("depths", graph.depths(self.nodes, self.edges))
         self._keep("trees", cut(graph.subtrees(graph.movable_roots(self.nodes, clean, self.edges), clean, self.edges), "trees"))
         self._keep("bottlenecks", graph.bottlenecks(self.nodes, self.edges))
         flags = self.nodes.join(clean.withColumn("is_clean", F.lit(True)), "id", "left").na.fill(False, ["is_clean"]).join(graph.degrees(self.nodes, self.edges), "id")
         self._keep("priorities", analytics.priorities(flags))
-        self._keep("stats", analytics.stats(self.nodes))
         return self

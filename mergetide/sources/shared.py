@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -37,6 +37,17 @@ def cut(df: DataFrame, name: str = "cut") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut_counting(df: DataFrame, name: str, **counters: Column) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`cut`, and counters (aggregates that are 0 for no rows) of the rows, added up while they are written.
+
+    They stand at the top of the plan that writes, whose tasks count once each, however often one is tried.
+    """
+    seen = Observation()
+    kept = cut(df.observe(seen, *[c.alias(n) for n, c in counters.items()]), name)
+    told = seen.get
+    return kept, {n: told.get(n) or 0 for n in counters}
+
+
 def free(spark: SparkSession, *written: DataFrame) -> None:
     """Delete tables made by :func:`cut` that nothing reads any more."""
     for df in written:

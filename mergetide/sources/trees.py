@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from mergetide.operators.matching import ordinals
 from mergetide.operators.resolving import Aliases
+from mergetide.sources.shared import cut
 
 CODE_ENDS = [".ts"]
 FOUND_ENDS = [".ts", ".tsx", ".scss", ".html"]
@@ -38,12 +39,14 @@ def scan_tree(spark: SparkSession, root: str, branch: str, ends: list[str] | Non
     """``branch, ordinal, path, content`` of the files below ``root``; a missing folder is an empty tree.
 
     Paths are relative, ordinals rank them; folders named node_modules or dist, and those that begin with a dot, are
-    left out.
+    left out.  Paths alone are ranked; contents are read once, by whoever reads the table, and stay where they are as long as
+    the ranks are small enough to be broadcast by the engine's own rule, else they pass one exchange.
     """
     files = listed(spark, root, ends or CODE_ENDS, PRUNED)
     if files is None:
         return spark.createDataFrame([], "branch string, ordinal long, path string, content string")
-    return ordinals(files.select("path", F.decode("content", "UTF-8").alias("content"))).select(F.lit(branch).alias("branch"), "ordinal", "path", "content")
+    ranks = cut(ordinals(files.select("path")).select("path", "ordinal"), "ranks")
+    return files.join(ranks, "path").select(F.lit(branch).alias("branch"), "ordinal", "path", F.decode("content", "UTF-8").alias("content"))
 
 
 def found_files(spark: SparkSession, root: str, ends: list[str] | None = None) -> DataFrame:
