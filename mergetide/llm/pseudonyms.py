@@ -1,9 +1,10 @@
 """Format-preserving Feistel pseudonyms for personal data, with DataFrame functions only.
 
 One regular expression finds candidates; what validates (card numbers by issuer and check digit, addresses by octets, dates by
-calendar, social security numbers by their number plan, phone numbers by their form and length) is permuted by an eight-round Feistel network keyed
-by ``key``, inside its own format: a card stays a number of its issuer with a right check digit, a date a date of 1900 to 2099, an
-address an address, an e-mail keeps its domain and its pattern of letters and digits, a secret its alphabet.  The same
+calendar, social security numbers by their number plan, phone numbers by their form and length) is permuted by an eight-round
+Feistel network keyed by ``key``, inside its own format: a card stays a number of its issuer with a right check digit, a date a date of 1900 to 2099, an
+address an address, an e-mail keeps its domain and its pattern of letters and digits, a secret its alphabet, a telephone number its
+country and, at ten digits, valid area and exchange codes.  The same
 value gets the same pseudonym in every document, so that documents stay linked, and the key undoes it.
 
 The network works on two numbers modulo two moduli whose product is the size of the format, and adds a keyed hash
@@ -23,7 +24,7 @@ CHUNK = 24
 OCTET = r"(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])"
 #: One pattern for each kind, tried in this order.
 PATTERNS = {
-    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9a-f]{16,64}(?![0-9A-Za-z])",
+    "secret": r"(?i:password|passwd|pwd|token|secret|api[_-]?key)[ ]{0,3}[=:][ ]{0,3}[\"']?[0-9A-Fa-f]{16,64}(?![0-9A-Za-z])",
     "access_key": r"(?<![A-Za-z0-9])AKIA[0-9A-Z]{16}(?![A-Za-z0-9])",
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:[.][A-Za-z0-9-]{1,63}){0,5}[.][A-Za-z]{2,}",
     "ip": rf"(?<![0-9A-Za-z.]){OCTET}(?:[.]{OCTET}){{3}}(?![0-9A-Za-z]|[.][0-9])",
@@ -32,6 +33,8 @@ PATTERNS = {
     "date": r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])|(?<![0-9/])[0-9]{2}/[0-9]{2}/[0-9]{4}(?![0-9/])",
     "card": r"(?<![0-9A-Za-z-])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}[ -][0-9]{4}[ -][0-9]{1,7})(?![0-9A-Za-z-])",
 }
+#: Fixed value: country codes of one, two and three digits.
+COUNTRY = "^[+](?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 #: Fixed value: how the numbers of payment cards begin.
 ISSUERS = "^(?:4|5[0-9]|222[1-9]|22[3-9]|2[3-6]|27[01]|2720|30[0-5]|3[4-9]|6)"
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
@@ -119,10 +122,30 @@ def card(m: Column, key: str) -> Column:
 
 
 def phone(m: Column, key: str) -> Column:
-    code = F.regexp_extract(m, r"^[+][0-9]{1,3}(?=[ .(-])", 0)
+    """The country code stays, with or without a separator after it.
+
+    Numbers of ten digits without a country code or with +1 have an area and an exchange, neither of which begins with 0 or 1
+    where the number is valid: each is numbered among those that begin alike (800 valid ones, 200 others), so that a valid number
+    gets a valid one, however it is spelt.  Of other numbers the first digit stays, as national numbers begin with no 0.
+    """
+    apart = F.regexp_extract(m, r"^[+][0-9]{1,3}(?=[ .(-])", 0)
+    code = F.when(apart != "", apart).otherwise(F.regexp_extract(m, COUNTRY, 0))
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     digits = only(rest, "[^0-9]")
-    return F.when(F.length(only(m, "[^0-9]")).between(8, 15), F.concat(code, respelled(rest, permuted(digits, 10, key, "phone"), F.lit("")))).otherwise(m)
+    planned = (F.length(digits) == 10) & code.isin("", "+1")
+    area, exchange, line = (digits.substr(i, n).cast("long") for i, n in ((1, 3), (4, 3), (7, 4)))
+    first = lambda x: F.when(x >= 200, F.lit(200)).otherwise(F.lit(0))
+    many = lambda x: F.when(x >= 200, F.lit(800)).otherwise(F.lit(200))
+    done = feistel(area - first(area), (exchange - first(exchange)) * 10_000 + line, many(area), many(exchange) * 10_000, key, "phone")
+    bound = F.struct(done.alias("x"), first(area).alias("area"), first(exchange).alias("exchange"))
+    spell = lambda n, width: F.lpad(n.cast("string"), width, "0")
+
+    def text(d: Column) -> Column:
+        return F.concat(spell(d["x"]["a"] + d["area"], 3), spell(F.floor(d["x"]["b"] / 10_000) + d["exchange"], 3), spell(d["x"]["b"] % 10_000, 4))
+
+    other = F.concat(F.substring(digits, 1, 1), permuted(F.substring(digits, F.lit(2), F.length(digits)), 10, key, "phone"))
+    new = F.when(planned, F.concat_ws("", F.transform(F.array(bound), text))).otherwise(other)
+    return F.when(F.length(only(m, "[^0-9]")).between(8, 15), F.concat(code, respelled(rest, new, F.lit("")))).otherwise(m)
 
 
 def ssn(m: Column, key: str) -> Column:
@@ -164,8 +187,10 @@ def email(m: Column, key: str) -> Column:
 
 
 def secret(m: Column, key: str) -> Column:
-    value = F.regexp_extract(m, "[0-9a-f]{16,}$", 0)
-    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), permuted(value, 16, key, "secret"))
+    """A value with a capital letter gets capitals, and the same digits as in small letters."""
+    value = F.regexp_extract(m, "[0-9A-Fa-f]{16,}$", 0)
+    new = permuted(F.lower(value), 16, key, "secret")
+    return F.concat(F.substring(m, F.lit(1), F.length(m) - F.length(value)), F.when(value.rlike("[A-F]"), F.upper(new)).otherwise(new))
 
 
 def access_key(m: Column, key: str) -> Column:
