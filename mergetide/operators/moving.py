@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mergetide.functions import references as R
 from mergetide.functions.text import beside, import_between
 from mergetide.operators.resolving import Aliases, resolve
-from mergetide.sources.shared import cut
+from mergetide.sources.shared import cut, merged
 
 STYLE_ENDS = [".html", ".scss", ".css", ".less"]
 IMPORT_LINE = r"^(?:import|export).*?from\s+['\"]([^'\"\n]+)['\"]"
@@ -28,7 +28,7 @@ def selection(text: str, all_clean: DataFrame) -> DataFrame:
 
 def file_moves(order: DataFrame, nodes: DataFrame, shared: str) -> DataFrame:
     """``id, position, source, target`` in order; the left file moves where there is one."""
-    at = order.join(nodes, "id").withColumn("source", F.coalesce("left_path", "right_path")).where("source is not null")
+    at = order.join(merged(nodes), "id").withColumn("source", F.coalesce("left_path", "right_path")).where("source is not null")
     return at.select("id", "position", "source", F.concat(F.lit(shared.rstrip("/") + "/"), F.col("id")).alias("target"))
 
 
@@ -52,13 +52,13 @@ def named_files(moves: DataFrame, files: DataFrame, branches: tuple[str, str] |
     """
     urls = F.filter(F.concat(F.array(R.template_url(F.col("content"))), R.style_urls(F.col("content"))), lambda x: x.isNotNull())
     naming = files.select(F.col("path").alias("source"), urls.alias("urls")).where(F.size("urls") > 0)  # contents stay where they are read
-    named = moves.join(naming, "source").select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.explode("urls").alias("url"))
+    named = moves.join(merged(naming), "source").select("id", F.col("source").alias("_source"), F.col("target").alias("_target"), F.explode("urls").alias("url"))
     at = beside(F.col("_source"), F.col("url"))
     tried = [at] if branches is None else [at, in_branch(at, branches, 0), in_branch(at, branches, 1)]
     named = named.withColumn("_tried", F.array_distinct(F.array(*tried))).withColumn("target", beside(F.col("_target"), F.col("url")))
-    there = named.select("id", "url", F.posexplode("_tried").alias("rank", "source")).join(files.select(F.col("path").alias("source")), "source", "left_semi")
+    there = named.select("id", "url", F.posexplode("_tried").alias("rank", "source")).join(merged(files.select(F.col("path").alias("source"))), "source", "left_semi")
     best = there.groupBy("id", "url").agg(F.min_by("source", "rank").alias("source"))
-    return named.select("id", "url", "target").join(best, ["id", "url"], "left").select("id", "url", "source", "target")
+    return named.select("id", "url", "target").join(merged(best), ["id", "url"], "left").select("id", "url", "source", "target")
 
 
 def associated_files(moves: DataFrame, files: DataFrame, branches: tuple[str, str] | None = None) -> DataFrame:
@@ -66,7 +66,7 @@ def associated_files(moves: DataFrame, files: DataFrame, branches: tuple[str, st
     named = named_files(moves, files, branches).where("source is not null").select("id", "source", "target")
     stem = lambda c: F.regexp_replace(c, r"\.tsx?$", "")
     alike = F.explode(F.array(*[F.struct(F.concat(stem("source"), F.lit(e)).alias("source"), F.concat(stem("target"), F.lit(e)).alias("target")) for e in STYLE_ENDS])).alias("x")
-    alike = moves.select("id", alike).select("id", "x.source", "x.target").join(files.select(F.col("path").alias("source")), "source", "left_semi")
+    alike = moves.select("id", alike).select("id", "x.source", "x.target").join(merged(files.select(F.col("path").alias("source"))), "source", "left_semi")
     return named.unionByName(alike.select("id", "source", "target")).dropDuplicates(["id", "source"])
 
 
@@ -77,25 +77,25 @@ def association_warnings(moves: DataFrame, files: DataFrame, branches: tuple[str
 
 def path_mapping(moves: DataFrame, nodes: DataFrame) -> DataFrame:
     """``old_path, new_path`` for the copies of both branches."""
-    both = moves.select("id", "target").join(nodes, "id")
+    both = moves.select("id", "target").join(merged(nodes), "id")
     return both.select(F.explode(F.array("left_path", "right_path")).alias("old_path"), F.col("target").alias("new_path")).where("old_path is not null").distinct()
 
 
 def deleted_paths(moves: DataFrame, nodes: DataFrame, along: DataFrame, files: DataFrame, branches: tuple[str, str] | None = None) -> DataFrame:
     """``path``: what a plan deletes, once for each reason: copies of moved nodes, files that go along and their copies."""
-    both = moves.join(nodes.select("id", "left_path", "right_path"), "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
+    both = moves.join(merged(nodes.select("id", "left_path", "right_path")), "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
     out = both.unionByName(along.select(F.col("source").alias("path")))
     if branches is not None:
         left = F.startswith("source", F.lit(branches[0].rstrip("/") + "/"))
         other = along.select("source", F.when(left, in_branch(F.col("source"), branches, 1)).otherwise(in_branch(F.col("source"), branches, 0)).alias("path")).where("path <> source")
-        out = out.unionByName(other.join(files.select("path"), "path", "left_semi").select("path"))
+        out = out.unionByName(other.join(merged(files.select("path")), "path", "left_semi").select("path"))
     return out
 
 
 def affected_importers(moves: DataFrame, nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """``path`` of moved files at their source, and of both copies of nodes that depend on a moved one."""
-    users = edges.join(moves.select(F.col("id").alias("dst")), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
-    paths = users.join(nodes, "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
+    users = edges.join(merged(moves.select(F.col("id").alias("dst"))), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+    paths = users.join(merged(nodes), "id").select(F.explode(F.array("left_path", "right_path")).alias("path")).where("path is not null")
     return paths.unionByName(moves.select(F.col("source").alias("path"))).distinct()
 
 
@@ -112,7 +112,7 @@ def import_rewrites(files: DataFrame, mapping: DataFrame, aliases: Aliases | Non
     resolved = resolve(found, files, aliases, planner=True).where("target is not null")
     own = mapping.select(F.col("old_path").alias("path"), F.col("new_path").alias("own_new"))
     to = mapping.select(F.col("old_path").alias("target"), F.col("new_path").alias("target_new"))
-    both = resolved.join(own, "path", "left").join(to, "target", "left").where("own_new is not null or target_new is not null")
+    both = resolved.join(merged(own), "path", "left").join(merged(to), "target", "left").where("own_new is not null or target_new is not null")
     new = import_between(F.coalesce("own_new", "path"), F.coalesce("target_new", "target"))
     both = both.withColumn("new_import", new).where(F.col("new_import") != F.col("spec"))
     return both.select("path", F.col("own_new").alias("new_path"), "position", "line", F.col("spec").alias("old_import"), "new_import")
@@ -135,7 +135,7 @@ def barrel_updates(files: DataFrame, mapping: DataFrame) -> DataFrame:
     tried = above.select("old_path", F.concat("dir", F.lit("/index.ts")).alias("path"), F.concat(F.lit("./"), F.regexp_replace(F.expr("substring(old_path, length(dir) + 2)"), r"\.tsx?$", "")).alias("remove"))
     first = tried.where("path <> old_path").groupBy("path").agg(F.min_by(F.struct("old_path", "remove"), "old_path").alias("x"))
     barrels = files.where(F.col("path").endswith("/index.ts")).select("path", "content")  # no other contents travel
-    return first.join(barrels, "path").where(F.contains("content", F.col("x.remove"))).select("path", "x.remove", "x.old_path")
+    return first.join(merged(barrels), "path").where(F.contains("content", F.col("x.remove"))).select("path", "x.remove", "x.old_path")
 
 
 def plan_counters(moves: DataFrame, along: DataFrame, importers: DataFrame, rewrites: DataFrame, barrels: DataFrame, gone: DataFrame) -> DataFrame:
@@ -160,12 +160,12 @@ def rewritten(files: DataFrame, mapping: DataFrame, rewrites: DataFrame, barrels
     moved = mapping.select(F.col("old_path").alias("path"), "new_path")
     if along is not None:
         moved = moved.unionByName(along.select(F.col("source").alias("path"), F.col("target").alias("new_path"))).distinct()
-    names = files.select("path").join(moved, "path", "left").select("path", F.coalesce("new_path", "path").alias("_to"), F.col("new_path").isNull().alias("_stays"))
+    names = files.select("path").join(merged(moved), "path", "left").select("path", F.coalesce("new_path", "path").alias("_to"), F.col("new_path").isNull().alias("_stays"))
     if gone is not None:
-        lost = names.where("_stays").join(gone.select("path"), "path", "left_anti")
+        lost = names.where("_stays").join(merged(gone.select("path")), "path", "left_anti")
         names = lost.unionByName(names.where("not _stays"))
     first = names.groupBy("_to").agg(F.min(F.struct("_stays", "path")).alias("x")).select("_to", "x.path")  # contents of others are not read
-    both = files.join(first, "path").join(changes, "path", "left").join(barrels.select("path", "remove"), "path", "left")
+    both = files.join(merged(first), "path").join(merged(changes), "path", "left").join(merged(barrels.select("path", "remove")), "path", "left")
 
     def apply(text: Column, c: Column) -> Column:
         for q in ("'", '"'):
