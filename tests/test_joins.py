@@ -2,7 +2,7 @@
 
 import pytest
 
-from mergetide.operators import graph, matching, moving
+from mergetide.operators import diffing, graph, matching, moving
 from mergetide.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -40,3 +40,12 @@ def test_large_tables_of_loops(spark, monkeypatch):
         found, n = shared.cut_sized(edges.select("id"))
         assert n == 20 and said in planned(edges.join(found, "id"))
     assert "Broadcast" not in planned(graph.degrees(edges.select("id"), edges.select(edges.id.alias("src"), edges.dependency.alias("dst"))))
+
+
+def test_contents_come_by_hundreds(spark):
+    """Contents are diffed in small batches: no Arrow batch of ten thousand texts."""
+    rows = spark.createDataFrame([("a", "CONFLICT", "1\n2", "1\nx", "1\ny")], "path string, div_type string, base string, left string, right string")
+    for df in (diffing.measure(rows, ["path"]), rows.select(diffing.unified_patch("path", "base", "left"))):
+        assert "BatchEvalPython" in planned(df) and "ArrowEvalPython" not in planned(df)
+    found = diffing.measure(rows, ["path"]).first()
+    assert (found.left_add, found.left_del, found.right_add, found.right_del, found.auto_mergeable) == (1, 1, 1, 1, False)
