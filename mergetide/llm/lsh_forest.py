@@ -352,6 +352,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     found = cut(signatures(rows, k), "signatures")
     classes = found.where("n > 0 and doc_id is not null").groupBy("n", "set_id").agg(F.min("doc_id").alias("rep"), F.first("lanes").alias("lanes"), F.first("bins").alias("bins"))
     classes = cut(classes, "classes")
+    # from here on rows need only the document that stands for their class: signatures and sets lie in the classes
+    members = found.select("doc_id", "n", "set_id").join(classes.select("n", "set_id", "rep"), ["n", "set_id"], "left").select("doc_id", "n", "rep")
+    members = cut(members, "members")
+    free(spark, found)
     reps = classes.select(F.col("rep").alias("doc_id"), "n", "lanes", "bins", F.col("rep").alias("comp"))
     first = cut(candidates(reps.withColumn("bins", F.lit(None).cast("binary")), threshold, False, leaf), "pairs")
     ids = first.select(F.col("a").alias("doc_id")).unionByName(first.select("b").withColumnRenamed("b", "doc_id")).distinct()
@@ -370,6 +374,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
     more = checked.where("linked")
     free(spark, texts)
     moved = cut(within(links.select("a", "b").unionByName(more.select("a", "b"))), "moved")
+    free(spark, classes)
     keys = cut(keyed(moved), "keys")
     regions = cut(dense_regions(keys, leaf), "regions")
     if regions.head(1):
@@ -377,11 +382,12 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80, id_col: st
         for old in (tried, checked):
             third = third.join(old.select("a", "b"), ["a", "b"], "left_anti")
         third = cut(third, "pairs")
+        free(spark, moved, keys)
         ids = third.select(F.col("a").alias("doc_id")).unionByName(third.select("b").withColumnRenamed("b", "doc_id")).distinct()
-        texts = rows.join(ids, "doc_id").join(reps.select("doc_id"), "doc_id", "left_semi")
+        texts = rows.join(ids, "doc_id").join(members.where("doc_id = rep").select("doc_id"), "doc_id", "left_semi")
         more = more.unionByName(cut(confirm(third, texts, k, threshold).where("linked"), "more"))
-    same = found.where("n > 0 and doc_id is not null").join(classes.select("n", "set_id", "rep"), ["n", "set_id"]).where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    same = members.where("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     final = components(links.select("a", "b").unionByName(more.select("a", "b")).unionByName(same))
-    out = found.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    out = members.select("doc_id", F.col("n").alias("n_shingles")).join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))

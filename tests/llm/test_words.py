@@ -1,6 +1,7 @@
 """Operators that read words, against plain Python on small texts."""
 
 import hashlib
+import os
 import random
 import re
 from collections import Counter, defaultdict
@@ -220,6 +221,30 @@ def test_partners_in_far_blocks(spark):
     assert [got[i] for i in range(len(texts))] == tops
 
 
+def test_signatures_go_when_they_are_read(spark, monkeypatch):
+    """Signatures lie once in the shared folder after the classes are made, and not at all when the third round is confirmed."""
+    from mergetide.llm import lsh_forest
+    from mergetide.sources import shared
+
+    base = [f"t{i}" for i in range(1000)]
+    texts = [" ".join([*base[: 100 + 9 * i], f"own{i}", *base[101 + 9 * i :]]) for i in range(40)]
+    texts += [f"more {t}" for t in texts[:20]] + texts[:5]
+    folder = shared.shared_dir(spark).removeprefix("file:")
+    old, there = set(os.listdir(folder)), {}
+
+    def cut(df, name="cut"):
+        out = shared.cut(df, name)
+        there[name] = {f.rsplit("-", 1)[0] for f in set(os.listdir(folder)) - old}
+        return out
+
+    monkeypatch.setattr(lsh_forest, "cut", cut)
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(table(spark, texts), 4, 99, leaf=4, block=16).collect()}
+    assert [got[i] for i in range(len(texts))] == links_of(texts, 4, 99)[1]
+    assert "signatures" not in there["texts"] and "classes" in there["texts"]
+    assert "moved" in there["inside"] and not {"signatures", "classes"} & there["inside"]
+    assert not {"signatures", "classes", "moved", "keys"} & there["more"]
+
+
 def test_near_duplicates_without_ids_or_rows(spark):
     text = "a b c d e f g"
     got = near_duplicates(table(spark, [text, text, text], ids=[None, 7, 7]), 4).collect()
