@@ -22,6 +22,13 @@ def test_matches(spark):
     assert "Broadcast" not in planned(matching.match_files(*catalog.moved_sides(spark, SF)))
 
 
+def test_matches_plan_grows_with_the_passes(spark):
+    """No pass is planned again in each later one: what is left of two sides is two joins with the pairs written before."""
+    sides = catalog.moved_sides(spark, SF)
+    for overrides in (None, sides[0].select(sides[0].path.alias("left_path"), sides[0].path.alias("right_path")).limit(3)):
+        assert planned(matching.match_files(*sides, overrides)).count("SortMergeJoin") == 2
+
+
 def test_moves(spark):
     nodes = spark.createDataFrame([("a", "l/a", "r/a")], "id string, left_path string, right_path string")
     moves = spark.createDataFrame([("a", 0, "l/a", "shared/a")], "id string, position long, source string, target string")
