@@ -49,6 +49,24 @@ def test_large_tables_of_loops(spark, monkeypatch):
     assert "Broadcast" not in planned(graph.degrees(edges.select("id"), edges.select(edges.id.alias("src"), edges.dependency.alias("dst"))))
 
 
+def test_rounds_of_loops_write_one_table_and_are_read_by_one_scan(spark, monkeypatch):
+    """What the driver plans in a round does not grow with the rounds before it."""
+    from mergetide.sources import shared
+
+    scans, cut, n = [], shared.cut, 6  # a ladder: no chains to draw together
+    pairs = [(i, i + 1) for i in range(n - 1)] + [(i, n + i) for i in range(n)] + [(n - 1, 2 * n)]
+    step = spark.createDataFrame(pairs, "id int, dependency int")
+    need = spark.createDataFrame([(i, 2 if i < n else 0) for i in range(2 * n + 1)], "id int, missing long")
+    monkeypatch.setattr(shared, "cut", lambda df, name="cut": scans.append(planned(df).count("FileScan")) or cut(df, name))
+    done = graph.peel(need, step)
+    assert planned(done).count("FileScan") == 1
+    assert len(scans) == n + 3 and max(scans) <= 3  # chains, the first frontier, a round for each level and one that finds nothing
+    assert {r["id"]: r["turn"] for r in done.collect()} == {i: n - i for i in range(n)} | {i: 0 for i in range(n, 2 * n + 1)}
+    found = graph.spread(spark.createDataFrame([(0,)], "id int"), step.withColumnsRenamed({"id": "src", "dependency": "dst"}), [])
+    assert planned(found).count("FileScan") == 1
+    assert {r["id"]: r["depth"] for r in found.collect()} == {i: i for i in range(n)} | {n + i: i + 1 for i in range(n)} | {2 * n: n}
+
+
 def test_contents_come_by_hundreds(spark):
     """Contents are diffed in small batches: no Arrow batch of ten thousand texts."""
     rows = spark.createDataFrame([("a", "CONFLICT", "1\n2", "1\nx", "1\ny")], "path string, div_type string, base string, left string, right string")
