@@ -95,7 +95,8 @@ def mix_sources(
     stratum = F.when(2 * times < F.col("source_size"), 0).when(times > 2 * F.col("source_size"), 2).otherwise(1)
     d = of_source(d, per_source.select("source", "source_size", "n_docs")).withColumn("stratum", stratum).drop("source_size", "n_docs")
     strata = d.groupBy("source", "stratum").agg(F.sum("size").alias("words"))
-    strata = stratum_copies(of_source(strata, per_source), size_weights, max_repeats).withColumnRenamed("stratum", "part")
+    # three rows a source, written: what follows reads them three times
+    strata = cut(stratum_copies(of_source(strata, per_source), size_weights, max_repeats).withColumnRenamed("stratum", "part"), "strata")
     u, p = F.col("u"), F.col("p")
     d = d.join(small(strata.withColumnRenamed("source", "of")), F.col("source").eqNullSafe(F.col("of")) & (F.col("stratum") == F.col("part"))).drop("of", "part")
     d = d.withColumn("rank", F.when(p > 0, (u / (1 - u)) / (p / (1 - p))))
@@ -104,7 +105,7 @@ def mix_sources(
     upto = Window.partitionBy("source").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = bins.withColumn("below", F.coalesce(F.sum("bin_size").over(upto), F.lit(0)))
     # the boundary bin of a source: the one in which its words reach the rest of the target
-    edge = bins.where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("bin_size") >= F.col("rest"))).select("source", F.col("bin").alias("edge_bin"), F.col("below").alias("edge_below"))
+    edge = cut(bins.where((F.col("below") < F.col("rest")) & (F.col("below") + F.col("bin_size") >= F.col("rest"))).select("source", F.col("bin").alias("edge_bin"), F.col("below").alias("edge_below")), "edges")
     d = of_source(d, edge, "left")
     at_edge = F.col("bin") == F.col("edge_bin")
     inside = Window.partitionBy("source", "bin").orderBy("rank", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)

@@ -16,6 +16,8 @@ other columns of the input are kept.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,21 +44,29 @@ FIRST_DAY, DAYS = "1900-01-01", (319, 229)  # 319 * 229 days end with 2099-12-31
 LETTERS, DIGITS_26 = "abcdefghijklmnopqrstuvwxyz", "0123456789abcdefghijklmnop"
 
 
+def let(x: Column, make: Callable[[Column], Column]) -> Column:
+    """``make(x)`` with ``x`` told once, however often it is used: the driver's plan holds its expression once, and each row works it out once."""
+    return F.get(F.transform(F.array(x), make), F.lit(0))
+
+
 def feistel(a: Column, b: Column, size_a: Column, size_b: Column, key: str, tweak: str) -> Column:
     """``struct(a, b)`` permuted over pairs below ``(size_a, size_b)``; both sizes at most 2**60."""
 
-    def f(i: Column, x: Column) -> Column:
-        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), x.cast("string"), size_a.cast("string"), size_b.cast("string")), 256)
+    def f(i: Column, x: Column, size: Column) -> Column:
+        digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(tweak), i.cast("string"), x.cast("string"), size["a"].cast("string"), size["b"].cast("string")), 256)
         return F.conv(F.substring(digest, 1, 15), 16, 10).cast("long")
 
-    def turn(acc: Column, i: Column) -> Column:
+    def turn(acc: Column, i: Column, size: Column) -> Column:
         even = i % 2 == 0
         return F.struct(
-            F.when(even, F.pmod(acc["a"] + F.when(even, f(i, acc["b"])), size_a)).otherwise(acc["a"]).alias("a"),
-            F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + F.when(~even, f(i, acc["a"])), size_b)).alias("b"),
+            F.when(even, F.pmod(acc["a"] + f(i, acc["b"], size), size["a"])).otherwise(acc["a"]).alias("a"),
+            F.when(even, acc["b"]).otherwise(F.pmod(acc["b"] + f(i, acc["a"], size), size["b"])).alias("b"),
         )
 
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), turn)
+    def rounds(size: Column) -> Column:
+        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), F.struct(a.cast("long").alias("a"), b.cast("long").alias("b")), lambda acc, i: turn(acc, i, size))
+
+    return let(F.struct(size_a.alias("a"), size_b.alias("b")), rounds)
 
 
 def permuted(s: Column, radix: int, key: str, tweak: str) -> Column:
@@ -74,15 +84,18 @@ def permuted(s: Column, radix: int, key: str, tweak: str) -> Column:
     def size(length: Column) -> Column:  # an exact power
         return F.element_at(F.array(*[F.lit(radix**i) for i in range(CHUNK // 2 + 1)]), length + 1)
 
-    def one(i: Column) -> Column:
-        part = F.substring(s, i * CHUNK + 1, F.lit(CHUNK))
+    def one(part: Column) -> Column:
         n = F.length(part)
         left, right = F.ceil(n / 2).cast("int"), F.floor(n / 2).cast("int")
         done = feistel(number(F.substring(part, F.lit(1), left)), number(F.substring(part, left + 1, right)), size(left), size(right), key, tweak)
         return F.concat_ws("", F.transform(F.array(done), lambda d: F.concat(spell(d["a"], left), spell(d["b"], right))))
 
-    chunks = F.ceil(F.length(s) / CHUNK).cast("int")
-    return F.when(F.length(s) > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(chunks, F.lit(1)) - 1), one), "")).otherwise(F.lit(""))
+    def every(s: Column) -> Column:
+        chunks = F.ceil(F.length(s) / CHUNK).cast("int")
+        parts = F.transform(F.sequence(F.lit(0), F.greatest(chunks, F.lit(1)) - 1), lambda i: F.substring(s, i * CHUNK + 1, F.lit(CHUNK)))
+        return F.when(F.length(s) > 0, F.array_join(F.transform(parts, one), "")).otherwise(F.lit(""))
+
+    return let(s, every)
 
 
 def only(s: Column, others: str) -> Column:
@@ -130,6 +143,11 @@ def phone(m: Column, key: str) -> Column:
     """
     apart = F.regexp_extract(m, r"^[+][0-9]{1,3}(?=[ .(-])", 0)
     code = F.when(apart != "", apart).otherwise(F.regexp_extract(m, COUNTRY, 0))
+    return let(code, lambda code: renumbered(m, code, key))
+
+
+def renumbered(m: Column, code: Column, key: str) -> Column:
+    """A telephone number with its country code apart."""
     rest = F.substring(m, F.length(code) + 1, F.length(m))
     digits = only(rest, "[^0-9]")
     planned = (F.length(digits) == 10) & code.isin("", "+1")

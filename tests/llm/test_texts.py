@@ -173,6 +173,14 @@ def test_pseudonyms(spark):
     assert pseudonyms.pseudonymise(d.limit(0), "k").count() == 0
 
 
+def test_pseudonyms_are_planned_once(spark):
+    """The driver's plan holds what a step reads once, not once for each use."""
+    from pyspark.sql import functions as F
+
+    d = spark.createDataFrame([("",)], "text string").select(F.transform(F.array("text"), lambda x: pseudonyms.phone(x, "k")))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract(") < 20  # the country code; there were 414
+
+
 def test_phones_stay_in_their_plan(spark):
     """Valid areas and exchanges lead to valid ones, one to one and in any spelling; other numbers keep country and length."""
     rng = random.Random(8)

@@ -299,6 +299,11 @@ def test_mixing(spark):
     assert mix_sources(table(spark, [])).count() == 0
 
 
+def test_mixing_plans_its_small_tables_once(spark):
+    docs = table(spark, ["w " * (i + 1) for i in range(20)], sources=[str(i % 2) for i in range(20)])
+    assert mix_sources(docs)._jdf.queryExecution().optimizedPlan().toString().count("Window") == 1  # of the documents at the edge
+
+
 def test_mixing_weighs_sizes(spark):
     """One source that is left at 1.2 copies: longer documents are drawn more often, and so are those of equal or null ids."""
     rng = random.Random(5)
