@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from mergetide.functions import references as R
 from mergetide.functions.text import beside, import_between
 from mergetide.operators.resolving import Aliases, resolve
-from mergetide.sources.shared import cut, merged
+from mergetide.sources.shared import cut, free, merged
 
 STYLE_ENDS = [".html", ".scss", ".css", ".less"]
 IMPORT_LINE = r"^(?:import|export).*?from\s+['\"]([^'\"\n]+)['\"]"
@@ -109,7 +109,10 @@ def import_rewrites(files: DataFrame, mapping: DataFrame, aliases: Aliases | Non
     code = files.where(F.col("path").rlike(r"\.tsx?$") & ~F.col("path").contains(".spec.") & ~F.col("path").contains(".test."))
     numbered = F.transform(F.split("content", "\n"), lambda x, i: F.struct((i + 1).alias("line"), F.regexp_extract(x, IMPORT_LINE, 1).alias("spec")))
     found = cut(code.select("path", F.posexplode(F.filter(numbered, lambda x: x["spec"] != "")).alias("position", "x")).select("path", "position", "x.line", "x.spec"), "imports")
-    resolved = resolve(found, files, aliases, planner=True).where("target is not null")
+    # written, so that the driver plans the resolving, the mapping and their joins one after the other, and the mapping once for both joins
+    resolved = cut(resolve(found, files, aliases, planner=True).where("target is not null"), "resolved")
+    free(files.sparkSession, found)
+    mapping = cut(mapping, "mapping")
     own = mapping.select(F.col("old_path").alias("path"), F.col("new_path").alias("own_new"))
     to = mapping.select(F.col("old_path").alias("target"), F.col("new_path").alias("target_new"))
     both = resolved.join(merged(own), "path", "left").join(merged(to), "target", "left").where("own_new is not null or target_new is not null")

@@ -37,6 +37,16 @@ def test_moves(spark):
     assert "Broadcast" not in planned(moving.affected_importers(moves, nodes, e))
 
 
+def test_rewrites_plan_the_mapping_and_the_resolving_once(spark):
+    """What is left of the plan of the rewrites is two joins of tables written before, however the mapping was made."""
+    files = spark.createDataFrame([("left/m/a.ts", "import { B } from './b';"), ("left/m/b.ts", "")], "path string, content string")
+    nodes = spark.createDataFrame([("b", "left/m/b.ts", None)], "id string, left_path string, right_path string")
+    moves = spark.createDataFrame([("b", 0, "left/m/b.ts", "shared/b.ts")], "id string, position long, source string, target string")
+    found = moving.import_rewrites(files, moving.path_mapping(moves, nodes))
+    assert planned(found).count("SortMergeJoin") == 2
+    assert [tuple(r) for r in found.select("path", "line", "old_import", "new_import").collect()] == [("left/m/a.ts", 1, "./b", "../../shared/b")]
+
+
 def test_large_tables_of_loops(spark, monkeypatch):
     """A frontier beyond the bound asks for merge joins, one within it does not."""
     from mergetide.sources import shared
